@@ -46,3 +46,9 @@ def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
 def hash_third(doc_id: Column) -> Column:
     """The fold of a document: crc32 of its id as text, modulo 3. 1 is held out; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+def batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows in an Arrow batch, so that a batch of long texts stays small in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

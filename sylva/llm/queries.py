@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing}
+    return {"op1_mixing": mixing.op1_mixing, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
