@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import broadcast_below, checkpoints, cut  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -20,29 +20,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """The checkpoint folder is the cluster's (spark.checkpoint.dir); only a local session without one gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = f"/tmp/checkpoints/{os.getuid()}"
-        sc.setCheckpointDir(shared)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and held in the shared checkpoint folder, where it outlives executors."""
-    checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
-def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def hash_third(doc_id: Column) -> Column:
     """The fold of a document: crc32 of its id as text, modulo 3. 1 is held out; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, simhash_dedup
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing, "op10_packing": packing.op10_packing}
+    return {"op1_mixing": mixing.op1_mixing, "op2_simhash": simhash_dedup.op2_simhash, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
