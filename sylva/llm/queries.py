@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash_dedup
+from . import license_scan, mixing, packing, simhash_dedup
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing, "op2_simhash": simhash_dedup.op2_simhash, "op10_packing": packing.op10_packing}
+    return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_simhash": simhash_dedup.op2_simhash,
+        "op7_license": license_scan.op7_license,
+        "op10_packing": packing.op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL}
+    return {"op1_mixing": mixing.SQL, "op7_license": license_scan.sql()}
