@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, packing, simhash_dedup
+from . import fingerprints, license_scan, mixing, packing, simhash_dedup
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash_dedup.op2_simhash,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_license": license_scan.op7_license,
         "op10_packing": packing.op10_packing,
     }
