@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, license_scan, mixing, packing, simhash_dedup
+from . import fingerprints, license_scan, mixing, packing, simhash_dedup, telephony
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_simhash": simhash_dedup.op2_simhash,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_license": license_scan.op7_license,
+        "op9_media": telephony.op9_media,
         "op10_packing": packing.op10_packing,
     }
 
