@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, license_scan, mixing, packing, simhash_dedup, telephony
+from . import fingerprints, langid, license_scan, mixing, packing, quality, simhash_dedup, telephony
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash_dedup.op2_simhash,
         "op5_fingerprints": fingerprints.op5_fingerprints,
+        "op6_quality": quality.op6_quality,
         "op7_license": license_scan.op7_license,
+        "op8_language": langid.op8_language,
         "op9_media": telephony.op9_media,
         "op10_packing": packing.op10_packing,
     }
