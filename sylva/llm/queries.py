@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, license_scan, mixing, packing, quality, simhash_dedup, telephony, url_filter
+from . import fingerprints, langid, license_scan, mixing, packing, quality, simhash_dedup, telephony, url_filter, wrappers
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash_dedup.op2_simhash,
+        "op3_html": wrappers.op3_html,
         "op4_url": url_filter.op4_url,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_quality": quality.op6_quality,
