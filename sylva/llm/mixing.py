@@ -108,6 +108,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     )
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of documents, with all their columns, each as often as mix() takes it."""
+    rows = docs.select(F.struct(*docs.columns).alias("d"))
+    rows = rows.withColumns({"size": words(F.col("d.text")), "draw": draw(F.col("d.doc_id"), F.col("d.text"), seed)})
+    p = cut(plan(cut(rows.select("d.source", "size", "draw")), weights, epochs))
+    copies = (F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)).cast("int")
+    out = rows.join(broadcast_below(p, BROADCAST_SOURCES), F.col("d.source").eqNullSafe(F.col("p_source")))
+    return out.select("d", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("d.*")
+
+
 def op1_mixing(spark, sf_dir) -> DataFrame:
     from .common import read
 

@@ -163,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns `keep` of documents with `text`, and score: a probability, of null and empty texts too."""
-    return with_statistics(docs, keep).select(*keep, model.score().alias("score"))
+    # exploded from an array of one, so that no filter on the score is moved below the statistics and repeats them
+    return with_statistics(docs, keep).select(*keep, F.explode(F.array(model.score())).alias("score"))
 
 
 def op6_quality(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -149,3 +149,125 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFram
 def op2_simhash(spark, sf_dir) -> DataFrame:
     s = simhash_components(read(spark, sf_dir, "documents"))
     return s.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near duplicates of texts ---------------------------------------------------------------------------------------
+
+#: Segments of the long fingerprint, each the SimHash of SAMPLED shingles, and how many of them may differ.
+RING, SAMPLED, DIFFER = 16, 3, 13
+#: Smallest shingle hashes of a text that are kept: similarity is exact up to so many different shingles.
+KEPT = 256
+#: Texts in a bucket up to which its pairs are listed; in larger ones all are compared with CENTRES of them.
+BUCKET, CENTRES = 32, 6
+_rng = np.random.default_rng(SEED)
+MIX = _rng.integers(0, 1 << 63, (2, RING * SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def segments(u: np.ndarray) -> np.ndarray:
+    """RING values: each the SimHash (the majority of each bit) of SAMPLED shingles, those least in orders of its own."""
+    low = np.full(RING * SAMPLED, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(u), 4096):
+        low = np.minimum(low, ((u[i : i + 4096, None] ^ MIX[0]) * MIX[1]).min(0))
+    a, b, c = (low * np.uint64(0x9E3779B97F4A7C15)).reshape(RING, SAMPLED).T
+    return (a & b) | (a & c) | (b & c)
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingles from their least hashes (all that lie in both texts' kept ranges)."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    top = min([int(z[-1]) for z in (x, y) if len(z) >= KEPT], default=1 << 32)
+    x, y = x[x <= top], y[y <= top]
+    both = len(np.intersect1d(x, y))
+    return both / max(1, len(np.union1d(x, y)))
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """(key, doc_id, words, ring, least) of rows (key, doc_id, text): digest of the lower-case words, segments, least hashes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for t in b.column(2):
+                text = t.as_py()
+                u = np.unique(hashes(text, k))
+                words = hashlib.md5(b" ".join(text.lower().split())).hexdigest()
+                out.append((words, segments(u).view(np.int64).tolist(), (u[:KEPT] >> np.uint64(32)).astype("<u4").tobytes()))
+            if out:
+                w, r, s = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.string()), pa.array(r, pa.list_(pa.int64())), pa.array(s, pa.binary())], names=["key", "doc_id", "words", "ring", "least"])
+
+    batches(docs.sparkSession)
+    return docs.select("key", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "key long, doc_id long, words string, ring array<long>, least binary")
+
+
+def ring_chains(a: Column, b: Column) -> Column:
+    """The chain condition of pigeonring on the segments of two long fingerprints, for at most DIFFER that differ."""
+    d = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
+    twice = F.concat(d, d)
+    runs = F.transform(F.sequence(F.lit(0), F.lit(RING - 1)), lambda at: F.aggregate(
+        F.slice(twice, at + 1, F.lit(RING)),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(True).alias("ok")),
+        lambda acc, x: F.struct((acc.n + 1).alias("n"), (acc.s + x).alias("s"), (acc.ok & ((acc.s + x) * RING <= (acc.n + 1) * DIFFER)).alias("ok")),
+        lambda acc: acc.ok,
+    ))
+    return F.exists(runs, lambda ok: ok)
+
+
+def near_duplicates(sk: DataFrame, similarity: float) -> DataFrame:
+    """(words, component) of the texts of sk(words, ring, least), one row a text, that resemble others by `similarity` or more."""
+    keyed = sk.select("words", F.posexplode("ring").alias("at", "value")).select("words", F.xxhash64("at", "value").alias("bucket"))
+    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    members = cut(keyed.join(sizes, "bucket"))
+    light = members.filter(F.col("n") <= BUCKET)
+    pairs = light.alias("x").join(light.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.words") < F.col("y.words"))).select(F.col("x.words").alias("a"), F.col("y.words").alias("b"))
+    heavy = members.filter(F.col("n") > BUCKET)
+    weight = cut(heavy.groupBy("words").agg(F.sum("n").alias("weight")))
+    by = [F.max(F.struct("weight", "words")).getField("words"), *(F.max(F.struct(F.xxhash64("words", "bucket", F.lit(i)).alias("h"), "words")).getField("words") for i in range(1, CENTRES))]
+    centres = cut(heavy.join(weight, "words").groupBy("bucket").agg(F.array_distinct(F.array(*by)).alias("centres")))
+    stars = heavy.join(centres, "bucket").select(F.explode("centres").alias("c"), "words").filter("c <> words").select(F.least("c", "words").alias("a"), F.greatest("c", "words").alias("b"))
+    pairs = pairs.union(stars).distinct()
+    ring = sk.select("words", "ring")
+    near = (
+        pairs.join(ring.select(F.col("words").alias("a"), F.col("ring").alias("ra")), "a")
+        .join(ring.select(F.col("words").alias("b"), F.col("ring").alias("rb")), "b")
+        .filter(ring_chains(F.col("ra"), F.col("rb")))
+        .select("a", "b")
+    )
+    near = cut(near)
+    least = sk.select("words", "least")
+
+    @F.pandas_udf("double")
+    def like(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([resemblance(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    edges = (
+        near.join(least.select(F.col("words").alias("a"), F.col("least").alias("la")), "a")
+        .join(least.select(F.col("words").alias("b"), F.col("least").alias("lb")), "b")
+        .filter(like("la", "lb") >= similarity)
+        .select("a", "b")
+    )
+    return components(edges).select(F.col("node").alias("words"), "component")
+
+
+def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of documents(doc_id, text, ...), one of each group of near duplicates: that of the smallest doc_id, null last.
+
+    Texts of equal words (A-Z in either case, any white space) are one group; groups whose k-word shingles have a Jaccard
+    similarity of `similarity` or more are joined. A 64-bit SimHash of whole texts cannot find those (at 0.8 a median of 10
+    bits differ), so the fingerprint is a ring of 16 segments, each the SimHash of three sampled shingles: similar texts
+    have equal segments, which give the candidates; pigeonring chains prune them; the least shingle hashes decide. In
+    buckets of over BUCKET texts all are compared with CENTRES of them, the best connected one first, rather than with
+    each other. Null, empty and blank texts are one group; of rows equal in id and text one stays; an empty table gives
+    an empty one.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("key", F.xxhash64("d.doc_id", "d.text"))
+    s = cut(sketches(rows.select("key", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text")), k))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first")
+    texts = cut(s.groupBy("words").agg(first, F.first("ring").alias("ring"), F.first("least").alias("least"), F.count("*").alias("n")))
+    groups = near_duplicates(texts, similarity)
+    g = texts.select("words", "first").join(groups.withColumnRenamed("words", "g_words"), F.col("words") == F.col("g_words"), "left")
+    kept = cut(g.groupBy(F.coalesce("component", "words").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept")))
+    out = rows.join(kept, F.col("key") == F.col("kept"), "left_semi")
+    if s.groupBy("key").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates(["key"])
+    return out.select("d.*")
