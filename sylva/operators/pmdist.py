@@ -17,7 +17,7 @@ def sample_points(points: DataFrame, fraction: float = 0.25, most: int = 1_000_0
     from .spatial import with_per_tree
 
     d = with_per_tree(points, F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("tree_id", "point_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "tree_id", "point_id").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return d.filter(draw < F.least(F.lit(fraction), F.lit(float(most)) / F.col("n"))).drop("n")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions import vectors
 from .functions.vectors import change_precision, distance_between_lines, vec
 from .operators import attributes, branches, coverage, distributions, filters, graph, optimum, pmdist, simplify, spatial
 from .sources.fixtures import cte, load
@@ -360,6 +361,389 @@ def l16(spark, d):
     return rounded(distributions.branch_order_distribution(branches.branch_table(load(spark, d, "cylinders"))))
 
 
+# --- vectors and coverage --------------------------------------------------------------------------------------------
+
+ON_AXIS = "SELECT p.*, 0e0 AS start_x, 0e0 AS start_y, lo AS start_z, 0e0 AS axis_x, 0e0 AS axis_y, 1e0 AS axis_z, hi-lo AS length, 0.16e0 AS radius FROM points p JOIN (SELECT tree_id, min(z) AS lo, max(z) AS hi FROM points GROUP BY 1) USING (tree_id)"
+
+
+def on_axis(spark, d) -> DataFrame:
+    """The points of each tree with a vertical axis through the origin."""
+    p = spatial.with_per_tree(load(spark, d, "points"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    zero = F.lit(0.0)
+    return p.select("tree_id", "point_id", "x", "y", "z", zero.alias("start_x"), zero.alias("start_y"), F.col("lo").alias("start_z"), zero.alias("axis_x"), zero.alias("axis_y"), F.lit(1.0).alias("axis_z"), (F.col("hi") - F.col("lo")).alias("length"), F.lit(0.16).alias("radius"))
+
+
+# the basis of a vertical axis: u = z cross x = (0, 1, 0), v = z cross u = (-1, 0, 0)
+UNROLLED = "SELECT *, z-start_z AS h, sqrt(x*x+y*y) AS d, CASE WHEN atan2(-x, y)<0 THEN atan2(-x, y)+2*pi() ELSE atan2(-x, y) END AS angle FROM o"
+
+
+def coverage_sql(turns: int) -> str:
+    return (
+        cte("points", o=ON_AXIS, u=UNROLLED, t=f"SELECT *, unnest(range(0, {turns})) AS turn FROM u",
+            c=f"SELECT tree_id, turn, least(9, greatest(0, floor(round(h/length*10, 9)))) AS layer, floor(round((angle+turn*(2*pi()/24)/{turns})/(2*pi()/24), 9))::BIGINT%24 AS sector FROM t",
+            n="SELECT tree_id, turn, count(DISTINCT (layer, sector)) AS n FROM c GROUP BY 1, 2")
+        + " SELECT tree_id, round(max(n)/240e0, 6) AS coverage FROM n GROUP BY 1"
+    )
+
+
+@register("j1_surface_coverage", coverage_sql(4))
+def j1(spark, d):
+    return rounded(coverage.surface_coverage(on_axis(spark, d), ["tree_id"], 10, 24))
+
+
+@register("j2_surface_coverage_simple", coverage_sql(1))
+def j2(spark, d):
+    return rounded(coverage.surface_coverage(on_axis(spark, d), ["tree_id"], 10, 24, turns=1))
+
+
+@register(
+    "j1_cell_volume",
+    cte("points", o=ON_AXIS, u=UNROLLED,
+        c="SELECT tree_id, length, least(9, greatest(0, floor(round(h/length*10, 9)))) AS layer, floor(round(angle/(2*pi()/24), 9))::BIGINT%24 AS sector, d FROM u",
+        m="SELECT tree_id, any_value(length) AS length, layer, sector, avg(d) AS d FROM c GROUP BY tree_id, layer, sector")
+    + " SELECT tree_id, round(1000*pi()*any_value(length)*(sum(d*d)+(240-count(*))*avg(d)*avg(d))/240, 6) AS volume FROM m GROUP BY 1",
+)
+def j1v(spark, d):
+    p = on_axis(spark, d)
+    cells = coverage.cell_distances(p, ["tree_id"], 10, 24).join(p.groupBy("tree_id").agg(F.first("length").alias("length")), "tree_id")
+    return rounded(coverage.volume_of_cells(cells, ["tree_id"], 10, 24, F.col("length")))
+
+
+@register(
+    "j3_coverage_filter",
+    cte("points", o=ON_AXIS, u=UNROLLED,
+        c="SELECT *, floor(round(h/0.2e0, 9))::BIGINT AS layer, floor(round(angle/(2*pi()/18), 9))::BIGINT%18 AS sector FROM u",
+        w="SELECT *, min(d) OVER (PARTITION BY tree_id, layer, sector) AS near FROM c",
+        k="SELECT * FROM w WHERE d <= near+greatest(0.01e0, 0.05e0*radius)",
+        p="SELECT tree_id, layer, sector, any_value(near) AS near, any_value(length) AS length FROM k GROUP BY 1, 2, 3",
+        f="SELECT tree_id, median(least(1.05e0*near, near+0.02e0)) AS radius, least(1e0, count(*)/(greatest(1, ceil(round(any_value(length)/0.2e0, 9)))*18)) AS coverage FROM p GROUP BY 1")
+    + " SELECT tree_id, round(any_value(f.radius), 6) AS radius, round(any_value(coverage), 6) AS coverage, round(avg(abs(d-f.radius)), 6) AS mad FROM k JOIN f USING (tree_id) GROUP BY 1",
+)
+def j3(spark, d):
+    return rounded(coverage.coverage_filter(on_axis(spark, d), ["tree_id"], 0.2, 18)[1])
+
+
+@register(
+    "j4_distance_to_line",
+    cte("points") + " SELECT tree_id, point_id, round(x*0.6e0+z*0.8e0, 6) + 0.0 AS h, round(sqrt((x-0.6e0*(x*0.6e0+z*0.8e0))*(x-0.6e0*(x*0.6e0+z*0.8e0))+y*y+(z-0.8e0*(x*0.6e0+z*0.8e0))*(z-0.8e0*(x*0.6e0+z*0.8e0))), 6) AS distance FROM points",
+)
+def j4(spark, d):
+    axis, origin = vectors.lit(0.6, 0.0, 0.8), vectors.lit(0, 0, 0)
+    return rounded(load(spark, d, "points").select("tree_id", "point_id", vectors.height_on_line(vec(""), axis, origin).alias("h"), vectors.distance_to_line(vec(""), axis, origin).alias("distance")))
+
+
+@register(
+    "j5_line_distances",
+    cte("cylinders",
+        q="SELECT c.tree_id, c.cyl_id, c.axis_y*p.axis_z-c.axis_z*p.axis_y AS nx, c.axis_z*p.axis_x-c.axis_x*p.axis_z AS ny, c.axis_x*p.axis_y-c.axis_y*p.axis_x AS nz, p.start_x-c.start_x AS wx, p.start_y-c.start_y AS wy, p.start_z-c.start_z AS wz, c.axis_x AS ax, c.axis_y AS ay, c.axis_z AS az FROM cylinders c JOIN cylinders p ON c.tree_id=p.tree_id AND c.parent=p.cyl_id")
+    + " SELECT tree_id, cyl_id, round(coalesce(abs(wx*nx+wy*ny+wz*nz)/nullif(sqrt(nx*nx+ny*ny+nz*nz), 0), sqrt(greatest(0, wx*wx+wy*wy+wz*wz-(wx*ax+wy*ay+wz*az)*(wx*ax+wy*ay+wz*az)))), 6) AS distance FROM q",
+)
+def j5(spark, d):
+    c = load(spark, d, "cylinders")
+    p = c.select("tree_id", F.col("cyl_id").alias("parent"), *(F.col(f"{a}_{x}").alias(f"p{a}_{x}") for a in ("start", "axis") for x in "xyz"))
+    dist = distance_between_lines(vec("start"), vec("axis"), vec("pstart"), vec("paxis"))[0]
+    return rounded(c.join(p, ["tree_id", "parent"]).select("tree_id", "cyl_id", dist.alias("distance")))
+
+
+@register("j7_moments", cte("points") + " SELECT tree_id, count(*) AS n, " + ", ".join(f"round(covar_samp({a}, {b}), 6) + 0.0 AS c{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM points GROUP BY 1")
+def j7(spark, d):
+    return rounded(coverage.moments(load(spark, d, "points"), ["tree_id"]))
+
+
+@register(
+    "j8_rotation",
+    cte("points") + " SELECT tree_id, point_id, round(x*cos(0.5e0)-y*sin(0.5e0), 6) + 0.0 AS x, round(x*sin(0.5e0)+y*cos(0.5e0), 6) + 0.0 AS y, round(z, 6) AS z FROM points",
+)
+def j8(spark, d):
+    turned = vectors.rotate(vec(""), vectors.lit(0, 0, 1), F.lit(0.5))
+    return rounded(load(spark, d, "points").select("tree_id", "point_id", *(c.alias(n) for c, n in zip(turned, "xyz", strict=True))))
+
+
+@register(
+    "j10_vector_algebra",
+    cte("cylinders", q="SELECT c.tree_id, c.cyl_id, c.axis_x AS ax, c.axis_y AS ay, c.axis_z AS az, p.axis_x AS bx, p.axis_y AS b_y, p.axis_z AS bz FROM cylinders c JOIN cylinders p ON c.tree_id=p.tree_id AND c.parent=p.cyl_id")
+    + " SELECT tree_id, cyl_id, round(ax*bx+ay*b_y+az*bz, 6) + 0.0 AS dot, round(sqrt(pow(ay*bz-az*b_y, 2)+pow(az*bx-ax*bz, 2)+pow(ax*b_y-ay*bx, 2)), 6) + 0.0 AS sine FROM q",
+)
+def j10(spark, d):
+    c = load(spark, d, "cylinders")
+    p = c.select("tree_id", F.col("cyl_id").alias("parent"), *(F.col(f"axis_{x}").alias(f"b_{x}") for x in "xyz"))
+    a, b = vec("axis"), vec("b")
+    return rounded(c.join(p, ["tree_id", "parent"]).select("tree_id", "cyl_id", a.dot(b).alias("dot"), a.cross(b).norm().alias("sine")))
+
+
+@register("j11_averages", cte("points") + f" SELECT tree_id, {r('mean_x', 'mean_z', 'median_z')} FROM (SELECT tree_id, avg(x) AS mean_x, avg(z) AS mean_z, median(z) AS median_z FROM points GROUP BY 1)")
+def j11(spark, d):
+    return rounded(load(spark, d, "points").groupBy("tree_id").agg(F.avg("x").alias("mean_x"), F.avg("z").alias("mean_z"), F.median("z").alias("median_z")))
+
+
+@register("j12_unique", cte("points") + " SELECT DISTINCT tree_id, floor(z)::BIGINT AS layer FROM points")
+def j12(spark, d):
+    return load(spark, d, "points").select("tree_id", F.floor("z").cast("long").alias("layer")).distinct()
+
+
+LOW, HIGH = "SELECT DISTINCT tree_id, point_id%50 AS k FROM points WHERE z < 3e0", "SELECT DISTINCT tree_id, point_id%50 AS k FROM points WHERE z > 2.5e0"
+
+
+@register(
+    "j13_set_operations",
+    cte("points", a=LOW, b=HIGH) + " SELECT 'except' AS op, tree_id, k FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'intersect', tree_id, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'union', tree_id, k FROM (SELECT * FROM a UNION SELECT * FROM b)",
+)
+def j13(spark, d):
+    p = load(spark, d, "points").select("tree_id", "z", (F.col("point_id") % 50).alias("k"))
+    a, b = p.filter("z < 3").select("tree_id", "k").distinct(), p.filter("z > 2.5").select("tree_id", "k").distinct()
+    keys = ["tree_id", "k"]
+    sets = {"except": a.join(b, keys, "left_anti"), "intersect": a.join(b, keys, "left_semi"), "union": a.union(b).distinct()}
+    out = None
+    for op, s in sets.items():
+        s = s.select(F.lit(op).alias("op"), *keys)
+        out = s if out is None else out.union(s)
+    return out
+
+
+@register(
+    "j14_concatenation",
+    cte("cylinders", q="SELECT tree_id, branch, list(cyl_id ORDER BY position) AS ids FROM cylinders GROUP BY 1, 2", s="SELECT tree_id, branch, ids, coalesce(sum(len(ids)) OVER (PARTITION BY tree_id ORDER BY branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM q")
+    + " SELECT tree_id, branch, first::BIGINT AS first, (first+len(ids)-1)::BIGINT AS last, unnest(ids) AS cyl_id FROM s",
+)
+def j14(spark, d):
+    w = Window.partitionBy("tree_id").orderBy("branch").rowsBetween(Window.unboundedPreceding, -1)
+    ragged = load(spark, d, "cylinders").groupBy("tree_id", "branch").agg(F.sort_array(F.collect_list("cyl_id")).alias("ids"))
+    first = F.coalesce(F.sum(F.size("ids")).over(w), F.lit(0)).cast("long")
+    return ragged.withColumn("first", first).select("tree_id", "branch", "first", (F.col("first") + F.size("ids") - 1).cast("long").alias("last"), F.explode("ids").alias("cyl_id"))
+
+
+def precision_sql(v: str) -> str:
+    return f"CASE WHEN abs({v})>=1000 THEN round({v}, 0) WHEN abs({v})>=100 THEN round({v}, 1) WHEN abs({v})>=10 THEN round({v}, 2) WHEN abs({v})>=1 THEN round({v}, 3) WHEN abs({v})>=0.1e0 THEN round({v}, 4) ELSE round({v}, 5) END"
+
+
+@register("j15_change_precision", cte("cylinders", t=L1) + f" SELECT tree_id, {precision_sql('total_volume')} AS total_volume, {precision_sql('trunk_area')} AS trunk_area, {precision_sql('tree_height')} AS tree_height FROM t")
+def j15(spark, d):
+    t = attributes.totals(load(spark, d, "cylinders"))
+    return t.select("tree_id", *(change_precision(F.col(c)).alias(c) for c in ("total_volume", "trunk_area", "tree_height")))
+
+
+# --- distances of points ---------------------------------------------------------------------------------------------
+
+NEAREST = """SELECT tree_id, point_id, cyl_id, d FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, point_id ORDER BY d, past, cyl_id) AS k FROM (
+  SELECT *, CASE WHEN h>=0 AND h<=length THEN 0 ELSE 1 END AS past, abs(sqrt(pow(vx-ax*h, 2)+pow(vy-ay*h, 2)+pow(vz-az*h, 2))-radius) AS d FROM (
+    SELECT *, vx*ax+vy*ay+vz*az AS h FROM (SELECT p.tree_id, point_id, cyl_id, radius, length, x-start_x AS vx, y-start_y AS vy, z-start_z AS vz, axis_x AS ax, axis_y AS ay, axis_z AS az
+      FROM points p JOIN cylinders c ON p.tree_id=c.tree_id))) WHERE d<0.5e0 AND h>=-0.1e0 AND h<=length+0.1e0) WHERE k=1"""
+TRIMMED = """SELECT c.tree_id, c.cyl_id, c.branch_order, coalesce(m, 0) AS mean_distance FROM cylinders c LEFT JOIN (SELECT tree_id, cyl_id, avg(d) AS m FROM (
+  SELECT *, row_number() OVER (PARTITION BY tree_id, cyl_id ORDER BY d, point_id) AS k, count(*) OVER (PARTITION BY tree_id, cyl_id) AS n FROM near) WHERE n<=19 OR k<=floor(n*95/100) GROUP BY 1, 2) USING (tree_id, cyl_id)"""
+
+
+@register(
+    "n1_point_sample",
+    cte("points") + " SELECT tree_id, point_id FROM points JOIN (SELECT tree_id, count(*) AS n FROM points GROUP BY 1) USING (tree_id) WHERE CAST('0x' || substr(md5('1:' || tree_id || ':' || point_id), 1, 8) AS BIGINT)/4294967296e0 < least(0.25e0, 1e6/n)",
+)
+def n1(spark, d):
+    return pmdist.sample_points(load(spark, d, "points")).select("tree_id", "point_id")
+
+
+@register("n2_nearest_cylinder", cte("points", "cylinders", near=NEAREST) + " SELECT tree_id, point_id, cyl_id, round(d, 6) AS distance FROM near")
+def n2(spark, d):
+    return rounded(pmdist.nearest_cylinder(load(spark, d, "points"), load(spark, d, "cylinders")))
+
+
+@register("n3_trimmed_mean", cte("points", "cylinders", near=NEAREST, tm=TRIMMED) + " SELECT tree_id, cyl_id, round(mean_distance, 6) AS mean_distance FROM tm")
+def n3(spark, d):
+    c = load(spark, d, "cylinders")
+    return rounded(pmdist.trimmed_means(pmdist.nearest_cylinder(load(spark, d, "points"), c), c))
+
+
+def class_stats_sql() -> str:
+    out = []
+    for name, test in pmdist.CLASSES.items():
+        out += [f"round(coalesce({f}(mean_distance) FILTER ({test}), 0), 6) AS {name}_{n}" for n, f in (("median", "median"), ("mean", "avg"), ("max", "max"), ("std", "stddev_samp"))]
+    return ", ".join(out)
+
+
+@register("n4_class_statistics", cte("points", "cylinders", near=NEAREST, tm=TRIMMED) + f" SELECT tree_id, {class_stats_sql()} FROM tm GROUP BY 1")
+def n4(spark, d):
+    c = load(spark, d, "cylinders")
+    per = pmdist.trimmed_means(pmdist.nearest_cylinder(load(spark, d, "points"), c), c).join(c.select("tree_id", "cyl_id", "branch_order"), ["tree_id", "cyl_id"])
+    return rounded(pmdist.class_statistics(per))
+
+
+# --- repeat models ---------------------------------------------------------------------------------------------------
+
+BY = "tree_id, pd1, pd2min, pd2max"
+
+
+def scalar_sql() -> dict[str, str]:
+    add = lambda parts: " + ".join(parts)
+    out = {}
+    for kind in ("mean_dis", "max_dis", "mean+max_dis"):
+        for c, parts in optimum.COMBINATIONS.items():
+            mean, most = [f"avg(mean_{p})" for p in parts], [f"avg(max_{p})/2" for p in parts]
+            out[f"{c}_{kind}"] = add({"mean_dis": mean, "max_dis": most, "mean+max_dis": mean + most}[kind])
+    out |= {n: add([f"coalesce(stddev_samp({a}), 0)" for a in parts]) for n, parts in optimum.DEVIATIONS.items()}
+    for kind, column in (("mean_surf", "surf"), ("min_surf", "low")):
+        out |= {f"{c}_{kind}": add([f"(1-avg({column}_{p}))" for p in parts]) for c, parts in optimum.COMBINATIONS.items()}
+    return out
+
+
+def scalars_union(names: list[str]) -> str:
+    s = scalar_sql()
+    return cte("runs") + " " + " UNION ALL ".join(f"SELECT {BY}, '{n}' AS metric, round({s[n]}, 6) + 0.0 AS value FROM runs GROUP BY {BY}" for n in names)
+
+
+_names = optimum.scalar_names()
+for _i, _group in (("distance", _names[:27]), ("deviation", _names[27:39]), ("coverage", _names[39:])):
+    register(f"o5_metrics_{_i}", scalars_union(_group))(lambda spark, d, group=tuple(_group): rounded(optimum.scalar_table(load(spark, d, "runs")).filter(F.col("metric").isin(*group))))
+
+
+def class_metric_sql() -> str:
+    base = cte(
+        "run_classes",
+        n=f"SELECT {BY}, count(DISTINCT model) AS runs FROM run_classes GROUP BY {BY}",
+        p=f"SELECT {BY}, family, measure, class, max(value) AS hi, min(value) AS lo, sum(value) AS total, count(*) AS n FROM run_classes GROUP BY {BY}, family, measure, class",
+        q=f"SELECT p.* EXCLUDE (hi, lo), runs, CASE WHEN n<runs THEN greatest(0, hi) ELSE hi END AS hi, CASE WHEN n<runs THEN least(0, lo) ELSE lo END AS lo FROM p JOIN n USING ({BY})",
+        s="SELECT *, CASE WHEN total/runs>0 THEN (hi-lo)/(total/runs) ELSE hi-lo END AS spread FROM q",
+    )
+    parts = []
+    for name, family, m, n, how in optimum.class_names():
+        value = f"coalesce(sum(spread) FILTER (class<={n}), 0)/{n}" if how == "mean" else f"coalesce(max(spread) FILTER (class<={n}), 0)"
+        parts.append(f"SELECT {BY}, '{name}' AS metric, round({value}, 6) + 0.0 AS value FROM s WHERE family='{family}' AND measure='{m}' GROUP BY {BY}")
+    return base + " " + " UNION ALL ".join(parts)
+
+
+@register("o5_metrics_class", class_metric_sql())
+def o5c(spark, d):
+    return rounded(optimum.class_table(load(spark, d, "run_classes")))
+
+
+@register("o4_metric_registry", "SELECT i::BIGINT AS id, n AS name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(optimum.metric_names(), 1)) + ") v(i, n)")
+def o4(spark, d):
+    return spark.createDataFrame([(i, n) for i, n in enumerate(optimum.metric_names(), 1)], "id long, name string")
+
+
+VALUES = f"SELECT {BY}, avg(mean_all) AS value FROM runs GROUP BY {BY}"
+BEST = f"SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY value, pd1, pd2min, pd2max) AS rank FROM vals"
+
+
+def best(spark, d) -> tuple[DataFrame, DataFrame]:
+    runs = load(spark, d, "runs")
+    return runs, optimum.best_inputs(optimum.metric(optimum.scalar_table(runs), "all_mean_dis"))
+
+
+@register("o6_best_inputs", cte("runs", vals=VALUES, b=BEST) + " SELECT tree_id, rank, pd1, pd2min, pd2max, round(value, 6) AS value FROM b WHERE rank<=3")
+def o6(spark, d):
+    return rounded(best(spark, d)[1])
+
+
+RUN = f"SELECT {BY}, model, mean_all FROM (SELECT runs.*, row_number() OVER (PARTITION BY runs.tree_id ORDER BY mean_all, model) AS k FROM runs JOIN b USING ({BY}) WHERE rank=1) WHERE k=1"
+
+
+@register("o6_best_run", cte("runs", vals=VALUES, b=BEST, q=RUN) + f" SELECT {BY}, model, round(mean_all, 6) AS mean_all FROM q")
+def o6r(spark, d):
+    runs, b = best(spark, d)
+    return rounded(optimum.best_runs(runs, b))
+
+
+def stats_union(source: str, by: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {by}, '{a}' AS attribute, round(avg({a}), 6) + 0.0 AS mean, round(coalesce(stddev_samp({a}), 0), 6) + 0.0 AS std, round(coalesce(stddev_samp({a}), 0)/nullif(avg({a}), 0)*100, 6) + 0.0 AS cv FROM {source} GROUP BY {by}"
+        for a in optimum.ATTRIBUTES
+    )
+
+
+@register("o7_variation", cte("runs") + " " + stats_union("runs", BY))
+def o7(spark, d):
+    return rounded(optimum.attribute_statistics(load(spark, d, "runs"), ["tree_id", *optimum.INPUTS]))
+
+
+def sensitivity_sql() -> str:
+    base = cte("runs", vals=VALUES, b=BEST, m=f"SELECT {BY}, avg(total_volume) AS mean FROM runs GROUP BY {BY}", opt=f"SELECT m.* FROM m JOIN b USING ({BY}) WHERE rank=1")
+    parts = []
+    for i in optimum.INPUTS:
+        same = " AND ".join(f"o.{c}=opt.{c}" for c in ["tree_id", *optimum.INPUTS] if c != i)
+        near = f"SELECT opt.tree_id, opt.mean, o.mean AS om, row_number() OVER (PARTITION BY opt.tree_id ORDER BY round(abs(o.{i}-opt.{i}), 9), o.{i}) AS k FROM opt JOIN m o ON {same} AND abs(o.{i}-opt.{i})>0.0001e0"
+        parts.append(f"SELECT opt.tree_id, '{i}' AS input, round(abs(om-n.mean)/nullif(n.mean, 0)*100, 2) AS change FROM opt LEFT JOIN ({near}) n ON n.tree_id=opt.tree_id AND k=1")
+    return base + " " + " UNION ALL ".join(parts)
+
+
+@register("o8_sensitivity", sensitivity_sql())
+def o8(spark, d):
+    runs, b = best(spark, d)
+    return optimum.sensitivity(runs, b, "total_volume")
+
+
+@register(
+    "o9_display_sensitivity",
+    cte("runs", vals=VALUES, b=BEST, m=f"SELECT tree_id, rank, avg(total_volume) AS value FROM runs JOIN b USING ({BY}) WHERE rank<=3 GROUP BY 1, 2", cv="SELECT tree_id, coalesce(stddev_samp(total_volume), 0)/nullif(avg(total_volume), 0)*100 AS cv FROM runs GROUP BY 1",
+        w="SELECT tree_id, max(value) FILTER (rank=1) AS v1, max(value) FILTER (rank=2) AS v2, max(value) FILTER (rank=3) AS v3 FROM m GROUP BY 1", c="SELECT tree_id, greatest(abs((v1-v2)/nullif(v1, 0))*100, abs((v1-v3)/nullif(v1, 0))*100) AS change FROM w")
+    + " SELECT tree_id, round(change, 6) AS change, round(change/nullif(cv, 0), 6) AS change_by_cv FROM c LEFT JOIN cv USING (tree_id)",
+)
+def o9(spark, d):
+    runs, b = best(spark, d)
+    values = runs.join(b.select("tree_id", "rank", *optimum.INPUTS), ["tree_id", *optimum.INPUTS]).groupBy("tree_id", "rank").agg(F.avg("total_volume").alias("value"))
+    return rounded(optimum.display_sensitivity(values, optimum.attribute_statistics(runs, ["tree_id"], ["total_volume"]).select("tree_id", "cv")))
+
+
+@register("o10_precision", cte("runs", u="SELECT * FROM runs WHERE model<=2 UNION ALL SELECT * FROM runs WHERE model>3") + " " + stats_union("u", "tree_id"))
+def o10(spark, d):
+    runs = load(spark, d, "runs")
+    return rounded(optimum.precision(runs.filter("model <= 2"), runs.filter("model > 3"))[0])
+
+
+@register("o10_best_run", cte("runs", u="SELECT * FROM runs WHERE model<=2 UNION ALL SELECT * FROM runs WHERE model>3", q="SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY mean_all, pd1, pd2min, pd2max, model) AS k FROM u") + f" SELECT tree_id, round(mean_all, 6) AS mean_all, pd1, pd2min, pd2max, model FROM q WHERE k=1")
+def o10b(spark, d):
+    runs = load(spark, d, "runs")
+    return rounded(optimum.precision(runs.filter("model <= 2"), runs.filter("model > 3"))[1])
+
+
+# --- editing ---------------------------------------------------------------------------------------------------------
+
+NUMBERED = "SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY cyl_id) AS new_id FROM kept"
+RENUMBERED = " SELECT n.tree_id, n.new_id AS cyl_id, n.branch, n.position, p.new_id AS parent, e.new_id AS extension, round(n.radius, 6) AS radius, round(n.length, 6) AS length FROM n LEFT JOIN n p ON p.tree_id=n.tree_id AND p.cyl_id=n.parent LEFT JOIN n e ON e.tree_id=n.tree_id AND e.cyl_id=n.extension"
+EDITED = ["tree_id", "cyl_id", "branch", "position", "parent", "extension", "radius", "length"]
+
+
+@register("p2_truncate_order", cte("cylinders", kept="SELECT * FROM cylinders WHERE branch_order<=1", n=NUMBERED) + RENUMBERED)
+def p2(spark, d):
+    return rounded(simplify.truncate_order(load(spark, d, "cylinders"), 1).select(*EDITED))
+
+
+THIN = """SELECT f.tree_id, f.branch FROM cylinders f WHERE f.position=1 AND f.parent IS NOT NULL AND 2*f.radius<0.05e0
+ UNION SELECT c.tree_id, c.branch FROM gone g JOIN cylinders c ON c.tree_id=g.tree_id AND c.position=1 JOIN cylinders p ON p.tree_id=c.tree_id AND p.cyl_id=c.parent AND p.branch=g.branch"""
+
+
+@register("p3_drop_thin", "WITH RECURSIVE " + cte("cylinders", gone=THIN, kept="SELECT c.* FROM cylinders c LEFT JOIN gone g ON g.tree_id=c.tree_id AND g.branch=c.branch WHERE g.branch IS NULL", n=NUMBERED).removeprefix("WITH ") + RENUMBERED)
+def p3(spark, d):
+    return rounded(simplify.drop_thin(load(spark, d, "cylinders"), 0.05).select(*EDITED))
+
+
+PAIRS = """SELECT tree_id, branch, pair AS position, count(*) AS members, arg_min(start_x, position) AS start_x, arg_min(start_y, position) AS start_y, arg_min(start_z, position) AS start_z,
+ arg_max(ex, position) AS ex, arg_max(ey, position) AS ey, arg_max(ez, position) AS ez, sum(length*radius*radius) AS v, arg_min(radius, position) AS r1, arg_min(length, position) AS l1, arg_min(axis_x, position) AS a1, arg_min(axis_y, position) AS a2, arg_min(axis_z, position) AS a3
+ FROM (SELECT *, start_x+length*axis_x AS ex, start_y+length*axis_y AS ey, start_z+length*axis_z AS ez, (CASE WHEN count(*) OVER (PARTITION BY tree_id, branch)%2=0 THEN floor((position-1)/2) ELSE floor(position/2) END+1)::BIGINT AS pair
+   FROM cylinders) GROUP BY tree_id, branch, pair"""
+
+
+@register(
+    "p4_merge_pairs",
+    cte("cylinders", g=PAIRS, w="SELECT *, sqrt(pow(ex-start_x, 2)+pow(ey-start_y, 2)+pow(ez-start_z, 2)) AS l FROM g",
+        o="SELECT tree_id, branch, position, members, start_x, start_y, start_z, CASE WHEN members=1 THEN r1 ELSE sqrt(v/nullif(l, 0)) END AS radius, CASE WHEN members=1 THEN l1 ELSE l END AS length, CASE WHEN members=1 THEN a1 ELSE (ex-start_x)/nullif(l, 0) END AS axis_x, CASE WHEN members=1 THEN a2 ELSE (ey-start_y)/nullif(l, 0) END AS axis_y, CASE WHEN members=1 THEN a3 ELSE (ez-start_z)/nullif(l, 0) END AS axis_z FROM w")
+    + f" SELECT tree_id, branch, position, members, {r('radius', 'length', 'start_x', 'start_y', 'start_z', 'axis_x', 'axis_y', 'axis_z')} FROM o",
+)
+def p4(spark, d):
+    return rounded(simplify.merge_pairs(load(spark, d, "cylinders")))
+
+
+@register(
+    "p4_reattach",
+    cte("cylinders",
+        j="SELECT c.tree_id, c.cyl_id, c.position, c.length, c.start_x AS sx, c.start_y AS sy, c.start_z AS sz, c.axis_x AS ax, c.axis_y AS ay, c.axis_z AS az, p.start_x AS px, p.start_y AS py, p.start_z AS pz, p.axis_x AS bx, p.axis_y AS b_y, p.axis_z AS bz, p.radius AS pr FROM cylinders c LEFT JOIN cylinders p ON p.tree_id=c.tree_id AND p.cyl_id=c.parent",
+        h="SELECT *, (sx-px)*bx+(sy-py)*b_y+(sz-pz)*bz AS h FROM j", o="SELECT *, sx-px-h*bx AS ox, sy-py-h*b_y AS oy, sz-pz-h*bz AS oz FROM h", q="SELECT *, sqrt(ox*ox+oy*oy+oz*oz) AS d FROM o",
+        n="SELECT *, coalesce(position=1 AND px IS NOT NULL AND d>0, false) AS move, px+h*bx+ox*pr/nullif(d, 0) AS nx, py+h*b_y+oy*pr/nullif(d, 0) AS ny, pz+h*bz+oz*pr/nullif(d, 0) AS nz FROM q",
+        e="SELECT *, sx+length*ax-nx AS wx, sy+length*ay-ny AS wy, sz+length*az-nz AS wz FROM n", f="SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS l FROM e",
+        z="SELECT tree_id, cyl_id, CASE WHEN move THEN nx ELSE sx END AS start_x, CASE WHEN move THEN ny ELSE sy END AS start_y, CASE WHEN move THEN nz ELSE sz END AS start_z, CASE WHEN move THEN l ELSE length END AS length, CASE WHEN move THEN wx/nullif(l, 0) ELSE ax END AS axis_x, CASE WHEN move THEN wy/nullif(l, 0) ELSE ay END AS axis_y, CASE WHEN move THEN wz/nullif(l, 0) ELSE az END AS axis_z FROM f")
+    + f" SELECT tree_id, cyl_id, {r('start_x', 'start_y', 'start_z', 'length', 'axis_x', 'axis_y', 'axis_z')} FROM z",
+)
+def p4r(spark, d):
+    return rounded(simplify.reattach(load(spark, d, "cylinders")))
+
+
 def queries() -> dict:
     return {n: q for n, (q, _) in REGISTRY.items()}
 
