@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, cut_plain
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,11 +37,11 @@ def descendants(parents: DataFrame, roots: DataFrame) -> DataFrame:
 
     A frontier is joined to the parent table level by level; as many rounds as the forest is deep.
     """
-    p = cut(parents.filter("parent is not null").select("tree_id", "node", "parent"))
-    front = cut(roots.select("tree_id", "node").distinct())
+    p = cut_plain(parents.filter("parent is not null").select("tree_id", "node", "parent"))
+    front = cut_plain(roots.select("tree_id", "node").distinct())
     out = front
     while True:
-        front = cut(front.withColumnRenamed("node", "parent").join(p, ["tree_id", "parent"]).select("tree_id", "node").distinct().join(out, ["tree_id", "node"], "left_anti"))
+        front = cut_plain(front.withColumnRenamed("node", "parent").join(p, ["tree_id", "parent"]).select("tree_id", "node").distinct().join(out, ["tree_id", "node"], "left_anti"))
         if not front.limit(1).count():
             return out
         out = out.union(front)
@@ -49,11 +49,11 @@ def descendants(parents: DataFrame, roots: DataFrame) -> DataFrame:
 
 def levels(parents: DataFrame) -> DataFrame:
     """(tree_id, node, depth): roots (null parents) at 0, others one below their parent; nodes on a cycle are left out."""
-    p = cut(parents.select("tree_id", "node", "parent"))
+    p = cut_plain(parents.select("tree_id", "node", "parent"))
     front = p.filter("parent is null").select("tree_id", "node", F.lit(0).cast("long").alias("depth"))
     out = front
     while True:
-        front = cut(front.select("tree_id", F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth")).join(p, ["tree_id", "parent"]).select("tree_id", "node", "depth"))
+        front = cut_plain(front.select("tree_id", F.col("node").alias("parent"), (F.col("depth") + 1).alias("depth")).join(p, ["tree_id", "parent"]).select("tree_id", "node", "depth"))
         if not front.limit(1).count():
             return out
         out = out.union(front)
@@ -81,24 +81,24 @@ def expand(edges: DataFrame, start: DataFrame, hops: int, forbidden: DataFrame |
         front = front.join(e, ["tree_id", "node"]).select("tree_id", F.col("dst").alias("node")).distinct()
         if forbidden is not None:
             front = front.join(forbidden.select("tree_id", "node"), ["tree_id", "node"], "left_anti")
-        front = cut(front.join(out, ["tree_id", "node"], "left_anti"))
+        front = cut_plain(front.join(out, ["tree_id", "node"], "left_anti"))
         out = out.union(front)
     return out
 
 
 def flood(edges: DataFrame, start: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
     """(tree_id, node) reachable from the start nodes without forbidden ones."""
-    out = cut(start.select("tree_id", "node").distinct())
+    out = cut_plain(start.select("tree_id", "node").distinct())
     front = out
-    e = cut(edges.select("tree_id", F.col("src").alias("node"), "dst"))
+    e = cut_plain(edges.select("tree_id", F.col("src").alias("node"), "dst"))
     while True:
         front = front.join(e, ["tree_id", "node"]).select("tree_id", F.col("dst").alias("node")).distinct()
         if forbidden is not None:
             front = front.join(forbidden.select("tree_id", "node"), ["tree_id", "node"], "left_anti")
-        front = cut(front.join(out, ["tree_id", "node"], "left_anti"))
+        front = cut_plain(front.join(out, ["tree_id", "node"], "left_anti"))
         if not front.limit(1).count():
             return out
-        out = cut(out.union(front))
+        out = cut_plain(out.union(front))
 
 
 def tree_components(edges: DataFrame, nodes: DataFrame, least: int = 1) -> DataFrame:
@@ -107,6 +107,6 @@ def tree_components(edges: DataFrame, nodes: DataFrame, least: int = 1) -> DataF
     key = lambda c: F.struct(F.col("tree_id").alias("t"), F.col(c).alias("n"))
     inner = edges.join(nodes.select("tree_id", F.col("node").alias("src")), ["tree_id", "src"], "left_semi").join(nodes.select("tree_id", F.col("node").alias("dst")), ["tree_id", "dst"], "left_semi")
     c = components(inner.select(key("src").alias("a"), key("dst").alias("b"))).select(F.col("node.t").alias("tree_id"), F.col("node.n").alias("node"), F.col("component.n").alias("found"))
-    labelled = cut(nodes.select("tree_id", "node").distinct().join(c, ["tree_id", "node"], "left").withColumn("component", F.coalesce("found", "node")).drop("found"))
+    labelled = cut_plain(nodes.select("tree_id", "node").distinct().join(c, ["tree_id", "node"], "left").withColumn("component", F.coalesce("found", "node")).drop("found"))
     sizes = labelled.groupBy("tree_id", "component").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return labelled.join(sizes, ["tree_id", "component"]).select("tree_id", "node", "component", "size")
