@@ -222,7 +222,7 @@ def near_duplicates(sk: DataFrame, similarity: float) -> DataFrame:
     pairs = light.alias("x").join(light.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.words") < F.col("y.words"))).select(F.col("x.words").alias("a"), F.col("y.words").alias("b"))
     heavy = members.filter(F.col("n") > BUCKET)
     weight = cut(heavy.groupBy("words").agg(F.sum("n").alias("weight")))
-    by = [F.max(F.struct("weight", "words")).getField("words"), *(F.max(F.struct(F.xxhash64("words", "bucket", F.lit(i)).alias("h"), "words")).getField("words") for i in range(1, CENTRES))]
+    by = [F.max(F.struct("weight", "words")).getField("words"), *(F.max(F.struct(F.xxhash64("words", F.lit(i)).alias("h"), "words")).getField("words") for i in range(1, CENTRES))]
     centres = cut(heavy.join(weight, "words").groupBy("bucket").agg(F.array_distinct(F.array(*by)).alias("centres")))
     stars = heavy.join(centres, "bucket").select(F.explode("centres").alias("c"), "words").filter("c <> words").select(F.least("c", "words").alias("a"), F.greatest("c", "words").alias("b"))
     pairs = pairs.union(stars).distinct()
