@@ -98,7 +98,7 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 5) -> DataFrame:
     39 bits at the defaults. Every choice holds a chain of neighbouring segments without difference, the start of a
     pigeonring chain, and pairs that share a key are pruned by the whole chain before the Hamming check. In buckets of
     more than PAIRS fingerprints no pairs are listed: their fingerprints and all points one bit away are grouped by
-    point, where any two at most 2 bits apart meet, and at most 65 meet.
+    point, where any two at most 2 bits apart meet, and at most 65 do.
     """
     if not 0 <= radius <= 2 < segments:
         raise ValueError("radius: 0 to 2, segments: 3 at least")
@@ -124,9 +124,9 @@ def links(fps: DataFrame, radius: int = 2, segments: int = 5) -> DataFrame:
     crowd = members.filter(F.col("n") > PAIRS).select("fp").distinct()
     points = "array(fp)" if radius < 1 else "concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))"
     met = crowd.select("fp", F.explode(F.expr(points)).alias("point")).groupBy("point").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter(F.col("a") != F.col("b"))
-    if radius == 1:
-        stars = stars.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 1)
+    # any two that meet are at most 2 bits apart; at most 1 if one of them is the point
+    centre = F.array_min("fps") if radius == 2 else F.when(F.array_contains("fps", F.col("point")), F.col("point"))
+    stars = met.select(centre.alias("a"), F.explode("fps").alias("b")).filter(F.col("a") != F.col("b"))
     return pairs.union(stars).distinct()
 
 
