@@ -55,10 +55,12 @@ def near(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     Each table permutes another choice of blocks - radius blocks to the front, the key that equal rows share; `radius`
     bits leave at least one choice untouched, so no pair is lost. Buckets are joined, never gathered.
     """
+    if not 0 <= radius < blocks:
+        raise ValueError("more blocks than bits that may differ are needed")
     at = [BITS * i // blocks for i in range(blocks + 1)]
     keys = []
     for table, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        front = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << (at[i + 1] - at[i])) - 1)) for i in chosen]
+        front = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << min(63, at[i + 1] - at[i])) - 1)) for i in chosen]
         keys.append(F.xxhash64(F.lit(table), *front))
     keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")

@@ -44,6 +44,8 @@ DROP_WORDS = frozenset(
 PAGE_ONLY = frozenset({"header"})
 #: Items of an element that are kept in order; more become one repeated group of optional ones.
 ORDERED = 48
+#: Elements within each other that are told apart; what is nested deeper belongs to the deepest of them.
+DEEPEST = 150
 #: Hosts whose wrappers a task holds before it sends them on.
 HELD = 4000
 SALTS = 16
@@ -145,6 +147,8 @@ def parse(page: str) -> Element:
             stack.pop()
         if tag in VOID:
             continue
+        if len(stack) > DEEPEST:
+            continue
         e = Element(tag, signature(tag, m[3]))
         stack[-1].items.append(e)
         if not m[3].endswith("/>"):
