@@ -103,7 +103,7 @@ def delaunay(p: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros((0, k + 1), int), np.zeros(0)
     span = max(float(np.ptp(p, axis=0).max()), 1e-9)
     q = (p - p.mean(0)) / span + np.random.default_rng(seed).normal(0, 1e-9, p.shape)
-    far = 1e3
+    far = 1e4
     corners = np.vstack([np.full(k, -far), *(np.where(np.arange(k) == i, far * k, -far) for i in range(k))])
     pts = np.vstack([q, corners])
 
