@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read
+from .common import ascii_lower, broadcast_below, cut, read
 
 BITS = 64
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,6 +16,9 @@ CHUNK = 127
 LANES = 0x0101010101010101
 #: Ranges of ids per shuffle partition; each range is put in order on its own.
 RANGES = 4
+#: The query looks up the near fingerprints of rows whose id this divides.
+ASKED = 100
+BROADCAST_FOUND = 200_000
 
 
 def words(text: Column) -> Column:
@@ -49,12 +52,8 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / BITS
 
 
-def near(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b) with a < b of all pairs of distinct fps(fp) at most `radius` bits apart, by permuted block tables.
-
-    Each table permutes another choice of blocks - radius blocks to the front, the key that equal rows share; `radius`
-    bits leave at least one choice untouched, so no pair is lost. Buckets are joined, never gathered.
-    """
+def block_keys(radius: int, blocks: int) -> Column:
+    """The keys of a column fp: a table for each choice of blocks - radius blocks, permuted to the front."""
     if not 0 <= radius < blocks:
         raise ValueError("more blocks than bits that may differ are needed")
     at = [BITS * i // blocks for i in range(blocks + 1)]
@@ -62,12 +61,27 @@ def near(fps: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     for table, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         front = [F.shiftrightunsigned("fp", at[i]).bitwiseAND(F.lit((1 << min(63, at[i + 1] - at[i])) - 1)) for i in chosen]
         keys.append(F.xxhash64(F.lit(table), *front))
-    keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = cut(keyed.join(shared, "key"))
+    return F.array(*keys)
+
+
+def near(fps: DataFrame, radius: int = 3, blocks: int = 6, queries: DataFrame | None = None) -> DataFrame:
+    """(a, b) of all distinct fps(fp) b at most `radius` bits from a, by permuted block tables: for a in queries(fp), b any other
+    one; without queries all pairs with a < b.
+
+    `radius` bits leave at least one choice of blocks untouched, so what shares no key need not be compared, and no pair is
+    lost. Buckets are joined, never gathered; all-pairs search is for tables whose near groups are small.
+    """
+    keys = block_keys(radius, blocks)
+    keyed = fps.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
     a, b = F.col("x.fp"), F.col("y.fp")
-    same = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (a < b))
-    return same.filter(F.bit_count(a.bitwiseXOR(b)) <= radius).select(a.alias("a"), b.alias("b")).distinct()
+    if queries is None:
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        keyed = cut(keyed.join(shared, "key"))
+        found = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (a < b))
+    else:
+        asked = queries.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
+        found = asked.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (a != b))
+    return found.filter(F.bit_count(a.bitwiseXOR(b)) <= radius).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def ranges(docs: DataFrame) -> DataFrame:
@@ -137,8 +151,11 @@ def hex16(c: Column) -> Column:
 
 
 def op5_fingerprints(spark, sf_dir) -> DataFrame:
-    f = with_edits(read(spark, sf_dir, "documents"))
-    return f.select(
+    f = cut(with_edits(read(spark, sf_dir, "documents")))
+    asked = F.col("doc_id") % ASKED == 0
+    found = near(f.select("fp"), queries=f.filter(asked).select("fp")).groupBy("a").agg(F.count("*").alias("n"))
+    n = F.when(asked, F.coalesce("n", F.lit(0)))  # other fingerprints within 3 bits, of every row whose id is divisible by ASKED
+    return f.join(broadcast_below(found, BROADCAST_FOUND), asked & (F.col("fp") == F.col("a")), "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -146,4 +163,5 @@ def op5_fingerprints(spark, sf_dir) -> DataFrame:
         hex16(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        n.alias("n_near"),
     )

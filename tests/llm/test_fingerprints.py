@@ -73,3 +73,15 @@ def test_near_by_brute_force(spark):
     for radius, blocks in ((3, 6), (2, 4), (0, 1)):
         want = {(a, b) for i, a in enumerate(u) for b in u[i + 1 :] if dist(a, b) <= radius}
         assert {(r.a, r.b) for r in m.near(df, radius, blocks).collect()} == want
+        asked = u[::7]
+        want = {(a, b) for a in asked for b in u if a != b and dist(a, b) <= radius}
+        assert {(r.a, r.b) for r in m.near(df, radius, blocks, spark.createDataFrame([(a,) for a in asked], "fp long")).collect()} == want
+
+
+def test_query(spark, sf):
+    rows = m.op5_fingerprints(spark, sf).collect()
+    fps = {int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        own = int(r.fingerprint, 16)
+        assert r.n_near == (sum(0 < (own ^ f).bit_count() <= 3 for f in fps) if r.doc_id % 100 == 0 else None)
+        assert abs(r.near_edited - (1 - (own ^ int(r.edited_fingerprint, 16)).bit_count() / 64)) < 1e-9
