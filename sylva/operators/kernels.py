@@ -173,3 +173,22 @@ def trunk_sets(centres: DataFrame, edges: DataFrame, base: DataFrame) -> DataFra
         return pd.DataFrame({"tree_id": sets["tree_id"].iloc[0], "set_id": ids[found]})
 
     return c.toDF(*c.columns).groupBy("tree_id").cogroup(edges.toDF("tree_id", "src", "dst").groupBy("tree_id")).applyInPandas(one, "tree_id long, set_id long")
+
+
+def recentred(points: DataFrame, cylinders: DataFrame, before: DataFrame) -> DataFrame:
+    """(tree_id, cyl_id, start_*): cylinders whose radius differs by over 5 mm from before (tree_id, cyl_id, old_radius) moved
+    across their axis to where the points nearest to them fit best; the others as they are. One task a cylinder."""
+    from .pmdist import nearest_cylinder
+
+    changed = cylinders.join(before, ["tree_id", "cyl_id"]).filter(F.abs(F.col("radius") - F.col("old_radius")) > 0.005)
+    own = points.join(nearest_cylinder(points, cylinders).select("tree_id", "point_id", "cyl_id"), ["tree_id", "point_id"]).join(changed, ["tree_id", "cyl_id"])
+
+    def one(p, pdf):
+        r = pdf.iloc[0]
+        c = fitting.Cylinder(r.radius, r.length, np.array([r.start_x, r.start_y, r.start_z]), np.array([r.axis_x, r.axis_y, r.axis_z]), 0.0, 0.0, True, True)
+        stems.recentre(p, c, r.old_radius)
+        yield tuple(c.start)
+
+    columns = ["tree_id", "cyl_id", "point_id", *XYZ, "radius", "old_radius", "length", *(f"{n}_{a}" for n in ("start", "axis") for a in XYZ)]
+    moved = _grouped(own.select(*columns), "tree_id long, cyl_id long, nx double, ny double, nz double", one, ("tree_id", "cyl_id"))
+    return cylinders.join(moved, ["tree_id", "cyl_id"], "left").select("tree_id", "cyl_id", *(F.coalesce(f"n{a}", f"start_{a}").alias(f"start_{a}") for a in XYZ))

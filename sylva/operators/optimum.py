@@ -180,3 +180,40 @@ def precision(optimal: DataFrame, new: DataFrame, attributes: list[str] = ATTRIB
     stats = attribute_statistics(both, ["tree_id"], attributes)
     best = both.groupBy("tree_id").agg(F.min(F.struct("mean_all", *INPUTS, "model")).alias("m")).select("tree_id", "m.*")
     return stats, best
+
+
+def collect_runs(cylinders: DataFrame) -> DataFrame:
+    """The row of each run (tree_id, inputs, model) that the metrics are computed from: mean and largest distance, mean and
+    least coverage of all, trunk, branch and first and second order cylinders, and attributes; 0 for parts without cylinders.
+
+    cylinders: (tree_id, inputs, model, branch, branch_order, radius, length, surf_cov, mean_distance). Runs without
+    cylinders have no row, so nothing has to be dropped later.
+    """
+    parts = {"all": F.lit(True), "trunk": F.col("branch_order") == 0, "branch": F.col("branch_order") > 0, "branch1": F.col("branch_order") == 1, "branch2": F.col("branch_order") == 2}
+    pick = lambda test, c: F.when(test, c)
+    aggs = []
+    for name, f, column in (("mean", F.avg, "mean_distance"), ("max", F.max, "mean_distance"), ("surf", F.avg, "surf_cov"), ("low", F.min, "surf_cov")):
+        aggs += [F.coalesce(f(pick(t, F.col(column))), F.lit(0.0)).alias(f"{name}_{p}") for p, t in parts.items()]
+    l, r = F.col("length"), F.col("radius")
+    kinds = {"volume": 1000 * F.pi() * l * r * r, "area": 2 * F.pi() * l * r, "length": l}
+    for kind, v in kinds.items():
+        aggs += [F.sum(v if p == "total" else F.when((F.col("branch") == 1) == (p == "trunk"), v).otherwise(0.0)).alias(f"{p}_{kind}") for p in ("total", "trunk", "branch")]
+    aggs.append((F.count_distinct("branch") - 1).cast("double").alias("number_branches"))
+    return cylinders.groupBy("tree_id", *INPUTS, "model").agg(*aggs)
+
+
+def collect_classes(cylinders: DataFrame, orders: int = 6, diameters: int = 20) -> DataFrame:
+    """(tree_id, inputs, model, family, measure, class, value): volumes, areas, lengths (and numbers of branches) by branch order
+    1 to 6, by 1 cm diameter class to 20 and by 18 zenith classes."""
+    l, r = F.col("length"), F.col("radius")
+    measures = {"vol": 1000 * F.pi() * l * r * r, "are": 2 * F.pi() * l * r, "len": l}
+    classes = {
+        "order": F.col("branch_order"),
+        "dia": F.floor(F.round(r / 0.005, 9)) + 1,
+        "zen": F.floor(F.round(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("axis_z"))))) / 10, 9)) + 1,
+    }
+    rows = [F.struct(F.lit(f).alias("family"), F.lit(m).alias("measure"), c.cast("long").alias("class"), v.alias("v")) for f, c in classes.items() for m, v in measures.items()]
+    rows.append(F.struct(F.lit("order").alias("family"), F.lit("num").alias("measure"), F.col("branch_order").cast("long").alias("class"), F.when(F.col("position") == 1, 1.0).otherwise(0.0).alias("v")))
+    last = F.when(F.col("c.family") == "order", orders).when(F.col("c.family") == "dia", diameters).otherwise(18)
+    d = cylinders.select("tree_id", *INPUTS, "model", F.explode(F.array(*rows)).alias("c")).filter((F.col("c.class") >= 1) & (F.col("c.class") <= last))
+    return d.groupBy("tree_id", *INPUTS, "model", "c.family", "c.measure", "c.class").agg(F.sum("c.v").alias("value"))

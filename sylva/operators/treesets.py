@@ -52,3 +52,39 @@ def ground_score(points: DataFrame, edge_share: float = 0.015, widest: float = 0
     mean = near.groupBy("tree_id", "ci", "cj").agg((F.sum("raw") / 9).alias("mean")).join(s.select("tree_id", "ci", "cj"), ["tree_id", "ci", "cj"], "left_semi")
     top = mean.groupBy("tree_id").agg(F.max("mean").alias("top"))
     return mean.join(top, "tree_id").select("tree_id", "ci", "cj", F.coalesce(F.try_divide(F.col("mean"), F.col("top")), F.lit(0.0)).alias("score"))
+
+
+def stem_squares(points: DataFrame, least: float = 0.5, **how) -> DataFrame:
+    """(tree_id, ci, cj): the squares of the stem in a plot with ground: those that score over `least` and hang together, by
+    their sides or corners, with the highest one."""
+    from .graph import tree_components
+    from .spatial import stencil
+
+    s = ground_score(points, **how).filter(F.col("score") > least).withColumn("node", F.col("ci") * (1 << 24) + F.col("cj"))
+    near = stencil(s.select("tree_id", "ci", "cj", F.col("node").alias("src")), 1, ("ci", "cj")).join(s.select("tree_id", "ci", "cj", F.col("node").alias("dst")), ["tree_id", "ci", "cj"]).filter("src <> dst")
+    c = tree_components(near.select("tree_id", "src", "dst"), s.select("tree_id", "node"))
+    d = s.join(c, ["tree_id", "node"])
+    best = d.groupBy("tree_id").agg(F.max_by("component", F.struct("score", -F.col("node"))).alias("best"))
+    return d.join(best, "tree_id").filter(F.col("component") == F.col("best")).select("tree_id", "ci", "cj")
+
+
+def base_and_ground(sets: DataFrame, edges: DataFrame, axis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(base, ground) sets of plots with ground, given each tree's fitted stem (tree_id, start_*, axis_*, radius).
+
+    Base are the sets within 1.3 radii of the stem's axis in the lowest 2 % (1.5 m at most) over where the stem's lowest such
+    set stands; ground is what the lowest set outside reaches over neighbours that lie no higher than that and off the stem.
+    """
+    from ..functions.vectors import distance_to_line, vec
+    from .graph import flood
+
+    d = sets.join(axis, "tree_id").withColumn("off", distance_to_line(vec(""), vec("axis"), vec("start")) / F.col("radius"))
+    on = F.col("off") < 1.3
+    t = d.groupBy("tree_id").agg(F.min(F.when(on, F.col("z"))).alias("foot"), F.least(F.lit(1.5), 0.02 * (F.max("z") - F.min("z"))).alias("limit"))
+    d = d.join(t, "tree_id")
+    low = F.col("z") < F.col("foot") + F.col("limit")
+    base = d.filter(on & (low | (F.col("z") == F.col("foot")))).select("tree_id", "set_id")
+    off = d.filter(~on)
+    start = off.groupBy("tree_id").agg(F.min_by("set_id", F.struct("z", "set_id")).alias("node"))
+    barred = d.filter(on | ~low).select("tree_id", F.col("set_id").alias("node"))
+    ground = flood(edges, start.join(barred, ["tree_id", "node"], "left_anti"), barred)
+    return base, ground.select("tree_id", F.col("node").alias("set_id"))

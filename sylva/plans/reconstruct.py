@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import forest
 from ..functions.fitting import Cylinder
 from ..functions.stems import fit_segment, hang
-from ..operators import attributes, branches, cover, pmdist, treesets
+from ..operators import attributes, branches, cover, kernels, pmdist, treesets
 from ..operators import cylinders as corrections
 from ..sources.params import Params
 from .lineage import cut
@@ -114,14 +114,17 @@ def chain(raw: DataFrame, segs: DataFrame) -> DataFrame:
     return r.groupBy("tree_id").applyInPandas(one, CYLINDER)
 
 
-def adjust(cylinders: DataFrame, params: Params) -> DataFrame:
-    """Radii within bounds, smoothed and tapered; starts continuous and on the parent's surface."""
+def adjust(points: DataFrame, cylinders: DataFrame, params: Params) -> DataFrame:
+    """Radii within bounds, smoothed and tapered; starts fitted again where radii changed, continuous and on the parent's surface."""
+    before = cylinders.select("tree_id", "cyl_id", F.col("radius").alias("old_radius"))
     c = corrections.smooth_radii(corrections.limit_radii(cylinders, params.parent_cor, params.min_cyl_rad))
     if params.taper_cor:
         c = corrections.taper_correction(c)
     c = cut(c.select(cylinders.columns))
     if params.growth_vol_cor:
         c = cut(c.drop("radius").join(corrections.growth_volume_correction(c, params.growth_vol_fac).select("tree_id", "cyl_id", "radius"), ["tree_id", "cyl_id"]).select(cylinders.columns))
+    centred = kernels.recentred(points, c, before)
+    c = cut(c.drop("start_x", "start_y", "start_z").join(centred, ["tree_id", "cyl_id"]).select(cylinders.columns))
     moved = corrections.continuous_starts(c)
     c = cut(c.drop("start_x", "start_y", "start_z", "length").join(moved, ["tree_id", "cyl_id"]).select(cylinders.columns))
     hung = corrections.connect_to_parents(c)
@@ -147,7 +150,7 @@ def second_stage(points: DataFrame, first: tuple, params: Params, seed: int) ->
     of_set = cut(treesets.segment_of_sets(m, of_point))
     base = treesets.base_from_segments(c, of_set.filter("seg_id = 1"))
     s = cut(segment_trees(c, e, base, params.patch_diam2_max[0], True, False, of_set))
-    return adjust(cut(chain(cut(fit_cylinders(points, m, s)), s)), params)
+    return adjust(points, cut(chain(cut(fit_cylinders(points, m, s)), s)), params)
 
 
 def model_tables(points: DataFrame, cylinders: DataFrame, dist: bool = True) -> dict[str, DataFrame]:

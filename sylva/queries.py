@@ -618,6 +618,47 @@ def o4(spark, d):
     return spark.createDataFrame([(i, n) for i, n in enumerate(optimum.metric_names(), 1)], "id long, name string")
 
 
+AS_RUNS = "SELECT c.*, c.tree_id AS own, c.tree_id%20 AS run_tree, 0.08e0 AS pd1, CASE WHEN c.tree_id%3=0 THEN 0.02e0 ELSE 0.03e0 END AS pd2min, 0.07e0 AS pd2max, c.tree_id AS model, c.mad*3 AS mean_distance FROM cylinders c"
+
+
+def as_runs(spark, d) -> DataFrame:
+    """The fixture's trees as runs of twenty trees."""
+    c = load(spark, d, "cylinders")
+    return c.withColumns({"model": F.col("tree_id"), "pd1": F.lit(0.08), "pd2min": F.when(F.col("tree_id") % 3 == 0, 0.02).otherwise(0.03), "pd2max": F.lit(0.07), "mean_distance": F.col("mad") * 3}).withColumn("tree_id", F.col("tree_id") % 20)
+
+
+def runs_sql() -> str:
+    parts = {"all": "true", "trunk": "branch_order=0", "branch": "branch_order>0", "branch1": "branch_order=1", "branch2": "branch_order=2"}
+    cols = [f"round(coalesce({f}({c}) FILTER ({t}), 0), 6) AS {n}_{p}" for n, f, c in (("mean", "avg", "mean_distance"), ("max", "max", "mean_distance"), ("surf", "avg", "surf_cov"), ("low", "min", "surf_cov")) for p, t in parts.items()]
+    kinds = {"volume": "1000*pi()*length*radius*radius", "area": "2*pi()*length*radius", "length": "length"}
+    cols += [f"round(coalesce(sum({v}) FILTER ({t}), 0), 6) AS {p}_{k}" for k, v in kinds.items() for p, t in (("total", "true"), ("trunk", "branch=1"), ("branch", "branch<>1"))]
+    return cte("cylinders", q=AS_RUNS) + f" SELECT run_tree AS tree_id, pd1, pd2min, pd2max, model, {', '.join(cols)}, (count(DISTINCT branch)-1)::DOUBLE AS number_branches FROM q GROUP BY 1, 2, 3, 4, 5"
+
+
+@register("o3_collect_runs", runs_sql())
+def o3(spark, d):
+    return rounded(optimum.collect_runs(as_runs(spark, d)))
+
+
+CLASS_OF = {"order": ("branch_order", 6), "dia": ("floor(round(radius/0.005e0, 9))::BIGINT+1", 20), "zen": ("floor(round(degrees(acos(greatest(-1, least(1, axis_z))))/10, 9))::BIGINT+1", 18)}
+VALUE_OF = {"vol": "1000*pi()*length*radius*radius", "are": "2*pi()*length*radius", "len": "length", "num": "CASE WHEN position=1 THEN 1e0 ELSE 0e0 END"}
+
+
+@register(
+    "o3_collect_classes",
+    cte("cylinders", q=AS_RUNS)
+    + " "
+    + " UNION ALL ".join(
+        f"SELECT run_tree AS tree_id, pd1, pd2min, pd2max, model, '{f}' AS family, '{m}' AS measure, {c} AS class, round(sum({v}), 6) AS value FROM q WHERE {c} BETWEEN 1 AND {n} GROUP BY ALL"
+        for f, (c, n) in CLASS_OF.items()
+        for m, v in VALUE_OF.items()
+        if m != "num" or f == "order"
+    ),
+)
+def o3c(spark, d):
+    return rounded(optimum.collect_classes(as_runs(spark, d)))
+
+
 VALUES = f"SELECT {BY}, avg(mean_all) AS value FROM runs GROUP BY {BY}"
 BEST = f"SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY value, pd1, pd2min, pd2max) AS rank FROM vals"
 

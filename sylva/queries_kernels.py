@@ -58,6 +58,18 @@ def e4(spark, d):
     return kernels.trunk_sets(c, e, treesets.base_sets(c))
 
 
+@register("e3_base_and_ground")
+def e3(spark, d):
+    p, c, _, e = first_cover(spark, d)
+    base, ground = treesets.base_and_ground(c, e, kernels.cylinder_fits(p).select("tree_id", "radius", *(f"{n}_{a}" for n in ("start", "axis") for a in "xyz")))
+    return base.withColumn("part", F.lit("base")).union(ground.withColumn("part", F.lit("ground")))
+
+
+@register("e3_stem_squares")
+def e3s(spark, d):
+    return treesets.stem_squares(load(spark, d, "points"))
+
+
 @register("g1_segments")
 def g1(spark, d):
     _, c, _, e = first_cover(spark, d)
@@ -77,6 +89,13 @@ def h2(spark, d):
     return rounded(reconstruct.fit_cylinders(p, m, s))
 
 
+@register("h7_recentred_starts")
+def h7(spark, d):
+    c = load(spark, d, "cylinders")
+    before = c.select("tree_id", "cyl_id", (F.col("radius") * 0.8).alias("old_radius"))
+    return rounded(kernels.recentred(load(spark, d, "points"), c, before))
+
+
 @register("i1_cylinder_fit")
 def i1(spark, d):
     return rounded(kernels.cylinder_fits(load(spark, d, "points")))
