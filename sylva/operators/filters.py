@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import safe_std
+from ..plans.lineage import cut
 from .spatial import kth_distance, radius_join, with_cells, with_per_tree
 
 
@@ -31,16 +32,16 @@ def knn_outliers(points: DataFrame, k: int = 10, sigmas: float = 1.5, edge: floa
     """(tree_id, point_id, layer, distance, keep): the distance to the k-th nearest point, itself counted, against its layer's."""
     d = kth_distance(points, k, edge)
     z = points.select("tree_id", "point_id", "z")
-    return layered(z.join(d, ["tree_id", "point_id"]), "distance", sigmas, above=False).select("tree_id", "point_id", "layer", "distance", "keep")
+    return layered(cut(z.join(d, ["tree_id", "point_id"])), "distance", sigmas, above=False).select("tree_id", "point_id", "layer", "distance", "keep")
 
 
 def density_outliers(points: DataFrame, radius2: float, sigmas: float = 1.5) -> DataFrame:
     """(tree_id, point_id, layer, neighbours, keep): points nearer than the radius, itself counted, against its layer's mean."""
     edge = radius2**0.5 * (1 + 1e-9)
     g = with_cells(points, (edge,) * 3)
-    n = radius_join(g, g.select("tree_id", "x", "y", "z", "ci", "cj", "ck"), radius2, edge).groupBy(F.col("a.tree_id").alias("tree_id"), F.col("a.point_id").alias("point_id")).agg(F.count("*").alias("neighbours"))
-    z = points.select("tree_id", "point_id", "z")
-    return layered(z.join(n, ["tree_id", "point_id"]), "neighbours", sigmas, above=True).select("tree_id", "point_id", "layer", "neighbours", "keep")
+    near = radius_join(g, g.select("tree_id", "x", "y", "z", "ci", "cj", "ck"), radius2, edge)
+    n = near.groupBy(F.col("a.tree_id").alias("tree_id"), F.col("a.point_id").alias("point_id")).agg(F.count("*").alias("neighbours"), F.first("a.z").alias("z"))
+    return layered(cut(n), "neighbours", sigmas, above=True).select("tree_id", "point_id", "layer", "neighbours", "keep")
 
 
 def voxel_downsample(points: DataFrame, edge: float) -> DataFrame:
