@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3
 #: Source tables up to this many rows are broadcast to the documents.
 BROADCAST_SOURCES = 50_000
+#: Documents that fill what is left of a source's target after those of least draw.
+FILLS = 3
 
 
 def words(text: Column) -> Column:
@@ -58,10 +60,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> D
 
 
 def plan(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
-    """(source, source_size, target, whole, last): documents are taken `whole` times, those whose draw is at most `last` once more.
+    """(p_source, source_size, target, whole, last, plus): documents are taken `whole` times, those whose draw is at most `last`
+    or in `plus` once more.
 
-    The words still missing after whole repetitions are gathered by draw. Bucket sums find the bucket in which they are
-    reached, and only its rows are put in order, so no source is ever sorted as a whole.
+    The words still missing after whole repetitions are gathered by draw, as long as documents fit. Bucket sums find the
+    bucket in which the first doesn't, and only its rows are put in order, so no source is ever sorted as a whole. Of the
+    other documents the largest that still fits goes to `plus`, FILLS times.
     """
     t = source_targets(sizes, weights, epochs)
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -79,19 +83,34 @@ def plan(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
         .select(F.col("b.source").alias("e_source"), F.col("bucket").alias("e_bucket"), F.col("before").alias("e_before"), F.col("extra").alias("e_extra"))
     )
     edge = cut(edge)  # a row for each source at most
-    order = Window.partitionBy("e_source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("e_source").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.col("e_before") + F.col("run") <= F.col("e_extra")
     last = (
         bucket.join(broadcast_below(edge, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
-        .withColumn("before", F.col("e_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-        .groupBy("e_source", "e_bucket")
-        .agg(F.max(F.when(F.col("before") + F.col("size") / 2 <= F.col("e_extra"), F.col("draw"))).alias("last"))
-        .select("e_source", F.coalesce("last", "e_bucket").alias("last"))
+        .withColumn("run", F.sum("size").over(order))
+        .groupBy("e_source", "e_bucket", "e_before", "e_extra")
+        .agg(F.max(F.when(fits, F.col("draw"))).alias("last"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("own"))
+        .select("e_source", F.coalesce("last", "e_bucket").alias("last"), (F.col("e_extra") - F.col("e_before") - F.col("own")).alias("rest"))
     )
+    last = cut(last.withColumn("plus", F.array().cast("array<string>")))
+    for _ in range(FILLS):
+        room = sizes.join(broadcast_below(last, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("e_source")))
+        room = room.filter((F.col("draw") > F.col("last")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & ~F.array_contains("plus", F.col("draw")))
+        best = room.groupBy(F.col("e_source").alias("f_source")).agg(F.max(F.struct("size", "draw")).alias("f"))
+        last = last.join(best, F.col("e_source").eqNullSafe(F.col("f_source")), "left").select(
+            "e_source", "last", (F.col("rest") - F.coalesce("f.size", F.lit(0))).alias("rest"), F.when(F.col("f").isNotNull(), F.array_append("plus", F.col("f.draw"))).otherwise(F.col("plus")).alias("plus")
+        )
+        last = cut(last)
     return t.join(last, F.col("source").eqNullSafe(F.col("e_source")), "left").select(
-        F.col("source").alias("p_source"), "source_size", "target", "whole", F.when(F.col("extra") > 0, F.coalesce("last", F.lit("g"))).alias("last")
+        F.col("source").alias("p_source"), "source_size", "target", "whole", F.when(F.col("extra") > 0, F.coalesce("last", F.lit("g"))).alias("last"), F.when(F.col("extra") > 0, F.col("plus")).alias("plus")
     )
 
 
+def copies() -> Column:
+    """How often a row with plan()'s columns is taken."""
+    return F.col("whole") + F.when((F.col("draw") <= F.col("last")) | F.array_contains("plus", F.col("draw")), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
     """(doc_id, source, text, source_size, target, size, copies) of documents(doc_id, source, text), as often as the mix takes each.
 
@@ -102,9 +121,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     """
     rows = docs.select("doc_id", "source", "text").withColumns({"size": words(F.col("text")), "draw": draw(F.col("doc_id"), F.col("text"), seed)})
     p = cut(plan(cut(rows.select("source", "size", "draw")), weights, epochs))
-    copies = F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)
     return rows.join(broadcast_below(p, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "doc_id", "source", "text", "source_size", "target", "size", copies.alias("copies")
+        "doc_id", "source", "text", "source_size", "target", "size", copies().alias("copies")
     )
 
 
@@ -113,9 +131,8 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: in
     rows = docs.select(F.struct(*docs.columns).alias("d"))
     rows = rows.withColumns({"size": words(F.col("d.text")), "draw": draw(F.col("d.doc_id"), F.col("d.text"), seed)})
     p = cut(plan(cut(rows.select("d.source", "size", "draw")), weights, epochs))
-    copies = (F.col("whole") + F.when(F.col("draw") <= F.col("last"), 1).otherwise(0)).cast("int")
     out = rows.join(broadcast_below(p, BROADCAST_SOURCES), F.col("d.source").eqNullSafe(F.col("p_source")))
-    return out.select("d", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("d.*")
+    return out.select("d", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))).alias("copy")).select("d.*")
 
 
 def op1_mixing(spark, sf_dir) -> DataFrame:
@@ -125,7 +142,7 @@ def op1_mixing(spark, sf_dir) -> DataFrame:
     return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-SQL = r"""
+_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '-')) AS draw
@@ -139,10 +156,15 @@ t AS (SELECT source, source_size, CASE WHEN l.lv * weight > cap THEN cap::DOUBLE
 t2 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 t3 AS (SELECT *, target - whole * source_size AS extra FROM t2),
 r AS (SELECT d.*, source_size, target, whole, extra,
-        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM d JOIN t3 ON d.source IS NOT DISTINCT FROM t3.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (size * (whole + CASE WHEN extra > 0 AND before + size / 2.0 <= extra THEN 1 ELSE 0 END))::BIGINT AS taken,
-       (whole + CASE WHEN extra > 0 AND before + size / 2.0 <= extra THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM r
+        extra > 0 AND sum(size) OVER (PARTITION BY d.source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= extra AS fits
+      FROM d JOIN t3 ON d.source IS NOT DISTINCT FROM t3.source),
+f0 AS (SELECT *, false AS used, extra - coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source), 0) AS rest FROM r),
+FILLED
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (whole + CASE WHEN fits OR used THEN 1 ELSE 0 END))::BIGINT AS taken,
+       (whole + CASE WHEN fits OR used THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM fLAST
 """
+_FILL = """k{i} AS (SELECT *, NOT fits AND NOT used AND extra > 0 AND size > 0 AND size <= rest AS could FROM f{h}),
+p{i} AS (SELECT *, could AND row_number() OVER (PARTITION BY source, could ORDER BY size DESC, draw DESC) = 1 AS pick FROM k{i}),
+f{i} AS (SELECT * EXCLUDE (could, pick, used, rest), used OR pick AS used, rest - coalesce(sum(size) FILTER (pick) OVER (PARTITION BY source), 0) AS rest FROM p{i})"""
+SQL = _SQL.replace("FILLED", ",\n".join(_FILL.format(i=i, h=i - 1) for i in range(1, FILLS + 1))).replace("fLAST", f"f{FILLS}")
