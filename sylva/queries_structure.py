@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import attributes, branches, cover, cylinders, distributions, graph, plotdata, polygons, spatial, treesets
-from .queries import BRANCHES, K1, K2, K3, classes_sql, r, register, rounded
+from .queries import ALL_SPREADS, BRANCHES, K1, K2, K3, SPREADS, classes_sql, r, register, rounded
 from .sources.fixtures import cte, load
 
 # --- cover -----------------------------------------------------------------------------------------------------------
@@ -49,7 +49,23 @@ def d4(spark, d):
 LAYERS = "SELECT tree_id, branch AS seg_id, position AS layer, cyl_id AS set_id, start_z AS z, radius FROM cylinders"
 
 
-@register("d5_relative_size")
+@register(
+    "d5_relative_size",
+    cte(
+        "cylinders", k3=K3,
+        la="SELECT tree_id, branch AS seg_id, position AS layer, cyl_id AS set_id, start_z AS z FROM cylinders",
+        e="SELECT tree_id, cyl_id AS src, parent AS dst FROM cylinders WHERE parent IS NOT NULL UNION ALL SELECT tree_id, parent, cyl_id FROM cylinders WHERE parent IS NOT NULL",
+        p="SELECT tree_id, seg_id, layer, count(*) AS n FROM la GROUP BY 1, 2, 3",
+        w="SELECT tree_id, seg_id, max(layer) AS s, coalesce(avg(n) FILTER (layer BETWEEN 2 AND 6), max(n) FILTER (layer=1)) AS width FROM p GROUP BY 1, 2",
+        t="SELECT tree_id, min(z) AS low, max(z)-min(z) AS h FROM la GROUP BY 1",
+        b="SELECT tree_id, seg_id, min(z) AS base FROM la WHERE layer=1 GROUP BY 1, 2",
+        q="SELECT w.tree_id, w.seg_id, w.s, CASE WHEN w.seg_id=1 THEN 256 ELSE least(CASE WHEN w.s>=2 THEN ceil(w.width/st.width*256) ELSE w.width/st.width*256 END, ceil(256*coalesce((h-(base-low))/nullif(h, 0), 1))) END AS size FROM w JOIN w st ON st.tree_id=w.tree_id AND st.seg_id=1 JOIN t ON t.tree_id=w.tree_id JOIN b ON b.tree_id=w.tree_id AND b.seg_id=w.seg_id",
+        c="SELECT la.* FROM la JOIN k3 ON k3.tree_id=la.tree_id AND k3.branch=la.seg_id AND k3.parent IS NOT NULL WHERE layer=1",
+        n="SELECT DISTINCT c.tree_id, e.dst AS set_id FROM c JOIN e ON e.tree_id=c.tree_id AND e.src=c.set_id LEFT JOIN la s ON s.tree_id=c.tree_id AND s.seg_id=c.seg_id AND s.layer=2 AND s.set_id=e.dst WHERE s.set_id IS NULL UNION SELECT tree_id, set_id FROM c",
+        r="SELECT la.tree_id, la.set_id, size-(size-1)*sqrt((layer-1)/s) AS rs, n.set_id IS NOT NULL AS half FROM la JOIN q USING (tree_id, seg_id) LEFT JOIN n ON n.tree_id=la.tree_id AND n.set_id=la.set_id",
+    )
+    + " SELECT tree_id, set_id AS point_id, greatest(1, least(255, round(CASE WHEN half THEN round(rs)/2 ELSE rs END)))::INTEGER AS rs FROM r",
+)
 def d5(spark, d):
     c = load(spark, d, "cylinders")
     layers = c.select("tree_id", F.col("branch").alias("seg_id"), F.col("position").alias("layer"), F.col("cyl_id").alias("set_id"))
@@ -327,7 +343,11 @@ def r1(spark, d):
     return rounded(plotdata.relative_and_cumulative(distributions.cylinder_distribution(load(spark, d, "cylinders"), "dia"), "volume"))
 
 
-@register("r2_relative_spreads")
+@register(
+    "r2_relative_spreads",
+    cte("points", far=SPREADS, s=ALL_SPREADS, q="SELECT tree_id, layer, direction, coalesce(spread/nullif(max(spread) OVER (PARTITION BY tree_id), 0), 0) AS relative FROM s", z="SELECT * FROM q UNION ALL SELECT tree_id, layer, 19, relative FROM q WHERE direction=1")
+    + " SELECT tree_id, layer::BIGINT AS layer, direction::BIGINT AS direction, round(relative, 6) AS relative FROM z",
+)
 def r2(spark, d):
     p = load(spark, d, "points")
     return rounded(plotdata.relative_spreads(attributes.spreads(p, attributes.centroids(p))))
@@ -338,7 +358,23 @@ def r3(spark, d):
     return plotdata.facet_counts(load(spark, d, "cylinders"))
 
 
-@register("r3_cylinder_vertices")
+BASIS = """SELECT *, ux/n AS px, uy/n AS py, uz/n AS pz FROM (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) AS n FROM (
+ SELECT *, CASE WHEN kx THEN 0 WHEN ky THEN -axis_z ELSE axis_y END AS ux, CASE WHEN kx THEN axis_z WHEN ky THEN 0 ELSE -axis_x END AS uy, CASE WHEN kx THEN -axis_y WHEN ky THEN axis_x ELSE 0 END AS uz
+ FROM (SELECT *, abs(axis_x)<=abs(axis_y) AND abs(axis_x)<=abs(axis_z) AS kx, abs(axis_y)<=abs(axis_z) AS ky FROM cylinders)))"""
+
+
+@register(
+    "r3_cylinder_vertices",
+    cte(
+        "cylinders", b=BASIS, f="SELECT tree_id, arg_min(radius, cyl_id) AS r1 FROM cylinders GROUP BY 1",
+        e="SELECT b.*, least(20, greatest(4, ceil(sqrt(radius/r1)*20)))::BIGINT AS facets FROM b JOIN f USING (tree_id)",
+        g="SELECT *, unnest([0, 1]) AS ring FROM e", h="SELECT *, unnest(range(facets)) AS side FROM g",
+        t="SELECT *, cos(2*pi()*side/facets)*radius AS c, sin(2*pi()*side/facets)*radius AS s FROM h",
+        v="SELECT tree_id, cyl_id, ring, side, start_x+axis_x*ring*length+c*px+s*(axis_y*pz-axis_z*py) AS x, start_y+axis_y*ring*length+c*py+s*(axis_z*px-axis_x*pz) AS y, start_z+axis_z*ring*length+c*pz+s*(axis_x*py-axis_y*px) AS z FROM t",
+    )
+    + f" SELECT tree_id, cyl_id, ring::INTEGER AS ring, side::BIGINT AS side, {r('x', 'y', 'z')} FROM v",
+)
+
 def r3v(spark, d):
     return rounded(plotdata.cylinder_vertices(load(spark, d, "cylinders")))
 
