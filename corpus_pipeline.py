@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm import langid, mixing, packing, quality, simhash_dedup
-from sylva.llm.common import cut, read
+from sylva.llm.common import checkpoints, read
 
 #: Cosine distance from all centroids above which a document's language counts as none of those learned.
 LANGUAGE_REJECT = 0.85
@@ -44,8 +46,16 @@ STAGES = [("quality", good_quality), ("language", known_language), ("near_dedup"
 ORACLE_SQL = None
 
 
+def written(docs: DataFrame, name: str) -> DataFrame:
+    """docs as Parquet in the shared checkpoint folder, read again: the next stages read the columns that they need."""
+    checkpoints(docs.sparkSession)
+    path = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/{uuid4()}-{name}"
+    docs.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
