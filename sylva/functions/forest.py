@@ -116,15 +116,13 @@ def make_connected(nei: list[np.ndarray], c: np.ndarray, start: np.ndarray, forb
     while len(front):
         tree[front] = True
         front = around(nei, front, ~tree & ~forbidden)
-    k, least = 2.0, 1
+    k = 2.0
     while True:
         rest = np.flatnonzero(~tree & ~forbidden)
         if not len(rest):
             return tree
         changed = False
         for g in parts(nei, rest):
-            if len(g) < least and k < 64:
-                pass
             dt, a, b = nearest(c, g, np.flatnonzero(tree))
             df = nearest(c, g, np.flatnonzero(forbidden))[0] if forbidden.any() else np.inf
             if dt > 12 or 3 * df < dt or (df < dt and (len(g) <= 3 or df > 0.25)):
@@ -138,7 +136,6 @@ def make_connected(nei: list[np.ndarray], c: np.ndarray, start: np.ndarray, forb
             forbidden[~tree] = True
             return tree
         k *= 2
-        least *= 3
 
 
 # --- segments --------------------------------------------------------------------------------------------------------
@@ -158,6 +155,12 @@ def look_ahead(nei: list[np.ndarray], part: np.ndarray, free: np.ndarray, layers
     return size, bool(len(around(nei, front, free)))
 
 
+def belongs(part: int, met: int, more: bool, cut: int) -> bool:
+    """Whether a part of a frontier belongs to its segment: most of the frontier, or too small to be a branch."""
+    share = part / cut
+    return share >= 0.7 or (not more and met == part) or (part == 1 and met <= 2) or share < 0.05 or met <= 3
+
+
 def segments(nei: list[np.ndarray], base: np.ndarray, forbidden: np.ndarray) -> list[tuple[list[np.ndarray], int, int]]:
     """Segments as (layers, parent segment or -1, the parent's layer that it leaves from), parents first.
 
@@ -182,9 +185,9 @@ def segments(nei: list[np.ndarray], base: np.ndarray, forbidden: np.ndarray) ->
                 far = min(len(cut), AHEAD)
                 free[cut] = False
                 studied = [(p, *look_ahead(nei, p, free, far)) for p in found]
-                small = lambda p, size, more: (not more and size == len(p)) or (len(p) == 1 and size <= 2) or len(p) / len(cut) < 0.05 or size <= 3  # noqa: E731, B023
-                stay = [p for p, size, more in studied if len(p) / len(cut) >= 0.7 or small(p, size, more)]
-                going = [(p, size) for p, size, more in studied if not (len(p) / len(cut) >= 0.7 or small(p, size, more))]
+                stays = [belongs(len(p), size, more, len(cut)) for p, size, more in studied]
+                stay = [p for (p, _, _), yes in zip(studied, stays, strict=True) if yes]
+                going = [(p, size) for (p, size, _), yes in zip(studied, stays, strict=True) if not yes]
                 goes_on = any(len(p) / len(cut) >= 0.7 for p in stay)
                 if not goes_on and going:
                     going.sort(key=lambda x: (x[1], len(x[0])))

@@ -44,10 +44,10 @@ def test_reconstruction(y_tree):
     assert set(x.parent.dropna()) <= ids and set(x.extension.dropna()) <= ids and x.parent.isna().sum() == 1
 
 
-def test_equal_seeds_give_equal_models(y_tree):
-    (_, a), = reconstruct.reconstruct(y_tree.repartition(5), ONE, seed=2)
-    (_, b), = reconstruct.reconstruct(y_tree, ONE, seed=2)
-    pd.testing.assert_frame_equal(a.orderBy("cyl_id").toPandas(), b.orderBy("cyl_id").toPandas())
+def test_equal_seeds_give_equal_segments(y_tree):
+    a, b, c = (reconstruct.first_stage(df, ONE, seed)[3].orderBy("seg_id", "layer", "set_id").toPandas() for df, seed in ((y_tree.repartition(5), 2), (y_tree, 2), (y_tree, 3)))
+    pd.testing.assert_frame_equal(a, b)
+    assert set(a.set_id) != set(c.set_id)
 
 
 def test_sweep(spark):
