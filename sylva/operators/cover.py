@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .spatial import d2, radius_join, stencil, with_cells, with_per_tree
+from .spatial import d2, radius_join, stencil, with_cells
 
 
 def order_of(seed: int) -> Column:
@@ -127,6 +127,3 @@ def relative_size(layers: DataFrame, children: DataFrame, member: DataFrame, edg
     halved = round_.select("tree_id", F.col("dst").alias("set_id")).union(first.select("tree_id", "set_id")).distinct().withColumn("half", F.lit(True))
     out = sets.join(halved, ["tree_id", "set_id"], "left").withColumn("rs", F.least(F.lit(255), F.round(F.when(F.col("half"), F.round("rs") / 2).otherwise(F.col("rs"))).cast("int")))
     return member.join(out.groupBy("tree_id", "set_id").agg(F.max("rs").alias("rs")), ["tree_id", "set_id"]).select("tree_id", "point_id", F.greatest("rs", F.lit(1)).alias("rs"))
-
-
-__all__ = ["balls", "centres", "cover", "members", "neighbours", "relative_size", "small_components", "with_per_tree"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Vec, basis, vec
+from ..functions.vectors import basis, vec
 
 TURNS = 4
 
@@ -82,6 +82,3 @@ def moments(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, six covariances) of x, y, z: partial sums, from which dimensions and main directions follow."""
     pairs = [("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z")]
     return points.groupBy(*keys).agg(F.count("*").alias("n"), *(F.covar_samp(a, b).alias(f"c{a}{b}") for a, b in pairs))
-
-
-__all__ = ["Vec", "cell_distances", "coverage_filter", "moments", "surface_coverage", "unrolled", "volume_of_cells"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance_to_line, height_on_line, safe_std, vec
-from .spatial import with_cells
 
 FAR = 0.5
 BEYOND = 0.1
@@ -65,6 +64,3 @@ def class_statistics(per_cylinder: DataFrame) -> DataFrame:
         v = F.when(F.expr(test), F.col("mean_distance"))
         aggs += [F.coalesce(f(v), F.lit(0.0)).alias(f"{name}_{n}") for n, f in (("median", F.median), ("mean", F.avg), ("max", F.max), ("std", safe_std))]
     return per_cylinder.groupBy("tree_id").agg(*aggs)
-
-
-__all__ = ["class_statistics", "nearest_cylinder", "sample_points", "trimmed_means", "with_cells"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import vectors
 from .functions.vectors import change_precision, distance_between_lines, vec
-from .operators import attributes, branches, coverage, distributions, filters, graph, optimum, pmdist, simplify, spatial
+from .operators import attributes, branches, coverage, distributions, filters, optimum, pmdist, simplify, spatial
 from .sources.fixtures import cte, load
 
 EDGE = 0.0371
