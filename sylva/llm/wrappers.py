@@ -6,7 +6,7 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +42,8 @@ DROP_WORDS = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe signup social share sharing related recommended comment comments disqus respond replies search login toolbar pagination pager".split()
 )
 PAGE_ONLY = frozenset({"header"})
+#: Words of classes and ids that mark the article where no element does: one of the first, or one of each of the others.
+ARTICLE_WORDS, PART_WORDS, BODY_WORDS = frozenset({"article", "articlebody", "content", "maincontent"}), frozenset("post entry main story page blog news".split()), frozenset("body text content article".split())
 #: Items of an element that are kept in order; more become one repeated group of optional ones.
 ORDERED = 48
 #: Elements within each other that are told apart; what is nested deeper belongs to the deepest of them.
@@ -254,6 +256,11 @@ def is_article(sig: str) -> bool:
     return tag in ("article", "main") or "main" in marks
 
 
+def named_article(sig: str) -> bool:
+    w = {*sig.partition(".")[2].split(".")}
+    return sig[:4] not in ("html", "body") and bool(w & ARTICLE_WORDS or (w & PART_WORDS and w & BODY_WORDS))
+
+
 class Node:
     """A node of a wrapper as used to extract: by position among its parent's items."""
 
@@ -276,23 +283,25 @@ class Node:
         for i, x in enumerate(self.items):
             self.by.setdefault(x.sig, []).append(i)
 
-    def articles(self) -> Iterator[Node]:
+    def articles(self, test: Callable[[str], bool]) -> Iterator[Node]:
         for x in self.items:
             if x.sig != "#":
-                if is_article(x.sig) and x.words:
+                if test(x.sig) and x.words:
                     yield x
-                yield from x.articles()
+                yield from x.articles(test)
 
 
 def compiled(wrapper: str) -> Node:
-    """The wrapper with its article marked: the smallest article or main element with most of the words of all of them."""
+    """The wrapper with its article marked: the smallest article or main element with most of the words of all of them; without
+    such elements, the one with most words whose class or id says so."""
     items, loop = json.loads(wrapper)
     pages = max((x[3] for x in slots(items)), default=0)
     top = Node(["", False, False, items, loop], False, False, pages)
-    found = [*top.articles()]
-    if found:
+    if found := [*top.articles(is_article)]:
         most = max(x.words for x in found)
         min((x for x in found if x.words >= 0.6 * most), key=lambda x: x.words).region = True
+    elif found := [*top.articles(named_article)]:
+        max(found, key=lambda x: x.words).region = True
     return top
 
 

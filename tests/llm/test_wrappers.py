@@ -38,6 +38,13 @@ def test_extraction(spark):
         assert got[i].text == text and got[i].n_chars == len(text) and got[i].url == rows[i][1]
 
 
+def test_articles_by_name():
+    page = "<div class=top>Site name</div><div id='main-content'><h1>T</h1><div class='post-body'><p>one</p></div><div class='share-bar'>Share</div></div><p>below</p>"
+    assert alone(page) == "T\none"
+    assert alone("<body class=page-content><p>a</p><div class=sidebar>no</div>") == "a"
+    assert alone("<main><div class=content><p>in</p></div><p>too</p></main><p>out") == "in\ntoo"
+
+
 def test_parsing():
     assert alone("<article><p>a<br>b<p>c <i>d</i>e<ul><li>x<li>y</ul><table><tr><td>1<td>2<tr><th>3</table>z</article>") == "a b\nc de\nx\ny\n1\n2\n3\nz"
     assert alone("<article>a &amp b &#x41;&eacute;&nbsp;&nbsp;c &bogus; &am</article>") == "a & b Aé c &bogus; &am"
