@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -155,8 +155,9 @@ def op2_simhash(spark, sf_dir) -> DataFrame:
 
 #: Segments of the long fingerprint, each the SimHash of SAMPLED shingles, and how many of them may differ.
 RING, SAMPLED, DIFFER = 16, 3, 13
-#: Smallest shingle hashes of a text that are kept: similarity is exact up to so many different shingles.
-KEPT = 256
+#: Smallest shingle hashes of a text that are kept to prune pairs, and how far below the asked similarity they prune: five
+#: standard errors of their estimate. What they leave is decided on the complete sets of hashes.
+KEPT, MARGIN = 256, 0.125
 #: Texts in a bucket up to which its pairs are listed; in larger ones all are compared with CENTRES of them.
 BUCKET, CENTRES = 32, 6
 _rng = np.random.default_rng(SEED)
@@ -181,6 +182,25 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / max(1, len(np.union1d(x, y)))
 
 
+def jaccard(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two complete sets of sorted hashes."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def complete(texts: DataFrame, k: int) -> DataFrame:
+    """(words, full) of rows (words, text): all different shingle hashes of each text, sorted."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            full = [np.unique(hashes(t.as_py(), k)).astype("<u8").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary())], names=["words", "full"])
+
+    batches(texts.sparkSession)
+    return texts.select("words", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "words string, full binary")
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(key, doc_id, words, ring, least) of rows (key, doc_id, text): digest of the lower-case words, segments, least hashes."""
 
@@ -201,21 +221,17 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def ring_chains(a: Column, b: Column) -> Column:
-    """The chain condition of pigeonring on the segments of two long fingerprints, for at most DIFFER that differ."""
-    d = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
-    twice = F.concat(d, d)
-    runs = F.transform(F.sequence(F.lit(0), F.lit(RING - 1)), lambda at: F.aggregate(
-        F.slice(twice, at + 1, F.lit(RING)),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("s"), F.lit(True).alias("ok")),
-        lambda acc, x: F.struct((acc.n + 1).alias("n"), (acc.s + x).alias("s"), (acc.ok & ((acc.s + x) * RING <= (acc.n + 1) * DIFFER)).alias("ok")),
-        lambda acc: acc.ok,
-    ))
-    return F.exists(runs, lambda ok: ok)
-
-
-def near_duplicates(sk: DataFrame, similarity: float) -> DataFrame:
-    """(words, component) of the texts of sk(words, ring, least), one row a text, that resemble others by `similarity` or more."""
-    keyed = sk.select("words", F.posexplode("ring").alias("at", "value")).select("words", F.xxhash64("at", "value").alias("bucket"))
+    """The chain condition of pigeonring on the segments of two long fingerprints, for at most DIFFER that differ: the longest
+    chain holds all segments, and where it is within bounds some start has all shorter ones within theirs, so it decides."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, d: n + d) <= DIFFER
+
+
+def near_duplicates(sk: DataFrame, similarity: float, full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(words, component) of the texts of sk(words, ring, least), one row a text, that resemble others by `similarity` or more.
+
+    full_of(words) gives (words, full) of the texts asked for: the complete hashes on which pairs are decided.
+    """
+    keyed = sk.select("words", F.posexplode("ring").alias("at", "value")).select("words", "at", F.xxhash64("at", "value").alias("bucket"))
     sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     members = cut(keyed.join(sizes, "bucket"))
     light = members.filter(F.col("n") <= BUCKET)
@@ -225,28 +241,28 @@ def near_duplicates(sk: DataFrame, similarity: float) -> DataFrame:
     by = [F.max(F.struct("weight", "words")).getField("words"), *(F.max(F.struct(F.xxhash64("words", F.lit(i)).alias("h"), "words")).getField("words") for i in range(1, CENTRES))]
     centres = cut(heavy.join(weight, "words").groupBy("bucket").agg(F.array_distinct(F.array(*by)).alias("centres")))
     stars = heavy.join(centres, "bucket").select(F.explode("centres").alias("c"), "words").filter("c <> words").select(F.least("c", "words").alias("a"), F.greatest("c", "words").alias("b"))
-    pairs = pairs.union(stars).distinct()
-    ring = sk.select("words", "ring")
-    near = (
-        pairs.join(ring.select(F.col("words").alias("a"), F.col("ring").alias("ra")), "a")
-        .join(ring.select(F.col("words").alias("b"), F.col("ring").alias("rb")), "b")
-        .filter(ring_chains(F.col("ra"), F.col("rb")))
-        .select("a", "b")
-    )
-    near = cut(near)
-    least = sk.select("words", "least")
+    edges = cut(alike(pairs.union(stars).distinct(), sk, similarity, full_of))
+    return components(edges).select(F.col("node").alias("words"), "component")
+
+
+def alike(pairs: DataFrame, sk: DataFrame, similarity: float, full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of `similarity` or more: chains and sketches prune, the complete sets decide."""
 
     @F.pandas_udf("double")
-    def like(x: pd.Series, y: pd.Series) -> pd.Series:
+    def estimate(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([resemblance(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    edges = (
-        near.join(least.select(F.col("words").alias("a"), F.col("least").alias("la")), "a")
-        .join(least.select(F.col("words").alias("b"), F.col("least").alias("lb")), "b")
-        .filter(like("la", "lb") >= similarity)
-        .select("a", "b")
-    )
-    return components(edges).select(F.col("node").alias("words"), "component")
+    @F.pandas_udf("double")
+    def exact(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    def both(df: DataFrame, of: DataFrame, c: str) -> DataFrame:
+        return df.join(of.select(F.col("words").alias("a"), F.col(c).alias("ca")), "a").join(of.select(F.col("words").alias("b"), F.col(c).alias("cb")), "b")
+
+    near = cut(both(pairs, sk, "ring").filter(ring_chains(F.col("ca"), F.col("cb"))).select("a", "b"))
+    near = cut(both(near, sk, "least").filter(estimate("ca", "cb") >= similarity - MARGIN).select("a", "b"))
+    asked = near.select(F.col("a").alias("words")).union(near.select(F.col("b").alias("words"))).distinct()
+    return both(near, cut(full_of(asked)), "full").filter(exact("ca", "cb") >= similarity).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,16 +271,22 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
     Texts of equal words (A-Z in either case, any white space) are one group; groups whose k-word shingles have a Jaccard
     similarity of `similarity` or more are joined. A 64-bit SimHash of whole texts cannot find those (at 0.8 a median of 10
     bits differ), so the fingerprint is a ring of 16 segments, each the SimHash of three sampled shingles: similar texts
-    have equal segments, which give the candidates; pigeonring chains prune them; the least shingle hashes decide. In
-    buckets of over BUCKET texts all are compared with CENTRES of them, the best connected one first, rather than with
-    each other. Null, empty and blank texts are one group; of rows equal in id and text one stays; an empty table gives
+    have equal segments, which give the candidates; pigeonring chains and the least shingle hashes prune them; the complete
+    sets of shingle hashes decide. In buckets of over BUCKET texts all are compared with CENTRES of them, the best connected
+    one first, rather than with each other. Null, empty and blank texts are one group; of rows equal in id and text one stays; an empty table gives
     an empty one.
     """
     rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("key", F.xxhash64("d.doc_id", "d.text"))
     s = cut(sketches(rows.select("key", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text")), k))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first")
     texts = cut(s.groupBy("words").agg(first, F.first("ring").alias("ring"), F.first("least").alias("least"), F.count("*").alias("n")))
-    groups = near_duplicates(texts, similarity)
+
+    def full_of(words: DataFrame) -> DataFrame:
+        asked = texts.join(words, "words", "left_semi").select("words", F.col("first.key").alias("t_key"))
+        found = rows.join(asked, F.col("key") == F.col("t_key")).select("words", F.col("d.text").alias("text"))
+        return complete(found, k).dropDuplicates(["words"])
+
+    groups = near_duplicates(texts, similarity, full_of)
     g = texts.select("words", "first").join(groups.withColumnRenamed("words", "g_words"), F.col("words") == F.col("g_words"), "left")
     kept = cut(g.groupBy(F.coalesce("component", "words").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept")))
     out = rows.join(kept, F.col("key") == F.col("kept"), "left_semi")

@@ -158,3 +158,26 @@ def test_resemblance():
     assert m.resemblance(pack(a), pack(a)) == 1 and m.resemblance(pack(a), pack(b)) == 0
     assert m.resemblance(pack(a), pack(c)) == len(np.intersect1d(a, c)) / len(np.union1d(a, c))
     assert m.resemblance(b"", b"") == 0
+
+
+def split(rng, words, spots):
+    """words with those at the spots changed."""
+    out = list(words)
+    for i in spots:
+        out[i] = f"y{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_dedup_decides_on_complete_sets(spark):
+    """Long texts just above and just below 0.8, beyond what a sketch of KEPT hashes can tell apart."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for g in range(24):
+        w = [f"w{g}x{i}" for i in range(1504)]  # 1500 shingles; each far spot takes 5 of them
+        n = 32 if g % 2 else 35
+        t = split(rng, w, range(10, 10 + 40 * n, 40))
+        assert (jaccard(w, t) >= 0.8) == bool(g % 2) and abs(jaccard(w, t) - 0.8) < 0.011
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(t))]
+        want |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
+    kept = {r.doc_id for r in m.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept - want == set() and want - kept == set()
