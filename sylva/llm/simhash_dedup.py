@@ -158,8 +158,11 @@ RING, SAMPLED, DIFFER = 16, 3, 13
 #: Smallest shingle hashes of a text that are kept to prune pairs, and how far below the asked similarity they prune: five
 #: standard errors of their estimate. What they leave is decided on the complete sets of hashes.
 KEPT, MARGIN = 256, 0.125
-#: Texts in a bucket up to which its pairs are listed; in larger ones all are compared with CENTRES of them.
+#: Texts in a bucket up to which its pairs are listed; in larger ones all are compared with CENTRES of them first, and then
+#: with all members that this leaves in other components.
 BUCKET, CENTRES = 32, 6
+#: Members of a large bucket for each of its salts.
+SALTED = 256
 _rng = np.random.default_rng(SEED)
 MIX = _rng.integers(0, 1 << 63, (2, RING * SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -242,6 +245,9 @@ def near_duplicates(sk: DataFrame, similarity: float, full_of: Callable[[DataFra
     centres = cut(heavy.join(weight, "words").groupBy("bucket").agg(F.array_distinct(F.array(*by)).alias("centres")))
     stars = heavy.join(centres, "bucket").select(F.explode("centres").alias("c"), "words").filter("c <> words").select(F.least("c", "words").alias("a"), F.greatest("c", "words").alias("b"))
     edges = cut(alike(pairs.union(stars).distinct(), sk, similarity, full_of))
+    held = cut(divided(heavy, cut(components(edges))))
+    if held.limit(1).count():
+        edges = edges.union(cut(blocks(held, similarity, full_of)))
     return components(edges).select(F.col("node").alias("words"), "component")
 
 
@@ -265,6 +271,50 @@ def alike(pairs: DataFrame, sk: DataFrame, similarity: float, full_of: Callable[
     return both(near, cut(full_of(asked)), "full").filter(exact("ca", "cb") >= similarity).select("a", "b")
 
 
+def divided(heavy: DataFrame, label: DataFrame) -> DataFrame:
+    """(bucket, words, label, salts) of the members of heavy buckets that hold two components at least."""
+    held = cut(heavy.join(label.select(F.col("node").alias("words"), "component"), "words", "left").select("bucket", "words", F.coalesce("component", "words").alias("label"), F.ceil(F.col("n") / SALTED).alias("salts")))
+    mixed = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    return held.join(mixed, "bucket", "left_semi")
+
+
+def blocks(held: DataFrame, similarity: float, full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b) of `similarity` or more in different components of held(bucket, words, label, salts), all compared.
+
+    A bucket's members are dealt to its salts, and every two salts make a block of some 2 * SALTED texts with their
+    complete sets: no task gathers a bucket, and no table lists its pairs.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = linked([np.frombuffer(f, "<u8") for f in pdf["full"]], pd.factorize(pdf["label"])[0], similarity)
+        w = pdf["words"].to_numpy(object)
+        return pd.DataFrame({"a": np.minimum(w[i], w[j]), "b": np.maximum(w[i], w[j])}, dtype=object)
+
+    full = cut(full_of(held.select("words").distinct()))
+    dealt = held.withColumn("salt", F.expr("pmod(xxhash64(words), salts)")).withColumn("other", F.explode(F.expr("sequence(0L, salts - 1L)")))
+    dealt = dealt.select("bucket", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "words", "label")
+    return dealt.join(full, "words").groupBy("bucket", "x", "y").applyInPandas(one, "a string, b string").distinct()
+
+
+def linked(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of sets in different components with a Jaccard similarity of `similarity` or more."""
+    n = np.array([len(s) for s in sets])
+    both = np.zeros((len(sets), len(sets)))
+    if len(n) and label.min() < label.max():
+        _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[value] > 1
+        owner, value = np.repeat(np.arange(len(n)), n)[shared], (np.cumsum(count > 1) - 1)[value[shared]]
+        order = np.argsort(value, kind="stable")
+        owner, value = owner[order], value[order]
+        for at in range(0, int(value[-1]) + 1 if len(value) else 0, 8192):
+            lo, hi = np.searchsorted(value, (at, at + 8192))
+            m = np.zeros((len(n), 8192), np.float32)
+            m[owner[lo:hi], value[lo:hi] - at] = 1
+            both += m @ m.T
+    like = both / np.maximum(1, n[:, None] + n[None] - both)
+    return np.nonzero(np.triu((like >= similarity) & (label[:, None] != label[None]), 1))
+
+
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of documents(doc_id, text, ...), one of each group of near duplicates: that of the smallest doc_id, null last.
 
@@ -273,7 +323,7 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
     bits differ), so the fingerprint is a ring of 16 segments, each the SimHash of three sampled shingles: similar texts
     have equal segments, which give the candidates; pigeonring chains and the least shingle hashes prune them; the complete
     sets of shingle hashes decide. In buckets of over BUCKET texts all are compared with CENTRES of them, the best connected
-    one first, rather than with each other. Null, empty and blank texts are one group; of rows equal in id and text one stays; an empty table gives
+    one first, and then with all that are still in other components. Null, empty and blank texts are one group; of rows equal in id and text one stays; an empty table gives
     an empty one.
     """
     rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("key", F.xxhash64("d.doc_id", "d.text"))

@@ -181,3 +181,32 @@ def test_near_dedup_decides_on_complete_sets(spark):
         want |= {2 * g} if g % 2 else {2 * g, 2 * g + 1}
     kept = {r.doc_id for r in m.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept - want == set() and want - kept == set()
+
+
+def test_near_dedup_links_members_of_crowds(spark):
+    """Copies of one text too far from each other, each with a twin: the twins' buckets are large and few share a centre."""
+    rng = random.Random(7)
+    w = [f"w{i}" for i in range(404)]
+    rows = []
+    for i in range(150):
+        t = split(rng, w, rng.sample(range(404), 12))
+        twin = split(rng, t, [rng.randrange(404)])
+        rows += [(2 * i, t), (2 * i + 1, twin)]
+    ids = [i for i, _ in rows]
+    sets = [{tuple(t[k : k + 5]) for k in range(400)} for _, t in rows]
+    least = {i: i for i in ids}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i in ids:
+        for j in ids[:i]:
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    want = {root(i) for i in ids}
+    assert len(want) > 100
+    kept = {r.doc_id for r in m.near_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert kept == want
