@@ -315,20 +315,30 @@ def slots(items: list) -> Iterator[list]:
 
 def extract(page: Element, wrapper: Node) -> str:
     """The texts of the page that stand in slots of the article, joined by line ends; without an article, of all slots that
-    hold neither menus nor what the host's pages repeat."""
+    hold neither menus nor what the host's pages repeat. A page that the wrapper doesn't cover is read by its own."""
     main: list[str] = []
     other: list[str] = []
+    plans: dict[tuple[int, int], list[Node] | None] = {}
+
+    def plan(e: Element, node: Node) -> list[Node] | None:
+        """The nodes of e's items, in order, each the first that covers the item with all that it holds; None if there are none."""
+        key = id(e), id(node)
+        if key not in plans:
+            out, at = [], 0
+            for x in e.items:
+                inner = isinstance(x, Element)
+                places = node.by.get(x.sig if inner else "#", ())
+                k = next((i for i in places if (node.loop or i >= at) and (not inner or plan(x, node.items[i]) is not None)), None)
+                if k is None:
+                    out = None
+                    break
+                at = k if node.items[k].repeated else k + 1
+                out.append(node.items[k])
+            plans[key] = out
+        return plans[key]
 
     def walk(e: Element, node: Node, within: bool) -> None:
-        at = 0
-        for x in e.items:
-            sig = x.sig if isinstance(x, Element) else "#"
-            places = node.by.get(sig)
-            if not places:
-                continue  # the wrapper covers every page that it was made of
-            k = next((i for i in places if i >= at), places[-1])
-            at = k if node.loop or node.items[k].repeated else k + 1
-            slot = node.items[k]
+        for x, slot in zip(e.items, plan(e, node), strict=True):
             if isinstance(x, Element):
                 walk(x, slot, within or slot.region)
             else:
@@ -337,6 +347,8 @@ def extract(page: Element, wrapper: Node) -> str:
                 if slot.outside:
                     other.append(x[0])
 
+    if plan(page, wrapper) is None:
+        wrapper = compiled(json.dumps(wrapper_of(page)))
     walk(page, wrapper, wrapper.region)
     return "\n".join(main or other)
 

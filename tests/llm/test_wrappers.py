@@ -96,3 +96,19 @@ def test_odd(spark):
     got = sorted((str(r.page_id), r.n_chars, r.text[:9]) for r in m.extract_pages(df).collect())
     assert got == sorted([("1", 0, ""), ("2", 0, ""), ("None", 1, "x"), ("3", 1, "x"), ("3", 1, "x"), ("4", 149_999, "word\nword"), ("5", 4, "deep")])
     assert m.extract_pages(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_repeated_plain_tags_lose_no_text():
+    """Nodes of one signature that hold different things: the first isn't always the one that covers the page."""
+    pages = ["<h1>head one</h1><div class=a><p>text one</p></div>", "<div class=a><ul><li>text two</li></ul></div>", "<div class=a><p>text three</p></div><h1>head three</h1><div class=a><p>more three</p></div>"]
+    w = None
+    for p in pages:
+        own = m.wrapper_of(m.parse(p))
+        w = m.align(*w, *own) if w else own
+    top = m.compiled(json.dumps(w))
+    assert [m.extract(m.parse(p), top) for p in pages] == ["head one\ntext one", "text two", "text three\nhead three\nmore three"]
+
+
+def test_page_beyond_the_wrapper_is_read_by_its_own():
+    top = m.compiled(json.dumps(m.wrapper_of(m.parse("<div class=a><p>one</p></div>"))))
+    assert m.extract(m.parse("<div class=a><ul><li>two</li></ul></div><h2>three</h2>"), top) == "two\nthree"
