@@ -96,12 +96,11 @@ def dbh_from_points(points: DataFrame, dbh: DataFrame) -> DataFrame:
     return _grouped(near.select("tree_id", "point_id", *XYZ, "inside", "dbh_qsm"), "tree_id long, dbh_cyl double", one)
 
 
-def crowns(points: DataFrame, alpha_points: int = 300) -> DataFrame:
+def crowns(points: DataFrame) -> DataFrame:
     """(tree_id, area_conv, area_alpha, volume_conv, volume_alpha, diam_max, centre_x, centre_y) of each tree's points.
 
     Alpha radii are a tenth (area) and a fifth (volume) of the mean crown diameter, half a metre at least; the volume's holes
-    are filled. Alpha shapes are of points thinned to cells of growing size until at most `alpha_points` are left: cells stay
-    far smaller than alpha. Model points come here, some hundreds a tree, not clouds.
+    are filled. Alpha shapes are of all points; their time grows with the square of a tree's points.
     """
 
     def one(p, _):
@@ -114,12 +113,8 @@ def crowns(points: DataFrame, alpha_points: int = 300) -> DataFrame:
         far = np.zeros(36)
         np.maximum.at(far, sector, np.linalg.norm(v, axis=1))
         mean = far.sum() / 18
-        thin, edge = p, 0.01
-        while len(thin) > alpha_points:
-            _, first = np.unique(np.floor(p / edge).astype(np.int64), axis=0, return_index=True)
-            thin, edge = p[np.sort(first)], edge * 1.5
-        area = hulls.alpha_size(thin[:, :2], max(0.5, mean / 10))
-        yield hulls.polygon_area(corners), area, hulls.hull_3d_volume(p), hulls.alpha_size(thin, max(0.5, mean / 5), fill=True), hulls.spread_diameter(corners), *centre
+        area = hulls.alpha_size(p[:, :2], max(0.5, mean / 10))
+        yield hulls.polygon_area(corners), area, hulls.hull_3d_volume(p), hulls.alpha_size(p, max(0.5, mean / 5), fill=True), hulls.spread_diameter(corners), *centre
 
     return _grouped(points, "tree_id long, area_conv double, area_alpha double, volume_conv double, volume_alpha double, diam_max double, centre_x double, centre_y double", one)
 

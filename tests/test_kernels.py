@@ -171,3 +171,18 @@ def test_allometry():
     v = np.random.default_rng(10).uniform(0.001, 1, 300)
     a, b, c = allometry_fit(v, 0.3 * v**0.4 + 0.01)
     assert np.allclose([a, b, c], [0.3, 0.4, 0.01], atol=1e-3)
+
+
+def test_crowns_are_of_all_points(spark):
+    from sylva.operators import kernels
+
+    rng = np.random.default_rng(8)
+    p = rng.uniform(0, 1, (500, 3)) * (6, 6, 8)
+    df = spark.createDataFrame([(1, i, *map(float, q)) for i, q in enumerate(p)], "tree_id long, point_id long, x double, y double, z double")
+    got = kernels.crowns(df).first()
+    corners = p[hulls.hull_2d(p[:, :2]), :2]
+    v = p[:, :2] - hulls.polygon_centroid(corners)
+    sector = np.floor((np.degrees(np.arctan2(v[:, 1], v[:, 0])) + 180) / 10).clip(0, 35)
+    mean = sum(np.linalg.norm(v[sector == s], axis=1).max() for s in set(sector)) / 18
+    assert got.area_alpha == pytest.approx(hulls.alpha_size(p[:, :2], max(0.5, mean / 10)))
+    assert got.volume_alpha == pytest.approx(hulls.alpha_size(p, max(0.5, mean / 5), fill=True))
