@@ -56,7 +56,7 @@ def tokens() -> Column:
 def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, support) mined by FP-growth from urls(tokens, verdict).
 
-    Every URL is a transaction of its tokens and its verdict. Of the frequent sets that hold a verdict, those are rules
+    Every row is a transaction of its tokens and its verdict, so a URL of many pages counts as often. Of the frequent sets that hold a verdict, those are rules
     that are confident enough and at least GAIN more so than each shorter rule for the same verdict that they contain.
     No labelled URL gives no rule.
     """
@@ -106,8 +106,9 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support:
     p = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = by_rules(rules)
     p = p.withColumns({"rule": rule, "base": verdict})
-    places = cut(p.groupBy("host", "path").agg(F.first("base").alias("base"), F.count("*").alias("n")).withColumns({"tokens": tokens(), "url_key": F.xxhash64("host", "path")}))
-    mined = mine(places.filter(F.col("base").isNotNull()).select("tokens", F.col("base").alias("verdict")), support, confidence)
+    places = cut(p.groupBy("host", "path").agg(F.first("base").alias("base")).withColumns({"tokens": tokens(), "url_key": F.xxhash64("host", "path")}))
+    labelled = p.filter(F.col("base").isNotNull()).select(tokens().alias("tokens"), F.col("base").alias("verdict"))
+    mined = mine(cut(labelled), support, confidence)
     m = match(places.filter(F.col("base").isNull()), mined)
     m = cut(places.filter(F.col("base").isNull()).join(m, "url_key").select(F.col("host").alias("m_host"), F.col("path").alias("m_path"), F.col("verdict").alias("mined")))
     out = p.join(m, (F.col("host") == F.col("m_host")) & (F.col("path") == F.col("m_path")), "left")

@@ -74,3 +74,10 @@ def test_empty(spark):
     one = m.judge(spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")).collect()
     assert [(r.rule, r.verdict) for r in one] == [(None, "allow")]
     assert m.match(spark.createDataFrame([], "url_key long, tokens array<string>"), m.mine(spark.range(0).select(F.array(F.lit("x")).alias("tokens"), F.lit("allow").alias("verdict")))).count() == 0
+
+
+def test_rules_are_mined_from_all_pages(spark):
+    """One URL of many pages against several of one page each."""
+    urls = ["http://a.net/es/special"] * 90 + [f"http://b{i}.com/special" for i in range(10)] + ["http://z.org/special"]
+    got = {r.page_id: r.verdict for r in m.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got[0] == "block" and got[95] == "allow" and got[100] == "block"
