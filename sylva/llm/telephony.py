@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import batches, read
 
 RATE = 8000
+#: Samples a second of stored PCM.
+STORED_RATE = 16000
 #: WAVE format tags. Fixed values.
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 #: Bytes of a mono ADPCM block: 4 of header, then two samples a byte.
@@ -71,12 +74,29 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def upsample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate, by linear interpolation; the last sample is held."""
+def resampled(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """pcm at another rate: ceil(n * to / rate) samples, interpolated in integers between neighbours, the last one held.
+
+    To a lower rate, each sample is first replaced by the mean of the rate // to samples from it on, against aliasing.
+    SLICE samples are computed at once, so memory beside the result is bounded.
+    """
+    if rate <= 0 or to <= 0:
+        raise ValueError(f"rates {rate}, {to}")
+    n = len(pcm)
+    if not n or rate == to:
+        return pcm.astype(np.int16)
     x = pcm.astype(np.int32)
-    after = np.append(x[1:], x[-1:])
-    out = np.empty(2 * len(x), np.int16)
-    out[::2], out[1::2] = x, (x + after) >> 1
+    if (wide := rate // to) > 1:
+        sums = np.concatenate([[0], np.cumsum(np.concatenate([x, np.repeat(x[-1:], wide - 1)]), dtype=np.int64)])
+        x = (sums[wide:] - sums[:-wide]) // wide
+    g = gcd(rate, to)
+    step, phases = rate // g, to // g  # output i stands at i * step / phases
+    out = np.empty(-(-n * phases // step), np.int16)
+    for i in range(0, len(out), SLICE):
+        at = np.arange(i, min(len(out), i + SLICE), dtype=np.int64) * step
+        k, part = np.divmod(at, phases)
+        a = x[k].astype(np.int64)
+        out[i : i + len(at)] = a + (x[np.minimum(k + 1, n - 1)] - a) * part // phases
     return out
 
 
@@ -98,7 +118,7 @@ def unwave(media: bytes) -> tuple[int, int, bytes]:
     at, tag, rate, data = 12, None, None, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 16 <= len(media):
             tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
         elif name == b"data":
             data = media[at + 8 : at + 8 + size]
@@ -122,10 +142,12 @@ def decode(tag: int, data: bytes) -> np.ndarray:
     raise ValueError(f"format {tag}")
 
 
-def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """df's other columns left out but `id`: (id, rate, n_samples, pcm) of df(id, media), each WAVE file as resampled 16-bit PCM at twice its rate.
+def decode_media(df: DataFrame, media: str = "media", rate: int = STORED_RATE) -> DataFrame:
+    """(id, rate, n_samples, pcm) of df(id, media): each WAVE file of one channel as 16-bit PCM resampled to `rate`.
 
-    Null, broken or unknown media give null rate and pcm and 0 samples; empty data give empty PCM; an empty table gives an empty one.
+    Null, broken, cut off or unknown media and those of no rate give null rate and pcm and 0 samples; empty data give
+    empty PCM; data that end early are decoded as far as they go; df's other columns are left out; an empty table gives an
+    empty one.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +155,9 @@ def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
             rows = []
             for m in b.column(1):
                 try:
-                    tag, rate, data = unwave(m.as_py() or b"")
-                    pcm = decode(tag, data)
-                    pcm = upsample(pcm) if len(pcm) else pcm
-                    rows.append((2 * rate, len(pcm), pcm.tobytes()))
+                    tag, own, data = unwave(m.as_py() or b"")
+                    pcm = resampled(decode(tag, data), own, rate)
+                    rows.append((rate, len(pcm), pcm.astype("<i2").tobytes()))
                 except ValueError:
                     rows.append((None, 0, None))
             rates, ns, pcms = zip(*rows, strict=True) if rows else ((), (), ())
@@ -177,16 +198,17 @@ def features(data: list[bytes]) -> list[str]:
     return [";".join(f"{n}:rms={r:.1f},zc={z},peak={p}" for n, r, z, p in zip(names, rms[i], total[i, :, 1], peak[i], strict=True)) for i in range(len(data))]
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_samples long, pcm_crc32 long, feature string"
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """DIGEST of documents(doc_id, text): the whole text as the mu-law samples of a WAVE file, which is then read back.
 
-    All but n_bytes and the media columns come from the bytes that were read back. Null texts are empty; equal texts
+    All but n_bytes and the media columns come from the bytes that were read back; pcm_samples and pcm_crc32 are those of the
+    stored PCM, the file decoded and resampled to STORED_RATE as decode_media does. Null texts are empty; equal texts
     give equal values whatever stands beside them; null ids and repeated rows are kept.
     """
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
     names = [x.split()[0] for x in DIGEST.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +217,10 @@ def media_digest(docs: DataFrame) -> DataFrame:
             for text in b.column(1):
                 t = text.as_py()
                 media = wave(payload(t), MULAW)
-                _, _, p = unwave(media)
+                tag, rate, p = unwave(media)
+                pcm = resampled(decode(tag, p), rate, STORED_RATE)
                 back.append(p)
-                rows.append((len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest()))
+                rows.append((len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), len(pcm), zlib.crc32(pcm.astype("<i2").tobytes())))
             if rows:
                 columns = [b.column(0).to_pylist(), *zip(*rows, strict=True), features(back)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

@@ -55,8 +55,43 @@ def test_bad_media(spark):
     assert np.frombuffer(got[1].pcm, "<i2").tolist() == [32124] * 200
 
 
-def test_upsample():
-    assert m.upsample(np.array([0, 10, -10], np.int16)).tolist() == [0, 5, 10, 0, -10, -10]
+def test_cut_off_media(spark):
+    """Every prefix of a file, and files whose sizes lie, give a row and don't end the task."""
+    whole = m.wave(bytes(range(128)), m.IMA)
+    rows = [(i, whole[:i]) for i in range(len(whole) + 1)] + [(-1, m.wave(b"ab", m.MULAW, 0)), (-2, b"RIFF\0\0\0\0WAVEfmt \xff\xff\xff\xff"), (-3, b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0\x07\0")]
+    got = {r.id: r for r in m.decode_media(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert len(got) == len(rows) and got[len(whole)].n_samples == 484 and got[10].pcm is None and got[-1].pcm is got[-2].pcm is got[-3].pcm is None
+    assert got[len(whole) - 1].n_samples == 242
+
+
+def at_rate(x, rate, to):
+    """Sample by sample."""
+    wide = max(1, rate // to)
+    if rate == to:
+        return list(x)
+    y = [sum(x[min(len(x) - 1, i + j)] for j in range(wide)) // wide for i in range(len(x))]
+    out = []
+    for i in range(-(-len(x) * to // rate)):
+        k, part = divmod(i * rate, to)
+        out.append(y[k] + (y[min(len(y) - 1, k + 1)] - y[k]) * part // to)
+    return out
+
+
+def test_resampled():
+    assert m.resampled(np.array([0, 10, -10], np.int16), 8000, 16000).tolist() == [0, 5, 10, 0, -10, -10]
+    rng = np.random.default_rng(3)
+    for rate, to in ((8000, 16000), (8000, 8000), (8000, 11025), (44100, 16000), (16000, 8000), (48000, 8000), (7, 5), (1, 1000)):
+        for n in (0, 1, 2, 50, 333):
+            x = rng.integers(-32768, 32768, n).astype(np.int16)
+            assert m.resampled(x, rate, to).tolist() == at_rate(x.tolist(), rate, to)
+
+
+def test_stored_pcm(odd):
+    """The query's digest of PCM is that of the files that store() writes and decode_media() reads."""
+    pcm = {r.id: r for r in m.decode_media(m.store(odd)).collect()}
+    for r in m.media_digest(odd).collect():
+        if r.doc_id is not None and r.doc_id != 4:
+            assert (r.pcm_samples, r.pcm_crc32) == (pcm[r.doc_id].n_samples, zlib.crc32(pcm[r.doc_id].pcm)) and r.pcm_samples == 2 * r.payload_bytes
 
 
 def test_digest(odd, clashing, empty):
