@@ -60,12 +60,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> D
 
 
 def plan(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
-    """(p_source, source_size, target, whole, last, plus): documents are taken `whole` times, those whose draw is at most `last`
-    or in `plus` once more.
+    """(p_source, source_size, target, whole, last, plus): rows are taken `whole` times, those whose draw is at most `last` once
+    more; so are, for each (draw, n) in `plus`, n of the rows of that draw.
 
-    The words still missing after whole repetitions are gathered by draw, as long as documents fit. Bucket sums find the
-    bucket in which the first doesn't, and only its rows are put in order, so no source is ever sorted as a whole. Of the
-    other documents the largest that still fits goes to `plus`, FILLS times.
+    The words still missing after whole repetitions are gathered by draw, as long as rows fit; of rows that draw alike, being
+    equal in id and text, as many as fit. Bucket sums find the bucket in which the first doesn't, and only its rows are put
+    in order, one for each draw, so no source is ever sorted as a whole. Of the other documents the largest that still fits
+    goes to `plus`, FILLS times.
     """
     t = source_targets(sizes, weights, epochs)
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -83,32 +84,69 @@ def plan(sizes: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
         .select(F.col("b.source").alias("e_source"), F.col("bucket").alias("e_bucket"), F.col("before").alias("e_before"), F.col("extra").alias("e_extra"))
     )
     edge = cut(edge)  # a row for each source at most
-    order = Window.partitionBy("e_source").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
-    fits = F.col("e_before") + F.col("run") <= F.col("e_extra")
+    by = ["e_source", "e_bucket", "e_before", "e_extra"]
+    order = Window.partitionBy("e_source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("e_extra") - F.col("e_before") - F.col("run")  # for the rows of this draw
+    n = F.when(F.col("size") > 0, F.least(F.col("rows"), F.floor(left / F.col("size")))).otherwise(F.col("rows"))
     last = (
         bucket.join(broadcast_below(edge, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
-        .withColumn("run", F.sum("size").over(order))
-        .groupBy("e_source", "e_bucket", "e_before", "e_extra")
-        .agg(F.max(F.when(fits, F.col("draw"))).alias("last"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("own"))
-        .select("e_source", F.coalesce("last", "e_bucket").alias("last"), (F.col("e_extra") - F.col("e_before") - F.col("own")).alias("rest"))
+        .groupBy(*by, "draw")
+        .agg(F.first("size").alias("size"), F.count("*").alias("rows"))
+        .withColumn("run", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0)))
+        .filter(left >= 0)
+        .withColumn("n", n)
+        .groupBy(*by)
+        .agg(
+            F.max(F.when(F.col("n") == F.col("rows"), F.col("draw"))).alias("last"),
+            F.max(F.when((F.col("n") > 0) & (F.col("n") < F.col("rows")), F.struct("draw", "n"))).alias("part"),
+            F.sum(F.col("n") * F.col("size")).alias("own"),
+        )
+        .select("e_source", F.coalesce("last", "e_bucket").alias("last"), (F.col("e_extra") - F.col("e_before") - F.col("own")).alias("rest"), F.array_compact(F.array("part")).alias("plus"))
     )
-    last = cut(last.withColumn("plus", F.array().cast("array<string>")))
+    last = cut(last)
     for _ in range(FILLS):
         room = sizes.join(broadcast_below(last, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("e_source")))
-        room = room.filter((F.col("draw") > F.col("last")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & ~F.array_contains("plus", F.col("draw")))
+        room = room.filter((F.col("draw") > F.col("last")) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & ~F.array_contains("plus.draw", F.col("draw")))
         best = room.groupBy(F.col("e_source").alias("f_source")).agg(F.max(F.struct("size", "draw")).alias("f"))
+        more = F.array_append("plus", F.struct(F.col("f.draw").alias("draw"), F.lit(1).cast("long").alias("n")))
         last = last.join(best, F.col("e_source").eqNullSafe(F.col("f_source")), "left").select(
-            "e_source", "last", (F.col("rest") - F.coalesce("f.size", F.lit(0))).alias("rest"), F.when(F.col("f").isNotNull(), F.array_append("plus", F.col("f.draw"))).otherwise(F.col("plus")).alias("plus")
+            "e_source", "last", (F.col("rest") - F.coalesce("f.size", F.lit(0))).alias("rest"), F.when(F.col("f").isNotNull(), more).otherwise(F.col("plus")).alias("plus")
         )
         last = cut(last)
+    some = F.col("extra") > 0
     return t.join(last, F.col("source").eqNullSafe(F.col("e_source")), "left").select(
-        F.col("source").alias("p_source"), "source_size", "target", "whole", F.when(F.col("extra") > 0, F.coalesce("last", F.lit("g"))).alias("last"), F.when(F.col("extra") > 0, F.col("plus")).alias("plus")
+        F.col("source").alias("p_source"), "source_size", "target", "whole", F.when(some, F.coalesce("last", F.lit("g"))).alias("last"), F.when(some, F.coalesce("plus", F.array().cast("array<struct<draw:string,n:bigint>>"))).alias("plus")
     )
 
 
-def copies() -> Column:
-    """How often a row with plan()'s columns is taken."""
-    return F.col("whole") + F.when((F.col("draw") <= F.col("last")) | F.array_contains("plus", F.col("draw")), 1).otherwise(0)
+def with_copies(rows: DataFrame, sizes: DataFrame, p: DataFrame) -> DataFrame:
+    """rows(d, source, size, draw) with plan()'s columns and `copies`, how often each is taken.
+
+    A draw in `plus` of more rows than n has rows that are equal in id and text: of those, rows equal in all columns are counted
+    and given out again in two lots, so none has to be told from another. This second pass is made only where there are any.
+    """
+    small = broadcast_below(p, BROADCAST_SOURCES)
+    out = rows.join(small, F.col("source").eqNullSafe(F.col("p_source")))
+    listed = F.array_contains("plus.draw", F.col("draw"))
+    more = F.col("draw") <= F.col("last")
+    asked = p.select("p_source", F.explode("plus").alias("x")).select("p_source", F.col("x.draw").alias("x_draw"), F.col("x.n").alias("x_n"))
+    split = sizes.join(F.broadcast(asked) if small is not p else asked, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("draw") == F.col("x_draw")))
+    split = split.groupBy("p_source", "x_draw", "x_n").count().filter("count > x_n").limit(1).count()
+    plain = out.withColumn("copies", F.col("whole") + F.when(more | listed, 1).otherwise(0))
+    if not split:
+        return plain
+    names = rows.columns
+    n = F.aggregate(F.filter("plus", lambda x: x.draw == F.col("draw")), F.lit(0).cast("long"), lambda a, x: a + x.n)
+    key = F.xxhash64("d")
+    order = Window.partitionBy("source", "draw").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)  # over rows that differ in other columns only
+    equal = out.filter(listed).groupBy(*(F.col(c) for c in names), "source_size", "target", "whole", n.alias("n")).count()
+    equal = equal.withColumn("key", key).withColumn("before", F.coalesce(F.sum("count").over(order), F.lit(0)))
+    once = F.greatest(F.lit(0), F.least(F.col("count"), F.col("n") - F.col("before"))).cast("long")
+    lots = equal.withColumn("lot", F.explode(F.array(F.struct(once.alias("n"), F.lit(1).alias("more")), F.struct((F.col("count") - once).alias("n"), F.lit(0).alias("more")))))
+    chunk = F.explode(F.expr("if(lot.n > 0, transform(sequence(0L, (lot.n - 1) div 4096), i -> least(4096L, lot.n - i * 4096)), array())"))
+    again = lots.withColumn("chunk", chunk).withColumn("i", F.explode(F.expr("sequence(1L, chunk)"))).withColumn("copies", F.col("whole") + F.col("lot.more"))
+    cols = [*names, "source_size", "target", "copies"]
+    return plain.filter(F.coalesce(~listed, F.lit(True))).select(*cols).unionByName(again.select(*cols))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
@@ -116,23 +154,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
 
     Sources weigh `weights` in turn and share as many words as there are in all; a target is clamped at `epochs` times
     its source's words and the excess is shared by weight again. Copies are 0 to `epochs`. Null or empty texts have size
-    0; a null source is a source of its own, the last; rows equal in id and text draw alike and come or stay together; an
-    empty table gives an empty one; other columns are ignored.
+    0; a null source is a source of its own, the last; rows equal in id and text draw alike, and as many of them as fit are
+    taken; an empty table gives an empty one; other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", "text").withColumns({"size": words(F.col("text")), "draw": draw(F.col("doc_id"), F.col("text"), seed)})
-    p = cut(plan(cut(rows.select("source", "size", "draw")), weights, epochs))
-    return rows.join(broadcast_below(p, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("p_source"))).select(
-        "doc_id", "source", "text", "source_size", "target", "size", copies().alias("copies")
-    )
+    return planned(docs.select("doc_id", "source", "text"), weights, epochs, seed).select("d.doc_id", "d.source", "d.text", "source_size", "target", "size", "copies")
+
+
+def planned(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: int) -> DataFrame:
+    """(d, source, size, draw, source_size, target, copies) of documents, d being the whole row."""
+    rows = docs.select(F.struct(*docs.columns).alias("d"))
+    rows = rows.withColumns({"source": F.col("d.source"), "size": words(F.col("d.text")), "draw": draw(F.col("d.doc_id"), F.col("d.text"), seed)})
+    sizes = cut(rows.select("source", "size", "draw"))
+    return with_copies(rows, sizes, cut(plan(sizes, weights, epochs)))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 7) -> DataFrame:
     """The rows of documents, with all their columns, each as often as mix() takes it."""
-    rows = docs.select(F.struct(*docs.columns).alias("d"))
-    rows = rows.withColumns({"size": words(F.col("d.text")), "draw": draw(F.col("d.doc_id"), F.col("d.text"), seed)})
-    p = cut(plan(cut(rows.select("d.source", "size", "draw")), weights, epochs))
-    out = rows.join(broadcast_below(p, BROADCAST_SOURCES), F.col("d.source").eqNullSafe(F.col("p_source")))
-    return out.select("d", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))).alias("copy")).select("d.*")
+    out = planned(docs, weights, epochs, seed)
+    return out.select("d", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("d.*")
 
 
 def op1_mixing(spark, sf_dir) -> DataFrame:

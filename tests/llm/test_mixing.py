@@ -56,6 +56,22 @@ def test_mix(spark, odd, clashing):
     assert sorted(map(key, rows)) == sorted(map(key, again.collect()))
 
 
+def test_equal_rows(spark):
+    """Of 1,000 rows equal in id and text as many are taken as fit, also where they differ in other columns."""
+    rows = [(1, "w " * 12, "a", i % 3) for i in range(1000)] + [(2 + i, "v " * (10 + i % 7), "b", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long")
+    size = {s: sum(12 if r[0] == 1 else 10 + (r[0] - 2) % 7 for r in rows if r[2] == s) for s in "ab"}
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    want = filled(size, (5, 2, 1), 3)
+    for s in "ab":
+        taken = sum(r.size * r.copies for r in got if r.source == s)
+        assert want[s] - 16 < taken <= want[s] and all(0 <= r.copies <= 3 for r in got)
+    assert mixing.mixed_rows(docs).count() == sum(r.copies for r in got)
+    again = mixing.mixed_rows(docs.repartition(5)).groupBy("doc_id", "other").count().collect()
+    assert sorted(again) == sorted(mixing.mixed_rows(docs).groupBy("doc_id", "other").count().collect())
+
+
 def test_rows(odd, clashing, empty):
     want = Counter()
     for r in mixing.mix(odd).collect():
