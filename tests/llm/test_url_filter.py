@@ -53,11 +53,29 @@ def test_rules_mined_as_by_brute_force(spark):
                 both[s, v] += 1
     strong = {(s, v): c / alone[s] for (s, v), c in both.items() if c >= 0.05 * n and c / alone[s] >= 0.7}
     want = {(s, v): c for (s, v), c in strong.items() if not any(c < strong.get((tuple(x for x in s if x != y), v), -1) + m.GAIN for y in s)}
-    got = {(tuple(r.tokens), r.verdict): r.confidence for r in m.mine(df, 0.05, 0.7).collect()}
+    rules, items = m.mine(df, 0.05, 0.7)
+    got = {(tuple(r.tokens), r.verdict): r.confidence for r in rules.collect()}
+    of = {r.token: r.item for r in items.collect()}
+    # a token that another stands for stands in the same URLs
+    assert all({i for i, (t, _) in enumerate(data) if a in t} == {i for i, (t, _) in enumerate(data) if b in t} for a, b in of.items())
+    want = {(tuple(sorted({of.get(x, x) for x in s})), v): c for (s, v), c in want.items()}
     assert got.keys() == want.keys() and want
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_urls_of_many_tokens(spark):
+    """Forty distinct words in URLs of one verdict, and in URLs of both."""
+    long = "/".join(f"w{i}x" for i in range(40))
+    short = [f"http://a{i}.com/en/{i % 3}q" for i in range(20)] + [f"http://b.net/es/{'z' * (i + 1)}" for i in range(6)]
+    only = [f"http://long.com/{long}"] * 10
+    both = [f"http://long{i}.com/{long}/good" for i in range(8)] + [f"http://long{i}.net/es/{long}/bad" for i in range(5)]
+    for urls in (short + only, short + both, only + both):
+        urls = [*urls, "http://unknown.org/w3x/bad", "http://unknown.org/w7x/w9x"]
+        got = {r.page_id: r.verdict for r in m.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+        assert len(got) == len(urls)
+        assert got[len(urls) - 2] == ("block" if urls[-3] in both else "allow")
+
+
 def test_matching_by_brute_force(spark):
     rng = random.Random(3)
     words = [f"t{i}" for i in range(8)]
@@ -73,7 +91,7 @@ def test_empty(spark):
     assert m.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     one = m.judge(spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")).collect()
     assert [(r.rule, r.verdict) for r in one] == [(None, "allow")]
-    assert m.match(spark.createDataFrame([], "url_key long, tokens array<string>"), m.mine(spark.range(0).select(F.array(F.lit("x")).alias("tokens"), F.lit("allow").alias("verdict")))).count() == 0
+    assert m.match(spark.createDataFrame([], "url_key long, tokens array<string>"), m.mine(spark.range(0).select(F.array(F.lit("x")).alias("tokens"), F.lit("allow").alias("verdict")))[0]).count() == 0
 
 
 def test_rules_are_mined_from_all_pages(spark):
