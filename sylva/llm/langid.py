@@ -17,13 +17,15 @@ from .common import batches, hash_third, read
 DIMS = 1 << 13
 #: Code points whose n-grams are counted at once, the bound of a worker's memory in very long texts.
 BLOCK = 1 << 18
-#: Documents of each language that centroids are fitted on at most (in expectation; drawn by a hash of the id).
-SAMPLE = 600
+#: Documents of each language, and of all, that centroids are fitted on at most (in expectation; drawn by a hash of the id).
+SAMPLE, TOTAL = 600, 12_000
+#: Languages that are learned at most: those with most documents. The others' labels are taken for dirt.
+LANGUAGES = 256
 CENTROIDS = 3
 ROUNDS = 12
 SEED = 5
-#: Cosine distance to the nearest centroid above which the operator rejects a text.
-REJECT = 0.75
+#: Cosine distance to the nearest centroid above which a text's language counts as none of those learned.
+REJECT = 0.85
 UNDETERMINED = "und"
 
 
@@ -107,18 +109,21 @@ def cluster(v: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """A model of the languages of documents(doc_id, text, lang) with text and lang.
+def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
+    """A model of the languages of documents(doc_id, text, lang) with text and lang: of those with most documents, `languages`
+    at most, ties by name.
 
-    About `sample` documents of each language, drawn by a hash of the id, are counted where they lie; only their sparse
-    counts come to the driver. Texts without letters and null languages teach nothing; without any, the model predicts und.
+    About `sample` documents of each language (fewer if that makes more than TOTAL), drawn by a hash of the id, are
+    counted where they lie; only their sparse counts come to the driver, which holds those and the dense vectors of one
+    language at a time. Texts without letters and null languages teach nothing; without any, the model predicts und.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id"), "text", "lang")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    each = min(sample, TOTAL // max(1, len(sizes)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
     limit = F.lit(0).cast("long")
     for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, min(1 << 30, int(sample / n * (1 << 30)) + 1)).otherwise(limit)
+        limit = F.when(F.col("lang") == lang, min(1 << 30, int(each / n * (1 << 30)) + 1)).otherwise(limit)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -134,42 +139,53 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
 
     batches(docs.sparkSession)
     rows = known.filter(draw < limit).select("lang", "text").mapInArrow(run, "lang string, at binary, n binary").collect()
-    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))  # rows may arrive in any order
-    c = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        c[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.n, "<f4")
-    model = Model(np.log((1 + len(rows)) / (1 + (c > 0).sum(0))).astype(np.float32) + 1, np.zeros((0, DIMS), np.float32), [], np.zeros(0, int))
-    v, rng, found, of = model.vectors(c), np.random.default_rng(SEED), [], []
-    langs = [r.lang for r in rows]
-    for i, lang in enumerate(sorted(set(langs))):
-        own = cluster(v[[j for j, x in enumerate(langs) if x == lang]], centroids, rng)
+    of_lang: dict[str, list] = {}
+    documents = np.zeros(DIMS, np.int64)
+    for r in sorted(rows, key=lambda r: (r.lang, bytes(r.at), bytes(r.n))):  # rows may arrive in any order
+        of_lang.setdefault(r.lang, []).append((np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<f4")))
+        documents[of_lang[r.lang][-1][0]] += 1
+    model = Model(np.log((1 + len(rows)) / (1 + documents)).astype(np.float32) + 1, np.zeros((0, DIMS), np.float32), [], np.zeros(0, int))
+    rng, found, of = np.random.default_rng(SEED), [], []
+    for lang, texts in sorted(of_lang.items()):
+        c = np.zeros((len(texts), DIMS), np.float32)
+        for i, (at, n) in enumerate(texts):
+            c[i, at] = n
+        own = cluster(model.vectors(c), centroids, rng)
+        of += [len(model.langs)] * len(own)
         model.langs.append(lang)
         found.append(own)
-        of += [i] * len(own)
     if found:
         model.centroids, model.of = np.concatenate(found).astype(np.float32), np.array(of)
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """documents(doc_id, text) as (doc_id, lang_pred, score); score is the cosine of the nearest centroid.
+PREDICTED = "doc_id long, lang_pred string, score double, distance double, rejected boolean"
 
-    lang_pred is und, with score 0, if the text is null or has no letter. Repeated rows and null ids are kept, other
-    columns ignored, an empty table gives an empty one. The model, a few centroids a language, goes to the tasks.
+
+def predict(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
+    """documents(doc_id, text) as PREDICTED; score is the cosine of the nearest centroid, distance 1 less that.
+
+    A text further than `reject` from all centroids is rejected: its language counts as none of those learned, though
+    lang_pred still names the nearest. lang_pred is und, score 0, distance 1 and the text rejected if it is null or has no
+    letter. Repeated rows and null ids are kept, other columns ignored, an empty table gives an empty one. The model, a few
+    centroids for each of at most LANGUAGES languages, goes to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             langs, scores = shared.value.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            far = [round(1 - s, 6) for s in scores]
+            gone = [lang == UNDETERMINED or d > reject for lang, d in zip(langs, far, strict=True)]
+            columns = [b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.float64()), pa.array(gone, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PREDICTED.split(", ")])
 
     batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PREDICTED)
 
 
 def keep(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
-    """The rows of documents, with all their columns, whose text has a letter and lies at most `reject` from a centroid."""
+    """The rows of documents, with all their columns, that predict() doesn't reject."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
     at = docs.columns.index("text")
@@ -177,7 +193,7 @@ def keep(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             langs, scores = shared.value.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([lang != UNDETERMINED and 1 - s <= reject for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            yield b.filter(pa.array([lang != UNDETERMINED and round(1 - s, 6) <= reject for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
@@ -191,4 +207,4 @@ def learn(docs: DataFrame) -> Model:
 def op8_language(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     p = predict(docs, learn(docs))
-    return p.select("doc_id", (hash_third(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+    return p.select("doc_id", (hash_third(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "distance", "rejected")

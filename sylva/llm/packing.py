@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from .common import batches, read
 
 WINDOW = 4096
-#: Context sizes that documents are routed to by length; the last is the window.
+#: Context sizes that documents are routed to by length, each packed into sequences of its own; the last is the window.
 TIERS = (256, 512, 1024, 2048, WINDOW)
 #: The id after each document.
 END = 2
 #: Tokens that a task holds before it packs them: the bound of its memory, besides one document.
 POOL = 1 << 20
-#: Sequences in a step group.
-STEP = 16
+#: Tokens of a step group, whose sequences are of one size.
+STEP = 16 * WINDOW
+#: Sequences, without their ids, that a task holds to deal them to step groups evenly: those of over 100 MB of text.
+BALANCED = 1 << 15
 #: Pieces of text whose ids a worker keeps, in two halves: the older half goes when the younger is full.
 CACHE = 800_000
 SPECIAL = b"<|"
@@ -114,85 +116,113 @@ def tier_of(length: int) -> int:
 
 
 class Packer:
-    """Cuts token streams into full windows; what is left at the end goes into sequences of powers of two, without padding."""
+    """Cuts token streams into windows and packs each tier into sequences of its size; what is left at the end goes into
+    sequences of powers of two, so nothing is padded."""
 
     def __init__(self, task: int):
         self.sequence = self.step = task << 32
-        self.tiers, self.held, self.full, self.rows = [deque() for _ in TIERS], 0, [], []
+        self.tiers, self.held, self.rows = [deque() for _ in TIERS], [0] * len(TIERS), []
+        self.full: dict[int, list] = {}
 
     def put(self, piece: tuple) -> None:
         """piece: (doc_id, start, ids as bytes, the document's tokens), shorter than a window."""
-        self.tiers[tier_of(len(piece[2]) // 4)].append(piece)
+        t = tier_of(len(piece[2]) // 4)
+        self.tiers[t].append(piece)
+        self.held[t] += len(piece[2]) // 4
+
+    def take(self, t: int) -> tuple:
+        piece = self.tiers[t].popleft()
+        self.held[t] -= len(piece[2]) // 4
+        return piece
 
     def add(self, doc_id, ids: bytes) -> None:
         n, at = len(ids) // 4, 0
         while n - at >= WINDOW:
-            self.full.append((WINDOW, [(doc_id, at, ids[4 * at : 4 * (at + WINDOW)], n)]))
+            self.close(WINDOW, [(doc_id, at, ids[4 * at : 4 * (at + WINDOW)], n)])
             at += WINDOW
         if at < n:
             self.put((doc_id, at, ids[4 * at :], n))
-            self.held += n - at
-        if self.held >= POOL:
+        if sum(self.held) >= POOL:
             self.pack(POOL // 4)
 
     def fill(self, size: int) -> None:
         """A sequence of so many tokens: the longest tier's piece that fits, gaps filled from shorter tiers, the last one cut to measure."""
         pieces, gap = [], size
         while gap:
-            fits = next((t for t in reversed(self.tiers) if t and len(t[0][2]) <= 4 * gap), None)
+            fits = next((t for t in reversed(range(len(TIERS))) if self.tiers[t] and len(self.tiers[t][0][2]) <= 4 * gap), None)
             if fits is not None:
-                p = fits.popleft()
+                p = self.take(fits)
             else:
-                doc_id, start, ids, n = next(t for t in self.tiers if t).popleft()
+                doc_id, start, ids, n = self.take(next(t for t in range(len(TIERS)) if self.tiers[t]))
                 p = (doc_id, start, ids[: 4 * gap], n)
                 self.put((doc_id, start + gap, ids[4 * gap :], n))
             pieces.append(p)
             gap -= len(p[2]) // 4
-        self.held -= size
-        self.full.append((size, pieces))
+        self.close(size, pieces)
 
     def pack(self, keep: int) -> None:
-        """Windows from what is held, until less than `keep` tokens and less than a window are left."""
-        while self.held >= max(keep, WINDOW):
-            self.fill(WINDOW)
-        self.emit()
+        """Sequences from what is held, the longest tier's first and with gaps filled from shorter tiers, until less than
+        `keep` tokens are left or no tier has enough for one of its size."""
+        for t in reversed(range(len(TIERS))):
+            while self.tiers[t] and sum(self.held) >= keep and sum(self.held[: t + 1]) >= TIERS[t]:
+                self.fill(TIERS[t])
 
     def end(self) -> None:
         self.pack(0)
-        for size in (WINDOW >> i for i in range(1, WINDOW.bit_length())):
-            if self.held >= size:
-                self.fill(size)
-        self.emit()
-
-    def emit(self) -> None:
-        """Numbers the sequences made so far and deals them to step groups, those of many pieces evenly."""
-        groups = max(1, -(-len(self.full) // STEP))
-        for i, (size, pieces) in enumerate(sorted(self.full, key=lambda x: -len(x[1]))):
-            lap, k = divmod(i, groups)
-            offset, step = 0, self.step + (groups - 1 - k if lap % 2 else k)
-            for doc_id, start, ids, n in pieces:
-                length = len(ids) // 4
-                self.rows.append((doc_id, start, length, zlib.crc32(ids), n, self.sequence, offset, size, step))
-                offset += length
-            self.sequence += 1
-        self.step += groups
-        self.full = []
+        while rest := sum(self.held):
+            self.fill(min(WINDOW, 1 << (rest.bit_length() - 1)))
+        self.deal(True)
+
+    def close(self, size: int, pieces: list[tuple]) -> None:
+        cost = sum(len(p[2]) ** 2 for p in pieces)
+        self.full.setdefault(size, []).append((cost, [(doc_id, start, len(ids) // 4, zlib.crc32(ids), n) for doc_id, start, ids, n in pieces]))
+
+    def deal(self, last: bool = False) -> None:
+        """Numbers the sequences and deals them to step groups of STEP tokens and one size, so that groups have about the same
+        sum of squares of their pieces' lengths, which attention costs. What fills no group waits; the last ones make one."""
+        rest: list[tuple[int, tuple]] = []
+        for size in sorted(self.full, reverse=True):
+            found, each = self.full[size], STEP // size
+            groups = len(found) // each
+            dealt, left = found[: groups * each], found[groups * each :]
+            for i, one in enumerate(sorted(dealt, key=lambda x: -x[0])):
+                lap, k = divmod(i, groups)
+                self.number(size, one, self.step + (groups - 1 - k if lap % 2 else k))
+            self.step += groups
+            self.full[size] = [] if last else left
+            rest += [(size, one) for one in left] if last else []
+        tokens = 0
+        for size, one in rest:
+            if tokens + size > STEP:
+                self.step, tokens = self.step + 1, 0
+            self.number(size, one, self.step)
+            tokens += size
+        self.step += bool(tokens)
+
+    def number(self, size: int, one: tuple, step: int) -> None:
+        offset = 0
+        for doc_id, start, length, crc, n in one[1]:
+            self.rows.append((doc_id, start, length, crc, n, self.sequence, offset, size, step))
+            offset += length
+        self.sequence += 1
 
     def out(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
-            self.rows = []
+        for i in range(0, len(self.rows), 10_000):
+            columns = zip(*self.rows[i : i + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
+        self.rows = []
 
 
 def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The pieces (SCHEMA) of documents(doc_id, text), whose ids by the tokenizer of that path, and END, fill sequences.
 
-    Each task packs its own partition: no row moves. Documents are routed by length to TIERS; windows take the longest
-    piece that fits and fill their gaps from shorter tiers, the last piece cut to measure; a task's last tokens go into
-    sequences of powers of two. So no sequence is padded and each id lies in one piece. `tier` is the sequence's size
-    and `step_id` its step group, of up to 16 sequences with alike numbers of pieces. A null or empty text is END alone;
-    null ids and repeated rows are packed like others; an empty table gives none; other columns are ignored. Tasks that
-    are run again number their sequences alike: by partition, then in order.
+    Each task packs its own partition: no row moves. Documents are routed by length to TIERS, those over a window after
+    whole windows are cut off; each tier is packed into sequences of its size, the longest tier first: a sequence takes the
+    longest piece that fits and fills its gap from shorter tiers, the last piece cut to measure; a task's last tokens go
+    into sequences of powers of two. So no sequence is padded and each id lies in one piece. `tier` is the sequence's size
+    and `step_id` its step group: sequences of one size and STEP tokens together, dealt so that groups cost alike. A null or
+    empty text is END alone; null ids and repeated rows are packed like others; an empty table gives none; other columns
+    are ignored. Tasks that are run again number their sequences alike: by partition, then in order.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +230,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 packer.add(doc_id, words.ids(text.as_py()) + end)
-                if len(packer.rows) >= 4096 or len(packer.full) >= POOL // WINDOW:
-                    packer.emit()
+                if sum(map(len, packer.full.values())) >= BALANCED:
+                    packer.deal()
                     yield from packer.out()
         packer.end()
         yield from packer.out()

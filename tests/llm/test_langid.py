@@ -1,5 +1,9 @@
+import math
 import random
+import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -51,6 +55,50 @@ def test_sample_is_bounded(spark):
     assert model.langs == ["de", "en", "fr"] and len(model.centroids) == 6
 
 
+def grams(text):
+    """Counts of buckets, n-gram by n-gram, in integers of Python."""
+    mask, out = (1 << 64) - 1, Counter()
+    x = " " + "".join(c.lower() if unicodedata.category(c)[0] == "L" else " " for c in text) + " "
+    x = [ord(c) for c in re.sub(" +", " ", x)]
+    for n in (1, 2, 3):
+        for i in range(len(x) - n + 1):
+            one = [c * 0x9E3779B97F4A7C15 for c in x[i : i + n]]
+            h = one[0]
+            if n > 1:
+                h = one[0] * 3 + one[1] * 5
+            if n > 2:
+                h = h * 7 + one[2] * 11
+            out[((h + n - 1) * 0xC2B2AE3D27D4EB4F & mask) >> 51] += 1
+    return out
+
+
+def test_against_brute_force(spark):
+    """The nearest of all centroids by cosine, one text and centroid at a time, and what lies too far from them."""
+    rng = random.Random(7)
+    data = rows(rng, 150) + [(1000, "日本語の文章", None), (1001, "Привет мир", None), (1002, "zzzz qqqq xxxx", None), (1003, "a", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = m.learn(docs)
+    got = {r.doc_id: r for r in m.predict(docs, model, 0.8).collect()}
+    idf = model.idf.astype(float)
+    for i, text, _ in data:
+        v = {b: math.log1p(n) * idf[b] for b, n in grams(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centroids]
+        best = max(cosines)
+        assert abs(got[i].score - max(0, best)) < 1e-5 and abs(got[i].distance - 1 + got[i].score) < 1e-5
+        near = {model.langs[model.of[k]] for k, c in enumerate(cosines) if c > best - 1e-6}
+        assert got[i].lang_pred in near and got[i].rejected == (got[i].distance > 0.8)
+    assert got[1000].rejected and got[1001].rejected
+    assert {r.doc_id for r in m.keep(docs, model, 0.8).collect()} == {i for i, r in got.items() if not r.rejected}
+
+
+def test_dirty_languages(spark):
+    """Of many labels those with most documents are learned."""
+    data = rows(random.Random(5), 300) + [(1000 + i, "the and ing", f"dirt{i}") for i in range(50)]
+    model = m.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), languages=3)
+    assert model.langs == ["de", "en", "fr"]
+
+
 def test_odd(spark, odd, clashing, empty):
     model = m.learn(odd)
     for df in (odd, clashing):

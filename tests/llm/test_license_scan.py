@@ -41,6 +41,37 @@ def test_altered_passages(spark, odd):
     assert 0.6 <= spans[2000]["mit"] < 1 and spans[2001] == {} and spans[2002] == {"reserved": 1.0}
 
 
+def labels(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(s.label, s.start) for s in sorted(r.spans, key=lambda s: s.start) if not s.exact] for r in m.scan(df).collect()}
+
+
+def test_licences_that_differ_in_a_word(spark):
+    kinds = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"]
+    lines = [f"This work is licensed under CC {k.upper()} 4.0." for k in kinds] + [f"It is licensed under the GNU {x}General Public License." for x in ("", "Lesser ", "Affero ")]
+    got = labels(spark, [*lines, "x " * 50 + ". ".join(lines), "released under the BSD licence"])
+    want = ["cc-by-only", *(f"cc-{k}" for k in kinds[1:]), "gnu", "lgpl", "agpl"]
+    assert [got[i] for i in range(9)] == [[(w, 3 if i < 6 else 2)] for i, w in enumerate(want)]
+    assert [x for x, _ in got[9]] == want and got[10] == []
+
+
+def test_whole_texts_in_order(spark):
+    rng = random.Random(5)
+    texts = [t for t, _ in m.TEMPLATES if len(t.split()) > 40]
+    altered = [" ".join(w for w in t.split() if rng.random() > 0.05) for t in texts]
+    shuffled = []
+    for t in texts:
+        parts = [t.split()[i : i + 8] for i in range(0, len(t.split()), 8)]
+        rng.shuffle(parts)
+        shuffled.append(" ".join(sum(parts, [])))
+    got = labels(spark, texts + altered + shuffled)
+    for i, t in enumerate(texts):
+        label = dict(m.TEMPLATES)[t]
+        assert got[i] == [(label, 0)] and {x for x, _ in got[len(texts) + i]} == {label}
+    # parts out of order aren't the text, though its grams are there; a sentence left whole may still be named
+    assert sum(len(got[2 * len(texts) + i]) for i in range(len(texts))) <= 2
+
+
 def test_odd(clashing, empty):
     assert m.scan(clashing).count() == clashing.count()
     assert m.scan(empty).count() == 0

@@ -80,7 +80,7 @@ def test_pack(odd, clashing, empty, plain, path):
 def test_windows_and_steps(spark, plain, path, monkeypatch):
     monkeypatch.setattr(m, "POOL", 1 << 14)
     rng = random.Random(3)
-    docs = [(i, " ".join(rng.choice(("alpha", "beta", "gamma!")) for _ in range(rng.choice((1, 30, 700, 5000))))) for i in range(120)]
+    docs = [(i, " ".join(rng.choice(("alpha", "beta", "gamma!")) for _ in range(rng.choice((1, 30, 100, 170, 400, 400, 700, 700, 3000))))) for i in range(400)]
     p = m.Packer(2)
     w = m.Words(path)
     end = np.array([m.END], "<u4").tobytes()
@@ -93,8 +93,34 @@ def test_windows_and_steps(spark, plain, path, monkeypatch):
             self.doc_id, self.start, self.length, self.ids_crc32, self.doc_tokens, self.sequence_id, self.offset, self.tier, self.step_id = r
 
     rows = [Row(r) for r in p.rows]
-    assert check(rows, docs, plain) <= 12
-    steps = defaultdict(set)
+    assert check(rows, docs, plain) < len({r.sequence_id for r in rows})
+    steps, of = defaultdict(dict), defaultdict(list)
     for r in rows:
-        steps[r.step_id].add(r.sequence_id)
-    assert max(map(len, steps.values())) <= m.STEP and all(s >> 32 == 2 for s in steps)
+        steps[r.step_id][r.sequence_id] = r.tier
+        of[r.sequence_id].append(r)
+    assert max(sum(s.values()) for s in steps.values()) <= m.STEP and all(s >> 32 == 2 for s in steps)
+    # documents of some length go to the tier of that length, and shorter ones only fill gaps there
+    for q in of.values():
+        if q[0].tier in m.TIERS:
+            assert max(r.length for r in q) * 2 > q[0].tier or q[0].tier == m.TIERS[0] or sum(r.doc_tokens > r.length for r in q)
+    whole = [r for r in rows if r.length == r.doc_tokens]
+    own = [r.tier == m.TIERS[m.tier_of(r.length)] for r in whole if r.length > 64]
+    assert sum(own) >= 0.3 * len(own) and {r.tier for r in rows} >= {1024, m.WINDOW}
+
+
+def test_steps_cost_alike(path):
+    """Groups of one size have the same number of tokens, and costs within a few per cent though documents come by length."""
+    p = m.Packer(0)
+    for i in range(6000):
+        n = 20 + i // 4 if i % 2 else 30
+        p.add(i, np.full(n, 5, "<u4").tobytes())
+    p.end()
+    cost, tokens, tier = defaultdict(int), defaultdict(int), {}
+    for _, _, length, _, _, _, _, size, step in p.rows:
+        cost[step] += length**2
+        tokens[step] += length
+        tier[step] = size
+    for size in m.TIERS:
+        groups = [s for s in tokens if tier[s] == size and tokens[s] == m.STEP]
+        assert max([cost[s] for s in groups], default=1) <= 1.1 * min([cost[s] for s in groups], default=1)
+    assert sum(t < m.STEP for t in tokens.values()) <= 3 and sum(tokens.values()) == sum(20 + i // 4 if i % 2 else 30 for i in range(6000))

@@ -38,7 +38,7 @@ def test_quality_keeps_what_scores(spark, sf, stages):
 def test_language_keeps_what_is_near(stages):
     docs = stages["quality"]
     got = {r.doc_id: r for r in langid.predict(docs, langid.learn(docs)).collect()}
-    want = sorted(i for i, r in got.items() if r.lang_pred != "und" and 1 - r.score <= c.LANGUAGE_REJECT)
+    want = sorted(i for i, r in got.items() if r.lang_pred != "und" and not r.rejected)
     assert want == sorted(r.doc_id for r in stages["language"].collect())
 
 
