@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from sylva.llm import langid, mixing, packing, quality, simhash_dedup
 from sylva.llm.common import checkpoints, read
 
-#: Cosine distance from all centroids above which a document's language counts as none of those learned.
-LANGUAGE_REJECT = 0.85
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learned on the labels, scores 0.5 or more."""
@@ -23,7 +20,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose n-grams lie near a language's centroid."""
-    return langid.keep(docs, langid.learn(docs), LANGUAGE_REJECT)
+    return langid.keep(docs, langid.learn(docs))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
