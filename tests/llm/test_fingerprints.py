@@ -1,12 +1,15 @@
 import hashlib
 import random
 
+import xxhash
+
 from sylva.llm import fingerprints as m
 
 
 def successors(rows):
-    """(row, next row) by descending id, nulls last, ties by text; the last one's is the first."""
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    """(row, next row) by descending id, nulls last, ties by falling hash of the text; the last one's is the first."""
+    hashed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)  # noqa: E731  as signed
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashed(r[1]), r[1]))
     return list(zip(order, order[1:] + order[:1], strict=True))
 
 
@@ -32,6 +35,16 @@ def test_edits(spark, odd, clashing, empty):
     check(spark.createDataFrame([(None, f"t{i}") for i in range(9)] + [(i, f"u{i}" * i) for i in range(200)], "doc_id long, text string"))
 
 
+def test_one_id_of_most_rows(spark):
+    """An id, and null, that fill several ranges are parted by the hash of the text."""
+    rows = [(None, f"n{i} x") for i in range(300)] + [(5, f"f{i} y") for i in range(300)] + [(i, f"u{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df)
+    r = m.ranges(df).filter("not ghost").groupBy("doc_id").agg({"part": "approx_count_distinct"}).collect()
+    parts = {x[0]: x[1] for x in r}
+    assert parts[None] > 3 and parts[5] > 3
+
+
 def test_next_fingerprint(odd):
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     got = m.with_edits(odd).collect()
@@ -83,5 +96,6 @@ def test_query(spark, sf):
     fps = {int(r.fingerprint, 16) for r in rows}
     for r in rows:
         own = int(r.fingerprint, 16)
+        assert r.n_same == (sum(x.fingerprint == r.fingerprint for x in rows) - 1 if r.doc_id % 100 == 0 else None)
         assert r.n_near == (sum(0 < (own ^ f).bit_count() <= 3 for f in fps) if r.doc_id % 100 == 0 else None)
         assert abs(r.near_edited - (1 - (own ^ int(r.edited_fingerprint, 16)).bit_count() / 64)) < 1e-9
