@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 
 from .fitting import Cylinder, along, first_guess, fit_cylinder, fit_circle_centre
@@ -55,36 +57,102 @@ def fit_segment(p: np.ndarray, layer: np.ndarray, least: int = 20) -> list[Cylin
     return out
 
 
-def hang(first: Cylinder, parents: list[Cylinder]) -> tuple[int, bool]:
-    """The parent cylinder of a branch's first cylinder, as an index, and whether the gap to it needs a cylinder of its own.
+def crossing(start: np.ndarray, axis: np.ndarray, c: Cylinder) -> float | None:
+    """How far along a line from start its last crossing with the surface of c, taken as endless, is: ahead of a start inside c, behind
+    one that points away from it. None if the line misses it."""
+    a = axis - (axis @ c.axis) * c.axis
+    b = (start - c.start) - ((start - c.start) @ c.axis) * c.axis
+    e, f, g = a @ a, 2 * (a @ b), b @ b - c.radius**2
+    root = f * f - 4 * e * g
+    return float((-f + np.sqrt(root)) / (2 * e)) if root >= 0 and e > 1e-12 else None
+
+
+def between_lines(p: np.ndarray, d: np.ndarray, c: Cylinder) -> tuple[float, float]:
+    """(distance of a line and the axis line of c, the place on c's axis, from its start)."""
+    w, n = p - c.start, np.cross(d, c.axis)
+    size = n @ n
+    if size < 1e-12:
+        h = float(w @ c.axis)
+        return float(np.linalg.norm(w - h * c.axis)), h
+    return float(abs(w @ n) / np.sqrt(size)), float(np.cross(d, w) @ n / size)
+
 
-    Of the four nearest starts, the one whose surface the line of the first axis, followed back, comes closest to, within
-    its ends. The first cylinder is moved to begin on that surface; it keeps its end.
+def hang(own: list[Cylinder], parents: list[Cylinder], childless: bool = False) -> tuple[int | None, list[Cylinder], bool]:
+    """(parent cylinder of a branch as an index, the branch's cylinders as they then are, whether one was put before them).
+
+    Of the parent segment's cylinders the four of nearest starts are tried. The first whose surface the first cylinder's axis
+    crosses, ahead or behind, within its ends is the parent, and the first cylinder begins there. Else the one that is missed
+    by least at its ends: by under a tenth of its length, the same holds; if it is near, the first cylinder is dropped and the
+    second begins there; if it isn't, the first one is only dropped. A lone cylinder of a branch without children is
+    dropped and the branch with it; of one with children it is cut to what leads to a near crossing. Where no parent was
+    found, it is the one whose axis passes nearest within its ends (20 % beyond them, if none does), else the one from whose
+    start the way leads most along the branch; a cylinder over the gap is put before the others if it is over 1 cm and a
+    fifth of the first one long.
     """
-    order = np.argsort([((c.start - first.start) ** 2).sum() for c in parents])[:4]
-    best = None
+    if not parents:
+        return None, own, False
+    if len(parents) == 1:
+        return 0, own, False
+    order = np.argsort([((c.start - own[0].start) ** 2).sum() for c in parents], kind="stable")[:4].tolist()
+    own, first = list(own), own[0]
+
+    def begin(x: float) -> None:
+        own[0] = replace(first, start=first.start + x * first.axis, length=first.length - x)
+
+    missed = []
     for k in order:
         c = parents[k]
-        (d,), (h,), _ = along(first.start[None], c.axis, c.start)
-        score = abs(d - c.radius) + max(0.0, -h, h - c.length)
-        if best is None or score < best[0]:
-            best = (score, int(k), d, h)
-    _, k, d, h = best
-    c = parents[k]
-    h = min(max(h, 0.0), c.length)
-    foot = c.start + h * c.axis
-    out = first.start - foot
-    size = np.linalg.norm(out)
+        x = crossing(first.start, first.axis, c)
+        if x is None:
+            continue
+        h = float((first.start + x * first.axis - c.start) @ c.axis)
+        over = -h if h < 0 else max(0.0, h - c.length)
+        if x < first.length and over == 0:
+            begin(x)
+            return k, own, False
+        missed.append((over if x < first.length else abs(h), k, x, x < first.length))
+    if missed:
+        over, k, x, fits = min(missed, key=lambda m: m[0])
+        c = parents[k]
+        if fits and over < 0.1 * c.length:
+            begin(x)
+            return k, own, False
+        near = x <= first.radius
+        if len(own) > 1:
+            place = first.start + x * first.axis
+            own = own[1:]
+            if near and over <= 1.25 * c.length:
+                way = own[0].start + own[0].length * own[0].axis - place
+                n = float(np.linalg.norm(way))
+                if n > 1e-9:
+                    own[0] = replace(own[0], start=place, axis=way / n, length=n)
+                return k, own, False
+        elif childless:
+            return None, [], False
+        elif near and over <= 1.5 * c.length and abs(x) > 1e-9:
+            own[0] = replace(first, start=first.start + x * first.axis, length=abs(x))
+            return k, own, False
+    first = own[0]
+    lines = [(*between_lines(first.start, first.axis, parents[k]), k) for k in order]
+    on = [m for m in lines if 0 <= m[1] <= parents[m[2]].length] or [m for m in lines if -0.2 * parents[m[2]].length <= m[1] <= 1.2 * parents[m[2]].length]
+    if on:
+        _, h, k = min(on, key=lambda m: m[0])
+        foot = parents[k].start + h * parents[k].axis
+    else:
+        along_it = lambda k: float((first.start - parents[k].start) @ first.axis) / max(float(np.linalg.norm(first.start - parents[k].start)), 1e-12)
+        k = max(order, key=along_it)
+        foot = parents[k].start
+    c, way = parents[k], first.start - foot
+    size = float(np.linalg.norm(way))
     if size > 1e-9:
-        place, end = foot + out / size * c.radius, first.start + first.length * first.axis
-        gap = size - c.radius
-        if gap > max(0.5 * first.length, 0.05):
-            return k, True
-        way = end - place
-        if np.linalg.norm(way) > 1e-6:
-            first.length = float(np.linalg.norm(way))
-            first.axis, first.start = way / first.length, place
-    return k, False
+        way = way / size
+        out = float(np.sqrt(max(0.0, 1 - (way @ c.axis) ** 2))) * size  # from the parent's axis
+        if out > c.radius:
+            gap = (out - c.radius) / out * size
+            if gap > 0.01 and gap > 0.2 * first.length:
+                own.insert(0, replace(first, start=foot + c.radius / out * size * way, axis=way, length=gap))
+                return k, own, True
+    return k, own, False
 
 
 def recentre(p: np.ndarray, c: Cylinder, before: float) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,24 @@ def cut_plain(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
-def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes of a table that is broadcast, at most; a row counts 16 bytes besides what its columns hold.
+BROADCAST_BYTES = 64 << 20
+
+
+def width(c: str, kind: str) -> Column:
+    """Bytes of a column's value, about."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return F.lit(8)
+
+
+def broadcast_below(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes; else as it is, for a shuffled join.
+
+    Only the first rows + 1 are counted and measured, so a table that grows is never read further than that.
+    """
+    total = sum((width(f"`{c}`", t) for c, t in df.dtypes), F.lit(16))
+    r = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(total).alias("bytes")).first()
+    return F.broadcast(df) if r.n <= rows and (r.bytes or 0) <= size else df

@@ -49,7 +49,7 @@ def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch:
         else:
             forest.trunk(nei, xyz, start)
         forest.make_connected(nei, xyz, start, forbidden, patch)
-        found = forest.correct(forest.segments(nei, start, forbidden), nei, xyz, small, True, children)
+        found = forest.correct(forest.segments(nei, start, forbidden), xyz, patch, small, True, children)
         rows, tree = [], int(sets["tree_id"].iloc[0])
         for s, (layers, parent, at) in enumerate(found):
             rows += [(tree, s + 1, parent + 1, at + 1, k + 1, int(ids[i])) for k, x in enumerate(layers) for i in x]
@@ -76,14 +76,15 @@ def fit_cylinders(points: DataFrame, member: DataFrame, segs: DataFrame, least:
 
 
 def chain(raw: DataFrame, segs: DataFrame) -> DataFrame:
-    """CYLINDER rows: segments with cylinders as branches, parents first, each hung on the nearest cylinder of its parent's;
-    a gap that is too wide gets a cylinder of its own, of the parent's half radius at most."""
+    """CYLINDER rows: segments with cylinders as branches, parents first, each hung on a cylinder of its parent's as hang() says.
+    A segment without cylinders passes its children on to its own parent."""
     parents = segs.select("tree_id", "seg_id", "parent_seg").distinct()
     r = raw.join(parents, ["tree_id", "seg_id"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, at, branch_of, order, cyls = [], 1, {}, {}, {}
         up = dict(zip(pdf["seg_id"], pdf["parent_seg"], strict=True))
+        parents_of = {*up.values()}
         tree = int(pdf["tree_id"].iloc[0])
         for seg, g in pdf.sort_values(["seg_id", "k"]).groupby("seg_id", sort=True):
             own = [Cylinder(t.radius, t.length, np.array([t.start_x, t.start_y, t.start_z]), np.array([t.axis_x, t.axis_y, t.axis_z]), t.mad, t.surf_cov, True, True) for t in g.itertuples()]
@@ -92,15 +93,10 @@ def chain(raw: DataFrame, segs: DataFrame) -> DataFrame:
                 over = up.get(over, 0)
             parent, extra = None, False
             if over:
-                k, extra = hang(own[0], [c for _, c in cyls[over]])
+                k, own, extra = hang(own, [c for _, c in cyls[over]], seg not in parents_of)
+                if not own:
+                    continue
                 parent = cyls[over][k]
-                if extra:
-                    p = parent[1]
-                    h = min(max(float((own[0].start - p.start) @ p.axis), 0.0), p.length)
-                    start = p.start + h * p.axis
-                    way = own[0].start - start
-                    n = float(np.linalg.norm(way))
-                    own.insert(0, Cylinder(min(own[0].radius, 0.5 * p.radius), n, start, way / n, 0.0, 0.0, True, True))
             branch_of[seg], order[seg] = len(branch_of) + 1, order[over] + 1 if over else 0
             cyls[seg] = []
             for k, c in enumerate(own):

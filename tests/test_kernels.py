@@ -108,7 +108,7 @@ def tree():
 def test_segments_of_a_y_tree():
     g, nei = tree()
     base = np.flatnonzero(g[:, 2] < 0.05)
-    found = forest.correct(forest.segments(nei, base, np.zeros(len(g), bool)), nei, g, True, True, False)
+    found = forest.correct(forest.segments(nei, base, np.zeros(len(g), bool)), g, 0.1, True, True, False)
     assert len(found) == 3 and [s[1] for s in found] == [-1, 0, 0]
     every = np.concatenate([x for s in found for x in s[0]])
     assert len(every) == len(np.unique(every)) == len(g)
@@ -126,10 +126,10 @@ def test_parents_come_first_and_layers_exist():
         tree_ = forest.make_connected(nei, g, base, forbidden, 0.2)
         segs = forest.segments(nei, base, forbidden)
         assert sum(len(x) for s in segs for x in s[0]) == tree_.sum()
-        for fixed in (segs, forest.correct(segs, nei, g, False, False, False), forest.correct(segs, nei, g, True, True, False)):
+        for fixed in (segs, forest.correct(segs, g, 0.2, False, False, False), forest.correct(segs, g, 0.2, True, True, False), forest.correct(segs, g, 0.2, False, True, True)):
             for i, (layers, p, at) in enumerate(fixed):
                 assert p < i and all(len(x) for x in layers) and (p < 0 or 0 <= at < len(fixed[p][0]))
-        assert sum(len(x) for s in forest.lengthen(segs, g) for x in s[0]) == tree_.sum()
+        assert sum(len(x) for s in forest.lengthen(segs, g, 0.2) for x in s[0]) == tree_.sum()
 
 
 def test_trunk_bridges_gaps():
@@ -186,3 +186,219 @@ def test_crowns_are_of_all_points(spark):
     mean = sum(np.linalg.norm(v[sector == s], axis=1).max() for s in set(sector)) / 18
     assert got.area_alpha == pytest.approx(hulls.alpha_size(p[:, :2], max(0.5, mean / 10)))
     assert got.volume_alpha == pytest.approx(hulls.alpha_size(p, max(0.5, mean / 5), fill=True))
+
+
+# --- rules of segmentation, one by one --------------------------------------------------------------------------------
+
+
+def lattice(columns):
+    """Sets and neighbours of columns of sets: (x, y, from height, to height); sets less than 0.15 apart are neighbours."""
+    g = np.array([[x, y, h] for x, y, low, high in columns for h in np.arange(low, high, 0.1)])
+    d = ((g[:, None] - g[None]) ** 2).sum(-1)
+    return g, forest.neighbour_lists(len(g), *np.nonzero((d < 0.15**2) & (d > 0)))
+
+
+def thick_stem(n=60, height=3.0):
+    return [(n * 0.1 / 2 / np.pi * np.cos(a), n * 0.1 / 2 / np.pi * np.sin(a), 0, height) for a in np.linspace(0, 2 * np.pi, n, endpoint=False)]
+
+
+def test_thin_branch_on_a_thick_stem_goes_on():
+    """A branch that begins with under 5 % of a stem's frontier but leads on is one; a stump of two sets isn't."""
+    columns = thick_stem()
+    r = columns[0][0]
+    side = [(r + 0.1 * k, 0, 1.5 + 0.1 * k, 1.5 + 0.1 * k + 0.05) for k in range(1, 40)]  # straight out and up, a set a layer
+    g, nei = lattice(columns + side)
+    far = np.flatnonzero(g[:, 0] > r + 1.0)
+    base = np.flatnonzero(g[:, 2] < 0.05)
+    found = forest.segments(nei, base, np.zeros(len(g), bool))
+    of = {int(i): s for s, (layers, _, _) in enumerate(found) for x in layers for i in x}
+    assert {of[int(i)] for i in far} == {of[int(far[0])]} and of[int(far[0])] != 0
+    g, nei = lattice(columns + side[:2])
+    found = forest.segments(nei, np.flatnonzero(g[:, 2] < 0.05), np.zeros(len(g), bool))
+    assert len(found) == 1
+
+
+@pytest.mark.parametrize(
+    ("found", "cut", "want"),
+    [
+        ([(9, 9, False), (40, 5, True)], 14, [False, False]),  # no larger than its base; the other is 70 % of the study
+        ([(2, 1, False), (20, 5, True), (21, 6, True)], 12, [False, True, False]),  # one set and another; the largest goes on
+        ([(8, 4, False), (90, 90, True)], 94, [False, False]),  # under 5 % and at most as much again
+        ([(9, 4, False), (90, 90, True)], 94, [True, False]),  # more than that
+        ([(8, 4, True), (90, 90, True)], 94, [True, False]),  # leads on
+        ([(3, 2, False), (10, 5, True), (10, 5, True)], 12, [False, False, True]),  # three sets; of equals the first goes on
+        ([(3, 2, True), (10, 5, True), (12, 5, True)], 12, [True, True, False]),
+    ],
+)
+def test_what_branches_off(found, cut, want):
+    assert forest.branches_off([(np.arange(n), np.arange(b), more) for n, b, more in found], cut) == want
+
+
+def test_parts_that_meet_again_are_one():
+    """A frontier that falls apart round a hole and closes within the layers studied."""
+    columns = [(0.1 * k, 0, 0, 3.0) for k in range(6)]
+    hole = [c for c in columns if c[0] not in (0.2, 0.30000000000000004)] + [(0.2, 0, 0, 1.0), (0.3, 0, 0, 1.0), (0.2, 0, 1.25, 3.0), (0.3, 0, 1.25, 3.0)]
+    g, nei = lattice(hole)
+    assert len(forest.segments(nei, np.flatnonzero(g[:, 2] < 0.05), np.zeros(len(g), bool))) == 1
+    open_ = [c for c in columns if c[0] not in (0.2, 0.30000000000000004)] + [(0.2, 0, 0, 1.0), (0.3, 0, 0, 1.0)]
+    g, nei = lattice(open_)
+    assert len(forest.segments(nei, np.flatnonzero(g[:, 2] < 0.05), np.zeros(len(g), bool))) == 2
+
+
+def line(a, b, n):
+    return np.linspace(a, b, n)
+
+
+def chains(*ways):
+    """Segments of one set a layer from (points, parent, at)."""
+    c = np.vstack([w for w, _, _ in ways])
+    ends = np.cumsum([len(w) for w, _, _ in ways])
+    return [([np.array([i]) for i in range(e - len(w), e)], p, at) for (w, p, at), e in zip(ways, ends, strict=True)], c
+
+
+def tip(segs, c, i):
+    return c[segs[i][0][-1][0]]
+
+
+def test_stem_goes_straight_to_the_top():
+    """The stem's first segment bends away; its straight continuation began as a branch."""
+    segs, c = chains((np.vstack([line([0, 0, 0], [0, 0, 4], 40), line([0.1, 0, 4], [4, 0, 5], 40)]), -1, -1), (line([0, 0, 4.1], [0, 0, 9], 49), 0, 39))
+    out = forest.lengthen(segs, c, 0.1)
+    assert np.allclose(tip(out, c, 0), [0, 0, 9]) and np.allclose(tip(out, c, 1), [4, 0, 5]) and out[1][1:] == (0, 39)
+    assert sum(len(x) for s in out for x in s[0]) == len(c)
+
+
+def test_branches_go_straight_and_far():
+    """A branch of the stem takes the straight way of nearly the same reach; one of a branch the farthest tip."""
+    stem = (line([0, 0, 0], [0, 0, 8], 80), -1, -1)
+    branch = (np.vstack([line([0.1, 0, 3], [2, 0, 3], 20), line([2, 0.1, 3], [2, 2.4, 3], 23), line([2.1, 2.4, 3], [3.2, 0.3, 3], 23)]), 0, 30)
+    straight = (line([2.1, 0, 3], [3, 0, 3], 9), 1, 19)
+    out = forest.lengthen(*chains(stem, branch, straight), 0.1)
+    segs, c = chains(stem, branch, straight)
+    assert np.allclose(tip(out, c, 1), [3, 0, 3]) and len(out) == 3
+    twig = (np.vstack([line([0.1, 0, 3], [2, 0, 3], 20)]), 0, 30)
+    second = (np.vstack([line([1, 0.1, 3], [1, 0.5, 3], 5)]), 1, 9)
+    third = (line([1.1, 0.5, 3], [1.5, 0.9, 3], 8), 2, 4)
+    segs, c = chains(stem, twig, second, third)
+    out = forest.lengthen(segs, c, 0.1)
+    assert len(out) == 3 and np.allclose(tip(out, c, 2), [1.5, 0.9, 3]) and len(out[2][0]) == 13
+
+
+def test_ways_are_what_segments_become():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        ways, n = [(rng.random((int(rng.integers(8, 20)), 3)), -1, -1)], int(rng.integers(2, 7))
+        for _ in range(n):
+            p = int(rng.integers(0, len(ways)))
+            ways.append((rng.random((int(rng.integers(5, 12)), 3)), p, int(rng.integers(0, len(ways[p][0]) - 4))))
+        segs, c = chains(*ways)
+        for t in range(1, len(segs)):
+            s = forest.Segments(segs)
+            want = s.way(0, t)
+            s.extend(0, t)
+            if all(len(segs[k][0]) - segs[j][2] > 5 for j in range(1, len(segs)) for k in [segs[j][1]]):  # no end is near
+                assert [x.tolist() for x in s.layers[0]] == [x.tolist() for x in want]
+            out = s.listed()
+            assert sorted(int(i) for x, _, _ in out for y in x for i in y) == [*range(len(c))]
+            assert all(p < i and (p < 0 or 0 <= at < len(out[p][0])) for i, (_, p, at) in enumerate(out))
+
+
+def test_small_segments_go():
+    ring = lambda r, h, n=8: [[r * np.cos(a), r * np.sin(a), h] for a in np.linspace(0, 2 * np.pi, n, endpoint=False)]
+    c, segs = [], [([], -1, -1)]
+
+    def add(points):
+        c.extend(points)
+        return np.arange(len(c) - len(points), len(c))
+
+    for k in range(30):
+        segs[0][0].append(add(ring(0.2, 0.1 * k)))
+    segs.append(([add([[0.21, 0, 1.0]]), add([[0.215, 0, 1.1]])], 0, 9))  # hardly leaves the stem
+    segs.append(([add([[0.3, 0, 1.5]]), add([[0.6, 0, 1.6]]), add([[0.9, 0, 1.7]])], 0, 14))  # leaves it
+    segs.append(([add([[0.6, 0.01, 1.605]]), add([[0.6, 0.005, 1.605]])], 2, 1))
+    segs.append(([add([[0.21, 0, 2.0]])], 0, 19))  # hardly leaves the stem, but its child does
+    segs.append(([add([[0.5, 0, 2.1]]), add([[0.9, 0, 2.2]])], 4, 0))
+    segs.append(([add([[0.205, 0, 2.5]])], 0, 24))  # neither does its child
+    segs.append(([add([[0.207, 0, 2.6]])], 6, 0))
+    out = forest.remove_small(segs, np.array(c))
+    assert [s[0][0][0] for s in out] == [segs[i][0][0][0] for i in (0, 2, 4, 5)] and [s[1] for s in out] == [-1, 0, 0, 2]
+
+
+def test_bases_are_followed_back():
+    ring = [[0.2 * np.cos(a), 0.2 * np.sin(a), 0.1 * k] for k in range(20) for a in np.linspace(0, 2 * np.pi, 12, endpoint=False)]
+    out = [[0.3 + 0.1 * k, y, 1.0 + 0.05 * k] for k in range(6) for y in (-0.05, 0, 0.05)]
+    c = np.array(ring + out)
+    segs = [([np.arange(12 * k, 12 * k + 12) for k in range(20)], -1, -1), ([np.arange(240 + 3 * k, 243 + 3 * k) for k in range(6)], 0, 10)]
+    got = forest.extend_bases(segs, c, 0.1, True)
+    gained = np.setdiff1d(got[1][0][0], segs[1][0][0])
+    assert len(gained) and (c[gained, 0] > 0.1).all() and (np.abs(c[gained, 1]) < 0.15).all() and len(np.concatenate(got[0][0])) == 240 - len(gained)
+    assert forest.extend_bases(segs, c, 0.1, False)[0][0][10].tolist() == segs[0][0][10].tolist()  # a stem keeps its sets
+    deeper = [segs[0], segs[1], ([np.array([255])], 1, 3)]
+    assert all(len(x) for s in forest.extend_bases(deeper, c, 0.1, False) for x in s[0])
+
+
+def test_nearest_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        c = rng.random((80, 3)) * [1, 1, 20]
+        a, b = np.split(rng.permutation(80), [int(rng.integers(1, 79))])
+        d, i, j = forest.nearest(c, a, b)
+        assert i in a and j in b and d == pytest.approx(np.linalg.norm(c[a][:, None] - c[b][None], axis=2).min()) == pytest.approx(np.linalg.norm(c[i] - c[j]))
+
+
+def test_components_join_the_tree_or_the_ground():
+    stem = np.array([[0, 0, h] for h in np.arange(0, 3, 0.1)])
+    groups = {
+        "near": [[0.5, 0, 2 + 0.1 * k] for k in range(5)],
+        "beyond": [[0.95, 0, 2 + 0.1 * k] for k in range(5)],  # near to what is near
+        "ground": [[2 + 0.1 * k, 0, 0] for k in range(20)],
+        "shrub": [[3, 0, 0.4 + 0.1 * k] for k in range(4)],  # nearer to the ground
+        "far": [[0, 20, 2 + 0.1 * k] for k in range(5)],
+    }
+    g = np.vstack([stem, *groups.values()])
+    at, ends = {}, len(stem)
+    for n, x in groups.items():
+        at[n], ends = np.arange(ends, ends + len(x)), ends + len(x)
+    d = ((g[:, None] - g[None]) ** 2).sum(-1)
+    nei = forest.neighbour_lists(len(g), *np.nonzero((d < 0.15**2) & (d > 0)))
+    forbidden = np.zeros(len(g), bool)
+    forbidden[at["ground"]] = True
+    tree = forest.make_connected(nei, g, np.array([0]), forbidden, 0.1, False)
+    assert tree[at["near"]].all() and tree[at["beyond"]].all() and not tree[at["ground"]].any() and not tree[at["shrub"]].any() and not tree[at["far"]].any()
+    assert (tree != forbidden).all() and len(forest.parts(nei, np.flatnonzero(tree))) == 1
+
+
+def cyl(start, axis, length, radius):
+    a = np.array(axis, float)
+    return fitting.Cylinder(radius, length, np.array(start, float), a / np.linalg.norm(a), 0.0, 1.0, True, True)
+
+
+STEM = [cyl([0, 0, 0.5 * k], [0, 0, 1], 0.5, 0.1) for k in range(6)]
+
+
+def test_branches_begin_on_their_parents_surface():
+    k, own, added = stems.hang([cyl([0.3, 0, 1.7], [1, 0, 0], 1, 0.03)], STEM)  # outside, followed back
+    assert (k, added) == (3, False) and np.allclose(own[0].start, [0.1, 0, 1.7]) and own[0].length == pytest.approx(1.2)
+    k, own, added = stems.hang([cyl([0.02, 0, 1.7], [1, 0, 0], 1, 0.03)], STEM)  # inside, followed on
+    assert (k, added) == (3, False) and np.allclose(own[0].start, [0.1, 0, 1.7]) and own[0].length == pytest.approx(0.92)
+    k, own, added = stems.hang([cyl([0.3, 0, 2.98], [1, 0, -0.2], 1, 0.03)], STEM)  # a little over the end
+    assert (k, added) == (5, False) and own[0].start[2] == pytest.approx(3.02)
+    assert stems.hang([cyl([5, 5, 5], [1, 0, 0], 1, 0.03)], STEM[:1])[0] == 0 and stems.hang(own, [])[0] is None
+
+
+def test_cylinders_that_reach_no_parent():
+    two = [cyl([0.3, 0, 3.4], [1, 0, 0.1], 0.5, 0.03), cyl([0.8, 0, 3.45], [1, 0, 0], 0.6, 0.03)]
+    k, own, _ = stems.hang(two, STEM)  # passes over the end, near: the second cylinder begins at the crossing
+    assert k == 5 and len(own) == 1 and np.allclose(own[0].start + own[0].length * own[0].axis, [1.4, 0, 3.45])
+    assert stems.hang(two[:1], STEM, True) == (None, [], False)  # a lone one without children goes
+    k, own, _ = stems.hang(two[:1], STEM, False)
+    assert k == 5 and len(own) == 1
+    k, own, added = stems.hang([cyl([0.5, 0.5, 1.2], [0, 1, 0], 1, 0.03)], STEM)  # passes by: a cylinder over the gap
+    assert added and k == 2 and len(own) == 2 and np.hypot(*own[0].start[:2]) == pytest.approx(0.1)
+    assert np.allclose(own[0].start + own[0].length * own[0].axis, [0.5, 0.5, 1.2]) and own[0].radius == 0.03
+
+
+def test_lines():
+    d, h = stems.between_lines(np.array([5.0, 2, 3]), np.array([1.0, 0, 0]), STEM[0])
+    assert (d, h) == pytest.approx((2, 3))
+    assert stems.between_lines(np.array([3.0, 4, 7]), np.array([0, 0, 1.0]), STEM[0]) == pytest.approx((5, 7))
