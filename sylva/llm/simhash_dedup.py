@@ -327,19 +327,20 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
     an empty one.
     """
     rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("key", F.xxhash64("d.doc_id", "d.text"))
+    own_id = F.col("d.doc_id").cast("long")
     s = cut(sketches(rows.select("key", F.col("d.doc_id").cast("long").alias("doc_id"), F.col("d.text").alias("text")), k))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first")
     texts = cut(s.groupBy("words").agg(first, F.first("ring").alias("ring"), F.first("least").alias("least"), F.count("*").alias("n")))
 
     def full_of(words: DataFrame) -> DataFrame:
-        asked = texts.join(words, "words", "left_semi").select("words", F.col("first.key").alias("t_key"))
-        found = rows.join(asked, F.col("key") == F.col("t_key")).select("words", F.col("d.text").alias("text"))
+        asked = texts.join(words, "words", "left_semi").select("words", F.col("first.key").alias("t_key"), F.col("first.doc_id").alias("t_id"))
+        found = rows.join(asked, (F.col("key") == F.col("t_key")) & own_id.eqNullSafe(F.col("t_id"))).select("words", F.col("d.text").alias("text"))
         return complete(found, k).dropDuplicates(["words"])
 
     groups = near_duplicates(texts, similarity, full_of)
     g = texts.select("words", "first").join(groups.withColumnRenamed("words", "g_words"), F.col("words") == F.col("g_words"), "left")
-    kept = cut(g.groupBy(F.coalesce("component", "words").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept")))
-    out = rows.join(kept, F.col("key") == F.col("kept"), "left_semi")
-    if s.groupBy("key").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["key"])
+    kept = cut(g.groupBy(F.coalesce("component", "words").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept"), F.col("first.doc_id").alias("k_id")))
+    out = rows.join(kept, (F.col("key") == F.col("kept")) & own_id.eqNullSafe(F.col("k_id")), "left_semi")  # by id too: a hash alone could name two rows
+    if s.groupBy("key", "doc_id").count().filter("count > 1").limit(1).count():
+        out = out.withColumn("own", own_id).dropDuplicates(["key", "own"])
     return out.select("d.*")
