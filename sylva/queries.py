@@ -25,15 +25,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to some decimals, without negative zeros."""
-    return df.select(*((F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def r(*columns: str) -> str:
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
-
-
 # --- points ----------------------------------------------------------------------------------------------------------
 
 CELLS = f"""SELECT p.*, floor((x-lx)/{EDGE}e0)::BIGINT AS ci, floor((y-ly)/{EDGE}e0)::BIGINT AS cj, floor((z-lz)/0.25e0)::BIGINT AS ck
@@ -57,10 +48,10 @@ def b1(spark, d):
         m="SELECT l.tree_id, l.point_id, layer, inside, d FROM l JOIN n USING (tree_id, point_id) WHERE k = 5",
         s="SELECT tree_id, layer, avg(d) AS mean, coalesce(stddev_samp(d), 0) AS std FROM m WHERE inside GROUP BY 1, 2",
     )
-    + " SELECT m.tree_id, point_id, m.layer, round(d, 6) AS distance, coalesce(d < mean + 1.5e0*std, false) AS keep FROM m LEFT JOIN s ON m.tree_id = s.tree_id AND m.layer = s.layer",
+    + " SELECT m.tree_id, point_id, m.layer, d AS distance, coalesce(d < mean + 1.5e0*std, false) AS keep FROM m LEFT JOIN s ON m.tree_id = s.tree_id AND m.layer = s.layer",
 )
 def b2(spark, d):
-    return rounded(filters.knn_outliers(load(spark, d, "points"), 5, 1.5))
+    return filters.knn_outliers(load(spark, d, "points"), 5, 1.5)
 
 
 @register(
@@ -81,14 +72,14 @@ def b3(spark, d):
 VOXEL = "SELECT p.*, floor((x-lx)/0.05e0)::BIGINT AS ci, floor((y-ly)/0.05e0)::BIGINT AS cj, floor((z-lz)/0.05e0)::BIGINT AS ck FROM points p JOIN (SELECT tree_id, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM points GROUP BY 1) USING (tree_id)"
 
 
-@register("b5_voxel_downsample", cte("points", v=VOXEL) + f" SELECT tree_id, point_id, {r('x', 'y', 'z')} FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, ci, cj, ck ORDER BY point_id) AS k FROM v) q WHERE k = 1")
+@register("b5_voxel_downsample", cte("points", v=VOXEL) + f" SELECT tree_id, point_id, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, ci, cj, ck ORDER BY point_id) AS k FROM v) q WHERE k = 1")
 def b5(spark, d):
-    return rounded(filters.voxel_downsample(load(spark, d, "points"), 0.05))
+    return filters.voxel_downsample(load(spark, d, "points"), 0.05)
 
 
-@register("b6_voxel_average", cte("points", v=VOXEL) + f" SELECT tree_id, ci, cj, ck, {r('x', 'y', 'z')}, n FROM (SELECT tree_id, ci, cj, ck, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM v GROUP BY 1, 2, 3, 4) q")
+@register("b6_voxel_average", cte("points", v=VOXEL) + f" SELECT tree_id, ci, cj, ck, x, y, z, n FROM (SELECT tree_id, ci, cj, ck, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM v GROUP BY 1, 2, 3, 4) q")
 def b6(spark, d):
-    return rounded(filters.voxel_average(load(spark, d, "points"), 0.05))
+    return filters.voxel_average(load(spark, d, "points"), 0.05)
 
 
 @register("b7_filter_summary", REGISTRY["b3_density_outlier"][1].replace(" SELECT m.tree_id, point_id", ", f AS (SELECT m.tree_id, point_id") + ") SELECT tree_id, count(*) AS total, count(*) FILTER (NOT keep) AS removed, count(*) FILTER (keep) AS remaining, round(100.0e0*count(*) FILTER (NOT keep)/count(*), 1) AS percent FROM f GROUP BY 1")
@@ -122,10 +113,10 @@ def c3(spark, d):
     return near.groupBy("a.tree_id", "a.point_id").agg(F.count("*").alias("n"))
 
 
-@register("c4_rectangles", cte("points", q="SELECT tree_id, floor((x-lx)/0.1e0)::BIGINT AS ci, floor((y-ly)/0.1e0)::BIGINT AS cj, z FROM points JOIN (SELECT tree_id, min(x) AS lx, min(y) AS ly FROM points GROUP BY 1) USING (tree_id)") + " SELECT tree_id, ci, cj, count(*) AS n, round(max(z), 6) AS top FROM q GROUP BY 1, 2, 3")
+@register("c4_rectangles", cte("points", q="SELECT tree_id, floor((x-lx)/0.1e0)::BIGINT AS ci, floor((y-ly)/0.1e0)::BIGINT AS cj, z FROM points JOIN (SELECT tree_id, min(x) AS lx, min(y) AS ly FROM points GROUP BY 1) USING (tree_id)") + " SELECT tree_id, ci, cj, count(*) AS n, max(z) AS top FROM q GROUP BY 1, 2, 3")
 def c4(spark, d):
     g = spatial.with_cells(load(spark, d, "points"), (0.1, 0.1), ("ci", "cj"))
-    return rounded(g.groupBy("tree_id", "ci", "cj").agg(F.count("*").alias("n"), F.max("z").alias("top")))
+    return g.groupBy("tree_id", "ci", "cj").agg(F.count("*").alias("n"), F.max("z").alias("top"))
 
 
 PARITY = "SELECT tree_id, point_id AS id, x, y, z FROM points WHERE point_id%2 = {}"
@@ -139,11 +130,11 @@ def halves(spark, d):
 @register(
     "c5_nearest_pair",
     cte("points", a=PARITY.format(0), b=PARITY.format(1), q="SELECT tree_id, a.id AS a_id, b.id AS b_id, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM a JOIN b USING (tree_id)")
-    + " SELECT tree_id, a_id, b_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY d2, a_id, b_id) AS k FROM q) WHERE k = 1",
+    + " SELECT tree_id, a_id, b_id, sqrt(d2) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY d2, a_id, b_id) AS k FROM q) WHERE k = 1",
 )
 def c5(spark, d):
     a, b = halves(spark, d)
-    return rounded(spatial.nearest_pair(a, b, ["tree_id"]))
+    return spatial.nearest_pair(a, b, ["tree_id"])
 
 
 @register(
@@ -155,20 +146,20 @@ def c5(spark, d):
         q="SELECT tree_id, a.id AS a_id, b.id AS b_id, b.z-a.z AS up, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM a JOIN b USING (tree_id)",
         s="SELECT tree_id, a_id, b_id, d2, greatest(0, floor(round((0.7e0 - up/sqrt(d2))/0.05e0, 9))+1)::BIGINT AS relaxed FROM q WHERE d2 > 0",
     )
-    + " SELECT tree_id, relaxed, a_id, b_id, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY relaxed, d2, a_id, b_id) AS k FROM s) WHERE k = 1",
+    + " SELECT tree_id, relaxed, a_id, b_id, sqrt(d2) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY relaxed, d2, a_id, b_id) AS k FROM s) WHERE k = 1",
 )
 def c6(spark, d):
     a, b = halves(spark, d)
-    return rounded(spatial.nearest_above(a, b, ["tree_id"]))
+    return spatial.nearest_above(a, b, ["tree_id"])
 
 
 @register(
     "c7_kth_distance",
     cte("points", n="SELECT a.tree_id, a.point_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d, row_number() OVER (PARTITION BY a.tree_id, a.point_id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS k FROM points a JOIN points b USING (tree_id)")
-    + " SELECT tree_id, point_id, round(d, 6) AS distance FROM n WHERE k = 3",
+    + " SELECT tree_id, point_id, d AS distance FROM n WHERE k = 3",
 )
 def c7(spark, d):
-    return rounded(spatial.kth_distance(load(spark, d, "points"), 3, 0.15))
+    return spatial.kth_distance(load(spark, d, "points"), 3, 0.15)
 
 
 @register(
@@ -178,10 +169,10 @@ def c7(spark, d):
         f="SELECT c.tree_id, c.branch, p.branch AS p_branch, c.start_x, c.start_y, c.start_z FROM cylinders c JOIN cylinders p ON c.tree_id=p.tree_id AND c.parent=p.cyl_id WHERE c.position=1",
         q="SELECT f.tree_id, f.branch, o.cyl_id, (f.start_x-o.start_x)*(f.start_x-o.start_x)+(f.start_y-o.start_y)*(f.start_y-o.start_y)+(f.start_z-o.start_z)*(f.start_z-o.start_z) AS distance2 FROM f JOIN cylinders o ON f.tree_id=o.tree_id AND f.p_branch=o.branch",
     )
-    + " SELECT tree_id, branch, cyl_id, round(distance2, 6) AS distance2, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, branch ORDER BY distance2, cyl_id) AS rank FROM q) WHERE rank <= 4",
+    + " SELECT tree_id, branch, cyl_id, distance2, rank FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, branch ORDER BY distance2, cyl_id) AS rank FROM q) WHERE rank <= 4",
 )
 def c8(spark, d):
-    return rounded(spatial.nearest_cylinders(load(spark, d, "cylinders")))
+    return spatial.nearest_cylinders(load(spark, d, "cylinders"))
 
 
 # --- branches and trees ----------------------------------------------------------------------------------------------
@@ -200,14 +191,14 @@ K3 = """SELECT b.tree_id, b.branch, arg_min(p.branch, c.cyl_id) AS parent FROM (
 BRANCHES = "SELECT k1.*, angle, parent FROM k1 JOIN k2 USING (tree_id, branch) JOIN k3 USING (tree_id, branch)"
 
 
-@register("k1_branch_table", cte("cylinders", k1=K1) + f""" SELECT tree_id, branch, "order", {r("diameter", "volume", "area", "length", "height", "azimuth", "zenith")} FROM k1""")
+@register("k1_branch_table", cte("cylinders", k1=K1) + f""" SELECT tree_id, branch, "order", diameter, volume, area, length, height, azimuth, zenith FROM k1""")
 def k1(spark, d):
-    return rounded(branches.branch_table(load(spark, d, "cylinders")))
+    return branches.branch_table(load(spark, d, "cylinders"))
 
 
-@register("k2_branch_angle", cte("cylinders", k2=K2) + " SELECT tree_id, branch, round(angle, 6) AS angle FROM k2")
+@register("k2_branch_angle", cte("cylinders", k2=K2) + " SELECT tree_id, branch, angle FROM k2")
 def k2(spark, d):
-    return rounded(branches.branch_angles(load(spark, d, "cylinders")))
+    return branches.branch_angles(load(spark, d, "cylinders"))
 
 
 @register("k3_branch_parent", cte("cylinders", k3=K3) + " SELECT * FROM k3")
@@ -222,18 +213,18 @@ L1 = """SELECT tree_id, 1000*pi()*sum(length*radius*radius) AS total_volume, 100
  max(start_z)+arg_max(greatest(0, length*axis_z), {'z': start_z, 'c': cyl_id})-min(start_z) AS tree_height FROM cylinders GROUP BY 1"""
 
 
-@register("l1_tree_totals", cte("cylinders", t=L1) + f" SELECT tree_id, number_branches, max_branch_order, {r('total_volume', 'trunk_volume', 'branch_volume', 'trunk_length', 'branch_length', 'total_length', 'trunk_area', 'branch_area', 'total_area', 'tree_height')} FROM t")
+@register("l1_tree_totals", cte("cylinders", t=L1) + f" SELECT tree_id, number_branches, max_branch_order, total_volume, trunk_volume, branch_volume, trunk_length, branch_length, total_length, trunk_area, branch_area, total_area, tree_height FROM t")
 def l1(spark, d):
-    return rounded(attributes.totals(load(spark, d, "cylinders")))
+    return attributes.totals(load(spark, d, "cylinders"))
 
 
 L3 = """SELECT tree_id, 2*coalesce(arg_min(radius, position) FILTER (run >= 1.3e0), arg_max(radius, position)) AS dbh_qsm
  FROM (SELECT *, sum(length) OVER (PARTITION BY tree_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM cylinders WHERE branch=1) GROUP BY 1"""
 
 
-@register("l3_dbh_qsm", cte("cylinders", q=L3) + " SELECT tree_id, round(dbh_qsm, 6) AS dbh_qsm FROM q")
+@register("l3_dbh_qsm", cte("cylinders", q=L3) + " SELECT tree_id, dbh_qsm FROM q")
 def l3(spark, d):
-    return rounded(attributes.dbh_from_cylinders(load(spark, d, "cylinders")))
+    return attributes.dbh_from_cylinders(load(spark, d, "cylinders"))
 
 
 SPREADS = """SELECT tree_id, m, layer, sector, max(r) AS r FROM (SELECT p.tree_id, m, least(m, floor(coalesce((z-lo)/nullif(hi-lo, 0), 0)*m)+1)::BIGINT AS layer,
@@ -242,26 +233,26 @@ SPREADS = """SELECT tree_id, m, layer, sector, max(r) AS r FROM (SELECT p.tree_i
 ALL_SPREADS = "SELECT f.tree_id, f.layer, f.direction, coalesce(sum(r), 0) AS spread FROM (SELECT tree_id, unnest(range(1, m+1)) AS layer, direction FROM (SELECT DISTINCT tree_id, m FROM far), range(1, 19) d(direction)) f LEFT JOIN far ON far.tree_id=f.tree_id AND far.layer=f.layer AND far.sector%18+1=f.direction GROUP BY 1, 2, 3"
 
 
-@register("l5_spreads", cte("points", far=SPREADS, s=ALL_SPREADS) + " SELECT tree_id, layer::BIGINT AS layer, direction::BIGINT AS direction, round(spread, 6) AS spread FROM s")
+@register("l5_spreads", cte("points", far=SPREADS, s=ALL_SPREADS) + " SELECT tree_id, layer::BIGINT AS layer, direction::BIGINT AS direction, spread FROM s")
 def l5(spark, d):
     p = load(spark, d, "points")
-    return rounded(attributes.spreads(p, attributes.centroids(p)))
+    return attributes.spreads(p, attributes.centroids(p))
 
 
-@register("l5_vertical_profile", cte("points", far=SPREADS, s=ALL_SPREADS) + " SELECT tree_id, layer::BIGINT AS layer, round(avg(spread), 6) AS mean_spread FROM s GROUP BY 1, 2")
+@register("l5_vertical_profile", cte("points", far=SPREADS, s=ALL_SPREADS) + " SELECT tree_id, layer::BIGINT AS layer, avg(spread) AS mean_spread FROM s GROUP BY 1, 2")
 def l5b(spark, d):
     p = load(spark, d, "points")
-    return rounded(attributes.vertical_profile(attributes.spreads(p, attributes.centroids(p))))
+    return attributes.vertical_profile(attributes.spreads(p, attributes.centroids(p)))
 
 
 @register(
     "l6_crown_diameter",
     cte("points", q="SELECT p.tree_id, least(35, floor(round((degrees(atan2(y-cy, x-cx))+180)/10, 9))) AS sector, max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))) AS r FROM points p JOIN (SELECT tree_id, avg(x) AS cx, avg(y) AS cy FROM points GROUP BY 1) t ON p.tree_id=t.tree_id GROUP BY 1, 2")
-    + " SELECT tree_id, round(sum(r)/18, 6) AS crown_diam_ave FROM q GROUP BY 1",
+    + " SELECT tree_id, sum(r)/18 AS crown_diam_ave FROM q GROUP BY 1",
 )
 def l6(spark, d):
     p = load(spark, d, "points")
-    return rounded(attributes.crown_diameters(p, attributes.centroids(p)))
+    return attributes.crown_diameters(p, attributes.centroids(p))
 
 
 @register(
@@ -282,26 +273,26 @@ def l6(spark, d):
         lo="SELECT de.tree_id, min(low) AS low FROM de JOIN re ON re.tree_id=de.tree_id AND re.branch=de.node GROUP BY 1",
         cb="SELECT tree_id, tree_height, coalesce(low-ground, tree_height) AS crown_base_height FROM tr JOIN (SELECT tree_id, arg_min(start_z, cyl_id) AS ground FROM cylinders GROUP BY 1) USING (tree_id) LEFT JOIN lo USING (tree_id)",
     ).removeprefix("WITH ")
-    + " SELECT tree_id, round(crown_base_height, 6) AS crown_base_height, round(tree_height-crown_base_height, 6) + 0.0 AS crown_length, round((tree_height-crown_base_height)/nullif(tree_height, 0), 6) + 0.0 AS crown_ratio FROM cb",
+    + " SELECT tree_id, crown_base_height, tree_height-crown_base_height AS crown_length, (tree_height-crown_base_height)/nullif(tree_height, 0) AS crown_ratio FROM cb",
 )
 def l8(spark, d):
     c = load(spark, d, "cylinders")
     tree = attributes.totals(c).select("tree_id", "tree_height").join(attributes.dbh_from_cylinders(c), "tree_id")
-    return rounded(attributes.crown_base(branches.full_branch_table(c), c, tree))
+    return attributes.crown_base(branches.full_branch_table(c), c, tree)
 
 
-@register("l11_location", cte("cylinders") + f" SELECT tree_id, {r('x', 'y', 'z')} FROM (SELECT tree_id, arg_min(start_x, cyl_id) AS x, arg_min(start_y, cyl_id) AS y, arg_min(start_z, cyl_id) AS z FROM cylinders GROUP BY 1)")
+@register("l11_location", cte("cylinders") + f" SELECT tree_id, x, y, z FROM (SELECT tree_id, arg_min(start_x, cyl_id) AS x, arg_min(start_y, cyl_id) AS y, arg_min(start_z, cyl_id) AS z FROM cylinders GROUP BY 1)")
 def l11(spark, d):
-    return rounded(attributes.location(load(spark, d, "cylinders")))
+    return attributes.location(load(spark, d, "cylinders"))
 
 
 @register(
     "l12_stem_taper",
     cte("cylinders", t="SELECT tree_id, row_number() OVER w AS step, sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)-length AS distance, 2*radius AS diameter FROM cylinders WHERE branch=1 WINDOW w AS (PARTITION BY tree_id ORDER BY position)")
-    + f" SELECT tree_id, step, {r('distance', 'diameter')} FROM (SELECT * FROM t UNION ALL SELECT tree_id, count(*)+1, sum(length), 2*arg_max(radius, position) FROM cylinders WHERE branch=1 GROUP BY 1)",
+    + f" SELECT tree_id, step, distance, diameter FROM (SELECT * FROM t UNION ALL SELECT tree_id, count(*)+1, sum(length), 2*arg_max(radius, position) FROM cylinders WHERE branch=1 GROUP BY 1)",
 )
 def l12(spark, d):
-    return rounded(attributes.stem_taper(load(spark, d, "cylinders")))
+    return attributes.stem_taper(load(spark, d, "cylinders"))
 
 
 def classes_sql(value: str, width: float, n: int | None) -> str:
@@ -313,12 +304,12 @@ def classes_sql(value: str, width: float, n: int | None) -> str:
             p="SELECT tree_id, class, 1000*pi()*sum(length*radius*radius) AS volume, 2*pi()*sum(length*radius) AS area, sum(length) AS length FROM c GROUP BY 1, 2",
             f=f"SELECT tree_id, unnest(range(1, n+1)) AS class FROM (SELECT tree_id, {top}::BIGINT AS n FROM p GROUP BY 1)",
         )
-        + " SELECT f.tree_id, f.class::BIGINT AS class, round(coalesce(volume, 0), 6) AS volume, round(coalesce(area, 0), 6) AS area, round(coalesce(length, 0), 6) AS length FROM f LEFT JOIN p USING (tree_id, class)"
+        + " SELECT f.tree_id, f.class::BIGINT AS class, coalesce(volume, 0) AS volume, coalesce(area, 0) AS area, coalesce(length, 0) AS length FROM f LEFT JOIN p USING (tree_id, class)"
     )
 
 
 for _by, _value, _width, _n in (("dia", "radius", 0.005, None), ("zen", "degrees(acos(greatest(-1, least(1, axis_z))))", 10, 18), ("azi", "degrees(atan2(axis_y, axis_x))+180", 10, 36)):
-    register(f"l13_cyl_{_by}", classes_sql(_value, _width, _n))(lambda spark, d, by=_by: rounded(distributions.cylinder_distribution(load(spark, d, "cylinders"), by)))
+    register(f"l13_cyl_{_by}", classes_sql(_value, _width, _n))(lambda spark, d, by=_by: distributions.cylinder_distribution(load(spark, d, "cylinders"), by))
 
 for _name, _compat in (("l14_cyl_height", False), ("l14_cyl_height_compat", True)):
     register(
@@ -333,8 +324,8 @@ for _name, _compat in (("l14_cyl_height", False), ("l14_cyl_height_compat", True
             p="SELECT tree_id, class, 1000*pi()*sum(length*radius*radius) AS volume, 2*pi()*sum(length*radius) AS area, sum(length) AS length FROM w GROUP BY 1, 2",
             g="SELECT tree_id, unnest(range(1, n+1)) AS class FROM (SELECT tree_id, max(class) AS n FROM p GROUP BY 1)",
         )
-        + " SELECT g.tree_id, g.class::BIGINT AS class, round(coalesce(volume, 0), 6) AS volume, round(coalesce(area, 0), 6) AS area, round(coalesce(length, 0), 6) AS length FROM g LEFT JOIN p USING (tree_id, class)",
-    )(lambda spark, d, compat=_compat: rounded(distributions.cylinder_height_distribution(load(spark, d, "cylinders"), compat)))
+        + " SELECT g.tree_id, g.class::BIGINT AS class, coalesce(volume, 0) AS volume, coalesce(area, 0) AS area, coalesce(length, 0) AS length FROM g LEFT JOIN p USING (tree_id, class)",
+    )(lambda spark, d, compat=_compat: distributions.cylinder_height_distribution(load(spark, d, "cylinders"), compat))
 
 _M = ", ".join(f"sum({v}) AS {v}" for v in ("volume", "area", "length")) + ", count(*) AS number, " + ", ".join(f'coalesce(sum({v}) FILTER ("order"=1), 0) AS {v}1' for v in ("volume", "area", "length")) + ', count(*) FILTER ("order"=1) AS number1'
 for _by, _value, _width, _n in (("dia", "diameter", 0.01, None), ("hei", "height", 1, None), ("ang", "angle", 10, 18), ("azi", "azimuth+180", 10, 36), ("zen", "zenith", 10, 18)):
@@ -351,14 +342,14 @@ for _by, _value, _width, _n in (("dia", "diameter", 0.01, None), ("hei", "height
             f=f"SELECT tree_id, unnest(range(1, n+1)) AS class FROM (SELECT tree_id, {'max(class)' if _n is None else _n}::BIGINT AS n FROM p GROUP BY 1)",
         )
         + " SELECT f.tree_id, f.class::BIGINT AS class, "
-        + ", ".join(f"round(coalesce({v}, 0), 6) AS {v}" for v in ("volume", "area", "length", "volume1", "area1", "length1"))
+        + ", ".join(f"coalesce({v}, 0) AS {v}" for v in ("volume", "area", "length", "volume1", "area1", "length1"))
         + ", coalesce(number, 0)::BIGINT AS number, coalesce(number1, 0)::BIGINT AS number1 FROM f LEFT JOIN p USING (tree_id, class)",
-    )(lambda spark, d, by=_by: rounded(distributions.branch_distribution(branches.full_branch_table(load(spark, d, "cylinders")), by)))
+    )(lambda spark, d, by=_by: distributions.branch_distribution(branches.full_branch_table(load(spark, d, "cylinders")), by))
 
 
-@register("l16_branch_order", cte("cylinders", k1=K1) + ' SELECT tree_id, "order" AS class, round(sum(volume), 6) AS volume, round(sum(area), 6) AS area, round(sum(length), 6) AS length, count(*) AS number FROM k1 WHERE "order">0 GROUP BY 1, 2')
+@register("l16_branch_order", cte("cylinders", k1=K1) + ' SELECT tree_id, "order" AS class, sum(volume) AS volume, sum(area) AS area, sum(length) AS length, count(*) AS number FROM k1 WHERE "order">0 GROUP BY 1, 2')
 def l16(spark, d):
-    return rounded(distributions.branch_order_distribution(branches.branch_table(load(spark, d, "cylinders"))))
+    return distributions.branch_order_distribution(branches.branch_table(load(spark, d, "cylinders")))
 
 
 # --- vectors and coverage --------------------------------------------------------------------------------------------
@@ -382,18 +373,18 @@ def coverage_sql(turns: int) -> str:
         cte("points", o=ON_AXIS, u=UNROLLED, t=f"SELECT *, unnest(range(0, {turns})) AS turn FROM u",
             c=f"SELECT tree_id, turn, least(9, greatest(0, floor(round(h/length*10, 9)))) AS layer, floor(round((angle+turn*(2*pi()/24)/{turns})/(2*pi()/24), 9))::BIGINT%24 AS sector FROM t",
             n="SELECT tree_id, turn, count(DISTINCT (layer, sector)) AS n FROM c GROUP BY 1, 2")
-        + " SELECT tree_id, round(max(n)/240e0, 6) AS coverage FROM n GROUP BY 1"
+        + " SELECT tree_id, max(n)/240e0 AS coverage FROM n GROUP BY 1"
     )
 
 
 @register("j1_surface_coverage", coverage_sql(4))
 def j1(spark, d):
-    return rounded(coverage.surface_coverage(on_axis(spark, d), ["tree_id"], 10, 24))
+    return coverage.surface_coverage(on_axis(spark, d), ["tree_id"], 10, 24)
 
 
 @register("j2_surface_coverage_simple", coverage_sql(1))
 def j2(spark, d):
-    return rounded(coverage.surface_coverage(on_axis(spark, d), ["tree_id"], 10, 24, turns=1))
+    return coverage.surface_coverage(on_axis(spark, d), ["tree_id"], 10, 24, turns=1)
 
 
 @register(
@@ -401,12 +392,12 @@ def j2(spark, d):
     cte("points", o=ON_AXIS, u=UNROLLED,
         c="SELECT tree_id, length, least(9, greatest(0, floor(round(h/length*10, 9)))) AS layer, floor(round(angle/(2*pi()/24), 9))::BIGINT%24 AS sector, d FROM u",
         m="SELECT tree_id, any_value(length) AS length, layer, sector, avg(d) AS d FROM c GROUP BY tree_id, layer, sector")
-    + " SELECT tree_id, round(1000*pi()*any_value(length)*(sum(d*d)+(240-count(*))*avg(d)*avg(d))/240, 6) AS volume FROM m GROUP BY 1",
+    + " SELECT tree_id, 1000*pi()*any_value(length)*(sum(d*d)+(240-count(*))*avg(d)*avg(d))/240 AS volume FROM m GROUP BY 1",
 )
 def j1v(spark, d):
     p = on_axis(spark, d)
     cells = coverage.cell_distances(p, ["tree_id"], 10, 24).join(p.groupBy("tree_id").agg(F.first("length").alias("length")), "tree_id")
-    return rounded(coverage.volume_of_cells(cells, ["tree_id"], 10, 24, F.col("length")))
+    return coverage.volume_of_cells(cells, ["tree_id"], 10, 24, F.col("length"))
 
 
 @register(
@@ -417,63 +408,63 @@ def j1v(spark, d):
         k="SELECT * FROM w WHERE d <= near+greatest(0.01e0, 0.05e0*radius)",
         p="SELECT tree_id, layer, sector, any_value(near) AS near, any_value(length) AS length FROM k GROUP BY 1, 2, 3",
         f="SELECT tree_id, median(least(1.05e0*near, near+0.02e0)) AS radius, least(1e0, count(*)/(greatest(1, ceil(round(any_value(length)/0.2e0, 9)))*18)) AS coverage FROM p GROUP BY 1")
-    + " SELECT tree_id, round(any_value(f.radius), 6) AS radius, round(any_value(coverage), 6) AS coverage, round(avg(abs(d-f.radius)), 6) AS mad FROM k JOIN f USING (tree_id) GROUP BY 1",
+    + " SELECT tree_id, any_value(f.radius) AS radius, any_value(coverage) AS coverage, avg(abs(d-f.radius)) AS mad FROM k JOIN f USING (tree_id) GROUP BY 1",
 )
 def j3(spark, d):
-    return rounded(coverage.coverage_filter(on_axis(spark, d), ["tree_id"], 0.2, 18)[1])
+    return coverage.coverage_filter(on_axis(spark, d), ["tree_id"], 0.2, 18)[1]
 
 
 @register(
     "j4_distance_to_line",
-    cte("points") + " SELECT tree_id, point_id, round(x*0.6e0+z*0.8e0, 6) + 0.0 AS h, round(sqrt((x-0.6e0*(x*0.6e0+z*0.8e0))*(x-0.6e0*(x*0.6e0+z*0.8e0))+y*y+(z-0.8e0*(x*0.6e0+z*0.8e0))*(z-0.8e0*(x*0.6e0+z*0.8e0))), 6) AS distance FROM points",
+    cte("points") + " SELECT tree_id, point_id, x*0.6e0+z*0.8e0 AS h, sqrt((x-0.6e0*(x*0.6e0+z*0.8e0))*(x-0.6e0*(x*0.6e0+z*0.8e0))+y*y+(z-0.8e0*(x*0.6e0+z*0.8e0))*(z-0.8e0*(x*0.6e0+z*0.8e0))) AS distance FROM points",
 )
 def j4(spark, d):
     axis, origin = vectors.lit(0.6, 0.0, 0.8), vectors.lit(0, 0, 0)
-    return rounded(load(spark, d, "points").select("tree_id", "point_id", vectors.height_on_line(vec(""), axis, origin).alias("h"), vectors.distance_to_line(vec(""), axis, origin).alias("distance")))
+    return load(spark, d, "points").select("tree_id", "point_id", vectors.height_on_line(vec(""), axis, origin).alias("h"), vectors.distance_to_line(vec(""), axis, origin).alias("distance"))
 
 
 @register(
     "j5_line_distances",
     cte("cylinders",
         q="SELECT c.tree_id, c.cyl_id, c.axis_y*p.axis_z-c.axis_z*p.axis_y AS nx, c.axis_z*p.axis_x-c.axis_x*p.axis_z AS ny, c.axis_x*p.axis_y-c.axis_y*p.axis_x AS nz, p.start_x-c.start_x AS wx, p.start_y-c.start_y AS wy, p.start_z-c.start_z AS wz, c.axis_x AS ax, c.axis_y AS ay, c.axis_z AS az FROM cylinders c JOIN cylinders p ON c.tree_id=p.tree_id AND c.parent=p.cyl_id")
-    + " SELECT tree_id, cyl_id, round(coalesce(abs(wx*nx+wy*ny+wz*nz)/nullif(sqrt(nx*nx+ny*ny+nz*nz), 0), sqrt(greatest(0, wx*wx+wy*wy+wz*wz-(wx*ax+wy*ay+wz*az)*(wx*ax+wy*ay+wz*az)))), 6) AS distance FROM q",
+    + " SELECT tree_id, cyl_id, coalesce(abs(wx*nx+wy*ny+wz*nz)/nullif(sqrt(nx*nx+ny*ny+nz*nz), 0), sqrt(greatest(0, wx*wx+wy*wy+wz*wz-(wx*ax+wy*ay+wz*az)*(wx*ax+wy*ay+wz*az)))) AS distance FROM q",
 )
 def j5(spark, d):
     c = load(spark, d, "cylinders")
     p = c.select("tree_id", F.col("cyl_id").alias("parent"), *(F.col(f"{a}_{x}").alias(f"p{a}_{x}") for a in ("start", "axis") for x in "xyz"))
     dist = distance_between_lines(vec("start"), vec("axis"), vec("pstart"), vec("paxis"))[0]
-    return rounded(c.join(p, ["tree_id", "parent"]).select("tree_id", "cyl_id", dist.alias("distance")))
+    return c.join(p, ["tree_id", "parent"]).select("tree_id", "cyl_id", dist.alias("distance"))
 
 
-@register("j7_moments", cte("points") + " SELECT tree_id, count(*) AS n, " + ", ".join(f"round(covar_samp({a}, {b}), 6) + 0.0 AS c{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM points GROUP BY 1")
+@register("j7_moments", cte("points") + " SELECT tree_id, count(*) AS n, " + ", ".join(f"covar_samp({a}, {b}) AS c{a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + " FROM points GROUP BY 1")
 def j7(spark, d):
-    return rounded(coverage.moments(load(spark, d, "points"), ["tree_id"]))
+    return coverage.moments(load(spark, d, "points"), ["tree_id"])
 
 
 @register(
     "j8_rotation",
-    cte("points") + " SELECT tree_id, point_id, round(x*cos(0.5e0)-y*sin(0.5e0), 6) + 0.0 AS x, round(x*sin(0.5e0)+y*cos(0.5e0), 6) + 0.0 AS y, round(z, 6) AS z FROM points",
+    cte("points") + " SELECT tree_id, point_id, x*cos(0.5e0)-y*sin(0.5e0) AS x, x*sin(0.5e0)+y*cos(0.5e0) AS y, z FROM points",
 )
 def j8(spark, d):
     turned = vectors.rotate(vec(""), vectors.lit(0, 0, 1), F.lit(0.5))
-    return rounded(load(spark, d, "points").select("tree_id", "point_id", *(c.alias(n) for c, n in zip(turned, "xyz", strict=True))))
+    return load(spark, d, "points").select("tree_id", "point_id", *(c.alias(n) for c, n in zip(turned, "xyz", strict=True)))
 
 
 @register(
     "j10_vector_algebra",
     cte("cylinders", q="SELECT c.tree_id, c.cyl_id, c.axis_x AS ax, c.axis_y AS ay, c.axis_z AS az, p.axis_x AS bx, p.axis_y AS b_y, p.axis_z AS bz FROM cylinders c JOIN cylinders p ON c.tree_id=p.tree_id AND c.parent=p.cyl_id")
-    + " SELECT tree_id, cyl_id, round(ax*bx+ay*b_y+az*bz, 6) + 0.0 AS dot, round(sqrt(pow(ay*bz-az*b_y, 2)+pow(az*bx-ax*bz, 2)+pow(ax*b_y-ay*bx, 2)), 6) + 0.0 AS sine FROM q",
+    + " SELECT tree_id, cyl_id, ax*bx+ay*b_y+az*bz AS dot, sqrt(pow(ay*bz-az*b_y, 2)+pow(az*bx-ax*bz, 2)+pow(ax*b_y-ay*bx, 2)) AS sine FROM q",
 )
 def j10(spark, d):
     c = load(spark, d, "cylinders")
     p = c.select("tree_id", F.col("cyl_id").alias("parent"), *(F.col(f"axis_{x}").alias(f"b_{x}") for x in "xyz"))
     a, b = vec("axis"), vec("b")
-    return rounded(c.join(p, ["tree_id", "parent"]).select("tree_id", "cyl_id", a.dot(b).alias("dot"), a.cross(b).norm().alias("sine")))
+    return c.join(p, ["tree_id", "parent"]).select("tree_id", "cyl_id", a.dot(b).alias("dot"), a.cross(b).norm().alias("sine"))
 
 
-@register("j11_averages", cte("points") + f" SELECT tree_id, {r('mean_x', 'mean_z', 'median_z')} FROM (SELECT tree_id, avg(x) AS mean_x, avg(z) AS mean_z, median(z) AS median_z FROM points GROUP BY 1)")
+@register("j11_averages", cte("points") + f" SELECT tree_id, mean_x, mean_z, median_z FROM (SELECT tree_id, avg(x) AS mean_x, avg(z) AS mean_z, median(z) AS median_z FROM points GROUP BY 1)")
 def j11(spark, d):
-    return rounded(load(spark, d, "points").groupBy("tree_id").agg(F.avg("x").alias("mean_x"), F.avg("z").alias("mean_z"), F.median("z").alias("median_z")))
+    return load(spark, d, "points").groupBy("tree_id").agg(F.avg("x").alias("mean_x"), F.avg("z").alias("mean_z"), F.median("z").alias("median_z"))
 
 
 @register("j12_unique", cte("points") + " SELECT DISTINCT tree_id, floor(z)::BIGINT AS layer FROM points")
@@ -540,21 +531,21 @@ def n1(spark, d):
     return pmdist.sample_points(load(spark, d, "points")).select("tree_id", "point_id")
 
 
-@register("n2_nearest_cylinder", cte("points", "cylinders", near=NEAREST) + " SELECT tree_id, point_id, cyl_id, round(d, 6) AS distance FROM near")
+@register("n2_nearest_cylinder", cte("points", "cylinders", near=NEAREST) + " SELECT tree_id, point_id, cyl_id, d AS distance FROM near")
 def n2(spark, d):
-    return rounded(pmdist.nearest_cylinder(load(spark, d, "points"), load(spark, d, "cylinders")))
+    return pmdist.nearest_cylinder(load(spark, d, "points"), load(spark, d, "cylinders"))
 
 
-@register("n3_trimmed_mean", cte("points", "cylinders", near=NEAREST, tm=TRIMMED) + " SELECT tree_id, cyl_id, round(mean_distance, 6) AS mean_distance FROM tm")
+@register("n3_trimmed_mean", cte("points", "cylinders", near=NEAREST, tm=TRIMMED) + " SELECT tree_id, cyl_id, mean_distance FROM tm")
 def n3(spark, d):
     c = load(spark, d, "cylinders")
-    return rounded(pmdist.trimmed_means(pmdist.nearest_cylinder(load(spark, d, "points"), c), c))
+    return pmdist.trimmed_means(pmdist.nearest_cylinder(load(spark, d, "points"), c), c)
 
 
 def class_stats_sql() -> str:
     out = []
     for name, test in pmdist.CLASSES.items():
-        out += [f"round(coalesce({f}(mean_distance) FILTER ({test}), 0), 6) AS {name}_{n}" for n, f in (("median", "median"), ("mean", "avg"), ("max", "max"), ("std", "stddev_samp"))]
+        out += [f"coalesce({f}(mean_distance) FILTER ({test}), 0) AS {name}_{n}" for n, f in (("median", "median"), ("mean", "avg"), ("max", "max"), ("std", "stddev_samp"))]
     return ", ".join(out)
 
 
@@ -562,7 +553,7 @@ def class_stats_sql() -> str:
 def n4(spark, d):
     c = load(spark, d, "cylinders")
     per = pmdist.trimmed_means(pmdist.nearest_cylinder(load(spark, d, "points"), c), c).join(c.select("tree_id", "cyl_id", "branch_order"), ["tree_id", "cyl_id"])
-    return rounded(pmdist.class_statistics(per))
+    return pmdist.class_statistics(per)
 
 
 # --- repeat models ---------------------------------------------------------------------------------------------------
@@ -585,12 +576,12 @@ def scalar_sql() -> dict[str, str]:
 
 def scalars_union(names: list[str]) -> str:
     s = scalar_sql()
-    return cte("runs") + " " + " UNION ALL ".join(f"SELECT {BY}, '{n}' AS metric, round({s[n]}, 6) + 0.0 AS value FROM runs GROUP BY {BY}" for n in names)
+    return cte("runs") + " " + " UNION ALL ".join(f"SELECT {BY}, '{n}' AS metric, {s[n]} AS value FROM runs GROUP BY {BY}" for n in names)
 
 
 _names = optimum.scalar_names()
 for _i, _group in (("distance", _names[:27]), ("deviation", _names[27:39]), ("coverage", _names[39:])):
-    register(f"o5_metrics_{_i}", scalars_union(_group))(lambda spark, d, group=tuple(_group): rounded(optimum.scalar_table(load(spark, d, "runs")).filter(F.col("metric").isin(*group))))
+    register(f"o5_metrics_{_i}", scalars_union(_group))(lambda spark, d, group=tuple(_group): optimum.scalar_table(load(spark, d, "runs")).filter(F.col("metric").isin(*group)))
 
 
 def class_metric_sql() -> str:
@@ -604,13 +595,13 @@ def class_metric_sql() -> str:
     parts = []
     for name, family, m, n, how in optimum.class_names():
         value = f"coalesce(sum(spread) FILTER (class<={n}), 0)/{n}" if how == "mean" else f"coalesce(max(spread) FILTER (class<={n}), 0)"
-        parts.append(f"SELECT {BY}, '{name}' AS metric, round({value}, 6) + 0.0 AS value FROM s WHERE family='{family}' AND measure='{m}' GROUP BY {BY}")
+        parts.append(f"SELECT {BY}, '{name}' AS metric, {value} AS value FROM s WHERE family='{family}' AND measure='{m}' GROUP BY {BY}")
     return base + " " + " UNION ALL ".join(parts)
 
 
 @register("o5_metrics_class", class_metric_sql())
 def o5c(spark, d):
-    return rounded(optimum.class_table(load(spark, d, "run_classes")))
+    return optimum.class_table(load(spark, d, "run_classes"))
 
 
 @register("o4_metric_registry", "SELECT i::BIGINT AS id, n AS name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(optimum.metric_names(), 1)) + ") v(i, n)")
@@ -629,15 +620,15 @@ def as_runs(spark, d) -> DataFrame:
 
 def runs_sql() -> str:
     parts = {"all": "true", "trunk": "branch_order=0", "branch": "branch_order>0", "branch1": "branch_order=1", "branch2": "branch_order=2"}
-    cols = [f"round(coalesce({f}({c}) FILTER ({t}), 0), 6) AS {n}_{p}" for n, f, c in (("mean", "avg", "mean_distance"), ("max", "max", "mean_distance"), ("surf", "avg", "surf_cov"), ("low", "min", "surf_cov")) for p, t in parts.items()]
+    cols = [f"coalesce({f}({c}) FILTER ({t}), 0) AS {n}_{p}" for n, f, c in (("mean", "avg", "mean_distance"), ("max", "max", "mean_distance"), ("surf", "avg", "surf_cov"), ("low", "min", "surf_cov")) for p, t in parts.items()]
     kinds = {"volume": "1000*pi()*length*radius*radius", "area": "2*pi()*length*radius", "length": "length"}
-    cols += [f"round(coalesce(sum({v}) FILTER ({t}), 0), 6) AS {p}_{k}" for k, v in kinds.items() for p, t in (("total", "true"), ("trunk", "branch=1"), ("branch", "branch<>1"))]
+    cols += [f"coalesce(sum({v}) FILTER ({t}), 0) AS {p}_{k}" for k, v in kinds.items() for p, t in (("total", "true"), ("trunk", "branch=1"), ("branch", "branch<>1"))]
     return cte("cylinders", q=AS_RUNS) + f" SELECT run_tree AS tree_id, pd1, pd2min, pd2max, model, {', '.join(cols)}, (count(DISTINCT branch)-1)::DOUBLE AS number_branches FROM q GROUP BY 1, 2, 3, 4, 5"
 
 
 @register("o3_collect_runs", runs_sql())
 def o3(spark, d):
-    return rounded(optimum.collect_runs(as_runs(spark, d)))
+    return optimum.collect_runs(as_runs(spark, d))
 
 
 CLASS_OF = {"order": ("branch_order", 6), "dia": ("floor(round(radius/0.005e0, 9))::BIGINT+1", 20), "zen": ("floor(round(degrees(acos(greatest(-1, least(1, axis_z))))/10, 9))::BIGINT+1", 18)}
@@ -649,14 +640,14 @@ VALUE_OF = {"vol": "1000*pi()*length*radius*radius", "are": "2*pi()*length*radiu
     cte("cylinders", q=AS_RUNS)
     + " "
     + " UNION ALL ".join(
-        f"SELECT run_tree AS tree_id, pd1, pd2min, pd2max, model, '{f}' AS family, '{m}' AS measure, {c} AS class, round(sum({v}), 6) AS value FROM q WHERE {c} BETWEEN 1 AND {n} GROUP BY ALL"
+        f"SELECT run_tree AS tree_id, pd1, pd2min, pd2max, model, '{f}' AS family, '{m}' AS measure, {c} AS class, sum({v}) AS value FROM q WHERE {c} BETWEEN 1 AND {n} GROUP BY ALL"
         for f, (c, n) in CLASS_OF.items()
         for m, v in VALUE_OF.items()
         if m != "num" or f == "order"
     ),
 )
 def o3c(spark, d):
-    return rounded(optimum.collect_classes(as_runs(spark, d)))
+    return optimum.collect_classes(as_runs(spark, d))
 
 
 VALUES = f"SELECT {BY}, avg(mean_all) AS value FROM runs GROUP BY {BY}"
@@ -668,30 +659,30 @@ def best(spark, d) -> tuple[DataFrame, DataFrame]:
     return runs, optimum.best_inputs(optimum.metric(optimum.scalar_table(runs), "all_mean_dis"))
 
 
-@register("o6_best_inputs", cte("runs", vals=VALUES, b=BEST) + " SELECT tree_id, rank, pd1, pd2min, pd2max, round(value, 6) AS value FROM b WHERE rank<=3")
+@register("o6_best_inputs", cte("runs", vals=VALUES, b=BEST) + " SELECT tree_id, rank, pd1, pd2min, pd2max, value FROM b WHERE rank<=3")
 def o6(spark, d):
-    return rounded(best(spark, d)[1])
+    return best(spark, d)[1]
 
 
 RUN = f"SELECT {BY}, model, mean_all FROM (SELECT runs.*, row_number() OVER (PARTITION BY runs.tree_id ORDER BY mean_all, model) AS k FROM runs JOIN b USING ({BY}) WHERE rank=1) WHERE k=1"
 
 
-@register("o6_best_run", cte("runs", vals=VALUES, b=BEST, q=RUN) + f" SELECT {BY}, model, round(mean_all, 6) AS mean_all FROM q")
+@register("o6_best_run", cte("runs", vals=VALUES, b=BEST, q=RUN) + f" SELECT {BY}, model, mean_all FROM q")
 def o6r(spark, d):
     runs, b = best(spark, d)
-    return rounded(optimum.best_runs(runs, b))
+    return optimum.best_runs(runs, b)
 
 
 def stats_union(source: str, by: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {by}, '{a}' AS attribute, round(avg({a}), 6) + 0.0 AS mean, round(coalesce(stddev_samp({a}), 0), 6) + 0.0 AS std, round(coalesce(stddev_samp({a}), 0)/nullif(avg({a}), 0)*100, 6) + 0.0 AS cv FROM {source} GROUP BY {by}"
+        f"SELECT {by}, '{a}' AS attribute, avg({a}) AS mean, coalesce(stddev_samp({a}), 0) AS std, coalesce(stddev_samp({a}), 0)/nullif(avg({a}), 0)*100 AS cv FROM {source} GROUP BY {by}"
         for a in optimum.ATTRIBUTES
     )
 
 
 @register("o7_variation", cte("runs") + " " + stats_union("runs", BY))
 def o7(spark, d):
-    return rounded(optimum.attribute_statistics(load(spark, d, "runs"), ["tree_id", *optimum.INPUTS]))
+    return optimum.attribute_statistics(load(spark, d, "runs"), ["tree_id", *optimum.INPUTS])
 
 
 def sensitivity_sql() -> str:
@@ -714,36 +705,36 @@ def o8(spark, d):
     "o9_display_sensitivity",
     cte("runs", vals=VALUES, b=BEST, m=f"SELECT tree_id, rank, avg(total_volume) AS value FROM runs JOIN b USING ({BY}) WHERE rank<=3 GROUP BY 1, 2", cv="SELECT tree_id, coalesce(stddev_samp(total_volume), 0)/nullif(avg(total_volume), 0)*100 AS cv FROM runs GROUP BY 1",
         w="SELECT tree_id, max(value) FILTER (rank=1) AS v1, max(value) FILTER (rank=2) AS v2, max(value) FILTER (rank=3) AS v3 FROM m GROUP BY 1", c="SELECT tree_id, greatest(abs((v1-v2)/nullif(v1, 0))*100, abs((v1-v3)/nullif(v1, 0))*100) AS change FROM w")
-    + " SELECT tree_id, round(change, 6) AS change, round(change/nullif(cv, 0), 6) AS change_by_cv FROM c LEFT JOIN cv USING (tree_id)",
+    + " SELECT tree_id, change, change/nullif(cv, 0) AS change_by_cv FROM c LEFT JOIN cv USING (tree_id)",
 )
 def o9(spark, d):
     runs, b = best(spark, d)
     values = runs.join(b.select("tree_id", "rank", *optimum.INPUTS), ["tree_id", *optimum.INPUTS]).groupBy("tree_id", "rank").agg(F.avg("total_volume").alias("value"))
-    return rounded(optimum.display_sensitivity(values, optimum.attribute_statistics(runs, ["tree_id"], ["total_volume"]).select("tree_id", "cv")))
+    return optimum.display_sensitivity(values, optimum.attribute_statistics(runs, ["tree_id"], ["total_volume"]).select("tree_id", "cv"))
 
 
 @register("o10_precision", cte("runs", u="SELECT * FROM runs WHERE model<=2 UNION ALL SELECT * FROM runs WHERE model>3") + " " + stats_union("u", "tree_id"))
 def o10(spark, d):
     runs = load(spark, d, "runs")
-    return rounded(optimum.precision(runs.filter("model <= 2"), runs.filter("model > 3"))[0])
+    return optimum.precision(runs.filter("model <= 2"), runs.filter("model > 3"))[0]
 
 
-@register("o10_best_run", cte("runs", u="SELECT * FROM runs WHERE model<=2 UNION ALL SELECT * FROM runs WHERE model>3", q="SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY mean_all, pd1, pd2min, pd2max, model) AS k FROM u") + f" SELECT tree_id, round(mean_all, 6) AS mean_all, pd1, pd2min, pd2max, model FROM q WHERE k=1")
+@register("o10_best_run", cte("runs", u="SELECT * FROM runs WHERE model<=2 UNION ALL SELECT * FROM runs WHERE model>3", q="SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY mean_all, pd1, pd2min, pd2max, model) AS k FROM u") + f" SELECT tree_id, mean_all, pd1, pd2min, pd2max, model FROM q WHERE k=1")
 def o10b(spark, d):
     runs = load(spark, d, "runs")
-    return rounded(optimum.precision(runs.filter("model <= 2"), runs.filter("model > 3"))[1])
+    return optimum.precision(runs.filter("model <= 2"), runs.filter("model > 3"))[1]
 
 
 # --- editing ---------------------------------------------------------------------------------------------------------
 
 NUMBERED = "SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY cyl_id) AS new_id FROM kept"
-RENUMBERED = " SELECT n.tree_id, n.new_id AS cyl_id, n.branch, n.position, p.new_id AS parent, e.new_id AS extension, round(n.radius, 6) AS radius, round(n.length, 6) AS length FROM n LEFT JOIN n p ON p.tree_id=n.tree_id AND p.cyl_id=n.parent LEFT JOIN n e ON e.tree_id=n.tree_id AND e.cyl_id=n.extension"
+RENUMBERED = " SELECT n.tree_id, n.new_id AS cyl_id, n.branch, n.position, p.new_id AS parent, e.new_id AS extension, n.radius AS radius, n.length AS length FROM n LEFT JOIN n p ON p.tree_id=n.tree_id AND p.cyl_id=n.parent LEFT JOIN n e ON e.tree_id=n.tree_id AND e.cyl_id=n.extension"
 EDITED = ["tree_id", "cyl_id", "branch", "position", "parent", "extension", "radius", "length"]
 
 
 @register("p2_truncate_order", cte("cylinders", kept="SELECT * FROM cylinders WHERE branch_order<=1", n=NUMBERED) + RENUMBERED)
 def p2(spark, d):
-    return rounded(simplify.truncate_order(load(spark, d, "cylinders"), 1).select(*EDITED))
+    return simplify.truncate_order(load(spark, d, "cylinders"), 1).select(*EDITED)
 
 
 THIN = """SELECT f.tree_id, f.branch FROM cylinders f WHERE f.position=1 AND f.parent IS NOT NULL AND 2*f.radius<0.05e0
@@ -752,7 +743,7 @@ THIN = """SELECT f.tree_id, f.branch FROM cylinders f WHERE f.position=1 AND f.p
 
 @register("p3_drop_thin", "WITH RECURSIVE " + cte("cylinders", gone=THIN, kept="SELECT c.* FROM cylinders c LEFT JOIN gone g ON g.tree_id=c.tree_id AND g.branch=c.branch WHERE g.branch IS NULL", n=NUMBERED).removeprefix("WITH ") + RENUMBERED)
 def p3(spark, d):
-    return rounded(simplify.drop_thin(load(spark, d, "cylinders"), 0.05).select(*EDITED))
+    return simplify.drop_thin(load(spark, d, "cylinders"), 0.05).select(*EDITED)
 
 
 PAIRS = """SELECT tree_id, branch, pair AS position, count(*) AS members, arg_min(start_x, position) AS start_x, arg_min(start_y, position) AS start_y, arg_min(start_z, position) AS start_z,
@@ -765,10 +756,10 @@ PAIRS = """SELECT tree_id, branch, pair AS position, count(*) AS members, arg_mi
     "p4_merge_pairs",
     cte("cylinders", g=PAIRS, w="SELECT *, sqrt(pow(ex-start_x, 2)+pow(ey-start_y, 2)+pow(ez-start_z, 2)) AS l FROM g",
         o="SELECT tree_id, branch, position, members, start_x, start_y, start_z, CASE WHEN members=1 THEN r1 ELSE sqrt(v/nullif(l, 0)) END AS radius, CASE WHEN members=1 THEN l1 ELSE l END AS length, CASE WHEN members=1 THEN a1 ELSE (ex-start_x)/nullif(l, 0) END AS axis_x, CASE WHEN members=1 THEN a2 ELSE (ey-start_y)/nullif(l, 0) END AS axis_y, CASE WHEN members=1 THEN a3 ELSE (ez-start_z)/nullif(l, 0) END AS axis_z FROM w")
-    + f" SELECT tree_id, branch, position, members, {r('radius', 'length', 'start_x', 'start_y', 'start_z', 'axis_x', 'axis_y', 'axis_z')} FROM o",
+    + f" SELECT tree_id, branch, position, members, radius, length, start_x, start_y, start_z, axis_x, axis_y, axis_z FROM o",
 )
 def p4(spark, d):
-    return rounded(simplify.merge_pairs(load(spark, d, "cylinders")))
+    return simplify.merge_pairs(load(spark, d, "cylinders"))
 
 
 @register(
@@ -779,10 +770,10 @@ def p4(spark, d):
         n="SELECT *, coalesce(position=1 AND px IS NOT NULL AND d>0, false) AS move, px+h*bx+ox*pr/nullif(d, 0) AS nx, py+h*b_y+oy*pr/nullif(d, 0) AS ny, pz+h*bz+oz*pr/nullif(d, 0) AS nz FROM q",
         e="SELECT *, sx+length*ax-nx AS wx, sy+length*ay-ny AS wy, sz+length*az-nz AS wz FROM n", f="SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS l FROM e",
         z="SELECT tree_id, cyl_id, CASE WHEN move THEN nx ELSE sx END AS start_x, CASE WHEN move THEN ny ELSE sy END AS start_y, CASE WHEN move THEN nz ELSE sz END AS start_z, CASE WHEN move THEN l ELSE length END AS length, CASE WHEN move THEN wx/nullif(l, 0) ELSE ax END AS axis_x, CASE WHEN move THEN wy/nullif(l, 0) ELSE ay END AS axis_y, CASE WHEN move THEN wz/nullif(l, 0) ELSE az END AS axis_z FROM f")
-    + f" SELECT tree_id, cyl_id, {r('start_x', 'start_y', 'start_z', 'length', 'axis_x', 'axis_y', 'axis_z')} FROM z",
+    + f" SELECT tree_id, cyl_id, start_x, start_y, start_z, length, axis_x, axis_y, axis_z FROM z",
 )
 def p4r(spark, d):
-    return rounded(simplify.reattach(load(spark, d, "cylinders")))
+    return simplify.reattach(load(spark, d, "cylinders"))
 
 
 def queries() -> dict:

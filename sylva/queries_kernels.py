@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import attributes, cover, kernels, polygons, treesets
 from .plans import reconstruct
 from .plans.lineage import cut
-from .queries import register, rounded
+from .queries import register
 from .sources import params
 from .sources.clouds import text_tables
 from .sources.fixtures import cte, load
@@ -28,17 +28,17 @@ def a4(spark, d):
 
 @register("a5_derived_parameters")
 def a5(spark, d):
-    return rounded(params.derive(load(spark, d, "points")))
+    return params.derive(load(spark, d, "points"))
 
 
 @register(
     "a7_text_attributes",
     cte("cylinders", t="SELECT tree_id, 1000*pi()*sum(length*radius*radius) AS total_volume, sum(length) AS total_length FROM cylinders GROUP BY 1")
-    + " SELECT tree_id, 'total_volume' AS name, round(total_volume, 6) AS value FROM t UNION ALL SELECT tree_id, 'total_length', round(total_length, 6) FROM t",
+    + " SELECT tree_id, 'total_volume' AS name, total_volume AS value FROM t UNION ALL SELECT tree_id, 'total_length', total_length FROM t",
 )
 def a7(spark, d):
     c = load(spark, d, "cylinders")
-    return rounded(text_tables(c, c, attributes.totals(c).select("tree_id", "total_volume", "total_length"))["attributes"])
+    return text_tables(c, c, attributes.totals(c).select("tree_id", "total_volume", "total_length"))["attributes"]
 
 
 @register("b4_small_components")
@@ -79,57 +79,57 @@ def g1(spark, d):
 @register("h1_cylinder_model")
 def h1(spark, d):
     p = load(spark, d, "points")
-    return rounded(reconstruct.second_stage(p, reconstruct.first_stage(p, SPARSE, 1), SPARSE, 1))
+    return reconstruct.second_stage(p, reconstruct.first_stage(p, SPARSE, 1), SPARSE, 1)
 
 
 @register("h2_segment_fits")
 def h2(spark, d):
     p, c, m, e = first_cover(spark, d)
     s = reconstruct.segment_trees(c, e, treesets.base_sets(c), SPARSE.patch_diam1[0], False, True)
-    return rounded(reconstruct.fit_cylinders(p, m, s))
+    return reconstruct.fit_cylinders(p, m, s)
 
 
 @register("h7_recentred_starts")
 def h7(spark, d):
     c = load(spark, d, "cylinders")
     before = c.select("tree_id", "cyl_id", (F.col("radius") * 0.8).alias("old_radius"))
-    return rounded(kernels.recentred(load(spark, d, "points"), c, before))
+    return kernels.recentred(load(spark, d, "points"), c, before)
 
 
 @register("i1_cylinder_fit")
 def i1(spark, d):
-    return rounded(kernels.cylinder_fits(load(spark, d, "points")))
+    return kernels.cylinder_fits(load(spark, d, "points"))
 
 
 @register("i3_axis_fit")
 def i3(spark, d):
-    return rounded(kernels.axis_fits(load(spark, d, "points"), 0.155))
+    return kernels.axis_fits(load(spark, d, "points"), 0.155)
 
 
 @register("i4_circle_fit")
 def i4(spark, d):
-    return rounded(kernels.circle_fits(load(spark, d, "points")))
+    return kernels.circle_fits(load(spark, d, "points"))
 
 
 @register("i5_circle_centre_fit")
 def i5(spark, d):
-    return rounded(kernels.circle_fits(load(spark, d, "points"), 0.155))
+    return kernels.circle_fits(load(spark, d, "points"), 0.155)
 
 
 @register("j6_main_directions")
 def j6(spark, d):
-    return rounded(kernels.main_directions(load(spark, d, "points")))
+    return kernels.main_directions(load(spark, d, "points"))
 
 
 @register("l3_dbh_from_points")
 def l3(spark, d):
     p = load(spark, d, "points")
-    return rounded(kernels.dbh_from_points(p, p.select("tree_id").distinct().withColumn("dbh_qsm", F.lit(0.31))))
+    return kernels.dbh_from_points(p, p.select("tree_id").distinct().withColumn("dbh_qsm", F.lit(0.31)))
 
 
 @register("l7_crowns")
 def l7(spark, d):
-    return rounded(kernels.crowns(load(spark, d, "points")))
+    return kernels.crowns(load(spark, d, "points"))
 
 
 @register("l10_stem_attributes")
@@ -137,15 +137,15 @@ def l10(spark, d):
     p = load(spark, d, "points")
     totals = attributes.totals(load(spark, d, "cylinders"))
     trees = p.select("tree_id").distinct()
-    return rounded(kernels.stem_attributes(kernels.stem_meshes(p, 0.5, 0.1), totals.join(trees, "tree_id", "left_semi"), attributes.dbh_from_cylinders(load(spark, d, "cylinders"))))
+    return kernels.stem_attributes(kernels.stem_meshes(p, 0.5, 0.1), totals.join(trees, "tree_id", "left_semi"), attributes.dbh_from_cylinders(load(spark, d, "cylinders")))
 
 
 @register("m1_stem_mesh")
 def m1(spark, d):
-    return rounded(polygons.mesh_volume(kernels.stem_meshes(load(spark, d, "points"), 0.5, 0.1)))
+    return polygons.mesh_volume(kernels.stem_meshes(load(spark, d, "points"), 0.5, 0.1))
 
 
 @register("o1_make_models")
 def o1(spark, d):
     models = reconstruct.make_models(load(spark, d, "points"), SPARSE, repeats=2, tries=1)
-    return rounded(models.groupBy("tree_id", "pd1", "pd2min", "pd2max", "model").agg(F.count("*").alias("cylinders"), (1000 * F.pi() * F.sum(F.col("length") * F.col("radius") * F.col("radius"))).alias("total_volume")))
+    return models.groupBy("tree_id", "pd1", "pd2min", "pd2max", "model").agg(F.count("*").alias("cylinders"), (1000 * F.pi() * F.sum(F.col("length") * F.col("radius") * F.col("radius"))).alias("total_volume"))

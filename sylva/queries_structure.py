@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import attributes, branches, cover, cylinders, distributions, graph, plotdata, polygons, spatial, treesets
-from .queries import ALL_SPREADS, BRANCHES, K1, K2, K3, SPREADS, classes_sql, r, register, rounded
+from .queries import ALL_SPREADS, BRANCHES, K1, K2, K3, SPREADS, classes_sql, register
 from .sources.fixtures import cte, load
 
 # --- cover -----------------------------------------------------------------------------------------------------------
@@ -25,14 +25,14 @@ def chosen_balls(spark, d) -> DataFrame:
 
 @register("d1_cover_centres")
 def d1(spark, d):
-    return rounded(cover.centres(load(spark, d, "points"), 0.3, 0.35, 3).drop("prio"))
+    return cover.centres(load(spark, d, "points"), 0.3, 0.35, 3).drop("prio")
 
 
 @register("d2_cover_variable")
 def d2(spark, d):
     p = load(spark, d, "points")
     rs = p.select("tree_id", "point_id", (256 - 200 * (F.col("point_id") % 600) / 600).cast("int").alias("rs"))
-    return rounded(cover.centres(p, 0.3, 0.35, 1, relative=rs, smallest=0.1).drop("prio"))
+    return cover.centres(p, 0.3, 0.35, 1, relative=rs, smallest=0.1).drop("prio")
 
 
 @register("d3_nearest_centre", cte("points", c=CENTRES, b=BALLS, m=MEMBERS) + " SELECT * FROM m")
@@ -113,9 +113,9 @@ def e2(spark, d):
     p="SELECT tree_id, floor((x-lx)/least(0.1e0, 0.015e0*h))::BIGINT AS ci, floor((y-ly)/least(0.1e0, 0.015e0*h))::BIGINT AS cj, least(9, floor((z-lz)/h*10)) AS part FROM points JOIN t USING (tree_id)",
     s="SELECT tree_id, ci, cj, count(*)*(count(DISTINCT part)/10e0)*count(*) FILTER (part=0) AS raw FROM p GROUP BY 1, 2, 3",
     m="SELECT a.tree_id, a.ci, a.cj, sum(b.raw)/9 AS mean FROM s a JOIN s b ON a.tree_id=b.tree_id AND b.ci BETWEEN a.ci-1 AND a.ci+1 AND b.cj BETWEEN a.cj-1 AND a.cj+1 GROUP BY 1, 2, 3",
-) + " SELECT tree_id, ci, cj, round(coalesce(mean/nullif(max(mean) OVER (PARTITION BY tree_id), 0), 0), 6) AS score FROM m")
+) + " SELECT tree_id, ci, cj, coalesce(mean/nullif(max(mean) OVER (PARTITION BY tree_id), 0), 0) AS score FROM m")
 def e3(spark, d):
-    return rounded(treesets.ground_score(load(spark, d, "points")))
+    return treesets.ground_score(load(spark, d, "points"))
 
 
 CELL = 0.15
@@ -198,18 +198,18 @@ LIMITED = """SELECT * EXCLUDE (radius, r1, r2), CASE WHEN nc<=3 AND surf_cov<0.7
  SELECT *, CASE WHEN (r1>max_r AND surf_cov<0.7e0) OR r1>1.2e0*max_r THEN max_r ELSE r1 END AS r2 FROM (SELECT c.*, nc, max_r, min_r, greatest(radius, min_r) AS r1 FROM cylinders c JOIN bo USING (tree_id, branch)))"""
 
 
-@register("h4_radius_limits", cte("cylinders", bo=BOUNDS, q=LIMITED) + f" SELECT tree_id, cyl_id, {r('max_r', 'min_r', 'radius')} FROM q")
+@register("h4_radius_limits", cte("cylinders", bo=BOUNDS, q=LIMITED) + f" SELECT tree_id, cyl_id, max_r, min_r, radius FROM q")
 def h4(spark, d):
-    return rounded(cylinders.limit_radii(load(spark, d, "cylinders")).select("tree_id", "cyl_id", "max_r", "min_r", "radius"))
+    return cylinders.limit_radii(load(spark, d, "cylinders")).select("tree_id", "cyl_id", "max_r", "min_r", "radius")
 
 
 @register(
     "h5_radius_smoothing",
     cte("cylinders", q="SELECT *, lag(surf_cov) OVER w AS s0, lead(surf_cov) OVER w AS s2, (lag(radius) OVER w+lead(radius) OVER w)/2 AS m FROM cylinders WINDOW w AS (PARTITION BY tree_id, branch ORDER BY position)")
-    + " SELECT tree_id, cyl_id, round(CASE WHEN surf_cov<0.7e0 AND s0>=0.7e0 AND s2>=0.7e0 THEN m ELSE radius END, 6) AS radius FROM q",
+    + " SELECT tree_id, cyl_id, CASE WHEN surf_cov<0.7e0 AND s0>=0.7e0 AND s2>=0.7e0 THEN m ELSE radius END AS radius FROM q",
 )
 def h5(spark, d):
-    return rounded(cylinders.smooth_radii(load(spark, d, "cylinders")).select("tree_id", "cyl_id", "radius"))
+    return cylinders.smooth_radii(load(spark, d, "cylinders")).select("tree_id", "cyl_id", "radius")
 
 
 PARABOLA = """SELECT tree_id, branch, least((y2*s0-y0*s2)/nullif(s4*s0-s2*s2, 0), -0.0001e0) AS a, (s4*y0-s2*y2)/nullif(s4*s0-s2*s2, 0) AS b FROM (
@@ -218,9 +218,9 @@ PARABOLA = """SELECT tree_id, branch, least((y2*s0-y0*s2)/nullif(s4*s0-s2*s2, 0)
  FROM (SELECT *, pow(sum(length) OVER (PARTITION BY tree_id, branch ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)-length/2, 2) AS l2 FROM lim) GROUP BY 1, 2) WHERE n>4"""
 
 
-@register("h6_taper_parabola", cte("cylinders", bo=BOUNDS, lim=LIMITED, q=PARABOLA) + f" SELECT tree_id, branch, {r('a', 'b')} FROM q")
+@register("h6_taper_parabola", cte("cylinders", bo=BOUNDS, lim=LIMITED, q=PARABOLA) + f" SELECT tree_id, branch, a, b FROM q")
 def h6(spark, d):
-    return rounded(cylinders.taper_parabola(cylinders.limit_radii(load(spark, d, "cylinders"))))
+    return cylinders.taper_parabola(cylinders.limit_radii(load(spark, d, "cylinders")))
 
 
 TAPERED = """SELECT tree_id, cyl_id, CASE WHEN rmax<0.001e0 THEN CASE WHEN nc>1 THEN top+(fin-top)*step ELSE radius END WHEN nc>4 THEN CASE WHEN (lng<down AND surf_cov<0.7e0) OR lng<0.5e0*down THEN down ELSE lng END
@@ -234,9 +234,9 @@ TAPERED = """SELECT tree_id, cyl_id, CASE WHEN rmax<0.001e0 THEN CASE WHEN nc>1
    WINDOW w AS (PARTITION BY tree_id, branch))))"""
 
 
-@register("h6_taper_correction", cte("cylinders", bo=BOUNDS, lim=LIMITED, pa=PARABOLA, q=TAPERED) + " SELECT tree_id, cyl_id, round(radius, 6) AS radius FROM q")
+@register("h6_taper_correction", cte("cylinders", bo=BOUNDS, lim=LIMITED, pa=PARABOLA, q=TAPERED) + " SELECT tree_id, cyl_id, radius FROM q")
 def h6c(spark, d):
-    return rounded(cylinders.taper_correction(cylinders.limit_radii(load(spark, d, "cylinders"))).select("tree_id", "cyl_id", "radius"))
+    return cylinders.taper_correction(cylinders.limit_radii(load(spark, d, "cylinders"))).select("tree_id", "cyl_id", "radius")
 
 
 @register(
@@ -248,10 +248,10 @@ def h6c(spark, d):
         m="SELECT *, CASE WHEN abs(t)<=0.5e0*length THEN t ELSE 0 END AS m FROM s",
         o="SELECT tree_id, cyl_id, start_x+m*axis_x AS start_x, start_y+m*axis_y AS start_y, start_z+m*axis_z AS start_z, length-m AS length FROM m",
     )
-    + f" SELECT tree_id, cyl_id, {r('start_x', 'start_y', 'start_z', 'length')} FROM o",
+    + f" SELECT tree_id, cyl_id, start_x, start_y, start_z, length FROM o",
 )
 def h8(spark, d):
-    return rounded(cylinders.continuous_starts(load(spark, d, "cylinders")))
+    return cylinders.continuous_starts(load(spark, d, "cylinders"))
 
 
 @register(
@@ -267,10 +267,10 @@ def h8(spark, d):
         z="SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS l FROM w",
         q="SELECT tree_id, cyl_id, CASE WHEN move THEN nx ELSE start_x END AS start_x, CASE WHEN move THEN ny ELSE start_y END AS start_y, CASE WHEN move THEN nz ELSE start_z END AS start_z, CASE WHEN move THEN l ELSE length END AS length, CASE WHEN move THEN wx/nullif(l, 0) ELSE axis_x END AS axis_x, CASE WHEN move THEN wy/nullif(l, 0) ELSE axis_y END AS axis_y, CASE WHEN move THEN wz/nullif(l, 0) ELSE axis_z END AS axis_z FROM z",
     )
-    + f" SELECT tree_id, cyl_id, {r('start_x', 'start_y', 'start_z', 'length', 'axis_x', 'axis_y', 'axis_z')} FROM q",
+    + f" SELECT tree_id, cyl_id, start_x, start_y, start_z, length, axis_x, axis_y, axis_z FROM q",
 )
 def h9(spark, d):
-    return rounded(cylinders.connect_to_parents(load(spark, d, "cylinders")))
+    return cylinders.connect_to_parents(load(spark, d, "cylinders"))
 
 
 @register(
@@ -283,21 +283,21 @@ def h9(spark, d):
         q="SELECT o.tree_id, e.onto AS branch, e.pos, o.v FROM o JOIN e USING (tree_id, branch) UNION ALL SELECT e.tree_id, e.onto, e.pos, q.v FROM q JOIN e ON e.tree_id=q.tree_id AND e.branch=q.branch",
         a="SELECT tree_id, branch, pos AS position, sum(v) AS more FROM q GROUP BY 1, 2, 3",
     ).removeprefix("WITH ")
-    + " SELECT tree_id, cyl_id, round(sum(pi()*radius*radius*length+coalesce(more, 0)) OVER (PARTITION BY tree_id, branch ORDER BY position DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS growth_volume FROM cylinders LEFT JOIN a USING (tree_id, branch, position)",
+    + " SELECT tree_id, cyl_id, sum(pi()*radius*radius*length+coalesce(more, 0)) OVER (PARTITION BY tree_id, branch ORDER BY position DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth_volume FROM cylinders LEFT JOIN a USING (tree_id, branch, position)",
 )
 def h10(spark, d):
-    return rounded(cylinders.growth_volumes(load(spark, d, "cylinders")))
+    return cylinders.growth_volumes(load(spark, d, "cylinders"))
 
 
 @register("h10_growth_volume_correction")
 def h10c(spark, d):
-    return rounded(cylinders.growth_volume_correction(load(spark, d, "cylinders")))
+    return cylinders.growth_volume_correction(load(spark, d, "cylinders"))
 
 
-@register("h11_select_cylinders", cte("cylinders") + " SELECT tree_id, cyl_id, round(radius, 6) AS radius FROM cylinders WHERE position=1")
+@register("h11_select_cylinders", cte("cylinders") + " SELECT tree_id, cyl_id, radius FROM cylinders WHERE position=1")
 def h11(spark, d):
     c = load(spark, d, "cylinders")
-    return rounded(cylinders.select_cylinders(c, c.filter("position = 1")).select("tree_id", "cyl_id", "radius"))
+    return cylinders.select_cylinders(c, c.filter("position = 1")).select("tree_id", "cyl_id", "radius")
 
 
 # --- points of models, curves, plots ---------------------------------------------------------------------------------
@@ -305,7 +305,7 @@ def h11(spark, d):
 
 @register("l4_model_points")
 def l4(spark, d):
-    return rounded(attributes.model_points(load(spark, d, "cylinders")))
+    return attributes.model_points(load(spark, d, "cylinders"))
 
 
 CURVES = "SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY point_id) AS k, x, y FROM points WHERE point_id%40=0"
@@ -324,33 +324,33 @@ def curves(spark, d) -> DataFrame:
         "points", c=CURVES, e=ELEMENTS,
         q="SELECT a.tree_id, a.k AS i, b.k AS j, ((b.x-a.x)*b.dy-(b.y-a.y)*b.dx)/nullif(a.dx*b.dy-a.dy*b.dx, 0) AS s, ((b.x-a.x)*a.dy-(b.y-a.y)*a.dx)/nullif(a.dx*b.dy-a.dy*b.dx, 0) AS t FROM e a JOIN e b ON a.tree_id=b.tree_id AND b.k>a.k+1 AND NOT (a.k=1 AND b.k=a.n)",
     )
-    + f" SELECT tree_id, i, j, {r('s', 't')} FROM q WHERE s>0 AND s<1 AND t>0 AND t<1",
+    + f" SELECT tree_id, i, j, s, t FROM q WHERE s>0 AND s<1 AND t>0 AND t<1",
 )
 def m5(spark, d):
-    return rounded(polygons.self_intersections(curves(spark, d)))
+    return polygons.self_intersections(curves(spark, d))
 
 
-@register("m5_curve_area", cte("points", c=CURVES, e=ELEMENTS) + " SELECT tree_id, round(abs(sum(x*(y+dy)-(x+dx)*y))/2, 6) AS area FROM e GROUP BY 1")
+@register("m5_curve_area", cte("points", c=CURVES, e=ELEMENTS) + " SELECT tree_id, abs(sum(x*(y+dy)-(x+dx)*y))/2 AS area FROM e GROUP BY 1")
 def m5a(spark, d):
-    return rounded(polygons.area(curves(spark, d)))
+    return polygons.area(curves(spark, d))
 
 
 _DIA = classes_sql("radius", 0.005, None)
 
 
-@register("r1_relative_cumulative", _DIA.replace(" SELECT f.tree_id", ", dist AS (SELECT f.tree_id").replace("round(coalesce(volume, 0), 6) AS volume, round(coalesce(area, 0), 6) AS area, round(coalesce(length, 0), 6) AS length", "coalesce(volume, 0) AS volume") + "), rel AS (SELECT *, coalesce(volume/nullif(sum(volume) OVER (PARTITION BY tree_id), 0)*100, 0) AS relative FROM dist) SELECT tree_id, class, round(volume, 6) AS value, round(relative, 6) AS relative, round(sum(relative) OVER (PARTITION BY tree_id ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cumulative FROM rel")
+@register("r1_relative_cumulative", _DIA.replace(" SELECT f.tree_id", ", dist AS (SELECT f.tree_id").replace("coalesce(volume, 0) AS volume, coalesce(area, 0) AS area, coalesce(length, 0) AS length", "coalesce(volume, 0) AS volume") + "), rel AS (SELECT *, coalesce(volume/nullif(sum(volume) OVER (PARTITION BY tree_id), 0)*100, 0) AS relative FROM dist) SELECT tree_id, class, volume AS value, relative, sum(relative) OVER (PARTITION BY tree_id ORDER BY class ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative FROM rel")
 def r1(spark, d):
-    return rounded(plotdata.relative_and_cumulative(distributions.cylinder_distribution(load(spark, d, "cylinders"), "dia"), "volume"))
+    return plotdata.relative_and_cumulative(distributions.cylinder_distribution(load(spark, d, "cylinders"), "dia"), "volume")
 
 
 @register(
     "r2_relative_spreads",
     cte("points", far=SPREADS, s=ALL_SPREADS, q="SELECT tree_id, layer, direction, coalesce(spread/nullif(max(spread) OVER (PARTITION BY tree_id), 0), 0) AS relative FROM s", z="SELECT * FROM q UNION ALL SELECT tree_id, layer, 19, relative FROM q WHERE direction=1")
-    + " SELECT tree_id, layer::BIGINT AS layer, direction::BIGINT AS direction, round(relative, 6) AS relative FROM z",
+    + " SELECT tree_id, layer::BIGINT AS layer, direction::BIGINT AS direction, relative FROM z",
 )
 def r2(spark, d):
     p = load(spark, d, "points")
-    return rounded(plotdata.relative_spreads(attributes.spreads(p, attributes.centroids(p))))
+    return plotdata.relative_spreads(attributes.spreads(p, attributes.centroids(p)))
 
 
 @register("r3_facet_counts", cte("cylinders", f="SELECT tree_id, arg_min(radius, cyl_id) AS r1 FROM cylinders GROUP BY 1") + " SELECT tree_id, cyl_id, least(20, greatest(4, ceil(sqrt(radius/r1)*20)))::BIGINT AS facets FROM cylinders JOIN f USING (tree_id)")
@@ -372,16 +372,16 @@ BASIS = """SELECT *, ux/n AS px, uy/n AS py, uz/n AS pz FROM (SELECT *, sqrt(ux*
         t="SELECT *, cos(2*pi()*side/facets)*radius AS c, sin(2*pi()*side/facets)*radius AS s FROM h",
         v="SELECT tree_id, cyl_id, ring, side, start_x+axis_x*ring*length+c*px+s*(axis_y*pz-axis_z*py) AS x, start_y+axis_y*ring*length+c*py+s*(axis_z*px-axis_x*pz) AS y, start_z+axis_z*ring*length+c*pz+s*(axis_x*py-axis_y*px) AS z FROM t",
     )
-    + f" SELECT tree_id, cyl_id, ring::INTEGER AS ring, side::BIGINT AS side, {r('x', 'y', 'z')} FROM v",
+    + f" SELECT tree_id, cyl_id, ring::INTEGER AS ring, side::BIGINT AS side, x, y, z FROM v",
 )
 
 def r3v(spark, d):
-    return rounded(plotdata.cylinder_vertices(load(spark, d, "cylinders")))
+    return plotdata.cylinder_vertices(load(spark, d, "cylinders"))
 
 
-@register("r4_cones", cte("cylinders") + " SELECT tree_id, branch, position, round(radius, 6) AS bottom, round(coalesce(lead(radius) OVER (PARTITION BY tree_id, branch ORDER BY position), least(radius, 0.005e0)), 6) AS top FROM cylinders")
+@register("r4_cones", cte("cylinders") + " SELECT tree_id, branch, position, radius AS bottom, coalesce(lead(radius) OVER (PARTITION BY tree_id, branch ORDER BY position), least(radius, 0.005e0)) AS top FROM cylinders")
 def r4(spark, d):
-    return rounded(plotdata.cones(load(spark, d, "cylinders")))
+    return plotdata.cones(load(spark, d, "cylinders"))
 
 
 @register(
@@ -400,11 +400,12 @@ def r6(spark, d):
     return plotdata.disjoint_subsets(of("z < 3", 2).union(of("z between 2 and 4", 1)).union(of("x > 0", 3)))
 
 
-@register("r7_cloud_difference", cte("points") + f" SELECT tree_id, {r('x', 'y', 'z')} FROM (SELECT tree_id, x, y, z FROM points EXCEPT SELECT tree_id, x, y, z FROM points WHERE point_id%2=0)")
+# without a key, rows are told apart by their coordinates alone: sines and cosines to nine places in both
+@register("r7_cloud_difference", cte("points") + " SELECT tree_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, z FROM (SELECT tree_id, x, y, z FROM points EXCEPT SELECT tree_id, x, y, z FROM points WHERE point_id%2=0)")
 def r7(spark, d):
     p = load(spark, d, "points")
     cols = ["tree_id", "x", "y", "z"]
-    return rounded(plotdata.difference(p.filter("point_id % 2 = 0").select(cols), p.select(cols)))
+    return plotdata.difference(p.filter("point_id % 2 = 0").select(cols), p.select(cols)).select("tree_id", *((F.round(c, 9) + 0.0).alias(c) for c in "xy"), "z")
 
 
 @register("r8_thinned", cte("points") + " SELECT tree_id, point_id FROM points WHERE CAST('0x' || substr(md5('1:' || tree_id || ':' || point_id), 1, 8) AS BIGINT)/4294967296e0 < 0.1e0")
