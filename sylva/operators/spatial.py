@@ -9,6 +9,8 @@ from ..plans.lineage import broadcast_below, cut
 
 #: Tables of one row a tree are broadcast up to this many trees.
 BROADCAST_TREES = 200_000
+#: Rows of points that still look for neighbours, spread to their cells, that are broadcast to all points.
+BROADCAST_OPEN = 400_000
 AXES = ("x", "y", "z")
 
 
@@ -53,49 +55,87 @@ def radius_join(a: DataFrame, b: DataFrame, radius2: float | str, edge: float) -
 def kth_distance(points: DataFrame, k: int, edge: float) -> DataFrame:
     """(tree_id, point_id, distance) to the k-th nearest point of the tree, the point itself counted; null in trees of fewer.
 
-    Neighbours are sought in cells up to n away; a k-th distance of at most n edges is final, for the other points n
-    doubles. Points stand in their cells once; only those still open are spread.
+    Points still open look into the 27 cells round them; a k-th distance of at most the cells' edge is final. For the
+    others the edge doubles, so a stray point asks 27 cells however far it stands off. Of a point's candidates each
+    partition passes on the k nearest (a limited window).
     """
-    grid = cut(with_cells(points, (edge,) * 3).select("tree_id", "point_id", *AXES, "ci", "cj", "ck"))
-    sizes = grid.groupBy("tree_id").agg(F.count("*").alias("n"), *(F.max(c).alias(f"m{c}") for c in ("ci", "cj", "ck")))
-    span = sizes.agg(F.max(F.greatest("mci", "mcj", "mck"))).first()[0]
-    if span is None:
-        return grid.select("tree_id", "point_id", F.lit(None).cast("double").alias("distance"))
-    small = sizes.filter(F.col("n") < k).select(F.col("tree_id").alias("s_tree"))
-    left = cut(grid.join(broadcast_below(small, BROADCAST_TREES), F.col("tree_id") == F.col("s_tree"), "left_anti"))
-    out = grid.join(broadcast_below(small, BROADCAST_TREES), F.col("tree_id") == F.col("s_tree"), "left_semi").select("tree_id", "point_id", F.lit(None).cast("double").alias("distance"))
-    reach = 1
+    lows = [F.min(c).alias(f"_l{c}") for c in AXES]
+    grid = with_per_tree(points, *lows, *(F.max(c).alias(f"_h{c}") for c in AXES), F.count("*").alias("_n"))
+    span = F.greatest(*(F.col(f"_h{c}") - F.col(f"_l{c}") for c in AXES))
+    grid = cut(grid.select("tree_id", "point_id", *AXES, *(f"_l{c}" for c in AXES), span.alias("_span"), "_n"))
+    out = grid.filter(F.col("_n") < k).select("tree_id", "point_id", F.lit(None).cast("double").alias("distance"))
+    left = grid.filter(F.col("_n") >= k)
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.withColumns({n: F.floor((F.col(c) - F.col(f"_l{c}")) / edge).cast("long") for n, c in zip(("ci", "cj", "ck"), AXES, strict=True)})
+
     while True:
         keys = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("tree_id", "ci", "cj", "ck")]
-        near = stencil(left, reach).alias("b").join(grid.alias("a"), keys).select("b.tree_id", "b.point_id", d2("a", "b").alias("d2"))
+        spread = broadcast_below(stencil(celled(left), 1).select("tree_id", "point_id", *AXES, "_span", "ci", "cj", "ck"), BROADCAST_OPEN)
+        near = celled(grid).alias("a").join(spread.alias("b"), keys).select("b.tree_id", "b.point_id", "b._span", d2("a", "b").alias("d2"))
         rank = Window.partitionBy("tree_id", "point_id").orderBy("d2")
-        kth = near.withColumn("k", F.row_number().over(rank)).filter(F.col("k") == k).select(F.col("tree_id").alias("k_tree"), F.col("point_id").alias("k_point"), F.sqrt("d2").alias("distance"))
-        final = cut(kth.filter((F.col("distance") <= reach * edge) | F.lit(reach > span)))
+        kth = near.withColumn("k", F.row_number().over(rank)).filter(F.col("k") == k).select(F.col("tree_id").alias("k_tree"), F.col("point_id").alias("k_point"), F.sqrt("d2").alias("distance"), "_span")
+        final = cut(kth.filter((F.col("distance") <= edge) | (F.col("_span") < edge)).drop("_span"))
         out = out.union(final)
         left = cut(left.join(final, (F.col("tree_id") == F.col("k_tree")) & (F.col("point_id") == F.col("k_point")), "left_anti"))
-        if reach > span or not left.limit(1).count():
+        if not left.limit(1).count():
+            return out
+        edge *= 2
+
+
+def closest(a: DataFrame, b: DataFrame, keys: list[str], relaxed: Column | None = None) -> DataFrame:
+    """For each key the pair of points of a and b (keys, id, x, y, z) of least (relaxed, distance, ids), as a struct m.
+
+    Cells begin with an edge of the key's span over the cube root of its points, and pairs of neighbouring cells are compared;
+    an unrelaxed pair at most an edge apart is final. For the other keys the edge doubles, up to their span. So only a key
+    whose points lie far apart, or have no unrelaxed pair, compares many of them.
+    """
+    every = a.select(*keys, *AXES).union(b.select(*keys, *AXES))
+    span = F.greatest(*(F.max(c) - F.min(c) for c in AXES))
+    box = every.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(*(F.min(c).alias(f"_l{c}") for c in AXES), span.alias("_span"), F.count("*").alias("_n"))
+    box = cut(box.withColumn("_edge", F.when(F.col("_span") > 0, F.col("_span") / F.cbrt("_n")).otherwise(1.0)).drop("_n"))
+    small = broadcast_below(box, BROADCAST_TREES)
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    a, b = (cut(df.select(*keys, "id", *AXES).join(small, same).drop(*(f"_{k}" for k in keys))) for df in (a, b))
+    steps = box.agg(F.max(F.col("_span") / F.col("_edge")).alias("n")).first().n
+    out, factor = None, 1
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.withColumns({n: F.floor((F.col(c) - F.col(f"_l{c}")) / (F.col("_edge") * factor)).cast("long") for n, c in zip(("ci", "cj", "ck"), AXES, strict=True)})
+
+    while True:
+        pairs = stencil(celled(a), 1).alias("a").join(celled(b).alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "ci", "cj", "ck")])
+        if relaxed is not None:
+            pairs = pairs.filter(d2("a", "b") > 0)
+        rank = F.lit(0).cast("long") if relaxed is None else relaxed
+        best = F.min(F.struct(rank.alias("relaxed"), d2("a", "b").alias("d2"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))).alias("m")
+        found = pairs.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a._edge").alias("_edge"), F.col("a._span").alias("_span")).agg(best)
+        reach = F.col("_edge") * factor
+        final = cut(found.filter(((F.col("m.relaxed") == 0) & (F.sqrt("m.d2") <= reach)) | (reach >= F.col("_span"))).select(*keys, "m"))
+        out = final if out is None else out.union(final)
+        if steps is None or factor >= steps:
+            return out
+        done = broadcast_below(final.select(*(F.col(k).alias(f"_{k}") for k in keys)), BROADCAST_TREES)
+        a, b = (cut(df.join(done, same, "left_anti")) for df in (a, b))
+        if not a.limit(1).count():
             return out
-        reach *= 2
+        factor *= 2
 
 
 def nearest_pair(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """For each key the closest pair of points of a and b: (keys, a_id, b_id, distance), ties to the smaller ids.
 
-    Both sides hold points (keys, id, x, y, z); each key's sides are compared in full, in partial minima.
+    Both sides hold points (keys, id, x, y, z).
     """
-    p = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    best = F.min(F.struct(d2("a", "b").alias("d2"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))).alias("m")
-    return p.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(best).select(*keys, "m.a_id", "m.b_id", F.sqrt("m.d2").alias("distance"))
+    return closest(a, b, keys).select(*keys, "m.a_id", "m.b_id", F.sqrt("m.d2").alias("distance"))
 
 
 def nearest_above(a: DataFrame, b: DataFrame, keys: list[str], least: float = 0.7, step: float = 0.05) -> DataFrame:
     """For each key the closest pair whose connection from a to b is steep: its cosine to the vertical is above `least`, or
     if there is none above the first of least - step, least - 2 step, ... that has any."""
-    p = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).filter(d2("a", "b") > 0)
     cosine = (F.col("b.z") - F.col("a.z")) / F.sqrt(d2("a", "b"))
     relaxed = F.greatest(F.lit(0), F.floor(F.round((least - cosine) / step, 9)) + 1).cast("long")
-    best = F.min(F.struct(relaxed.alias("relaxed"), d2("a", "b").alias("d2"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))).alias("m")
-    return p.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(best).select(*keys, "m.relaxed", "m.a_id", "m.b_id", F.sqrt("m.d2").alias("distance"))
+    return closest(a, b, keys, relaxed).select(*keys, "m.relaxed", "m.a_id", "m.b_id", F.sqrt("m.d2").alias("distance"))
 
 
 def nearest_cylinders(cylinders: DataFrame, k: int = 4) -> DataFrame:

@@ -122,3 +122,29 @@ def test_base_shrinks(spark):
     df = spark.createDataFrame(wide + stem, "tree_id long, set_id long, x double, y double, z double")
     got = {r.set_id for r in treesets.base_sets(df).collect()}
     assert 0 in got
+
+
+def test_stray_points(spark):
+    """A point far off costs a few more rounds; its k-th distance and the closest pairs are those of brute force."""
+    import time
+
+    rng = np.random.default_rng(4)
+    cube = rng.random((400, 3))
+    took = {}
+    for far in (2.0, 1000.0):
+        p = np.vstack([cube, [[far, 0.5, 0.5], [far, 0.6, 0.5], [-far, 0, 0]]])
+        df = spark.createDataFrame(pd.DataFrame({"tree_id": 1, "point_id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}))
+        began = time.time()
+        got = {r.point_id: r.distance for r in spatial.kth_distance(df, 5, 0.1).collect()}
+        took[far] = time.time() - began
+        d = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), axis=1)[:, 4]
+        assert len(got) == len(p) and all(abs(got[i] - d[i]) < 1e-9 for i in range(len(p)))
+        ids = df.withColumnRenamed("point_id", "id")
+        for a, b in ((ids.filter("id < 200"), ids.filter("id >= 200")), (ids.filter("id = 400"), ids.filter("id = 402")), (ids.filter("id < 5"), ids.filter("id > 399"))):
+            i, j = (np.array([r.id for r in x.collect()]) for x in (a, b))
+            m = np.linalg.norm(p[i][:, None] - p[j][None], axis=2)
+            (one,) = spatial.nearest_pair(a, b, ["tree_id"]).collect()
+            assert abs(one.distance - m.min()) < 1e-9 and abs(m[list(i).index(one.a_id), list(j).index(one.b_id)] - m.min()) < 1e-9
+    assert took[1000.0] < 5 * took[2.0] + 20
+    few = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, 0.0)], "tree_id long, point_id long, x double, y double, z double")
+    assert sorted((r.tree_id, r.distance) for r in spatial.kth_distance(few, 2, 0.1).collect()) == [(1, None), (2, 0.0), (2, 0.0)]
