@@ -80,7 +80,7 @@ def stem_taper(cylinders: DataFrame) -> DataFrame:
 
 def model_points(cylinders: DataFrame) -> DataFrame:
     """(tree_id, cyl_id, x, y, z) on the model's surface: 4 rings of 12 points on the trunk's cylinders, one of 4 at the end
-    of others, and all starts and ends; equal points once."""
+    of others, and all starts and ends; equal points once, as those of the smallest cylinder."""
     axis, start = vec("axis"), vec("start")
     first, _ = basis(axis)
     trunk = F.col("branch") == 1
@@ -90,7 +90,7 @@ def model_points(cylinders: DataFrame) -> DataFrame:
     named = lambda v: [a.alias(n) for a, n in zip(v, "xyz", strict=True)]
     surface = c.select("tree_id", "cyl_id", *named(at))
     ends = cylinders.select("tree_id", "cyl_id", *named(start)).union(cylinders.select("tree_id", "cyl_id", *named(start + axis.scale(F.col("length")))))
-    return surface.union(ends).dropDuplicates(["tree_id", "x", "y", "z"])
+    return surface.union(ends).groupBy("tree_id", "x", "y", "z").agg(F.min("cyl_id").alias("cyl_id")).select("tree_id", "cyl_id", "x", "y", "z")
 
 
 def with_layers(points: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from ..plans.lineage import cut
 from .spatial import d2, radius_join, stencil, with_cells
 
 
-def order_of(seed: int) -> Column:
-    """A random order of points that is the same everywhere: by md5 of seed and id."""
-    return F.md5(F.concat_ws(":", F.lit(seed), "point_id").cast("binary"))
+def order_of(seed: int | Column) -> Column:
+    """A random order of points that is the same everywhere: by md5 of seed and id. The seed may be a column."""
+    return F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, int) else seed.cast("string"), "point_id").cast("binary"))
 
 
 def sizes(points: DataFrame, patch: float, ball: float, relative: DataFrame | None = None, smallest: float | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def sizes(points: DataFrame, patch: float, ball: float, relative: DataFrame | No
     return d.withColumns({"max_dist": near, "ball": near + F.sqrt(rs) * (ball - patch), "class": F.when(F.col("rs") <= 32, 0).when(F.col("rs") <= 128, 1).otherwise(2)})
 
 
-def centres(points: DataFrame, patch: float, ball: float, nmin: int, seed: int = 1, relative: DataFrame | None = None, smallest: float | None = None) -> DataFrame:
+def centres(points: DataFrame, patch: float, ball: float, nmin: int, seed: int | Column = 1, relative: DataFrame | None = None, smallest: float | None = None) -> DataFrame:
     """(tree_id, set_id, x, y, z, ball, prio): the centres, set_id their point's id. A centre has at least nmin points nearer
     than its ball's radius, itself counted, and no earlier centre nearer than that one's max_dist."""
     p = sizes(points, patch, ball, relative, smallest).withColumn("prio", F.concat(F.col("class").cast("string"), order_of(seed)))
@@ -83,7 +83,7 @@ def neighbours(ball: DataFrame, member: DataFrame) -> DataFrame:
     return one.union(one.select("tree_id", F.col("dst"), F.col("src"))).distinct()
 
 
-def cover(points: DataFrame, patch: float, ball: float, nmin: int = 3, seed: int = 1, relative: DataFrame | None = None, smallest: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cover(points: DataFrame, patch: float, ball: float, nmin: int = 3, seed: int | Column = 1, relative: DataFrame | None = None, smallest: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(centres, members, neighbours) of a cover with one patch size, or with sizes by `relative` (tree_id, point_id, rs)."""
     c = cut(centres(points, patch, ball, nmin, seed, relative, smallest))
     b = cut(balls(points, c, ball))
@@ -91,7 +91,7 @@ def cover(points: DataFrame, patch: float, ball: float, nmin: int = 3, seed: int
     return c, m, neighbours(b, m)
 
 
-def small_components(points: DataFrame, patch: float, ball: float, ncomp: int, seed: int = 1) -> DataFrame:
+def small_components(points: DataFrame, patch: float, ball: float, ncomp: int, seed: int | Column = 1) -> DataFrame:
     """The points of components of at least ncomp sets in a cover that every point takes part in."""
     from .graph import tree_components
 

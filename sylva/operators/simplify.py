@@ -92,6 +92,19 @@ def reattach(cylinders: DataFrame) -> DataFrame:
     return c.select("tree_id", "cyl_id", *moved, F.when(move, way.norm()).otherwise(F.col("length")).alias("length"), *axes)
 
 
-def simplify(cylinders: DataFrame, most_order: int, least_diameter: float) -> DataFrame:
-    """Order truncation, then thin-branch removal; merge_pairs may follow, as often as wanted."""
-    return drop_thin(truncate_order(cylinders, most_order), least_diameter)
+def simplify(cylinders: DataFrame, most_order: int, least_diameter: float, merges: int = 0) -> DataFrame:
+    """Order truncation, then thin-branch removal, then pairs of cylinders merged as often as asked."""
+    out = drop_thin(truncate_order(cylinders, most_order), least_diameter)
+    for _ in range(merges):
+        out = cut(merge_pairs(out))
+    return out
+
+
+def refresh(cylinders: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(branch, attributes) of simplified cylinders; the breast height diameters, which were measured on the whole model, stay
+    those of the attributes before."""
+    from . import attributes, branches
+
+    kept = [c for c in ("dbh_qsm", "dbh_cyl", "dbh_tri") if c in before.columns]
+    new = attributes.totals(cylinders).join(before.select(F.col("tree_id").alias("b_tree"), *kept), F.col("tree_id") == F.col("b_tree"), "left").drop("b_tree")
+    return branches.full_branch_table(cylinders), new

@@ -17,21 +17,22 @@ def points_from(df: DataFrame, x: str = "x", y: str = "y", z: str = "z", tree: s
 
 
 def read_container(spark: SparkSession, path: str) -> DataFrame:
-    """Points of a folder with one part a tree (tree_name=...): tree ids by name, from 1; parts are pruned when trees are chosen by name."""
+    """Points of a container: tree ids by name, from 1. Files and row groups without the names asked for aren't read."""
     d = spark.read.parquet(path)
     names = d.select("tree_name").distinct().withColumn("tree_id", F.row_number().over(Window.orderBy("tree_name")).cast("long"))  # a row a tree
     return d.join(F.broadcast(names) if names.limit(100_001).count() <= 100_000 else names, "tree_name").select("tree_name", *POINT)
 
 
 def write_container(points: DataFrame, path: str) -> None:
-    """Points with tree_name, one folder a tree."""
-    points.drop("tree_id").write.mode("overwrite").partitionBy("tree_name").parquet(path)
+    """Points with tree_name, in ranges of names: a tree is read by the statistics of its files, and trees of any number make no
+    more files than there are ranges. A tree of most points is in several."""
+    points.drop("tree_id").repartitionByRange("tree_name", "point_id").sortWithinPartitions("tree_name", "point_id").write.mode("overwrite").parquet(path)
 
 
 def save_models(tables: dict[str, DataFrame], path: str) -> None:
-    """A model's tables (cylinder, branch, attributes, ...) by name, each in a folder of its own with a part a tree."""
+    """A model's tables (cylinder, branch, attributes, ...) by name, each in a folder of its own, in ranges of trees."""
     for name, t in tables.items():
-        t.write.mode("overwrite").partitionBy("tree_id").parquet(f"{path}/{name}")
+        t.repartitionByRange("tree_id").sortWithinPartitions("tree_id").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_models(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
@@ -54,6 +55,14 @@ def save_text(tables: dict[str, DataFrame], path: str) -> None:
         t.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/{name}")
 
 
+#: Trees of a matrix that has a column for each.
+MATRIX_TREES = 1000
+
+
 def save_matrix(statistics: DataFrame, path: str, value: str = "mean") -> None:
-    """(tree_id, attribute, value) as a tab separated matrix: a row an attribute, a column a tree."""
-    statistics.groupBy("attribute").pivot("tree_id").agg(F.first(value)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    """(tree_id, attribute, value) as a tab separated matrix: a row an attribute, a column a tree. Over MATRIX_TREES trees, one
+    row an attribute and tree."""
+    trees = [r.tree_id for r in statistics.select("tree_id").distinct().orderBy("tree_id").limit(MATRIX_TREES + 1).collect()]
+    long = statistics.select("attribute", "tree_id", value)
+    m = long.groupBy("attribute").pivot("tree_id", trees).agg(F.first(value)) if len(trees) <= MATRIX_TREES else long
+    m.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

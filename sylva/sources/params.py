@@ -70,6 +70,25 @@ def sweep_table(spark: SparkSession, params: Params) -> DataFrame:
     return d.select(((F.col("h") * n + F.col("i")) * m + F.col("j") + 1).cast("long").alias("combination"), "pd1", "br1", "pd2max", "br2", "pd2min")
 
 
+def suffix_table(spark: SparkSession, params: Params) -> DataFrame:
+    """(combination, suffix): what the file names of a sweep's models say, of the lengths that have several values only."""
+    parts = (("_D", "pd1", params.patch_diam1), ("_DA", "pd2max", params.patch_diam2_max), ("_DI", "pd2min", params.patch_diam2_min))
+    said = [F.concat(F.lit(n), F.col(c).cast("string")) for n, c, values in parts if len(values) > 1]
+    return sweep_table(spark, params).select("combination", F.concat(*said, F.lit("")).alias("suffix"))
+
+
+def defaults_table(spark: SparkSession, params: Params | None = None) -> DataFrame:
+    """(name, place, value): every parameter, lists by place, flags as 0 and 1, and the filter's with a dot."""
+    rows = []
+    flat = asdict(params or Params())
+    flat |= {f"filter.{k}": v for k, v in flat.pop("filter").items()}
+    for name, value in flat.items():
+        for i, v in enumerate(value if isinstance(value, (list, tuple)) else [value]):
+            if not isinstance(v, str):
+                rows.append((name, i + 1, float(v)))
+    return spark.createDataFrame(rows, "name string, place int, value double")
+
+
 def sequence(value: float, n: int) -> tuple[float, ...]:
     """n values round one, 10 % to either side for two and 10 % more for each further one."""
     if n <= 1:
