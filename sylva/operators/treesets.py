@@ -37,15 +37,20 @@ def segment_of_sets(member: DataFrame, points: DataFrame) -> DataFrame:
     return member.join(points, ["tree_id", "point_id"]).groupBy("tree_id", "set_id").agg(F.min("seg_id").alias("seg_id"))
 
 
-def ground_score(points: DataFrame, edge_share: float = 0.015, widest: float = 0.1, classes: int = 10) -> DataFrame:
-    """(tree_id, ci, cj, score) of the squares of a plot that hold a stem: density times vertical occupancy times density near
-    the ground, the mean over the 3 x 3 squares round each, relative to the highest; squares over 0.5 are stem candidates."""
+def squares(points: DataFrame, edge_share: float = 0.015, widest: float = 0.1, classes: int = 10) -> DataFrame:
+    """points with the square (ci, cj) that they stand in and their part of the height, 0 to classes - 1."""
     from .spatial import with_per_tree
 
     d = with_per_tree(points, *(f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"))
     h = F.col("hi_z") - F.col("lo_z")
     edge = F.least(F.lit(widest), edge_share * h)
-    d = d.withColumns({"ci": F.floor((F.col("x") - F.col("lo_x")) / edge).cast("long"), "cj": F.floor((F.col("y") - F.col("lo_y")) / edge).cast("long"), "part": F.least(F.lit(classes - 1), F.floor((F.col("z") - F.col("lo_z")) / h * classes))})
+    return d.withColumns({"ci": F.floor((F.col("x") - F.col("lo_x")) / edge).cast("long"), "cj": F.floor((F.col("y") - F.col("lo_y")) / edge).cast("long"), "part": F.least(F.lit(classes - 1), F.floor((F.col("z") - F.col("lo_z")) / h * classes))})
+
+
+def ground_score(points: DataFrame, edge_share: float = 0.015, widest: float = 0.1, classes: int = 10) -> DataFrame:
+    """(tree_id, ci, cj, score) of the squares of a plot that hold a stem: density times vertical occupancy times density near
+    the ground, the mean over the 3 x 3 squares round each, relative to the highest; squares over 0.5 are stem candidates."""
+    d = squares(points, edge_share, widest, classes)
     s = d.groupBy("tree_id", "ci", "cj").agg(F.count("*").alias("n"), (F.count_distinct("part") / classes).alias("full"), F.count(F.when(F.col("part") == 0, 1)).alias("low"))
     s = s.withColumn("raw", F.col("n") * F.col("full") * F.col("low"))
     near = s.withColumn("ci", F.explode(F.expr("sequence(ci - 1, ci + 1)"))).withColumn("cj", F.explode(F.expr("sequence(cj - 1, cj + 1)")))
@@ -54,6 +59,15 @@ def ground_score(points: DataFrame, edge_share: float = 0.015, widest: float = 0
     return mean.join(top, "tree_id").select("tree_id", "ci", "cj", F.coalesce(F.try_divide(F.col("mean"), F.col("top")), F.lit(0.0)).alias("score"))
 
 
+def stem_points(points: DataFrame, lowest: float = 0.3, highest: float = 3.0, **how) -> DataFrame:
+    """The points of the stem's squares and those beside them, from `lowest` to `highest` metres over the tree's lowest point."""
+    from .spatial import stencil
+
+    near = stencil(stem_squares(points, **how), 1, ("ci", "cj")).distinct()
+    d = squares(points, **how).join(near, ["tree_id", "ci", "cj"], "left_semi")
+    return d.filter((F.col("z") > F.col("lo_z") + lowest) & (F.col("z") < F.col("lo_z") + highest)).select("tree_id", "point_id", "x", "y", "z")
+
+
 def stem_squares(points: DataFrame, least: float = 0.5, **how) -> DataFrame:
     """(tree_id, ci, cj): the squares of the stem in a plot with ground: those that score over `least` and hang together, by
     their sides or corners, with the highest one."""

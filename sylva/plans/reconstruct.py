@@ -7,15 +7,17 @@ runs per tree again, over cylinders. Corrections, branches, attributes and dista
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import forest
 from ..functions.fitting import Cylinder
 from ..functions.stems import fit_segment, hang
-from ..operators import attributes, branches, cover, kernels, pmdist, treesets
+from ..operators import attributes, branches, cover, distributions, kernels, pmdist, treesets
 from ..operators import cylinders as corrections
 from ..sources.params import Params
 from .lineage import cut
@@ -25,12 +27,15 @@ RAW = "tree_id long, seg_id long, k long, radius double, length double, start_x
 CYLINDER = "tree_id long, branch long, position long, cyl_id long, radius double, length double, start_x double, start_y double, start_z double, axis_x double, axis_y double, axis_z double, parent long, extension long, added boolean, branch_order long, surf_cov double, mad double"
 
 
-def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch: float, small: bool, children: bool, stem: DataFrame | None = None) -> DataFrame:
+def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch: float, small: bool, children: bool, stem: DataFrame | None = None, ground: DataFrame | None = None) -> DataFrame:
     """SEGMENT rows of each tree: its sets made one component, segmented from the base, corrected.
 
-    stem: (tree_id, set_id, seg_id) of an earlier segmentation, whose branches are made connected first.
+    stem: (tree_id, set_id, seg_id) of an earlier segmentation, whose branches are made connected first; ground: (tree_id,
+    set_id) of sets that are none of the tree's, in clouds that hold more than a tree.
     """
     c = centres.select("tree_id", "set_id", "x", "y", "z").join(base.withColumn("base", F.lit(True)), ["tree_id", "set_id"], "left")
+    none = ground is None
+    c = c.withColumn("ground", F.lit(None).cast("boolean")) if none else c.join(ground.distinct().withColumn("ground", F.lit(True)), ["tree_id", "set_id"], "left")
     c = c.join(stem, ["tree_id", "set_id"], "left") if stem is not None else c.withColumn("seg_id", F.lit(0).cast("long"))
 
     def one(sets: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -42,13 +47,14 @@ def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch:
         start = np.flatnonzero(sets["base"].notna().to_numpy())
         if not len(start):
             start = np.array([int(xyz[:, 2].argmin())])
-        forbidden = np.zeros(len(ids), bool)
+        forbidden = sets["ground"].notna().to_numpy()
+        forbidden[start] = False
         segment = sets["seg_id"].fillna(0).to_numpy().astype(int)
         if segment.any():
             forest.join_branches(nei, xyz, segment)
         else:
             forest.trunk(nei, xyz, start)
-        forest.make_connected(nei, xyz, start, forbidden, patch)
+        forest.make_connected(nei, xyz, start, forbidden, patch, none)
         found = forest.correct(forest.segments(nei, start, forbidden), xyz, patch, small, True, children)
         rows, tree = [], int(sets["tree_id"].iloc[0])
         for s, (layers, parent, at) in enumerate(found):
@@ -127,15 +133,23 @@ def adjust(points: DataFrame, cylinders: DataFrame, params: Params) -> DataFrame
     return cut(c.drop("start_x", "start_y", "start_z", "length", "axis_x", "axis_y", "axis_z").join(hung, ["tree_id", "cyl_id"]).select(cylinders.columns))
 
 
-def first_stage(points: DataFrame, params: Params, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(centres, members, edges, segments) of the uniform cover; it serves every combination of the second cover's lengths."""
+def first_stage(points: DataFrame, params: Params, seed: int | Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(centres, members, edges, segments) of the uniform cover; it serves every combination of the second cover's lengths.
+
+    In clouds that hold more than the tree (not params.only_tree) a cylinder fitted to the points of the stem's squares tells
+    the base from the ground, which becomes none of the tree's.
+    """
     c, m, e = cover.cover(points, params.patch_diam1[0], params.ball_rad1[0], params.nmin1, seed)
     e = cut(e)
-    base = treesets.base_sets(c)
-    return c, m, e, cut(segment_trees(c, e, base, params.patch_diam1[0], False, True))
+    if params.only_tree:
+        base, ground = treesets.base_sets(c), None
+    else:
+        fits = cut(kernels.cylinder_fits(treesets.stem_points(points)).select("tree_id", "radius", *(f"{n}_{a}" for n in ("start", "axis") for a in "xyz")))
+        base, ground = (cut(x) for x in treesets.base_and_ground(c, e, fits))
+    return c, m, e, cut(segment_trees(c, e, base, params.patch_diam1[0], False, True, ground=ground))
 
 
-def second_stage(points: DataFrame, first: tuple, params: Params, seed: int) -> DataFrame:
+def second_stage(points: DataFrame, first: tuple, params: Params, seed: int | Column) -> DataFrame:
     """Cylinders by the cover with sizes that follow the first segmentation."""
     c1, m1, e1, s1 = first
     tree = s1.select("tree_id", "seg_id", F.when(F.col("parent_seg") > 0, F.col("parent_seg")).alias("parent_seg")).distinct()
@@ -150,15 +164,30 @@ def second_stage(points: DataFrame, first: tuple, params: Params, seed: int) ->
 
 
 def model_tables(points: DataFrame, cylinders: DataFrame, dist: bool = True) -> dict[str, DataFrame]:
-    """The cylinder, branch, attribute and distance tables of models."""
-    out = {"cylinder": cylinders, "branch": branches.full_branch_table(cylinders), "attributes": attributes.totals(cylinders).join(attributes.dbh_from_cylinders(cylinders), "tree_id")}
+    """The tables of models: cylinder, branch, attributes (totals, breast height diameter, place, crown), profile (spreads by
+    layer), taper, distributions by class (cylinder_<by>, branch_<by>, branch_order) and, with `dist`, distances to the points."""
+    full = cut(branches.full_branch_table(cylinders))
+    totals = cut(attributes.totals(cylinders).join(attributes.dbh_from_cylinders(cylinders), "tree_id"))
+    surface = cut(attributes.model_points(cylinders))
+    centre = attributes.centroids(surface)
+    ids = surface.withColumn("point_id", F.xxhash64("cyl_id", "x", "y", "z"))
+    crown = kernels.crowns(ids.select("tree_id", "point_id", "x", "y", "z"))
+    place = attributes.location(cylinders).toDF("tree_id", "location_x", "location_y", "location_z")
+    each = [place, attributes.crown_diameters(surface, centre), attributes.crown_base(full, cylinders, totals.select("tree_id", "tree_height", "dbh_qsm")), crown]
+    for t in each:
+        totals = totals.join(t, "tree_id", "left")
+    spreads = attributes.spreads(surface, centre)
+    out = {"cylinder": cylinders, "branch": full, "attributes": totals, "profile": attributes.vertical_profile(spreads), "spreads": spreads, "taper": attributes.stem_taper(cylinders)}
+    out |= {f"cylinder_{by}": distributions.cylinder_distribution(cylinders, by) for by in ("dia", "zen", "azi")}
+    out |= {"cylinder_hei": distributions.cylinder_height_distribution(cylinders), "branch_order": distributions.branch_order_distribution(full)}
+    out |= {f"branch_{by}": distributions.branch_distribution(full, by) for by in ("dia", "hei", "ang", "azi", "zen")}
     if dist:
         d = pmdist.trimmed_means(pmdist.nearest_cylinder(pmdist.sample_points(points), cylinders), cylinders)
         out["distance"] = pmdist.class_statistics(d.join(cylinders.select("tree_id", "cyl_id", "branch_order"), ["tree_id", "cyl_id"]))
     return out
 
 
-def reconstruct(points: DataFrame, params: Params, seed: int = 1) -> list[tuple[Params, DataFrame]]:
+def reconstruct(points: DataFrame, params: Params, seed: int | Column = 1) -> list[tuple[Params, DataFrame]]:
     """(combination, cylinders) of each combination of a sweep; the first stage is computed once for each first length."""
     out, known = [], {}
     for p in params.sweep():
@@ -171,20 +200,22 @@ def reconstruct(points: DataFrame, params: Params, seed: int = 1) -> list[tuple[
 def make_models(points: DataFrame, params: Params, repeats: int = 5, tries: int = 5) -> DataFrame:
     """Cylinders with pd1, pd2min, pd2max and model of all combinations and repeats; repeats differ by their seed only.
 
-    Trees that got no cylinder are tried again, up to `tries` times, with another seed.
+    The repeats of all trees are modelled side by side, as trees of their own (tree * repeats + model - 1): a combination is one
+    plan. Those that got no cylinder are tried again, up to `tries` times, with other seeds.
     """
-    out = None
-    for model in range(1, repeats + 1):
-        todo, done = points, 0
-        while done < tries:
-            found = None
-            for p, c in reconstruct(todo, params, seed=model + 1000 * done):
-                rows = c.withColumns({"pd1": F.lit(p.patch_diam1[0]), "pd2min": F.lit(p.patch_diam2_min[0]), "pd2max": F.lit(p.patch_diam2_max[0]), "model": F.lit(model).cast("long")})
-                found = rows if found is None else found.unionByName(rows)
-            found = cut(found)
-            out = found if out is None else out.unionByName(found)
-            todo = cut(todo.join(found.select("tree_id").distinct(), "tree_id", "left_anti"))
-            done += 1
-            if not todo.limit(1).count():
-                break
-    return out
+    key, model = F.col("tree_id"), F.expr(f"pmod(tree_id, {repeats})") + 1
+    todo = points.withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("tree_id", key * repeats + F.col("model") - 1).drop("model")
+    parts: list[DataFrame] = []
+    for done in range(tries):
+        found: list[DataFrame] = []
+        for p, c in reconstruct(todo, params, model + 1000 * done):
+            lengths = {"pd1": p.patch_diam1[0], "pd2min": p.patch_diam2_min[0], "pd2max": p.patch_diam2_max[0]}
+            found.append(c.withColumns({n: F.lit(v) for n, v in lengths.items()}).withColumn("model", model.cast("long")))
+        rows = cut(reduce(DataFrame.unionByName, found))
+        parts.append(rows.withColumn("tree_id", F.expr(f"(tree_id - pmod(tree_id, {repeats})) div {repeats}")))
+        if done + 1 == tries:
+            break
+        todo = cut(todo.join(rows.select("tree_id").distinct(), "tree_id", "left_anti"))
+        if not todo.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, parts)

@@ -39,11 +39,42 @@ def test_reconstruction(y_tree):
     assert a.total_volume == pytest.approx(truth, rel=0.2) and a.tree_height == pytest.approx(6, abs=0.2) and 2 <= a.number_branches <= 4
     assert a.dbh_qsm == pytest.approx(2 * (0.15 - 0.015 * 1.3), rel=0.1)
     assert t["distance"].iloc[0].all_median < 0.01
+    assert a.location_z == pytest.approx(0, abs=0.1) and 0 < a.crown_base_height < 6.1 and a.area_alpha > 0 and 0.2 < a.crown_diam_ave < a.diam_max
+    assert len(t["profile"]) == 10 and t["taper"]["diameter"].iloc[0] == pytest.approx(0.3, rel=0.2) and len(t["cylinder_dia"]) and len(t["branch_ang"])
     x = t["cylinder"]
     ids = set(x.cyl_id)
     assert set(x.parent.dropna()) <= ids and set(x.extension.dropna()) <= ids and x.parent.isna().sum() == 1
 
 
+def test_cloud_with_ground(spark):
+    """A stem in a plot with ground and a shrub: the model is that of the stem alone."""
+    rng = np.random.default_rng(8)
+    stem = limb(rng, [0, 0, 0], [0, 0, 1], 6, 0.15, 0.08, 9000)
+    ground = np.column_stack([rng.uniform(-1.6, 1.6, (2500, 2)), rng.normal(0, 0.005, 2500)])
+    shrub = np.column_stack([rng.normal(1.4, 0.1, (300, 2)), rng.uniform(0.1, 0.5, 300)])
+    p = np.vstack([stem, ground[np.linalg.norm(ground[:, :2], axis=1) > 0.15], shrub])
+    df = spark.createDataFrame(pd.DataFrame({"tree_id": 1, "point_id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]}))
+    from dataclasses import replace
+
+    (_, c), = reconstruct.reconstruct(df, replace(ONE, only_tree=False))
+    t = attributes.totals(c).first()
+    truth = 1000 * np.pi / 3 * 6 * (0.15**2 + 0.15 * 0.08 + 0.08**2)
+    assert t.total_volume == pytest.approx(truth, rel=0.2) and t.tree_height == pytest.approx(6, abs=0.4)
+    assert c.filter("abs(start_x) > 0.6 or abs(start_y) > 0.6").count() == 0
+
+
+def test_repeats_side_by_side(y_tree):
+    """Models of several repeats are those of each seed by itself, and trees keep their ids."""
+    two = y_tree.union(y_tree.withColumn("tree_id", F.lit(-3).cast("long")))
+    got = reconstruct.make_models(two, ONE, repeats=2, tries=1).cache()
+    assert sorted((r.tree_id, r.model) for r in got.select("tree_id", "model").distinct().collect()) == [(-3, 1), (-3, 2), (1, 1), (1, 2)]
+    (_, alone), = reconstruct.reconstruct(y_tree, ONE, 2)
+    cols = ["cyl_id", "parent", "branch"]
+    assert got.filter("tree_id = 1 and model = 2").select(cols).exceptAll(alone.select(cols)).count() == 0
+    near = got.filter("tree_id = 1 and model = 2").agg(F.sum("length")).first()[0]
+    assert near == pytest.approx(alone.agg(F.sum("length")).first()[0], rel=1e-6)
+
+
 def test_equal_seeds_give_equal_segments(y_tree):
     a, b, c = (reconstruct.first_stage(df, ONE, seed)[3].orderBy("seg_id", "layer", "set_id").toPandas() for df, seed in ((y_tree.repartition(5), 2), (y_tree, 2), (y_tree, 3)))
     pd.testing.assert_frame_equal(a, b)
