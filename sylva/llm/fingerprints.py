@@ -73,7 +73,7 @@ def near(fps: DataFrame, radius: int = 3, blocks: int = 6, queries: DataFrame |
 
     `radius` bits leave at least one choice of blocks untouched, so what shares no key need not be compared, and no pair is
     lost; a pair counts in the first table where it shares a key. Buckets are joined, never gathered, and for queries
-    parted by SALTS; all-pairs search is for tables whose near groups are small.
+    parted by SALTS; the keys asked grow with the table, so they are never broadcast; all-pairs search is for tables whose near groups are small.
     """
     own = F.posexplode(block_keys(F.col("fp"), radius, blocks)).alias("table", "key")
     keyed = fps.select("fp").distinct().select("fp", own)
@@ -87,7 +87,7 @@ def near(fps: DataFrame, radius: int = 3, blocks: int = 6, queries: DataFrame |
         parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         asked = queries.select("fp").distinct().select("fp", own).select("*", parts)
         salted = keyed.withColumn("salt", F.pmod(F.xxhash64("fp", "table"), F.lit(SALTS)).cast("int"))
-        found = asked.alias("x").join(salted.alias("y"), same & (F.col("x.salt") == F.col("y.salt")) & (a != b))
+        found = asked.alias("x").hint("merge").join(salted.alias("y"), same & (F.col("x.salt") == F.col("y.salt")) & (a != b))
     first = F.array_position(F.zip_with(block_keys(a, radius, blocks), block_keys(b, radius, blocks), lambda x, y: x == y), True)
     return found.filter(F.bit_count(a.bitwiseXOR(b)) <= radius).filter(first == F.col("x.table") + 1).select(a.alias("a"), b.alias("b"))
 
