@@ -134,22 +134,84 @@ def stem_meshes(points: DataFrame, height: float, width: float, tries: int = 3)
     return _grouped(points.select("tree_id", "point_id", *XYZ), f"tree_id long, {corners}", one)
 
 
-def stem_attributes(facets: DataFrame, totals: DataFrame, dbh: DataFrame) -> DataFrame:
+def triangulate_stems(points: DataFrame, cylinders: DataFrame, branch: DataFrame, dbh: DataFrame) -> DataFrame:
+    """(tree_id, section, dbh_tri, x1 .. z3): facets of the closed surface of each stem's lower part, which replaces its first
+    `section` cylinders; trees with at most 1,000 points of the trunk, or where nothing succeeds, give none.
+
+    The part ends below the first branch of the stem, by height, of a tenth of the breast height diameter (the thickest
+    branch, if none is), or where the trunk is thinner than a quarter of it. Facets are 2 to 10 cm high by that diameter, or
+    four roots of the area per point where points are sparsest; 3 cm more are tried twice, then a part shorter by a cylinder, up
+    to three times. points: those of the trunk; branch: (tree_id, branch, order, diameter, height); dbh: (tree_id, dbh_qsm).
+    """
+    b = branch.join(dbh, "tree_id")
+    thick = F.when((F.col("order") == 1) & (F.col("diameter") >= 0.1 * F.col("dbh_qsm")), F.struct("height", "branch"))
+    major = b.groupBy("tree_id", "dbh_qsm").agg(F.coalesce(F.min_by("branch", thick), F.max_by("branch", "diameter")).alias("major"))
+    limit = cylinders.join(major, "tree_id").filter(F.col("branch") >= F.col("major")).groupBy("tree_id", "dbh_qsm").agg(F.min_by("start_z", "cyl_id").alias("limit"))
+    trunk = cylinders.filter("branch = 1").join(limit, "tree_id").select("tree_id", "position", "start_z", "radius", "length", "dbh_qsm", "limit")
+    names = ["tree_id", "section", "dbh_tri", *(f"{a}{i}" for i in (1, 2, 3) for a in XYZ)]
+    none = pd.DataFrame({n: pd.Series(dtype="int64" if n in names[:2] else "float64") for n in names})
+
+    def one(own: pd.DataFrame, cyl: pd.DataFrame) -> pd.DataFrame:
+        if len(own) <= 1000 or len(cyl) < 3:
+            return none
+        p = own.sort_values("point_id")[XYZ].to_numpy(float)
+        cyl = cyl.sort_values("position")
+        z, r, length = (cyl[n].to_numpy() for n in ("start_z", "radius", "length"))
+        d, top = float(cyl["dbh_qsm"].iloc[0]), float(cyl["limit"].iloc[0])
+        at = 1
+        while at < len(z) - 1 and z[at] < top and r[at] > 0.125 * d:
+            at += 1
+        at = max(at, 2)
+        if z[at] - z[0] < 1:
+            return none
+        count = np.array([((p[:, 2] >= z[i]) & (p[:, 2] < z[i + 1])).sum() for i in range(at)])
+        sparse = max([float(np.pi * r[i] * length[i] / n) for i, n in enumerate(count) if n], default=0.0)
+        size = max(0.1 if d > 1 else 0.075 if d > 0.5 else 0.05 if d > 0.1 else 0.02, 4 * sparse**0.5)
+        for part in range(at, max(at - 4, 1), -1):
+            q = p[p[:, 2] <= z[part]]
+            for more in (0.0, 0.03, 0.06):
+                m = stems.stem_surface(q, size + more, size + more) if len(q) else None
+                if m is None:
+                    continue
+                h = m[0][:, 2] - m[0][:, 2].min()
+                ring = m[0][np.abs(h - h[np.abs(h - 1.3).argmin()]) < (size + more) / 2]
+                around = float(np.linalg.norm(np.roll(ring, -1, 0) - ring, axis=1).sum()) / np.pi
+                rows = [(int(own["tree_id"].iloc[0]), part, around, *m[0][f].ravel()) for f in m[1]]
+                return pd.DataFrame(rows, columns=names)
+        return none
+
+    schema = ", ".join(f"{n} {'long' if n in names[:2] else 'double'}" for n in names)
+    return points.select("tree_id", "point_id", *XYZ).groupBy("tree_id").cogroup(trunk.groupBy("tree_id")).applyInPandas(one, schema)
+
+
+def stem_attributes(facets: DataFrame, totals: DataFrame, dbh: DataFrame, cylinders: DataFrame | None = None) -> DataFrame:
     """Attributes of trees whose stem's surface replaces its cylinders: volume by the divergence theorem, side area and length of
-    the mesh, and totals with the branches' own; trees without a mesh keep their cylinders' values."""
+    the mesh, and totals with what it doesn't replace; trees without a mesh keep their cylinders' values.
+
+    With `cylinders`, facets are those of triangulate_stems and replace a stem's first cylinders; without, the whole stem.
+    """
     from .polygons import mesh_volume
 
     side = F.abs(F.col("z1") - F.col("z2")) + F.abs(F.col("z1") - F.col("z3")) > 1e-9
     ux, uy, uz = (F.col(f"{a}2") - F.col(f"{a}1") for a in XYZ)
     vx, vy, vz = (F.col(f"{a}3") - F.col(f"{a}1") for a in XYZ)
     area = F.sqrt((uy * vz - uz * vy) ** 2 + (uz * vx - ux * vz) ** 2 + (ux * vy - uy * vx) ** 2) / 2
-    m = facets.groupBy("tree_id").agg(F.sum(F.when(side, area)).alias("side"), (F.max(F.greatest("z1", "z2", "z3")) - F.min(F.least("z1", "z2", "z3"))).alias("tall"))
+    measured = [F.max(c).alias(c) for c in ("section", "dbh_tri") if c in facets.columns]
+    m = facets.groupBy("tree_id").agg(F.sum(F.when(side, area)).alias("side"), (F.max(F.greatest("z1", "z2", "z3")) - F.min(F.least("z1", "z2", "z3"))).alias("tall"), *measured)
     m = m.join(mesh_volume(facets).select("tree_id", F.col("volume").alias("mesh")), "tree_id")
     t = totals.join(m, "tree_id", "left").join(dbh, "tree_id", "left")
+    rest_volume = rest_area = F.lit(0.0)
+    if cylinders is not None:
+        low = cylinders.filter("branch = 1").join(m.select("tree_id", "section"), "tree_id").filter(F.col("position") <= F.col("section"))
+        gone = low.groupBy("tree_id").agg((1000 * F.pi() * F.sum(F.col("length") * F.col("radius") ** 2)).alias("gone"), (2 * F.pi() * F.sum(F.col("length") * F.col("radius"))).alias("gone_area"))
+        t = t.join(gone, "tree_id", "left")
+        rest_volume, rest_area = (F.coalesce(F.when(F.col("mesh").isNotNull(), F.col(n) - F.col(g)), F.lit(0.0)) for n, g in (("trunk_volume", "gone"), ("trunk_area", "gone_area")))
+    diameter = F.col("dbh_tri") if "dbh_tri" in facets.columns else F.try_divide(F.col("side"), F.pi() * F.col("tall"))
     volume, area_ = F.coalesce("mesh", "trunk_volume"), F.coalesce("side", "trunk_area")
+    mixed, mixed_area = volume + rest_volume, area_ + rest_area
     return t.select(
-        "tree_id", F.coalesce(F.try_divide(F.col("side"), F.pi() * F.col("tall")), F.col("dbh_qsm")).alias("dbh_tri"), volume.alias("tria_trunk_volume"), volume.alias("mix_trunk_volume"),
-        (volume + F.col("branch_volume")).alias("mix_total_volume"), area_.alias("tria_trunk_area"), area_.alias("mix_trunk_area"), (area_ + F.col("branch_area")).alias("mix_total_area"), F.coalesce("tall", "trunk_length").alias("tria_trunk_length"),
+        "tree_id", F.coalesce(diameter, F.col("dbh_qsm")).alias("dbh_tri"), volume.alias("tria_trunk_volume"), mixed.alias("mix_trunk_volume"), (mixed + F.col("branch_volume")).alias("mix_total_volume"),
+        area_.alias("tria_trunk_area"), mixed_area.alias("mix_trunk_area"), (mixed_area + F.col("branch_area")).alias("mix_total_area"), F.coalesce("tall", "trunk_length").alias("tria_trunk_length"),
     )
 
 

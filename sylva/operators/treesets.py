@@ -37,6 +37,17 @@ def segment_of_sets(member: DataFrame, points: DataFrame) -> DataFrame:
     return member.join(points, ["tree_id", "point_id"]).groupBy("tree_id", "set_id").agg(F.min("seg_id").alias("seg_id"))
 
 
+def main_segments(segs: DataFrame, orders: int = 3) -> DataFrame:
+    """(tree_id, seg_id) of the stem, which is segment 1, and of the branches up to so many orders, of (tree_id, seg_id,
+    parent_seg) rows."""
+    s = segs.select("tree_id", "seg_id", "parent_seg").distinct()
+    out = level = s.filter("seg_id = 1").select("tree_id", "seg_id")
+    for _ in range(orders):
+        level = s.join(level.withColumnRenamed("seg_id", "parent_seg"), ["tree_id", "parent_seg"], "left_semi").select("tree_id", "seg_id")
+        out = out.union(level)
+    return out
+
+
 def squares(points: DataFrame, edge_share: float = 0.015, widest: float = 0.1, classes: int = 10) -> DataFrame:
     """points with the square (ci, cj) that they stand in and their part of the height, 0 to classes - 1."""
     from .spatial import with_per_tree

@@ -30,7 +30,7 @@ CYLINDER = "tree_id long, branch long, position long, cyl_id long, radius double
 def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch: float, small: bool, children: bool, stem: DataFrame | None = None, ground: DataFrame | None = None) -> DataFrame:
     """SEGMENT rows of each tree: its sets made one component, segmented from the base, corrected.
 
-    stem: (tree_id, set_id, seg_id) of an earlier segmentation, whose branches are made connected first; ground: (tree_id,
+    stem: (tree_id, set_id, seg_id) of an earlier segmentation's stem and main branches, which are made connected first; ground: (tree_id,
     set_id) of sets that are none of the tree's, in clouds that hold more than a tree.
     """
     c = centres.select("tree_id", "set_id", "x", "y", "z").join(base.withColumn("base", F.lit(True)), ["tree_id", "set_id"], "left")
@@ -159,13 +159,15 @@ def second_stage(points: DataFrame, first: tuple, params: Params, seed: int | Co
     of_point = m1.join(s1.select("tree_id", "set_id", "seg_id"), ["tree_id", "set_id"]).groupBy("tree_id", "point_id").agg(F.min("seg_id").alias("seg_id"))
     of_set = cut(treesets.segment_of_sets(m, of_point))
     base = treesets.base_from_segments(c, of_set.filter("seg_id = 1"))
-    s = cut(segment_trees(c, e, base, params.patch_diam2_max[0], True, False, of_set))
+    main = of_set.join(treesets.main_segments(s1), ["tree_id", "seg_id"], "left_semi")
+    s = cut(segment_trees(c, e, base, params.patch_diam2_max[0], True, False, main.select("tree_id", "set_id", "seg_id")))
     return adjust(points, cut(chain(cut(fit_cylinders(points, m, s)), s)), params)
 
 
-def model_tables(points: DataFrame, cylinders: DataFrame, dist: bool = True) -> dict[str, DataFrame]:
+def model_tables(points: DataFrame, cylinders: DataFrame, dist: bool = True, tria: bool = False) -> dict[str, DataFrame]:
     """The tables of models: cylinder, branch, attributes (totals, breast height diameter, place, crown), profile (spreads by
-    layer), taper, distributions by class (cylinder_<by>, branch_<by>, branch_order) and, with `dist`, distances to the points."""
+    layer), taper, distributions by class (cylinder_<by>, branch_<by>, branch_order) and, with `dist`, distances to the points;
+    with `tria`, triangulation: facets of lower stems, whose measures are then among the attributes."""
     full = cut(branches.full_branch_table(cylinders))
     totals = cut(attributes.totals(cylinders).join(attributes.dbh_from_cylinders(cylinders), "tree_id"))
     surface = cut(attributes.model_points(cylinders))
@@ -176,11 +178,19 @@ def model_tables(points: DataFrame, cylinders: DataFrame, dist: bool = True) ->
     each = [place, attributes.crown_diameters(surface, centre), attributes.crown_base(full, cylinders, totals.select("tree_id", "tree_height", "dbh_qsm")), crown]
     for t in each:
         totals = totals.join(t, "tree_id", "left")
+    facets = None
+    if tria:
+        on = pmdist.nearest_cylinder(points, cylinders).join(cylinders.filter("branch = 1").select("tree_id", "cyl_id"), ["tree_id", "cyl_id"], "left_semi")
+        stem = points.join(on.select("tree_id", "point_id"), ["tree_id", "point_id"], "left_semi")
+        facets = cut(kernels.triangulate_stems(stem, cylinders, full, totals.select("tree_id", "dbh_qsm")))
+        totals = totals.join(kernels.stem_attributes(facets, totals.drop("dbh_qsm"), totals.select("tree_id", "dbh_qsm"), cylinders), "tree_id", "left")
     spreads = attributes.spreads(surface, centre)
     out = {"cylinder": cylinders, "branch": full, "attributes": totals, "profile": attributes.vertical_profile(spreads), "spreads": spreads, "taper": attributes.stem_taper(cylinders)}
     out |= {f"cylinder_{by}": distributions.cylinder_distribution(cylinders, by) for by in ("dia", "zen", "azi")}
     out |= {"cylinder_hei": distributions.cylinder_height_distribution(cylinders), "branch_order": distributions.branch_order_distribution(full)}
     out |= {f"branch_{by}": distributions.branch_distribution(full, by) for by in ("dia", "hei", "ang", "azi", "zen")}
+    if facets is not None:
+        out["triangulation"] = facets
     if dist:
         d = pmdist.trimmed_means(pmdist.nearest_cylinder(pmdist.sample_points(points), cylinders), cylinders)
         out["distance"] = pmdist.class_statistics(d.join(cylinders.select("tree_id", "cyl_id", "branch_order"), ["tree_id", "cyl_id"]))

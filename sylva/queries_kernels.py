@@ -140,6 +140,17 @@ def l10(spark, d):
     return kernels.stem_attributes(kernels.stem_meshes(p, 0.5, 0.1), totals.join(trees, "tree_id", "left_semi"), attributes.dbh_from_cylinders(load(spark, d, "cylinders")))
 
 
+@register("l10_stem_sections")
+def l10s(spark, d):
+    """Stems whose trunk is ten cylinders along the line fitted to their points, with a branch at the eighth."""
+    p = load(spark, d, "points")
+    f = kernels.cylinder_fits(p).select("tree_id", "radius", "length", "start_z").withColumn("position", F.explode(F.sequence(F.lit(1), F.lit(11))))
+    last = F.col("position") == 11
+    c = f.select("tree_id", F.when(last, 2).otherwise(1).alias("branch"), F.when(last, 1).otherwise(F.col("position")).alias("position"), F.col("position").alias("cyl_id"), "radius", (F.col("length") / 10).alias("length"), (F.col("start_z") + F.col("length") / 10 * F.when(last, 7).otherwise(F.col("position") - 1)).alias("start_z"))
+    b = f.filter("position <= 2").select("tree_id", F.col("position").alias("branch"), (F.col("position") - 1).alias("order"), (2 * F.col("radius")).alias("diameter"), F.col("start_z").alias("height"))
+    return kernels.triangulate_stems(p, c, b, f.select("tree_id", (2 * F.col("radius")).alias("dbh_qsm")).distinct())
+
+
 @register("m1_stem_mesh")
 def m1(spark, d):
     return polygons.mesh_volume(kernels.stem_meshes(load(spark, d, "points"), 0.5, 0.1))

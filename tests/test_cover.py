@@ -148,3 +148,9 @@ def test_stray_points(spark):
     assert took[1000.0] < 5 * took[2.0] + 20
     few = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, 0.0)], "tree_id long, point_id long, x double, y double, z double")
     assert sorted((r.tree_id, r.distance) for r in spatial.kth_distance(few, 2, 0.1).collect()) == [(1, None), (2, 0.0), (2, 0.0)]
+
+
+def test_main_segments(spark):
+    up = {1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 1, 7: 6}
+    df = spark.createDataFrame([(1, s, p) for s, p in up.items() for _ in range(2)], "tree_id long, seg_id long, parent_seg long")
+    assert sorted(r.seg_id for r in treesets.main_segments(df).collect()) == [1, 2, 3, 4, 6, 7]

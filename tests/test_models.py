@@ -33,7 +33,7 @@ ONE = params.Params(patch_diam1=(0.12,), ball_rad1=(0.135,), patch_diam2_max=(0.
 
 def test_reconstruction(y_tree):
     (_, c), = reconstruct.reconstruct(y_tree, ONE)
-    t = {k: v.toPandas() for k, v in reconstruct.model_tables(y_tree, c).items()}
+    t = {k: v.toPandas() for k, v in reconstruct.model_tables(y_tree, c, tria=True).items()}
     a = t["attributes"].iloc[0]
     truth = 1000 * np.pi / 3 * (6 * (0.15**2 + 0.15 * 0.06 + 0.06**2) + 2 * (0.05**2 + 0.05 * 0.03 + 0.03**2) + 1.5 * (0.04**2 + 0.04 * 0.02 + 0.02**2))
     assert a.total_volume == pytest.approx(truth, rel=0.2) and a.tree_height == pytest.approx(6, abs=0.2) and 2 <= a.number_branches <= 4
@@ -41,6 +41,8 @@ def test_reconstruction(y_tree):
     assert t["distance"].iloc[0].all_median < 0.01
     assert a.location_z == pytest.approx(0, abs=0.1) and 0 < a.crown_base_height < 6.1 and a.area_alpha > 0 and 0.2 < a.crown_diam_ave < a.diam_max
     assert len(t["profile"]) == 10 and t["taper"]["diameter"].iloc[0] == pytest.approx(0.3, rel=0.2) and len(t["cylinder_dia"]) and len(t["branch_ang"])
+    assert len(t["triangulation"]) > 100 and a.mix_total_volume == pytest.approx(a.total_volume, rel=0.15) and a.dbh_tri == pytest.approx(a.dbh_qsm, rel=0.15)
+    assert 1 <= a.tria_trunk_length < 6 and a.tria_trunk_volume < a.mix_trunk_volume
     x = t["cylinder"]
     ids = set(x.cyl_id)
     assert set(x.parent.dropna()) <= ids and set(x.extension.dropna()) <= ids and x.parent.isna().sum() == 1
