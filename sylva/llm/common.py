@@ -25,7 +25,15 @@ def hash_third(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
+#: Bytes of an Arrow batch, after which the next row begins another.
+BATCH_BYTES = 32 << 20
+
+
 def batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows in an Arrow batch, so that a batch of long texts stays small in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds Arrow batches of the session, in rows and bytes, so that a batch of long texts stays small in a Python worker; a
+    lower bound that is set already stays."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

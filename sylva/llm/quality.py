@@ -139,13 +139,15 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels(doc_id, quality) learned from about `sample` labelled rows of documents(doc_id, text).
 
-    Null labels and ids teach nothing; labels of one kind only, or none, give a model without rules. The statistics are
+    Null labels and ids teach nothing; of rows of one id the one of the smallest text does; labels of one kind only, or none, give a model without rules. The statistics are
     computed where the documents lie; a row of numbers for each drawn document comes to the driver.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < min(1 << 30, int(sample / max(n, 1) * (1 << 30)) + 1))
     d = docs.select("doc_id", "text").join(broadcast_below(drawn.withColumnRenamed("doc_id", "l_id"), BROADCAST_LABELS), F.col("doc_id") == F.col("l_id"))
+    if d.count() > drawn.count():
+        d = d.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = with_statistics(d, ["doc_id", "quality"]).select("doc_id", "quality", "s.*").collect()
     data = np.array(sorted(tuple(float(v) for v in r) for r in rows)).reshape(-1, 2 + len(NAMES))
     x, y = data[:, 2:], (data[:, 1] > 0).astype(float)

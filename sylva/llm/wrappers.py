@@ -188,45 +188,59 @@ def shape(x: list) -> set:
     return {y[0] for y in x[4]}
 
 
+def common(x: set, y: set) -> float:
+    """1 to 2, by what two nodes' items have in common."""
+    return 1 + len(x & y) / len(x | y) if x and y else 2
+
+
 def likeness(a: list, b: list) -> float:
-    """0 of nodes that cannot be one; else 1 to 2, by what their items have in common."""
+    """0 of nodes that cannot be one; else 1 to 2."""
     if a[0] != b[0]:
         return 0
-    if a[0] == "#":
-        return 2
-    x, y = shape(a), shape(b)
-    return 1 + len(x & y) / len(x | y) if x and y else 2
+    return 2 if a[0] == "#" else common(shape(a), shape(b))
+
+
+#: Likeness from which nodes are taken for one.
+ALIKE = 1.5
 
 
-def alike(a: list, b: list) -> bool:
-    return likeness(a, b) >= 1.5
+def as_one(nodes: list, pages: int) -> list:
+    """Nodes of one signature merged two by two, so that each is copied a few times only."""
+    while len(nodes) > 1:
+        nodes = [merge(x, y, pages) for x, y in zip(nodes[::2], nodes[1::2], strict=False)] + ([nodes[-1]] if len(nodes) % 2 else [])
+    return nodes[0]
 
 
 def fold(nodes: list, pages: int, loop: bool = False) -> tuple[list, bool]:
     """Neighbours that are alike as one repeated node; sequences with squares like a b a b as a loop."""
-    out: list = []
+    runs: list[tuple[list, set]] = []
     for x in nodes:
-        if out and alike(out[-1], x):
-            out[-1] = merge(out[-1], x, pages)
-            out[-1][2] = True
+        own = set() if x[0] == "#" else shape(x)
+        if runs and runs[-1][0][0][0] == x[0] and common(runs[-1][1], own) >= ALIKE:
+            runs[-1][0].append(x)
+            runs[-1][1].update(own)
         else:
-            out.append(x)
-    kinds: dict[str, list] = {}
+            runs.append(([x], set(own)))
+    out = []
+    for run, _ in runs:
+        out.append(as_one(run, pages))
+        if len(run) > 1:
+            out[-1] = [*out[-1][:2], True, *out[-1][3:]]
+    kinds: dict[str, list[set]] = {}
     names = []
-    for x in out:
+    for x, (_, own) in zip(out, runs, strict=True):
         firsts = kinds.setdefault(x[0], [])
-        k = 0
-        while k < len(firsts) and not alike(firsts[k], x):
-            k += 1
+        k = next((i for i, y in enumerate(firsts) if common(y, own) >= ALIKE), len(firsts))
         if k == len(firsts):
-            firsts.append(x)
+            firsts.append(own)
         names.append((x[0], k))
     squares = {*zip(names, names[1:], strict=False)}
     if loop or len(squares) < len(names) - 1:
         one: dict = {}
         for name, x in zip(names, out, strict=True):
-            one[name] = merge(one[name], x, pages) if name in one else x
-        return sorted(one.values(), key=lambda x: (x[0], x[0] != "#" and sorted(shape(x)))), True
+            one.setdefault(name, []).append(x)
+        merged = [as_one(x, pages) for x in one.values()]
+        return sorted(merged, key=lambda x: (x[0], x[0] != "#" and sorted(shape(x)))), True
     return out, False
 
 

@@ -41,6 +41,13 @@ def test_compiled_rules_equal_numpy(spark):
     assert np.allclose(got, 1 / (1 + np.exp(-z)))
 
 
+def test_repeated_ids_teach_once(spark):
+    rows = texts(random.Random(4), 150)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    assert m.fit(docs, labels) == m.fit(docs.union(docs).union(docs), labels.union(labels))
+
+
 def test_lasso_is_optimal():
     rng = np.random.default_rng(0)
     r = (rng.random((300, 12)) < 0.4).astype(float)

@@ -190,6 +190,19 @@ def test_depth():
     assert extracted(pages) == [f"inner {i}" for i in range(3)]
 
 
+def test_long_pages_take_time_in_proportion():
+    """Many paragraphs and rows that differ all."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        page = "<article>" + "".join(f"<p>text {i}</p>" for i in range(n)) + "<table>" + "".join(f"<tr><td>{i}<td>{i * i}" for i in range(n)) + "</table>" + "".join(f"<h2>{i}</h2><p>b{i}</p>" for i in range(n)) + "</article>"
+        began = time.time()
+        assert alone(page).count("\n") + 1 == 5 * n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_odd(spark):
     long_ = "<article>" + "<p>word</p>" * 30_000 + "</article>"
     rows = [(1, None, None), (2, "", ""), (None, "http://h/x", "<article>x</article>"), (3, "http://h/x", "<article>x</article>"), (3, "http://h/x", "<article>x</article>"), (4, "http://l/", long_), (5, "http://deep/", "<div>" * 9000 + "deep" + "</div>" * 9000)]
