@@ -134,9 +134,9 @@ def stem_meshes(points: DataFrame, height: float, width: float, tries: int = 3)
     return _grouped(points.select("tree_id", "point_id", *XYZ), f"tree_id long, {corners}", one)
 
 
-def triangulate_stems(points: DataFrame, cylinders: DataFrame, branch: DataFrame, dbh: DataFrame) -> DataFrame:
+def triangulate_stems(points: DataFrame, cylinders: DataFrame, branch: DataFrame, dbh: DataFrame, least: int = 1000) -> DataFrame:
     """(tree_id, section, dbh_tri, x1 .. z3): facets of the closed surface of each stem's lower part, which replaces its first
-    `section` cylinders; trees with at most 1,000 points of the trunk, or where nothing succeeds, give none.
+    `section` cylinders; trees with at most `least` points of the trunk, or where nothing succeeds, give none.
 
     The part ends below the first branch of the stem, by height, of a tenth of the breast height diameter (the thickest
     branch, if none is), or where the trunk is thinner than a quarter of it. Facets are 2 to 10 cm high by that diameter, or
@@ -152,7 +152,7 @@ def triangulate_stems(points: DataFrame, cylinders: DataFrame, branch: DataFrame
     none = pd.DataFrame({n: pd.Series(dtype="int64" if n in names[:2] else "float64") for n in names})
 
     def one(own: pd.DataFrame, cyl: pd.DataFrame) -> pd.DataFrame:
-        if len(own) <= 1000 or len(cyl) < 3:
+        if len(own) <= least or len(cyl) < 3:
             return none
         p = own.sort_values("point_id")[XYZ].to_numpy(float)
         cyl = cyl.sort_values("position")

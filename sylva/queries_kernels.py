@@ -148,7 +148,7 @@ def l10s(spark, d):
     last = F.col("position") == 11
     c = f.select("tree_id", F.when(last, 2).otherwise(1).alias("branch"), F.when(last, 1).otherwise(F.col("position")).alias("position"), F.col("position").alias("cyl_id"), "radius", (F.col("length") / 10).alias("length"), (F.col("start_z") + F.col("length") / 10 * F.when(last, 7).otherwise(F.col("position") - 1)).alias("start_z"))
     b = f.filter("position <= 2").select("tree_id", F.col("position").alias("branch"), (F.col("position") - 1).alias("order"), (2 * F.col("radius")).alias("diameter"), F.col("start_z").alias("height"))
-    return kernels.triangulate_stems(p, c, b, f.select("tree_id", (2 * F.col("radius")).alias("dbh_qsm")).distinct())
+    return kernels.triangulate_stems(p, c, b, f.select("tree_id", (2 * F.col("radius")).alias("dbh_qsm")).distinct(), 200)
 
 
 @register("m1_stem_mesh")
