@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import batches, cut, read
+from .common import batches, broadcast_below, cut, read
 
 SEED = 42
 BITS = 64
@@ -162,7 +162,11 @@ KEPT, MARGIN = 256, 0.125
 #: with all members that this leaves in other components.
 BUCKET, CENTRES = 32, 6
 #: Members of a large bucket for each of its salts.
-SALTED = 256
+SALTED = 768
+#: Complete sets that are broadcast to the blocks, at most, within the bytes that any broadcast may have.
+BROADCAST_SETS = 200_000
+#: Texts whose complete sets are asked for, and rows that stay, named by a broadcast up to this many, so that no text moves.
+BROADCAST_ASKED = 400_000
 _rng = np.random.default_rng(SEED)
 MIX = _rng.integers(0, 1 << 63, (2, RING * SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -282,7 +286,8 @@ def blocks(held: DataFrame, similarity: float, full_of: Callable[[DataFrame], Da
     """The pairs (a, b) of `similarity` or more in different components of held(bucket, words, label, salts), all compared.
 
     A bucket's members are dealt to its salts, and every two salts make a block of some 2 * SALTED texts with their
-    complete sets: no task gathers a bucket, and no table lists its pairs.
+    complete sets: no task gathers a bucket, and no table lists its pairs. Blocks are dealt out by their members' digests; the
+    sets come to them by a broadcast where they are few, and else move with each block.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -293,7 +298,9 @@ def blocks(held: DataFrame, similarity: float, full_of: Callable[[DataFrame], Da
     full = cut(full_of(held.select("words").distinct()))
     dealt = held.withColumn("salt", F.expr("pmod(xxhash64(words), salts)")).withColumn("other", F.explode(F.expr("sequence(0L, salts - 1L)")))
     dealt = dealt.select("bucket", F.least("salt", "other").alias("x"), F.greatest("salt", "other").alias("y"), "words", "label")
-    return dealt.join(full, "words").groupBy("bucket", "x", "y").applyInPandas(one, "a string, b string").distinct()
+    sets = broadcast_below(full, BROADCAST_SETS)
+    placed = dealt.repartition("bucket", "x", "y") if sets is not full else dealt
+    return placed.join(sets, "words").groupBy("bucket", "x", "y").applyInPandas(one, "a string, b string").distinct()
 
 
 def linked(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -334,13 +341,13 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
 
     def full_of(words: DataFrame) -> DataFrame:
         asked = texts.join(words, "words", "left_semi").select("words", F.col("first.key").alias("t_key"), F.col("first.doc_id").alias("t_id"))
-        found = rows.join(asked, (F.col("key") == F.col("t_key")) & own_id.eqNullSafe(F.col("t_id"))).select("words", F.col("d.text").alias("text"))
+        found = rows.join(broadcast_below(asked, BROADCAST_ASKED), (F.col("key") == F.col("t_key")) & own_id.eqNullSafe(F.col("t_id"))).select("words", F.col("d.text").alias("text"))
         return complete(found, k).dropDuplicates(["words"])
 
     groups = near_duplicates(texts, similarity, full_of)
     g = texts.select("words", "first").join(groups.withColumnRenamed("words", "g_words"), F.col("words") == F.col("g_words"), "left")
     kept = cut(g.groupBy(F.coalesce("component", "words").alias("component")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept"), F.col("first.doc_id").alias("k_id")))
-    out = rows.join(kept, (F.col("key") == F.col("kept")) & own_id.eqNullSafe(F.col("k_id")), "left_semi")  # by id too: a hash alone could name two rows
+    out = rows.join(broadcast_below(kept, BROADCAST_ASKED), (F.col("key") == F.col("kept")) & own_id.eqNullSafe(F.col("k_id")), "left_semi")  # by id too: a hash alone could name two rows
     if s.groupBy("key", "doc_id").count().filter("count > 1").limit(1).count():
         out = out.withColumn("own", own_id).dropDuplicates(["key", "own"])
     return out.select("d.*")
