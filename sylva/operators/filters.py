@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import neighbours
 from ..functions.vectors import safe_std
 from ..plans.lineage import cut
-from .spatial import kth_distance, radius_join, with_cells, with_per_tree
+from .spatial import AXES, by_tree, ids_of, kth_distance_joined, parted, radius_join, with_cells, with_per_tree
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -30,13 +33,39 @@ def layered(df: DataFrame, value: str, sigmas: float, above: bool) -> DataFrame:
 
 def knn_outliers(points: DataFrame, k: int = 10, sigmas: float = 1.5, edge: float = 0.2) -> DataFrame:
     """(tree_id, point_id, layer, distance, keep): the distance to the k-th nearest point, itself counted, against its layer's."""
-    d = kth_distance(points, k, edge)
+    points, large = parted(points)
+
+    def run(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        d = neighbours.kth(tree, xyz, k, edge)
+        layer, keep = neighbours.layered(tree, xyz[:, 2], d, sigmas, above=False)
+        return pa.table(ids_of(t) | {"layer": layer, "distance": pa.array(d, from_pandas=True), "keep": keep})
+
+    out = by_tree(points.select("tree_id", "point_id", *AXES), run, "tree_id long, point_id long, layer long, distance double, keep boolean")
+    return out if large is None else out.union(knn_outliers_joined(large, k, sigmas, edge))
+
+
+def knn_outliers_joined(points: DataFrame, k: int, sigmas: float, edge: float) -> DataFrame:
+    """knn_outliers of trees of any size, by joins of cells."""
+    d = kth_distance_joined(points, k, edge)
     z = points.select("tree_id", "point_id", "z")
     return layered(cut(z.join(d, ["tree_id", "point_id"])), "distance", sigmas, above=False).select("tree_id", "point_id", "layer", "distance", "keep")
 
 
 def density_outliers(points: DataFrame, radius2: float, sigmas: float = 1.5) -> DataFrame:
     """(tree_id, point_id, layer, neighbours, keep): points nearer than the radius, itself counted, against its layer's mean."""
+    points, large = parted(points)
+
+    def run(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        n, _ = neighbours.counts(tree, xyz, radius2, radius2**0.5)
+        layer, keep = neighbours.layered(tree, xyz[:, 2], n, sigmas, above=True)
+        return pa.table(ids_of(t) | {"layer": layer, "neighbours": n, "keep": keep})
+
+    out = by_tree(points.select("tree_id", "point_id", *AXES), run, "tree_id long, point_id long, layer long, neighbours long, keep boolean")
+    return out if large is None else out.union(density_outliers_joined(large, radius2, sigmas))
+
+
+def density_outliers_joined(points: DataFrame, radius2: float, sigmas: float) -> DataFrame:
+    """density_outliers of trees of any size, by joins of cells."""
     edge = radius2**0.5 * (1 + 1e-9)
     g = with_cells(points, (edge,) * 3)
     near = radius_join(g, g.select("tree_id", "x", "y", "z", "ci", "cj", "ck"), radius2, edge)

@@ -154,3 +154,57 @@ def test_main_segments(spark):
     up = {1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 1, 7: 6}
     df = spark.createDataFrame([(1, s, p) for s, p in up.items() for _ in range(2)], "tree_id long, seg_id long, parent_seg long")
     assert sorted(r.seg_id for r in treesets.main_segments(df).collect()) == [1, 2, 3, 4, 6, 7]
+
+
+@pytest.fixture(scope="module")
+def two_trees(spark):
+    """Points of two trees, one far point and one repeated point among them."""
+    rng = np.random.default_rng(5)
+    xyz = np.vstack([rng.uniform(0, 1, (300, 3)), [[2.0, -1.0, 3.0], [0.5, 0.5, 0.5], [0.5, 0.5, 0.5]]])
+    return spark.createDataFrame(pd.DataFrame({"tree_id": np.arange(303) % 2, "point_id": np.arange(303), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}))
+
+
+def moved(df) -> list[str]:
+    """The exchanges of a plan that is not run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line]
+
+
+def test_points_move_once(spark):
+    """Density, counts and distances of the fixture's points need one exchange, of the columns read."""
+    from __spark_entry__ import queries
+
+    for name in ("b2_knn_outlier", "b3_density_outlier", "c2_radius_join", "c3_variable_stencil", "c7_kth_distance"):
+        found = moved(queries()[name](spark, "/root/testdata/sf0.001"))
+        assert len(found) == 1 and "l_suppkey" in found[0], (name, found)
+
+
+def test_far_points_in_arrays():
+    """Cells of points however far off don't overflow, and no pair is listed twice."""
+    from sylva.functions import neighbours
+
+    rng = np.random.default_rng(6)
+    xyz = np.vstack([rng.uniform(0, 1, (200, 3)), [[1e15, -1e15, 3.0], [-4e9, 0, 0]]])
+    tree = np.arange(202) // 90
+    n, ids = neighbours.counts(tree, xyz, 0.09, 0.3, np.arange(202))
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    near = (d < 0.09) & (tree[:, None] == tree[None])
+    assert (n == near.sum(1)).all() and (ids == (near * np.arange(202)).sum(1)).all()
+    d[tree[:, None] != tree[None]] = np.inf
+    assert np.allclose(neighbours.kth(tree, xyz, 4, 0.1), np.sqrt(np.sort(d, 1)[:, 3]), rtol=1e-9)
+
+
+def test_arrays_and_joins_agree(spark, two_trees, monkeypatch):
+    """Trees that a task can hold in arrays give the rows that joins of cells give."""
+    from sylva.operators import filters
+
+    def every(df):
+        return [sorted(map(tuple, d.collect()), key=str) for d in (filters.density_outliers(df, 0.04), filters.knn_outliers(df, 4, 1.0), spatial.kth_distance(df, 5, 0.1), spatial.count_near(df, "0.01 + 0.01 * (point_id % 3)", 0.2))]
+
+    arrays = every(two_trees)
+    for most in (0, 151):  # no tree in arrays, one of two
+        monkeypatch.setattr(spatial, "TREE_POINTS", most)
+        for a, b in zip(arrays, every(two_trees), strict=True):
+            assert len(a) == len(b)
+            for x, y in zip(a, b, strict=True):
+                assert x == pytest.approx(y)
