@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Candidate pairs that are looked at together, the bound of memory in dense clouds.
-PAIRS = 1 << 19
+PAIRS = 1 << 15
+#: Pairs that are held for all rounds of a cover; where there are more, each round seeks them again.
+LISTED = 1 << 23
 #: Cells from a tree's minimum up to which they are told apart; what lies beyond shares the last one.
 FARTHEST = 1 << 40
 
@@ -16,7 +18,9 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of rows, summed in the order of the axes."""
     d = a - b
     d *= d
-    return d[:, 0] + d[:, 1] + d[:, 2]
+    out = d[:, 0] + d[:, 1]
+    out += d[:, 2]
+    return out
 
 
 def spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +90,18 @@ class Grid:
             at = stop
 
 
-def within(tree: np.ndarray, xyz: np.ndarray, radius2: np.ndarray | float, edge: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j), i ascending: places of all points j of i's tree with a squared distance below radius2 (of i), i itself too.
-    edge: the largest radius at least."""
+def within(tree: np.ndarray, xyz: np.ndarray, radius2: np.ndarray | float, edge: float, distances: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j): places of all points j of i's tree with a squared distance below radius2 (of i), i itself too; with `distances`
+    also the squared ones. edge: the largest radius at least."""
     if not len(tree):
         return
     g = Grid(tree, xyz, edge)
     t, limit = tree[g.order], np.broadcast_to(radius2, len(tree))[g.order]
     for i, j in g.near(t, g.sorted):
-        keep = squared(g.sorted[i], g.sorted[j]) < limit[i]
-        yield g.order[i[keep]], g.order[j[keep]]
+        d = squared(g.sorted[i], g.sorted[j])
+        keep = np.flatnonzero(d < limit[i])
+        pair = g.order[i[keep]], g.order[j[keep]]
+        yield (*pair, d[keep]) if distances else pair
 
 
 def counts(tree: np.ndarray, xyz: np.ndarray, radius2: np.ndarray | float, edge: float, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -163,11 +169,33 @@ def layered(tree: np.ndarray, z: np.ndarray, value: np.ndarray, sigmas: float, a
     return layer, keep
 
 
+def by_pairs(left: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """first_independent of the points `left`, from all pairs of an earlier point and a later one that it covers."""
+    left, found = left.copy(), np.zeros(len(left), bool)
+    while left.any():
+        keep = left[src] & left[dst]
+        src, dst = src[keep], dst[keep]
+        new = left.copy()
+        new[dst] = False
+        found |= new
+        left &= ~new
+        left[dst[new[src]]] = False
+    return np.flatnonzero(found)
+
+
 def first_independent(tree: np.ndarray, xyz: np.ndarray, rank: np.ndarray, reach: np.ndarray, ball: np.ndarray, nmin: int) -> np.ndarray:
     """Places of the centres that a pass by rank would choose: points with nmin points in their ball and no earlier centre
     nearer than its reach. In rounds, as cover.centres."""
-    edge = float(max(ball.max(initial=0), reach.max(initial=0)))
-    n, _ = counts(tree, xyz, ball * ball, edge)
+    edge, square = float(max(ball.max(initial=0), reach.max(initial=0))), np.maximum(ball, reach) ** 2
+    n, pairs, listed = np.zeros(len(tree), np.int64), [], 0
+    for i, j, d in within(tree, xyz, square, edge, distances=True):
+        np.add.at(n, i[d < (ball * ball)[i]], 1)
+        if listed <= LISTED:
+            hit = (rank[i] < rank[j]) & (d < (reach * reach)[i])
+            pairs.append((i[hit].astype(np.int32), j[hit].astype(np.int32)))
+            listed += len(pairs[-1][0])
+    if listed <= LISTED:
+        return by_pairs(n >= nmin, *(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else np.zeros(0, np.int64)
     left, found = np.flatnonzero(n >= nmin), []
     while len(left):
         _, code = np.unique(tree[left], return_inverse=True)
@@ -180,7 +208,46 @@ def first_independent(tree: np.ndarray, xyz: np.ndarray, rank: np.ndarray, reach
         new = np.flatnonzero(~blocked)
         gone = ~blocked
         for i, j in g.near(code[new], at[new]):
-            hit = squared(at[new[i]], g.sorted[j]) < (far * far)[new[i]]
-            gone[g.order[j[hit]]] = True
+            i, to = new[i], g.order[j]
+            gone[to[(squared(at[i], g.sorted[j]) < (far * far)[i]) & (r[i] < r[to])]] = True
         left = left[~gone]
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is linked with, over links either way."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, src, label[dst])
+        np.minimum.at(low, dst, label[src])
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return label
+        label = low
+
+
+def cover(tree: np.ndarray, xyz: np.ndarray, rank: np.ndarray, reach: np.ndarray, ball: np.ndarray, nmin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, member, src, dst): places of the centres, each point's nearest centre (its number; -1: in no ball), and links
+    of numbers both ways, of sets whose ball holds a point of the other. Points of NaN reach can be no centres."""
+    some = np.flatnonzero(~np.isnan(reach))
+    _, code = np.unique(tree[some], return_inverse=True)
+    centre = some[first_independent(code, xyz[some], rank[some], reach[some], ball[some], nmin)]
+    member = np.full(len(tree), -1)
+    if not len(centre):
+        return centre, member, centre, centre
+    b = ball[centre]
+    g = Grid(tree, xyz, float(b.max()))
+    found = []
+    for i, j in g.near(tree[centre], xyz[centre]):
+        d = squared(xyz[centre[i]], g.sorted[j])
+        keep = d < (b * b)[i]
+        found.append((i[keep], g.order[j[keep]], d[keep]))
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((rank[centre][i], d, j))
+    first = order[np.r_[True, j[order][1:] != j[order][:-1]]]
+    member[j[first]] = i[first]
+    a, c = i, member[j]
+    a, c = a[a != c], c[a != c]
+    pair = np.unique(np.r_[a * len(centre) + c, c * len(centre) + a])
+    return centre, member, pair // len(centre), pair % len(centre)

@@ -1,6 +1,6 @@
 """Cover sets: patches of a surface, each of the points nearest to its centre.
 
-The centres are what a pass over the points in a random order would choose: a point that no earlier centre covers. With
+Trees that a task can hold are covered in arrays, many at once; for larger ones the same is done by joins. The centres are what a pass over the points in a random order would choose: a point that no earlier centre covers. With
 the order fixed by a hash, that is the lexicographically first maximal independent set, which rounds of joins find: in
 each, every undecided point that no earlier undecided point could cover becomes a centre, and what new centres cover is
 out. Few rounds are needed for random orders, and the result is that of the serial pass.
@@ -8,11 +8,15 @@ out. Few rounds are needed for random orders, and the result is that of the seri
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import neighbours as near_by
 from ..plans.lineage import cut
-from .spatial import d2, radius_join, stencil, with_cells
+from .spatial import AXES, by_tree, d2, parted, radius_join, stencil, with_cells
 
 
 def order_of(seed: int | Column) -> Column:
@@ -20,21 +24,63 @@ def order_of(seed: int | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed) if isinstance(seed, int) else seed.cast("string"), "point_id").cast("binary"))
 
 
-def sizes(points: DataFrame, patch: float, ball: float, relative: DataFrame | None = None, smallest: float | None = None) -> DataFrame:
-    """points with max_dist and ball: equal ones, or by relative size rs (0 to 256; 0 leaves a point out) between `smallest`
-    and `patch`, and with the class of the order in which points are visited, small sizes first."""
+def sizes(points: DataFrame, patch: float, ball: float, relative: DataFrame | Column | None = None, smallest: float | None = None, every: bool = False) -> DataFrame:
+    """points with max_dist and ball: equal ones, or by relative size rs (0 to 256; 0 leaves a point out, with `every` its sizes
+    null) between `smallest` and `patch`, and with the class of the order in which points are visited, small sizes first.
+    relative: (tree_id, point_id, rs), or rs as an expression of the points' columns."""
     if relative is None:
         return points.withColumns({"max_dist": F.lit(patch), "ball": F.lit(ball), "class": F.lit(0)})
     share = smallest / patch
     rs = F.col("rs") / 256 * (1 - share) + share
     near = patch * rs
-    d = points.join(relative.filter("rs > 0").select("tree_id", "point_id", "rs"), ["tree_id", "point_id"])
+    if isinstance(relative, Column):
+        d = points.withColumn("rs", F.when(relative > 0, relative))
+        d = d if every else d.filter("rs is not null")
+    else:
+        d = points.join(relative.filter("rs > 0").select("tree_id", "point_id", "rs"), ["tree_id", "point_id"], "left" if every else "inner")
     return d.withColumns({"max_dist": near, "ball": near + F.sqrt(rs) * (ball - patch), "class": F.when(F.col("rs") <= 32, 0).when(F.col("rs") <= 128, 1).otherwise(2)})
 
 
-def centres(points: DataFrame, patch: float, ball: float, nmin: int, seed: int | Column = 1, relative: DataFrame | None = None, smallest: float | None = None) -> DataFrame:
+def in_order(points: DataFrame, patch: float, ball: float, seed: int | Column, relative: DataFrame | Column | None, smallest: float | None, every: bool) -> DataFrame:
+    """points with their sizes and the order `prio` in which they are visited."""
+    p = sizes(points, patch, ball, relative, smallest, every).withColumn("prio", F.concat(F.col("class").cast("string"), order_of(seed)))
+    return p.select("tree_id", "point_id", *AXES, "max_dist", "ball", "prio")
+
+
+def ranks(t: pa.Table) -> np.ndarray:
+    order = pc.sort_indices(t.select(["prio", "point_id"]), sort_keys=[("prio", "ascending"), ("point_id", "ascending")]).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+def covered(t: pa.Table, tree: np.ndarray, xyz: np.ndarray, nmin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return near_by.cover(tree, xyz, ranks(t), *(t.column(c).to_numpy().astype(float) for c in ("max_dist", "ball")), nmin)
+
+
+def set_rows(t: pa.Table, at: np.ndarray) -> dict[str, pa.ChunkedArray]:
+    c = t.take(pa.array(at))
+    return {"tree_id": c.column("tree_id"), "set_id": c.column("point_id")} | {n: c.column(n) for n in (*AXES, "ball", "prio")}
+
+
+SET = "tree_id long, set_id long, x double, y double, z double, ball double, prio string"
+
+
+def centres(points: DataFrame, patch: float, ball: float, nmin: int, seed: int | Column = 1, relative: DataFrame | Column | None = None, smallest: float | None = None) -> DataFrame:
     """(tree_id, set_id, x, y, z, ball, prio): the centres, set_id their point's id. A centre has at least nmin points nearer
     than its ball's radius, itself counted, and no earlier centre nearer than that one's max_dist."""
+    points, large = parted(points)
+
+    def run(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        reach, size = (t.column(c).to_numpy() for c in ("max_dist", "ball"))
+        return pa.table(set_rows(t, near_by.first_independent(tree, xyz, ranks(t), reach, size, nmin)))
+
+    out = by_tree(in_order(points, patch, ball, seed, relative, smallest, False), run, SET)
+    return out if large is None else out.union(centres_joined(large, patch, ball, nmin, seed, relative, smallest))
+
+
+def centres_joined(points: DataFrame, patch: float, ball: float, nmin: int, seed: int | Column = 1, relative: DataFrame | Column | None = None, smallest: float | None = None) -> DataFrame:
+    """centres of trees of any size, by joins of cells."""
     p = sizes(points, patch, ball, relative, smallest).withColumn("prio", F.concat(F.col("class").cast("string"), order_of(seed)))
     g = cut(with_cells(p, (ball,) * 3).select("tree_id", "point_id", "x", "y", "z", "max_dist", "ball", "prio", "ci", "cj", "ck"))
     square = g.withColumn("ball2", F.col("ball") * F.col("ball"))
@@ -85,20 +131,54 @@ def neighbours(ball: DataFrame, member: DataFrame) -> DataFrame:
 
 def cover(points: DataFrame, patch: float, ball: float, nmin: int = 3, seed: int | Column = 1, relative: DataFrame | None = None, smallest: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(centres, members, neighbours) of a cover with one patch size, or with sizes by `relative` (tree_id, point_id, rs)."""
-    c = cut(centres(points, patch, ball, nmin, seed, relative, smallest))
-    b = cut(balls(points, c, ball))
+    points, large = parted(points)
+    p = in_order(points, patch, ball, seed, relative, smallest, True)
+
+    def sets(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        at, _, src, dst = covered(t, tree, xyz, nmin)
+        ids = t.column("point_id").to_numpy()[at]
+        near = pa.ListArray.from_arrays(pa.array(np.searchsorted(src, np.arange(len(at) + 1)), pa.int32()), pa.array(ids[dst], pa.int64()))
+        return pa.table(set_rows(t, at) | {"near": near})
+
+    def own(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        at, member, _, _ = covered(t, tree, xyz, nmin)
+        held = np.flatnonzero(member >= 0)
+        ids = t.column("point_id").to_numpy()
+        return pa.table({"tree_id": t.column("tree_id").take(pa.array(held)), "point_id": ids[held], "set_id": ids[at[member[held]]]})
+
+    s = cut(by_tree(p, sets, SET + ", near array<long>"))
+    out = s.drop("near"), by_tree(p, own, "tree_id long, point_id long, set_id long"), s.select("tree_id", F.col("set_id").alias("src"), F.explode("near").alias("dst"))
+    if large is None:
+        return out
+    c = cut(centres_joined(large, patch, ball, nmin, seed, relative, smallest))
+    b = cut(balls(large, c, ball))
     m = cut(members(b))
-    return c, m, neighbours(b, m)
+    return out[0].union(c), out[1].union(m), out[2].union(neighbours(b, m))
 
 
 def small_components(points: DataFrame, patch: float, ball: float, ncomp: int, seed: int | Column = 1) -> DataFrame:
     """The points of components of at least ncomp sets in a cover that every point takes part in."""
     from .graph import tree_components
 
-    c, m, n = cover(points, patch, ball, 0, seed)
-    kept = tree_components(n, c.select("tree_id", F.col("set_id").alias("node")), ncomp)
+    points, large = parted(points)
+    names, kinds = points.columns, dict(points.dtypes)
+
+    def run(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        at, member, src, dst = covered(t, tree, xyz, 0)
+        label = near_by.components(len(at), src, dst)
+        kept = np.bincount(label, minlength=len(at))[label] >= ncomp
+        return t.select(names).filter(pa.array((member >= 0) & kept[member]))
+
+    p = points.withColumns({"max_dist": F.lit(patch), "ball": F.lit(ball), "prio": F.concat(F.lit("0"), order_of(seed))})
+    out = by_tree(p, run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    if large is None:
+        return out
+    c = cut(centres_joined(large, patch, ball, 0, seed))
+    b = cut(balls(large, c, ball))
+    m = cut(members(b))
+    kept = tree_components(neighbours(b, m), c.select("tree_id", F.col("set_id").alias("node")), ncomp)
     in_kept = m.join(kept.select("tree_id", F.col("node").alias("set_id")), ["tree_id", "set_id"], "left_semi")
-    return points.join(in_kept.select("tree_id", "point_id"), ["tree_id", "point_id"], "left_semi")
+    return out.union(large.join(in_kept.select("tree_id", "point_id"), ["tree_id", "point_id"], "left_semi"))
 
 
 def relative_size(layers: DataFrame, children: DataFrame, member: DataFrame, edges: DataFrame, heights: DataFrame) -> DataFrame:

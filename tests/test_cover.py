@@ -208,3 +208,27 @@ def test_arrays_and_joins_agree(spark, two_trees, monkeypatch):
             assert len(a) == len(b)
             for x, y in zip(a, b, strict=True):
                 assert x == pytest.approx(y)
+
+
+def test_covers_move_points_once(spark):
+    from __spark_entry__ import queries
+
+    for name in ("b4_small_components", "d1_cover_centres", "d2_cover_variable"):
+        found = moved(queries()[name](spark, "/root/testdata/sf0.001"))
+        assert len(found) == 1 and "l_suppkey" in found[0], (name, found)
+
+
+def test_rounds_with_and_without_lists(monkeypatch):
+    """Centres in arrays are those of the serial pass, also where sizes differ and pairs are too many to hold."""
+    from sylva.functions import neighbours
+
+    rng = np.random.default_rng(8)
+    n = 400
+    xyz, rank, reach = rng.uniform(0, 1, (n, 3)), rng.permutation(n), rng.uniform(0.1, 0.3, n)
+    tree, want = np.arange(n) // 250, []
+    for i in np.argsort(rank):
+        if not any(tree[c] == tree[i] and ((xyz[c] - xyz[i]) ** 2).sum() < reach[c] ** 2 for c in want):
+            want.append(i)
+    for listed in (neighbours.LISTED, 10):
+        monkeypatch.setattr(neighbours, "LISTED", listed)
+        assert neighbours.first_independent(tree, xyz, rank, reach, reach * 1.1, 1).tolist() == sorted(want)
