@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance_to_line, height_on_line, safe_std, vec
+from ..plans.lineage import broadcast_below, cut
 
 FAR = 0.5
 BEYOND = 0.1
@@ -25,8 +26,20 @@ def nearest_cylinder(points: DataFrame, cylinders: DataFrame, edge: float = 1.0)
 
     Points beside the axis compete with those up to BEYOND past its ends; at equal distance beside goes first, then the
     smaller id. Points without such a cylinder are left out. Cylinders go to the cells round their bounding box, points to
-    their own.
+    their own. Only trees of both are joined; those that a task can hold are dealt out whole, and their cylinders copied to
+    cells after that, not before.
     """
+    from .spatial import BROADCAST_TREES, parted
+
+    trees = broadcast_below(cut(points.select("tree_id").distinct()), BROADCAST_TREES)
+    cylinders = cylinders.join(trees, "tree_id", "left_semi")
+    small, large = parted(points)
+    near = nearest_joined(small.repartition("tree_id"), cylinders.repartition("tree_id"), edge)
+    return near if large is None else near.union(nearest_joined(large, cylinders, edge))
+
+
+def nearest_joined(points: DataFrame, cylinders: DataFrame, edge: float) -> DataFrame:
+    """nearest_cylinder by a join of cells."""
     c = cylinders.select("tree_id", "cyl_id", "radius", "length", *(f"start_{a}" for a in "xyz"), *(f"axis_{a}" for a in "xyz"))
     p = points.select("tree_id", "point_id", "x", "y", "z")
     cell = {f"c{a}": F.floor(F.col(a) / edge).cast("long") for a in "xyz"}

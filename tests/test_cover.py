@@ -232,3 +232,17 @@ def test_rounds_with_and_without_lists(monkeypatch):
     for listed in (neighbours.LISTED, 10):
         monkeypatch.setattr(neighbours, "LISTED", listed)
         assert neighbours.first_independent(tree, xyz, rank, reach, reach * 1.1, 1).tolist() == sorted(want)
+
+
+def test_cylinders_go_to_cells_where_their_tree_lies(spark):
+    """No exchange moves cylinders that are copied to cells already."""
+    from __spark_entry__ import queries
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = moved(queries()["n2_nearest_cylinder"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set(key, before)
+    assert any("tree_id" in line for line in found) and not any("cx" in line for line in found), found
