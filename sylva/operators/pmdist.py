@@ -34,6 +34,7 @@ def nearest_cylinder(points: DataFrame, cylinders: DataFrame, edge: float = 1.0)
     trees = broadcast_below(cut(points.select("tree_id").distinct()), BROADCAST_TREES)
     cylinders = cylinders.join(trees, "tree_id", "left_semi")
     small, large = parted(points)
+    points.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # trees that lie together are joined there, cell by cell
     near = nearest_joined(small.repartition("tree_id"), cylinders.repartition("tree_id"), edge)
     return near if large is None else near.union(nearest_joined(large, cylinders, edge))
 
