@@ -167,6 +167,8 @@ SALTED = 768
 BROADCAST_SETS = 200_000
 #: Texts whose complete sets are asked for, and rows that stay, named by a broadcast up to this many, so that no text moves.
 BROADCAST_ASKED = 400_000
+#: Edges between texts whose components the driver finds, at most (some 8 MB); more are joined by rounds of shuffles.
+DRIVER_EDGES = 100_000
 _rng = np.random.default_rng(SEED)
 MIX = _rng.integers(0, 1 << 63, (2, RING * SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -249,10 +251,29 @@ def near_duplicates(sk: DataFrame, similarity: float, full_of: Callable[[DataFra
     centres = cut(heavy.join(weight, "words").groupBy("bucket").agg(F.array_distinct(F.array(*by)).alias("centres")))
     stars = heavy.join(centres, "bucket").select(F.explode("centres").alias("c"), "words").filter("c <> words").select(F.least("c", "words").alias("a"), F.greatest("c", "words").alias("b"))
     edges = cut(alike(pairs.union(stars).distinct(), sk, similarity, full_of))
-    held = cut(divided(heavy, cut(components(edges))))
+    held = cut(divided(heavy, cut(joined(edges))))
     if held.limit(1).count():
         edges = edges.union(cut(blocks(held, similarity, full_of)))
-    return components(edges).select(F.col("node").alias("words"), "component")
+    return joined(edges).select(F.col("node").alias("words"), "component")
+
+
+def joined(edges: DataFrame) -> DataFrame:
+    """components() of edges(a, b) of words: in the driver's memory where there are at most DRIVER_EDGES, for then each round of
+    shuffles writes more files than rows."""
+    few = edges.limit(DRIVER_EDGES + 1).collect()
+    if len(few) > DRIVER_EDGES:
+        return components(edges)
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in few:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return edges.sparkSession.createDataFrame([(x, top(x)) for x in list(up)], "node string, component string")
 
 
 def alike(pairs: DataFrame, sk: DataFrame, similarity: float, full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -210,3 +210,20 @@ def test_near_dedup_links_members_of_crowds(spark):
     assert len(want) > 100
     kept = {r.doc_id for r in m.near_dedup(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
     assert kept == want
+
+
+def test_few_edges_need_no_rounds_of_shuffles(spark, monkeypatch):
+    """Components of few edges are found without a shuffle; beyond the bound they are the same."""
+    rng = random.Random(8)
+    pairs = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(170)] + [("n0", "n0")]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    want = {tuple(r) for r in m.components(edges).collect()}
+    with monkeypatch.context() as p:
+        p.setattr(m, "DRIVER_EDGES", len(pairs) - 1)
+        assert {tuple(r) for r in m.joined(edges).collect()} >= want
+    monkeypatch.setattr(m, "components", None)
+    got = {tuple(r) for r in m.joined(edges).collect()}
+    assert want <= got and all(a == b for a, b in got - want)  # a node of no other may be there, as its own
+    assert m.joined(edges.filter("false")).count() == 0
+    rows = [(i, f"{'a b c d e f g h i j k l ' * 3} x{i % 2}") for i in range(6)]
+    assert [r.doc_id for r in m.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
