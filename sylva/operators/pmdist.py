@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,22 @@ def nearest_cylinder(points: DataFrame, cylinders: DataFrame, edge: float = 1.0)
     return near if large is None else near.union(nearest_joined(large, cylinders, edge))
 
 
+def nearest_in_arrays(p: np.ndarray, start: np.ndarray, axis: np.ndarray, radius: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest cylinder as nearest_cylinder has it, or -1; its distance) of the points of one tree, whose cylinders come
+    in the order of their ids."""
+    on, best = np.full(len(p), -1), np.full(len(p), np.inf)
+    for lo in range(0, len(p) if len(radius) else 0, rows := max(1, (1 << 18) // max(1, len(radius)))):
+        v = [p[lo : lo + rows, i, None] - start[:, i] for i in range(3)]
+        h = v[0] * axis[:, 0] + v[1] * axis[:, 1] + v[2] * axis[:, 2]
+        x, y, z = (v[i] - h * axis[:, i] for i in range(3))
+        d = np.abs(np.sqrt(x * x + y * y + z * z) - radius)
+        d[~((d < FAR) & (h >= -BEYOND) & (h <= length + BEYOND))] = np.inf
+        least = d.min(1)
+        past = np.where(d == least[:, None], np.where((h >= 0) & (h <= length), 0, 1), 2).argmin(1)
+        on[lo : lo + rows], best[lo : lo + rows] = np.where(np.isfinite(least), past, -1), least
+    return on, best
+
+
 def nearest_joined(points: DataFrame, cylinders: DataFrame, edge: float) -> DataFrame:
     """nearest_cylinder by a join of cells."""
     c = cylinders.select("tree_id", "cyl_id", "radius", "length", *(f"start_{a}" for a in "xyz"), *(f"axis_{a}" for a in "xyz"))

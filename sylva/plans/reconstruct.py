@@ -125,7 +125,7 @@ def adjust(points: DataFrame, cylinders: DataFrame, params: Params) -> DataFrame
     c = cut(c.select(cylinders.columns))
     if params.growth_vol_cor:
         c = cut(c.drop("radius").join(corrections.growth_volume_correction(c, params.growth_vol_fac).select("tree_id", "cyl_id", "radius"), ["tree_id", "cyl_id"]).select(cylinders.columns))
-    centred = kernels.recentred(points, c, before)
+    centred = kernels.recentred(points, c.join(before, ["tree_id", "cyl_id"], "left"))
     c = cut(c.drop("start_x", "start_y", "start_z").join(centred, ["tree_id", "cyl_id"]).select(cylinders.columns))
     moved = corrections.continuous_starts(c)
     c = cut(c.drop("start_x", "start_y", "start_z", "length").join(moved, ["tree_id", "cyl_id"]).select(cylinders.columns))

@@ -246,3 +246,30 @@ def test_cylinders_go_to_cells_where_their_tree_lies(spark):
     finally:
         spark.conf.set(key, before)
     assert any("tree_id" in line for line in found) and not any("cx" in line for line in found), found
+
+
+def test_starts_are_found_where_trees_lie(spark, monkeypatch):
+    """Starts found again in arrays are those that joins of cells give, of all cylinders, and points move once."""
+    from sylva.operators import kernels, spatial
+    from sylva.sources.fixtures import load
+
+    from __spark_entry__ import queries
+
+    points, c = load(spark, "/root/testdata/sf0.001", "points"), load(spark, "/root/testdata/sf0.001", "cylinders")
+    c = c.withColumn("old_radius", F.when(F.col("position") < 4, F.col("radius") * 0.8)).cache()
+    columns = ["tree_id", "cyl_id", "start_x", "start_y", "start_z"]
+    got = kernels.recentred(points, c).select(columns).toPandas().sort_values(columns[:2], ignore_index=True)
+    monkeypatch.setattr(spatial, "TREE_POINTS", 0)
+    want = kernels.recentred(points, c).select(columns).toPandas().sort_values(columns[:2], ignore_index=True)
+    at = c.select(columns).toPandas().sort_values(columns[:2], ignore_index=True)
+    assert len(got) == len(at) and (got[columns[:2]] == want[columns[:2]]).all(axis=None)
+    assert np.allclose(got[columns[2:]], want[columns[2:]], atol=1e-9) and 0 < (np.abs(got[columns[2:]] - at[columns[2:]]) > 1e-6).any(axis=1).sum() < len(at)
+    monkeypatch.undo()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = moved(queries()["h7_recentred_starts"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set(key, before)
+    assert sum("l_partkey" in line for line in found) <= 3 and not any("cx" in line or "point_id" in line for line in found), found
