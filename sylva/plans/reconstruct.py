@@ -27,6 +27,13 @@ RAW = "tree_id long, seg_id long, k long, radius double, length double, start_x
 CYLINDER = "tree_id long, branch long, position long, cyl_id long, radius double, length double, start_x double, start_y double, start_z double, axis_x double, axis_y double, axis_z double, parent long, extension long, added boolean, branch_order long, surf_cov double, mad double"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to all of the session's shuffle partitions: a kernel's time goes by trees, not by bytes, and Spark would
+    merge partitions of few bytes into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch: float, small: bool, children: bool, stem: DataFrame | None = None, ground: DataFrame | None = None) -> DataFrame:
     """SEGMENT rows of each tree: its sets made one component, segmented from the base, corrected.
 
@@ -62,7 +69,7 @@ def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch:
         return pd.DataFrame(rows, columns=[n.split()[0] for n in SEGMENT.split(", ")])
 
     links = edges.select(*(F.col(n).alias(n) for n in ("tree_id", "src", "dst"))).toDF("tree_id", "src", "dst")
-    return c.toDF(*c.columns).groupBy("tree_id").cogroup(links.groupBy("tree_id")).applyInPandas(one, SEGMENT)
+    return dealt(c.toDF(*c.columns), "tree_id").groupBy("tree_id").cogroup(dealt(links, "tree_id").groupBy("tree_id")).applyInPandas(one, SEGMENT)
 
 
 def fit_cylinders(points: DataFrame, member: DataFrame, segs: DataFrame, least: int = 20) -> DataFrame:
@@ -78,7 +85,7 @@ def fit_cylinders(points: DataFrame, member: DataFrame, segs: DataFrame, least:
         key = (int(pdf["tree_id"].iloc[0]), int(pdf["seg_id"].iloc[0]))
         return pd.DataFrame([(*key, k, f.radius, f.length, *f.start, *f.axis, f.coverage, f.mad) for k, f in enumerate(found) if f.length > 0], columns=names)
 
-    return p.select("tree_id", "seg_id", "point_id", "set_id", "layer", "x", "y", "z").groupBy("tree_id", "seg_id").applyInPandas(one, RAW)
+    return dealt(p.select("tree_id", "seg_id", "point_id", "set_id", "layer", "x", "y", "z"), "tree_id", "seg_id").groupBy("tree_id", "seg_id").applyInPandas(one, RAW)
 
 
 def chain(raw: DataFrame, segs: DataFrame) -> DataFrame:
@@ -113,7 +120,7 @@ def chain(raw: DataFrame, segs: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=[n.split()[0] for n in CYLINDER.split(", ")])
         return out.astype({"parent": "Int64", "extension": "Int64"})
 
-    return r.groupBy("tree_id").applyInPandas(one, CYLINDER)
+    return dealt(r, "tree_id").groupBy("tree_id").applyInPandas(one, CYLINDER)
 
 
 def adjust(points: DataFrame, cylinders: DataFrame, params: Params) -> DataFrame:

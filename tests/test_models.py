@@ -154,3 +154,16 @@ def test_stream(spark, tmp_path, y_tree):
     q.awaitTermination(120)
     cells = y_tree.select(*(F.floor(F.col(c) / 0.1) for c in "xyz")).distinct().count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == cells
+
+
+def test_trees_are_dealt_to_all_tasks(spark):
+    """Kernels over few bytes run in several tasks, not in one that holds all trees."""
+    trees = spark.range(1, 41).withColumnRenamed("id", "tree_id")
+    segs = trees.select("tree_id", *(F.lit(v).cast("long").alias(n) for n, v in (("seg_id", 1), ("parent_seg", 0), ("parent_layer", 0), ("layer", 1), ("set_id", 1))))
+    raw = trees.select("tree_id", F.lit(1).cast("long").alias("seg_id"), F.lit(0).cast("long").alias("k"), *(F.lit(1.0).alias(n.split()[0]) for n in reconstruct.RAW.split(", ")[3:]))
+    made = reconstruct.chain(raw, segs)
+    assert made.count() == 40 and made.select(F.spark_partition_id()).distinct().count() > 1
+    centres = trees.crossJoin(spark.range(3).withColumnRenamed("id", "set_id")).select("tree_id", "set_id", *(F.col("set_id").cast("double").alias(a) for a in "xyz"))
+    edges = trees.select("tree_id", F.explode(F.expr("array((0L, 1L), (1L, 2L), (1L, 0L), (2L, 1L))")).alias("e")).select("tree_id", F.col("e.col1").alias("src"), F.col("e.col2").alias("dst"))
+    found = reconstruct.segment_trees(centres, edges, centres.filter("set_id = 0").select("tree_id", "set_id"), 1.0, False, True)
+    assert found.select("tree_id").distinct().count() == 40 and found.select(F.spark_partition_id()).distinct().count() > 1
