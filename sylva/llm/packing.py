@@ -28,7 +28,7 @@ STEP = 16 * WINDOW
 #: Sequences, without their ids, that a task holds to deal them to step groups evenly: those of over 100 MB of text.
 BALANCED = 1 << 15
 #: Pieces of text whose ids a worker keeps, in two halves: the older half goes when the younger is full.
-CACHE = 800_000
+CACHE = 400_000
 SPECIAL = b"<|"
 #: Marks that the tokenizer's own pattern parts from a letter before them.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -48,8 +48,10 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.plain, self.known, self.old = Tokenizer.from_file(path), Tokenizer.from_file(path), {}, {}
-        # for lower-case Latin letters and spaces, which the file's normalizer and pattern leave as they are
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        # for lower-case Latin letters and spaces, which the file's normalizer and pattern leave as they are; of the same model,
+        # which is held once
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)

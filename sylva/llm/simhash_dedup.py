@@ -163,6 +163,8 @@ KEPT, MARGIN = 256, 0.125
 BUCKET, CENTRES = 32, 6
 #: Members of a large bucket for each of its salts.
 SALTED = 768
+#: Hashes that a block's texts are compared on at once, and texts whose similarities are: the bounds of a worker's memory.
+HASHES, ROWS = 1024, 64
 #: Complete sets that are broadcast to the blocks, at most, within the bytes that any broadcast may have.
 BROADCAST_SETS = 200_000
 #: Texts whose complete sets are asked for, and rows that stay, named by a broadcast up to this many, so that no text moves.
@@ -273,7 +275,9 @@ def joined(edges: DataFrame) -> DataFrame:
     for a, b in few:
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
-    return edges.sparkSession.createDataFrame([(x, top(x)) for x in list(up)], "node string, component string")
+    nodes = list(up)
+    found = pa.table({"node": pa.array(nodes, pa.string()), "component": pa.array(map(top, nodes), pa.string())})
+    return edges.sparkSession.createDataFrame(found)  # of Arrow: a list would start Python workers of another kind on every executor
 
 
 def alike(pairs: DataFrame, sk: DataFrame, similarity: float, full_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -327,20 +331,27 @@ def blocks(held: DataFrame, similarity: float, full_of: Callable[[DataFrame], Da
 def linked(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Places i < j of sets in different components with a Jaccard similarity of `similarity` or more."""
     n = np.array([len(s) for s in sets])
-    both = np.zeros((len(sets), len(sets)))
+    both = np.zeros((len(sets), len(sets)), np.float32 if n.max(initial=0) < 1 << 24 else np.float64)  # either counts exactly
     if len(n) and label.min() < label.max():
         _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = count[value] > 1
         owner, value = np.repeat(np.arange(len(n)), n)[shared], (np.cumsum(count > 1) - 1)[value[shared]]
         order = np.argsort(value, kind="stable")
         owner, value = owner[order], value[order]
-        for at in range(0, int(value[-1]) + 1 if len(value) else 0, 8192):
-            lo, hi = np.searchsorted(value, (at, at + 8192))
-            m = np.zeros((len(n), 8192), np.float32)
+        m, more = np.empty((len(n), HASHES), np.float32), np.empty((len(n), len(n)), np.float32)
+        for at in range(0, int(value[-1]) + 1 if len(value) else 0, HASHES):
+            lo, hi = np.searchsorted(value, (at, at + HASHES))
+            m.fill(0)
             m[owner[lo:hi], value[lo:hi] - at] = 1
-            both += m @ m.T
-    like = both / np.maximum(1, n[:, None] + n[None] - both)
-    return np.nonzero(np.triu((like >= similarity) & (label[:, None] != label[None]), 1))
+            both += np.matmul(m, m.T, out=more)
+    found = [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(n), ROWS):
+        b = both[at : at + ROWS].astype(np.float64)
+        like = b / np.maximum(1, n[at : at + ROWS, None] + n[None] - b)
+        i, j = np.nonzero((like >= similarity) & (label[at : at + ROWS, None] != label[None]))
+        found.append(np.stack([i + at, j])[:, i + at < j])
+    i, j = np.concatenate(found, axis=1)
+    return i, j
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

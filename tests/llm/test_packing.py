@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -37,6 +40,29 @@ def test_ids(plain, path, monkeypatch):
             assert np.frombuffer(w.ids(t.encode()), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+HELD = """
+import re, sys
+sys.path.insert(0, sys.argv[2])
+from tokenizers import Tokenizer
+from sylva.llm.packing import Words
+
+def used():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())))
+
+at = [used()]
+for make in (Tokenizer.from_file, Tokenizer.from_file, Words):
+    held = [*globals().get("held", []), make(sys.argv[1])]
+    at.append(used())
+print(at[2] - at[1], at[3] - at[2])
+"""
+
+
+def test_a_worker_holds_the_vocabulary_once(path):
+    run = subprocess.run([sys.executable, "-c", HELD, path, str(Path(m.__file__).parents[2])], capture_output=True, text=True, check=True)
+    tokenizer, words = map(int, run.stdout.split())
+    assert words < 0.6 * tokenizer
+
+
 def check(rows, docs, plain):
     want = defaultdict(list)
     for i, t in docs:

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import xxhash
 
 from sylva.llm import simhash_dedup as m
@@ -227,3 +229,29 @@ def test_few_edges_need_no_rounds_of_shuffles(spark, monkeypatch):
     assert m.joined(edges.filter("false")).count() == 0
     rows = [(i, f"{'a b c d e f g h i j k l ' * 3} x{i % 2}") for i in range(6)]
     assert [r.doc_id for r in m.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_blocks_take_little_memory():
+    """The largest block, 2 * SALTED texts, some alike: the pairs of all are right, and no more is held than a worker has."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 300, np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.1 * (i % 3), rng.integers(0, 1 << 62, 300, np.uint64), base)) for i in range(2 * m.SALTED)]
+    label = np.arange(len(sets)) // 2
+    tracemalloc.start()
+    i, j = m.linked(sets, label, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert len(got) == len(i)
+    for a, b in rng.integers(0, len(sets), (5000, 2)).tolist():
+        want = a < b and label[a] != label[b] and m.jaccard(sets[a].tobytes(), sets[b].tobytes()) >= 0.8
+        assert want == ((a, b) in got)
+    i, j = m.linked([], np.zeros(0, int), 0.8)
+    assert len(i) == len(j) == 0
+
+
+def test_few_edges_start_no_python_workers(spark):
+    """Components found in the driver come as Arrow: a list of rows is unpickled by workers that no other step uses."""
+    edges = spark.createDataFrame([("a", "b"), ("c", "b")], "a string, b string")
+    assert "PythonRDD" not in m.joined(edges)._jdf.queryExecution().toRdd().toDebugString()
