@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sylva.llm import langid, mixing, packing, quality, simhash_dedup
 from sylva.llm.common import checkpoints, read
 
+#: Pieces of text whose ids a worker keeps: half of op10's, for here an executor holds what the other stages left, too.
+PIECES = packing.CACHE // 2
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learned on the labels, scores 0.5 or more."""
@@ -35,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
-    return packing.pack(docs, packing.tokenizer_path())
+    return packing.pack(docs, packing.tokenizer_path(), PIECES)
 
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_dedup", one_of_near_duplicates), ("mixing", mixture), ("packing", packed)]

@@ -28,7 +28,7 @@ STEP = 16 * WINDOW
 #: Sequences, without their ids, that a task holds to deal them to step groups evenly: those of over 100 MB of text.
 BALANCED = 1 << 15
 #: Pieces of text whose ids a worker keeps, in two halves: the older half goes when the younger is full.
-CACHE = 400_000
+CACHE = 800_000
 SPECIAL = b"<|"
 #: Marks that the tokenizer's own pattern parts from a letter before them.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,11 +44,12 @@ class Words:
     Texts that may hold the string of a special token are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.cache = CACHE if cache is None else cache
         # for lower-case Latin letters and spaces, which the file's normalizer and pattern leave as they are; of the same model,
         # which is held once
         self.plain = Tokenizer(self.tokenizer.model)
@@ -68,7 +69,7 @@ class Words:
 
     def learn(self, pieces: set[bytes]) -> None:
         known, old, words, parted = self.known, self.old, set(), []
-        if len(known) > CACHE // 2:
+        if len(known) > self.cache // 2:
             self.old, self.known = old, known = known, {}
         for p in pieces:
             if p in old:
@@ -99,18 +100,18 @@ class Words:
             return self.whole(text)
         words = text.split()
         if new := {*words}.difference(self.known):
-            self.learn(new if len(self.known) <= CACHE // 2 else {*words})
+            self.learn(new if len(self.known) <= self.cache // 2 else {*words})
         return b"".join(map(self.known.__getitem__, words))
 
 
-_words: dict[str, Words] = {}
+_words: dict[tuple[str, int | None], Words] = {}
 
 
-def words_of(path: str) -> Words:
+def words_of(path: str, cache: int | None = None) -> Words:
     """The worker's one Words of a tokenizer file, for all its tasks."""
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
+    if (path, cache) not in _words:
+        _words[path, cache] = Words(path, cache)
+    return _words[path, cache]
 
 
 def tier_of(length: int) -> int:
@@ -215,7 +216,7 @@ class Packer:
         self.rows = []
 
 
-def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, cache: int | None = None) -> DataFrame:
     """The pieces (SCHEMA) of documents(doc_id, text), whose ids by the tokenizer of that path, and END, fill sequences.
 
     Each task packs its own partition: no row moves. Documents are routed by length to TIERS, those over a window after
@@ -224,11 +225,12 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     into sequences of powers of two. So no sequence is padded and each id lies in one piece. `tier` is the sequence's size
     and `step_id` its step group: sequences of one size and STEP tokens together, dealt so that groups cost alike. A null or
     empty text is END alone; null ids and repeated rows are packed like others; an empty table gives none; other columns
-    are ignored. Tasks that are run again number their sequences alike: by partition, then in order.
+    are ignored. Tasks that are run again number their sequences alike: by partition, then in order. `cache` bounds the pieces
+    whose ids a worker keeps (None: CACHE); fewer take more time, and the result is the same.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, end = words_of(tokenizer), Packer(TaskContext.get().partitionId()), np.array([END], "<u4").tobytes()
+        words, packer, end = words_of(tokenizer, cache), Packer(TaskContext.get().partitionId()), np.array([END], "<u4").tobytes()
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 packer.add(doc_id, words.ids(text.as_py()) + end)
