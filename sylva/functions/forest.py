@@ -520,3 +520,17 @@ def correct(segs: list, c: np.ndarray, patch: float, small: bool, bases: bool, a
     if small:
         out = remove_small(out, c)
     return extend_bases(out, c, patch, add) if bases else out
+
+
+def grown(nei: list[np.ndarray], c: np.ndarray, start: np.ndarray, segment: np.ndarray, forbidden: np.ndarray, patch: float, only_tree: bool, small: bool, add: bool) -> list:
+    """Corrected segments of one tree's sets, made one component from the base `start` (the lowest set, if there is none).
+    segment: numbers of an earlier segmentation's stem and main branches, which are made connected first, or zeros."""
+    if not len(start):
+        start = np.array([int(c[:, 2].argmin())])
+    forbidden[start] = False
+    if segment.any():
+        join_branches(nei, c, segment)
+    else:
+        trunk(nei, c, start)
+    make_connected(nei, c, start, forbidden, patch, only_tree)
+    return correct(segments(nei, start, forbidden), c, patch, small, True, add)

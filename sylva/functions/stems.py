@@ -57,6 +57,13 @@ def fit_segment(p: np.ndarray, layer: np.ndarray, least: int = 20) -> list[Cylin
     return out
 
 
+def segment_cylinders(p: np.ndarray, layer: np.ndarray, sets: np.ndarray, least: int = 20) -> list[tuple[int, Cylinder]]:
+    """The cylinders of a segment, if it has over one layer (from 1), two sets and `least` points, with their places."""
+    if len(p) <= least or len(np.unique(layer)) < 2 or len(np.unique(sets)) <= 2:
+        return []
+    return [(k, f) for k, f in enumerate(fit_segment(p, layer - 1)) if f.length > 0]
+
+
 def crossing(start: np.ndarray, axis: np.ndarray, c: Cylinder) -> float | None:
     """How far along a line from start its last crossing with the surface of c, taken as endless, is: ahead of a start inside c, behind
     one that points away from it. None if the line misses it."""
@@ -155,6 +162,33 @@ def hang(own: list[Cylinder], parents: list[Cylinder], childless: bool = False)
     return k, own, False
 
 
+def hang_all(tree: int, fits: list[tuple[int, int, list[tuple[int, Cylinder]]]]) -> list[tuple]:
+    """CYLINDER rows (plans.reconstruct) of a tree's segments (number, the parent's or 0, cylinders) in the order of their numbers:
+    segments as branches, each hung on a cylinder of its parent's. One without cylinders passes its children on to its parent."""
+    rows, at, branch_of, order, cyls = [], 1, {}, {}, {}
+    up = {seg: parent for seg, parent, _ in fits}
+    parents_of = {*up.values()}
+    for seg, _, own in fits:
+        own = [c for _, c in own]
+        over = up[seg]
+        while over and over not in cyls:
+            over = up.get(over, 0)
+        parent, extra = None, False
+        if over:
+            k, own, extra = hang(own, [c for _, c in cyls[over]], seg not in parents_of)
+            if not own:
+                continue
+            parent = cyls[over][k]
+        branch_of[seg], order[seg] = len(branch_of) + 1, order[over] + 1 if over else 0
+        cyls[seg] = []
+        for k, c in enumerate(own):
+            on = (at - 1 if k else (parent[0] if parent else None), at + 1 if k + 1 < len(own) else None)
+            rows.append((tree, branch_of[seg], k + 1, at, c.radius, c.length, *c.start, *c.axis, *on, bool(extra and k == 0), order[seg], c.coverage, c.mad))
+            cyls[seg].append((at, c))
+            at += 1
+    return rows
+
+
 def recentre(p: np.ndarray, c: Cylinder, before: float) -> None:
     """A cylinder whose radius was changed by over 5 mm is moved across its axis to where its points fit the new radius best."""
     if abs(c.radius - before) <= 0.005 or len(p) < 8:

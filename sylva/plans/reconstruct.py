@@ -11,21 +11,26 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import forest
 from ..functions.fitting import Cylinder
-from ..functions.stems import fit_segment, hang
+from ..functions.stems import hang_all, segment_cylinders
 from ..operators import attributes, branches, cover, distributions, kernels, pmdist, treesets
 from ..operators import cylinders as corrections
+from ..operators.spatial import by_tree, parted
 from ..sources.params import Params
-from .lineage import cut
+from .lineage import cut_plain as cut  # covers of small and large trees are unions of checkpoints
 
 SEGMENT = "tree_id long, seg_id long, parent_seg long, parent_layer long, layer long, set_id long"
 RAW = "tree_id long, seg_id long, k long, radius double, length double, start_x double, start_y double, start_z double, axis_x double, axis_y double, axis_z double, surf_cov double, mad double"
 CYLINDER = "tree_id long, branch long, position long, cyl_id long, radius double, length double, start_x double, start_y double, start_z double, axis_x double, axis_y double, axis_z double, parent long, extension long, added boolean, branch_order long, surf_cov double, mad double"
 
+#: Points whose trees are covered at once for models.
+MODEL_POINTS = 10_000
+
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys to all of the session's shuffle partitions: a kernel's time goes by trees, not by bytes, and Spark would
@@ -52,17 +57,8 @@ def segment_trees(centres: DataFrame, edges: DataFrame, base: DataFrame, patch:
             return pd.DataFrame({n.split()[0]: pd.Series(dtype="int64") for n in SEGMENT.split(", ")})
         nei = forest.neighbour_lists(len(ids), np.searchsorted(ids, links["src"].to_numpy()), np.searchsorted(ids, links["dst"].to_numpy()))
         start = np.flatnonzero(sets["base"].notna().to_numpy())
-        if not len(start):
-            start = np.array([int(xyz[:, 2].argmin())])
-        forbidden = sets["ground"].notna().to_numpy()
-        forbidden[start] = False
         segment = sets["seg_id"].fillna(0).to_numpy().astype(int)
-        if segment.any():
-            forest.join_branches(nei, xyz, segment)
-        else:
-            forest.trunk(nei, xyz, start)
-        forest.make_connected(nei, xyz, start, forbidden, patch, none)
-        found = forest.correct(forest.segments(nei, start, forbidden), xyz, patch, small, True, children)
+        found = forest.grown(nei, xyz, start, segment, sets["ground"].notna().to_numpy().copy(), patch, none, small, children)
         rows, tree = [], int(sets["tree_id"].iloc[0])
         for s, (layers, parent, at) in enumerate(found):
             rows += [(tree, s + 1, parent + 1, at + 1, k + 1, int(ids[i])) for k, x in enumerate(layers) for i in x]
@@ -79,11 +75,11 @@ def fit_cylinders(points: DataFrame, member: DataFrame, segs: DataFrame, least:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names = [n.split()[0] for n in RAW.split(", ")]
         pdf = pdf.sort_values(["layer", "point_id"])
-        if pdf["layer"].nunique() < 2 or pdf["set_id"].nunique() <= 2 or len(pdf) <= least:
+        found = segment_cylinders(pdf[["x", "y", "z"]].to_numpy(), pdf["layer"].to_numpy(), pdf["set_id"].to_numpy(), least)
+        if not found:
             return pd.DataFrame({n.split()[0]: pd.Series(dtype="int64" if n.endswith("long") else "float64") for n in RAW.split(", ")})
-        found = fit_segment(pdf[["x", "y", "z"]].to_numpy(), pdf["layer"].to_numpy() - 1)
         key = (int(pdf["tree_id"].iloc[0]), int(pdf["seg_id"].iloc[0]))
-        return pd.DataFrame([(*key, k, f.radius, f.length, *f.start, *f.axis, f.coverage, f.mad) for k, f in enumerate(found) if f.length > 0], columns=names)
+        return pd.DataFrame([(*key, k, f.radius, f.length, *f.start, *f.axis, f.coverage, f.mad) for k, f in found], columns=names)
 
     return dealt(p.select("tree_id", "seg_id", "point_id", "set_id", "layer", "x", "y", "z"), "tree_id", "seg_id").groupBy("tree_id", "seg_id").applyInPandas(one, RAW)
 
@@ -95,28 +91,11 @@ def chain(raw: DataFrame, segs: DataFrame) -> DataFrame:
     r = raw.join(parents, ["tree_id", "seg_id"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, at, branch_of, order, cyls = [], 1, {}, {}, {}
-        up = dict(zip(pdf["seg_id"], pdf["parent_seg"], strict=True))
-        parents_of = {*up.values()}
-        tree = int(pdf["tree_id"].iloc[0])
+        fits = []
         for seg, g in pdf.sort_values(["seg_id", "k"]).groupby("seg_id", sort=True):
-            own = [Cylinder(t.radius, t.length, np.array([t.start_x, t.start_y, t.start_z]), np.array([t.axis_x, t.axis_y, t.axis_z]), t.mad, t.surf_cov, True, True) for t in g.itertuples()]
-            over = up[seg]
-            while over and over not in cyls:
-                over = up.get(over, 0)
-            parent, extra = None, False
-            if over:
-                k, own, extra = hang(own, [c for _, c in cyls[over]], seg not in parents_of)
-                if not own:
-                    continue
-                parent = cyls[over][k]
-            branch_of[seg], order[seg] = len(branch_of) + 1, order[over] + 1 if over else 0
-            cyls[seg] = []
-            for k, c in enumerate(own):
-                on = (at - 1 if k else (parent[0] if parent else None), at + 1 if k + 1 < len(own) else None)
-                rows.append((tree, branch_of[seg], k + 1, at, c.radius, c.length, *c.start, *c.axis, *on, bool(extra and k == 0), order[seg], c.coverage, c.mad))
-                cyls[seg].append((at, c))
-                at += 1
+            own = [(int(t.k), Cylinder(t.radius, t.length, np.array([t.start_x, t.start_y, t.start_z]), np.array([t.axis_x, t.axis_y, t.axis_z]), t.mad, t.surf_cov, True, True)) for t in g.itertuples()]
+            fits.append((seg, g["parent_seg"].iloc[0], own))
+        rows = hang_all(int(pdf["tree_id"].iloc[0]), fits)
         out = pd.DataFrame(rows, columns=[n.split()[0] for n in CYLINDER.split(", ")])
         return out.astype({"parent": "Int64", "extension": "Int64"})
 
@@ -214,15 +193,59 @@ def reconstruct(points: DataFrame, params: Params, seed: int | Column = 1) -> li
     return out
 
 
+def models_in_arrays(points: DataFrame, params: Params, repeats: int, tries: int) -> DataFrame:
+    """make_models of trees that a task can hold: points are dealt out once, and only cylinders leave their task."""
+    from .arrays import Trees
+
+    combinations = [(p, (p.patch_diam1[0], p.patch_diam2_min[0], p.patch_diam2_max[0])) for p in params.sweep()]
+    names, kinds = zip(*(n.split() for n in (CYLINDER + ", pd1 double, pd2min double, pd2max double, model long").split(", ")), strict=True)
+    schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in zip(names, kinds, strict=True)])
+
+    def run(t: pa.Table, tree: np.ndarray, xyz: np.ndarray) -> pa.Table:
+        ids = t.column("point_id").to_numpy()
+        order = np.lexsort((ids, tree))
+        own, all_ = Trees(tree, ids[order], xyz[order]), t.column("tree_id").to_numpy()
+        name, rows = all_[own.at[:-1]].tolist(), []
+        for model in range(1, repeats + 1):
+            left = np.ones(len(name), bool)
+            for done in range(tries):
+                got: set[int] = set()
+                for p, lengths in combinations:
+                    for code, found in own.models(p, model + 1000 * done, left).items():
+                        got.add(code)
+                        rows += [(name[code], *r[1:], *lengths, model) for r in found]
+                left[[*got]] = False
+                if not left.any():
+                    break
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(names), schema, strict=True)], schema=schema)
+
+    # a kernel's time goes by trees, not by bytes: Spark would merge partitions of few bytes into one task
+    key, conf = "spark.sql.adaptive.coalescePartitions.enabled", points.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(by_tree(points.select("tree_id", "point_id", "x", "y", "z"), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), MODEL_POINTS))
+    finally:
+        conf.set(key, before)
+
+
 def make_models(points: DataFrame, params: Params, repeats: int = 5, tries: int = 5) -> DataFrame:
     """Cylinders with pd1, pd2min, pd2max and model of all combinations and repeats; repeats differ by their seed only.
 
     The repeats of all trees are modelled side by side, as trees of their own (tree * repeats + model - 1): a combination is one
-    plan. Those that got no cylinder are tried again, up to `tries` times, with other seeds.
+    plan. Those that got no cylinder are tried again, up to `tries` times, with other seeds. Trees that a task can hold are
+    modelled in arrays, all repeats and combinations where their points lie.
     """
+    if params.only_tree and not params.growth_vol_cor:
+        small, large = parted(points)
+        parts = [models_in_arrays(small, params, repeats, tries)]
+        if large is None:
+            return parts[0]
+        points = large
+    else:
+        parts = []
     key, model = F.col("tree_id"), F.expr(f"pmod(tree_id, {repeats})") + 1
     todo = points.withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("tree_id", key * repeats + F.col("model") - 1).drop("model")
-    parts: list[DataFrame] = []
     for done in range(tries):
         found: list[DataFrame] = []
         for p, c in reconstruct(todo, params, model + 1000 * done):

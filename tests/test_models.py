@@ -77,6 +77,43 @@ def test_repeats_side_by_side(y_tree):
     assert near == pytest.approx(alone.agg(F.sum("length")).first()[0], rel=1e-6)
 
 
+def test_models_where_points_lie(spark, y_tree, monkeypatch):
+    """Models in arrays are those of the tables in every column, also of trees of few or invalid points, without the tables' steps."""
+    rng = np.random.default_rng(4)
+    bent = np.vstack([limb(rng, [0, 0, 0], [0.3, 0, 1], 3, 0.2, 0.1, 2500), limb(rng, [0.9, 0, 3], [1, 0, 0.2], 1.5, 0.1, 0.02, 900)])
+    odd = [(7, 0, 1.0, 2.0, 3.0), (7, 1, 1.0, 2.0, 3.5), (8, 0, float("nan"), 0.0, 0.0), (None, 0, 0.0, 0.0, 0.0), (9, 0, None, 0.0, 0.0)]
+    kinds = "tree_id long, point_id long, x double, y double, z double"
+    points = y_tree.union(spark.createDataFrame([(2, i, *map(float, p)) for i, p in enumerate(bent)], kinds)).union(spark.createDataFrame(odd, kinds)).cache()
+    (_, c), = reconstruct.reconstruct(points, ONE, 2)
+    want = c.orderBy("tree_id", "cyl_id").toPandas()
+    assert set(want.tree_id) == {1, 2} and want.groupby(["tree_id", "branch"]).size().max() > 4
+
+    def tables(*_):
+        raise AssertionError("the tables' steps were taken")
+
+    with monkeypatch.context() as m:
+        m.setattr(reconstruct, "first_stage", tables)
+        got = reconstruct.make_models(points, ONE, repeats=2, tries=2).filter("model = 2").orderBy("tree_id", "cyl_id").toPandas()
+        assert not reconstruct.make_models(points.filter("tree_id = 7"), ONE, repeats=2, tries=2).count()
+    pd.testing.assert_frame_equal(got[list(want.columns)], want, check_dtype=False, rtol=1e-9, atol=1e-9)
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
+def test_models_of_trees_beyond_a_task(spark, monkeypatch):
+    """A tree that a task can't hold is modelled by the tables, beside one that it can."""
+    from sylva.operators import spatial
+
+    rng = np.random.default_rng(5)
+    rows = [(t, i, *map(float, p)) for t, n in ((1, 900), (2, 700)) for i, p in enumerate(limb(rng, [0, 0, 0], [0, 0, 1], 2, 0.2, 0.15, n))]
+    points = spark.createDataFrame(rows, "tree_id long, point_id long, x double, y double, z double").cache()
+    order = ["tree_id", "cyl_id"]
+    want = reconstruct.make_models(points, ONE, repeats=1, tries=1).orderBy(order).toPandas()
+    monkeypatch.setattr(spatial, "TREE_POINTS", 800)
+    got = reconstruct.make_models(points, ONE, repeats=1, tries=1).orderBy(order).toPandas()
+    assert set(got.tree_id) == {1, 2}
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-9)
+
+
 def test_equal_seeds_give_equal_segments(y_tree):
     a, b, c = (reconstruct.first_stage(df, ONE, seed)[3].orderBy("seg_id", "layer", "set_id").toPandas() for df, seed in ((y_tree.repartition(5), 2), (y_tree, 2), (y_tree, 3)))
     pd.testing.assert_frame_equal(a, b)
